@@ -72,7 +72,7 @@ def signatures(elements: np.ndarray, weights: np.ndarray, doc: np.ndarray, n_doc
     t = 0
     while len(elements):
         t += 1
-        r = mix(elements + np.uint64(t) * _GOLDEN)
+        r = mix(elements + np.uint64(t * int(_GOLDEN) % 2**64))
         point = point - np.log1p(-((r >> np.uint64(11)).astype(np.float64) * 2.0**-53)) / weights
         slot = doc * size + (mix(r + _GOLDEN) >> bits).astype(np.int64)
         early = np.flatnonzero(point < first[slot])
@@ -148,7 +148,7 @@ def _verify(threshold: float, size: int):
 
 
 def components(links: DataFrame) -> DataFrame:
-    """Smallest node of the component of every linked node: (node, root). links: (a, b).
+    """Smallest node of the component of every other node in it: (node, root). links: (a, b).
 
     Large-star and small-star rounds over the links until they change no more;
     a round keeps one row for each link and never gathers a node's neighbours.

@@ -127,15 +127,15 @@ named as (
 h as (select *, ('0x' || substr(md5(kind || ':' || pattern), 1, 6))::bigint as h from named),
 chosen as (select *, case when kind = 'prefix' and h % 8 = 1 then 'allow' else 'block' end as action, (h // 8) % 40 as day from h where h % 8 < case when kind = 'prefix' then 2 else 1 end),
 log as (select kind, pattern, action, unnest(range(0, h % 3 + 1)) as step, day from chosen),
-ent as (select kind, pattern, action, step, timestamp '2024-01-01' + to_days((day + case step when 0 then 0 when 1 then 10 else 15 end)::int) as at from log),
-iv as (select *, lead(at) over (partition by kind, pattern order by at) as valid_to from ent),
+ent as (select kind, pattern, action, step, timestamp '2024-01-01' + to_days((day + case step when 0 then 0 when 1 then 10 else 15 end)::int) as since from log),
+iv as (select *, lead(since) over (partition by kind, pattern order by since) as valid_to from ent),
 keys as (
   select page_id, fetched_at, 'host' as kind, host as pattern from q where host is not null
   union all select page_id, fetched_at, 'domain', array_to_string(list_slice(labels, i, len(labels)), '.') from q, unnest(range(1, len(labels) + 1)) t(i) where host is not null
   union all select page_id, fetched_at, 'prefix', host || '/' || array_to_string(list_slice(parts, 1, i), '/') from q, unnest(range(1, len(parts) + 1)) t(i) where host is not null),
-m as (select page_id, kind, pattern, action, at, row_number() over (partition by page_id order by length(pattern) desc, kind desc, pattern desc, action desc, at desc) as r
-      from keys join iv using (kind, pattern) where step <> 1 and at <= fetched_at and (valid_to is null or fetched_at < valid_to))
-select q.page_id, url, fetched_at, host, m.kind as matched_kind, m.pattern as matched_pattern, m.at as listed_at, coalesce(m.action <> 'block', true) as kept
+m as (select page_id, kind, pattern, action, since, row_number() over (partition by page_id order by length(pattern) desc, kind desc, pattern desc, action desc, since desc) as r
+      from keys join iv using (kind, pattern) where step <> 1 and since <= fetched_at and (valid_to is null or fetched_at < valid_to))
+select q.page_id, url, fetched_at, host, m.kind as matched_kind, m.pattern as matched_pattern, m.since as listed_at, coalesce(m.action <> 'block', true) as kept
 from q left join m on q.page_id = m.page_id and m.r = 1
 """
 
