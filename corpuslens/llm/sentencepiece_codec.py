@@ -3,8 +3,9 @@
 The encoder turns spaces into the mark U+2581 and puts one before the text. If
 no piece of the vocabulary has the mark after another character, no merge goes
 across the start of a marked word, so each distinct marked word is segmented
-once in a task and its ids are joined back by position. The table is bounded
-and starts anew when full. A vocabulary with pieces that cross marks, or one
+once in a task and its ids are joined back by position. New words of a block of
+texts go to the library in one call. The table is bounded and starts anew when
+full. A vocabulary with pieces that cross marks, or one
 that rewrites its input, is used on whole texts instead.
 
 Null counts as empty; an empty text has no ids. The model's file is named by a
@@ -16,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,8 @@ from corpuslens.llm.common import blocks
 MARK = "▁"
 #: A run of spaces and what follows up to the next one; spaces at the end stand alone.
 _CHUNK = re.compile(r" *[^ ]+| +")
-#: Characters of chunks that one table holds.
-TABLE_CHARS = 1 << 22
+#: Chunks that one table holds, but for those of the block at hand.
+TABLE_CHUNKS = 200_000
 
 
 def default_model() -> str:
@@ -44,26 +46,47 @@ def marks_only_lead(processor) -> bool:
     return not any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces) and processor.decode(plain) == "  Åﬁ 　 "
 
 
-class ChunkTable(dict):
+class ChunkTable:
     """Ids and decoded text of each distinct chunk; a chunk starts with its spaces."""
 
     def __init__(self, processor):
-        self.processor, self.chars = processor, 0
-
-    def __missing__(self, chunk: str) -> tuple[np.ndarray, str, str]:
-        if self.chars > TABLE_CHARS:
+        self.processor = processor
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.ids_text: list[str] = []
+        self.decoded: list[str] = []
+        self.sizes = np.empty(0, np.int64)
+        self.ids = np.empty(0, np.int32)
+
+    def add(self, chunks: set[str]) -> None:
+        if len(self.place) > TABLE_CHUNKS:
             self.clear()
-            self.chars = 0
-        self.chars += len(chunk) + 32
+        new = [c for c in chunks if c not in self.place]
+        if not new:
+            return
         # the encoder puts a mark before a text, but not before an empty one
-        ids = self.processor.encode(chunk[1:]) if chunk != " " else [self.processor.piece_to_id(MARK)]
-        text = self.processor.decode(ids)
-        entry = self[chunk] = (np.array(ids, np.int32), ",".join(map(str, ids)), " " + text)
-        return entry
+        mark = [self.processor.piece_to_id(MARK)]
+        found = [ids or mark for ids in self.processor.encode([c[1:] for c in new], num_threads=1)]
+        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
+        self.ids_text += [",".join(map(str, ids)) for ids in found]
+        self.decoded += [c if " " + t == c else " " + t for c, t in zip(new, self.processor.decode(found, num_threads=1))]
+        self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, found), np.int64, len(found))])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.int32)])
+
+    def gather(self, places: np.ndarray) -> np.ndarray:
+        """Ids of chunks one after another."""
+        sizes = self.sizes[places]
+        begin = (np.cumsum(self.sizes) - self.sizes)[places]
+        out = np.cumsum(sizes) - sizes
+        return self.ids[np.repeat(begin - out, sizes) + np.arange(sizes.sum())]
 
 
 def split(text: str) -> list[str]:
     """Marked words of a text, as the encoder sees them: with a space before the text."""
+    if not text:
+        return []
     text = text.replace(MARK, " ")
     if "  " not in text and text[0] != " " and text[-1] != " ":
         return [" " + w for w in text.split(" ")]
@@ -78,33 +101,33 @@ def _processor(model: bytes):
     return p, marks_only_lead(p)
 
 
-def encode_decode(text: str, table: ChunkTable, whole: bool) -> tuple[np.ndarray, str, str]:
-    """Ids, their decimal form joined by commas, and the decoded text."""
-    if not text:
-        return np.empty(0, np.int32), "", ""
+def encode_decode(texts: list[str], table: ChunkTable, whole: bool) -> tuple[np.ndarray, np.ndarray, list[str], list[str]]:
+    """Of a block of texts: number of ids of each, all ids one after another, ids in decimal form joined by commas, decoded texts."""
     if whole:
-        ids = table.processor.encode(text)
-        return np.array(ids, np.int32), ",".join(map(str, ids)), table.processor.decode(ids)
-    parts = [table[c] for c in split(text)]
-    return np.concatenate([p[0] for p in parts]), ",".join([p[1] for p in parts]), "".join([p[2] for p in parts])[1:]
+        found = table.processor.encode(texts, num_threads=1)
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return sizes, np.fromiter(chain.from_iterable(found), np.int32), [",".join(map(str, ids)) for ids in found], table.processor.decode(found, num_threads=1)
+    parts = [split(t) for t in texts]
+    table.add(set().union(*parts))
+    places = [[*map(table.place.__getitem__, p)] for p in parts]
+    flat = np.fromiter(chain.from_iterable(places), np.int64)
+    each = np.fromiter(map(len, parts), np.int64, len(parts))
+    ends = np.concatenate([[0], np.cumsum(table.sizes[flat])])
+    sizes = np.diff(ends[np.concatenate([[0], np.cumsum(each)])])
+    ids_text = [",".join(map(table.ids_text.__getitem__, p)) for p in places]
+    decoded = ["".join(map(table.decoded.__getitem__, p))[1:] for p in places]
+    return sizes, table.gather(flat), ids_text, decoded
 
 
 def _run(model: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         processor, apart = _processor(model)
         table = ChunkTable(processor)
-        for part in blocks(batches, 1, 1 << 20):
-            done = [encode_decode(t or "", table, not apart) for t in part.column(1).to_pylist()]
-            sizes = np.array([len(d[0]) for d in done])
-            ids = np.concatenate([d[0] for d in done]) if done else np.empty(0, np.int32)
+        for part in blocks(batches, 1, 2 << 20):
+            sizes, ids, ids_text, decoded = encode_decode([t or "" for t in part.column(1).to_pylist()], table, not apart)
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [
-                    part.column(0),
-                    pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(ids)),
-                    pa.array([d[1] for d in done], pa.string()),
-                    pa.array([d[2] for d in done], pa.string()),
-                ],
-                ["id", "ids", "ids_text", "decoded"],
+                [part.column(0), pa.ListArray.from_arrays(ends, pa.array(ids)), pa.array(ids_text, pa.string()), pa.array(decoded, pa.string())], ["id", "ids", "ids_text", "decoded"],
             )
 
     return run
