@@ -21,10 +21,15 @@ The steps:
 3. In every bucket, all nodes are compared to its hub, the node that meets most
    others in all its buckets; J is computed exactly from the texts. Links make
    classes (connected components, by large and small stars).
-4. Pairs of one bucket that are still in different classes are compared too.
-   In a bucket of over ``REFINE`` nodes, they must share a second band, which a
-   pair at J = 0.8 fails with probability about 1e-6. So no link between
-   classes is left out by a cap, and pairs within a class are never listed.
+4. Pairs of one bucket that are still in different classes are compared too,
+   by a sketch of ``SKETCH`` bits first: a pair at J = 0.8 agrees in 90 % of
+   them, and passes unless it falls short by more than five standard
+   deviations. The sketches are compared inside the join, so the pairs that
+   don't pass are never rows. Members of a bucket of over ``REFINE`` nodes go
+   to buckets of a longer signature instead, where less similar ones seldom
+   meet; a pair at J = 0.8 misses those with probability under 1e-5. So no link
+   between classes is left out by a cap, and pairs within a class are never
+   listed.
 
 Null counts as a text without words. Texts without words have no shingles and
 are near nothing, not even each other. Texts of fewer than five words have one
@@ -46,7 +51,8 @@ from corpuslens.llm.common import WordHashes, blocks, gram_hashes, mix, stored,
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 4
-REFINE = 200
+SKETCH, FINE_BANDS, FINE_ROWS = 1024, 64, 8
+REFINE = 1000
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -102,6 +108,39 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return float((1 / ((from_a + only_a) / wa + (below_b + only_b) / wb)).sum())
 
 
+def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A key for each band of each signature; keys of different bands differ."""
+    keys = np.zeros((len(sig), bands), np.uint64)
+    for r in range(rows):
+        keys = mix(keys * _GOLDEN + sig[:, r * bands : (r + 1) * bands])
+    return mix(keys + np.arange(1, bands + 1, dtype=np.uint64) * _GOLDEN)
+
+
+def _lists(x: np.ndarray) -> pa.ListArray:
+    ends = np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]
+    return pa.ListArray.from_arrays(ends, pa.array(x.reshape(-1).view(np.int64)))
+
+
+def _signed(texts: list[bytes], cache: WordHashes, size: int, components: int) -> tuple[list[tuple], np.ndarray]:
+    sets = [shingles(t.split(), cache, size) for t in texts]
+    doc = np.repeat(np.arange(len(sets)), [len(s[0]) for s in sets])
+    return sets, signatures(np.concatenate([s[0] for s in sets]), np.concatenate([s[1] for s in sets]), doc, len(sets), components)
+
+
+def _sketch(size: int):
+    """Bits of a longer signature, packed into longs, and its band keys."""
+    at = np.arange(1, SKETCH + 1, dtype=np.uint64) * _GOLDEN
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
+        for part in blocks(batches, 1, 1 << 20):
+            _, sig = _signed(part.column(1).to_pylist(), cache, size, SKETCH)
+            bits = np.packbits((mix(sig + at) >> np.uint64(63)).astype(np.uint8), axis=1).view(np.uint64)
+            yield pa.RecordBatch.from_arrays([part.column(0), _lists(bits), _lists(band_keys(sig, FINE_BANDS, FINE_ROWS))], ["node", "sketch", "fine"])
+
+    return run
+
+
 def _sign(bands: int, rows: int, size: int):
     components = 1 << (bands * rows - 1).bit_length()
 
@@ -109,17 +148,10 @@ def _sign(bands: int, rows: int, size: int):
         cache = WordHashes()
         for part in blocks(batches, 1, 2 << 20):
             texts = [t or b"" for t in part.column(1).to_pylist()]
-            sets = [shingles(t.split(), cache, size) for t in texts]
-            doc = np.repeat(np.arange(len(sets)), [len(s[0]) for s in sets])
-            sig = signatures(np.concatenate([s[0] for s in sets]), np.concatenate([s[1] for s in sets]), doc, len(sets), components)
-            keys = np.zeros((len(sets), bands), np.uint64)
-            for r in range(rows):
-                keys = mix(keys * _GOLDEN + sig[:, r * bands : (r + 1) * bands])
-            keys = mix(keys + np.arange(1, bands + 1, dtype=np.uint64) * _GOLDEN)
+            sets, sig = _signed(texts, cache, size, components)
             empty = np.array([not len(s[0]) for s in sets])
-            ends = np.arange(len(sets) + 1, dtype=np.int32) * bands
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), pa.array(empty), pa.ListArray.from_arrays(ends, pa.array(keys.reshape(-1).view(np.int64)))],
+                [part.column(0), pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), pa.array(empty), _lists(band_keys(sig, bands, rows))],
                 ["id", "same", "empty", "bands"],
             )
 
@@ -196,6 +228,24 @@ class _Nodes:
         return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify(self.threshold, self.size), "a long, b long, sim double")
 
 
+def _unlike(cells: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of one cell (key, node, label) with different labels whose sketches are alike enough, each at the first key they share."""
+    p = (1 + threshold) / 2
+    most_unlike = int(SKETCH * (1 - p) + 5 * (SKETCH * p * (1 - p)) ** 0.5)
+    longs = range(SKETCH // 64)
+    keys = cells.groupBy("node").agg(F.collect_list("key").alias("keys"))
+    full = cells.join(keys, "node").join(sketches.select("node", "sketch"), "node")
+
+    def side(name: str) -> DataFrame:
+        return full.select("key", F.col("node").alias(name), F.col("label").alias(f"label_{name}"), F.col("keys").alias(f"keys_{name}"), *[F.get("sketch", F.lit(i)).alias(f"{name}{i}") for i in longs])
+
+    unlike = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in longs), F.lit(0))
+    first = F.array_min(F.array_intersect("keys_a", "keys_b"))
+    x, y = side("a"), side("b")
+    on = (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & (unlike <= most_unlike) & (x["key"] == first)
+    return x.join(y, on).select("a", "b")
+
+
 def near_classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
     bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, refine: int = REFINE,
@@ -213,20 +263,21 @@ def near_classes(
     links = stored(nodes.linked(tested), "links")
 
     roots = components(links)
-    labelled = stored(buckets.join(roots, "node", "left").select("band", "n", "node", F.coalesce("root", "node").alias("label")), "labelled")
+    labelled = stored(buckets.join(roots, "node", "left").select(F.col("band").alias("key"), "n", "node", F.coalesce("root", "node").alias("label")), "labelled")
 
-    def divided(rows_: DataFrame) -> DataFrame:
-        split = stored(rows_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"), "split")
-        return rows_.join(split, "key", "left_semi")
+    def divided(cells: DataFrame) -> DataFrame:
+        """Cells whose key has nodes of several classes."""
+        split = stored(cells.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"), "split")
+        return cells.join(split, "key", "left_semi")
 
-    open_ = divided(labelled.withColumnRenamed("band", "key"))
+    open_ = stored(divided(labelled), "open")
+    sketches = stored(
+        nodes.texts.join(open_.select(F.col("node").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("node"), "text").mapInArrow(_sketch(size), "node long, sketch array<long>, fine array<long>"), "sketches"
+    )
     small = open_.where(F.col("n") <= refine).select("key", "node", "label")
-    large = open_.where(F.col("n") > refine).select("key", "node", "label")
-    second = large.join(buckets.select("node", "band"), "node").where("band <> key").select(F.xxhash64(F.least("key", "band"), F.greatest("key", "band")).alias("key"), "node", "label").distinct()
-    cells = stored(small.unionByName(divided(second)), "cells")
-    x = cells.select("key", F.col("node").alias("a"), F.col("label").alias("label_a"))
-    y = cells.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"))
-    rest = x.join(y, "key").where("a < b and label_a <> label_b").select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    large = open_.where(F.col("n") > refine).select("node", "label").distinct()
+    fine = divided(large.join(sketches.select("node", "fine"), "node").select(F.explode("fine").alias("key"), "node", "label"))
+    rest = _unlike(small, sketches, threshold).unionByName(_unlike(fine, sketches, threshold)).distinct().join(tested, ["a", "b"], "left_anti")
     more = stored(nodes.linked(rest), "more")
     links = links.unionByName(more)
     if not more.isEmpty():

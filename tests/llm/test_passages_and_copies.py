@@ -171,7 +171,7 @@ def classes_by_force(rows, threshold=0.8):
     return {i: find(i) for i, _ in rows}
 
 
-@pytest.mark.parametrize("seed,refine", [(1, 200), (2, 200), (3, 2)])
+@pytest.mark.parametrize("seed,refine", [(1, 1000), (2, 1000), (3, 2)])
 def test_near_classes_are_brute_force(spark, seed, refine):
     rows = near_texts(seed)
     got = minhash.near_classes(frame(spark, rows, extra=True), refine=refine).collect()
@@ -189,7 +189,7 @@ def test_a_hub_joins_copies_that_are_not_near_each_other(spark):
             w[at] = f"n{i}x{at}"
         rows.append((i, " ".join(w)))
     want = classes_by_force(rows)
-    for refine in (200, 3):
+    for refine in (1000, 3):
         got = minhash.near_classes(frame(spark, rows), refine=refine).collect()
         assert {r.doc_id: r.class_id for r in got} == want
 
