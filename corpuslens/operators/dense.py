@@ -85,7 +85,7 @@ def _buckets(planes: np.ndarray):
     return run
 
 
-def ann_topk(queries: DataFrame, vectors: DataFrame, k: int, width: int, tables: int = 24, bits: int = 6, seed: int = 7) -> DataFrame:
+def ann_topk(queries: DataFrame, vectors: DataFrame, k: int, width: int, tables: int = 64, bits: int = 6, seed: int = 7) -> DataFrame:
     """About the k nearest chunks by cosine: rows that share a hyperplane bucket with the query, scored exactly.
 
     Every row is indexed; recall against dense_topk depends on tables and bits.

@@ -15,10 +15,9 @@ def id_drift(old: DataFrame, new: DataFrame, threshold: float = 0.05) -> DataFra
     mark = lambda df, c: df.select("spec_id", "chunk_id").distinct().withColumn(c, F.lit(True))
     both = mark(old, "o").join(mark(new, "n"), ["spec_id", "chunk_id"], "full_outer").select("spec_id", F.coalesce("o", F.lit(False)).alias("o"), F.coalesce("n", F.lit(False)).alias("n"))
     o, n = F.col("o"), F.col("n")
-    out = both.rollup("spec_id").agg(
-        F.grouping("spec_id").cast("int").alias("overall"), F.count_if(o).alias("old_count"), F.count_if(n).alias("new_count"), F.count_if(o & n).alias("shared"),
-        F.count_if(o & ~n).alias("only_old"), F.count_if(n & ~o).alias("only_new"),
-    )
+    sums = [F.count_if(o).alias("old_count"), F.count_if(n).alias("new_count"), F.count_if(o & n).alias("shared"), F.count_if(o & ~n).alias("only_old"), F.count_if(n & ~o).alias("only_new")]
+    per_doc = both.groupBy("spec_id").agg(*sums).withColumn("overall", F.lit(0))
+    out = per_doc.unionByName(both.agg(*sums).withColumns({"overall": F.lit(1), "spec_id": F.lit(None).cast("string")}))  # a row even if there are no ids
     drift = F.round(F.coalesce(F.try_divide(F.col("only_old") + F.col("only_new"), F.col("shared") + F.col("only_old") + F.col("only_new")), F.lit(0.0)), 6)
     return out.withColumn("drift", drift).withColumn("passed", F.col("drift") <= threshold)
 
