@@ -51,7 +51,7 @@ from corpuslens.llm.common import WordHashes, blocks, gram_hashes, mix, stored,
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 4
-SKETCH, FINE_BANDS, FINE_ROWS = 1024, 64, 8
+SKETCH, FINE_BANDS, FINE_ROWS = 2048, 64, 8
 REFINE = 1000
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
