@@ -51,10 +51,10 @@ def jon04_messages_with_citations(spark, d):
 
 
 @query("""
-select l_suppkey as item_id, min(l_orderkey * 10 + l_linenumber) as first, arg_min(l_partkey, l_orderkey * 10 + l_linenumber) filter (where l_returnflag = 'A') as A,
-  arg_min(l_partkey, l_orderkey * 10 + l_linenumber) filter (where l_returnflag = 'N') as N, arg_min(l_partkey, l_orderkey * 10 + l_linenumber) filter (where l_returnflag = 'R') as R from lineitem group by l_suppkey""")
+select l_suppkey as item_id, min((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) as first, arg_min(l_partkey, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) filter (where l_returnflag = 'A') as A,
+  arg_min(l_partkey, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) filter (where l_returnflag = 'N') as N, arg_min(l_partkey, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) filter (where l_returnflag = 'R') as R from lineitem group by l_suppkey""")
 def jon05_align_systems(spark, d):
-    a = table(spark, d, "lineitem").selectExpr("l_suppkey as item_id", "l_returnflag as system", "l_partkey as answer", "l_orderkey * 10 + l_linenumber as ord")
+    a = table(spark, d, "lineitem").selectExpr("l_suppkey as item_id", "l_returnflag as system", "l_partkey as answer", "(l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey as ord")
     return J.align_systems(a, ["A", "N", "R"])
 
 
