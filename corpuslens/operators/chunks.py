@@ -28,15 +28,11 @@ def chunk_type(kinds: Column) -> Column:
 def split_blocks(blocks: DataFrame, cap: int = CAP) -> DataFrame:
     """Blocks with those over the cap split by their kind: adds part (which orders the pieces) and whole."""
     large = (T.n_tokens(F.col("text")) > cap) & ~F.col("kind").isin("figure", "formula_block")
-    text = F.col("text")
-    by_kind = {"table": P.split_table(text, cap), "action_list": P.split_actions(text, cap), "asn1": B.split_asn1(text)}
-    pieces = B.split_paragraph(text, cap)
-    for kind, split in by_kind.items():
-        pieces = F.when(F.col("kind") == kind, split).otherwise(pieces)
     marked = blocks.withColumn("whole", ~large)
-    keys = [c for c in marked.columns if c != "text"]
-    small = marked.where("whole").select(*keys, F.lit(0).alias("part"), "text")
-    return small.unionByName(marked.where("not whole").withColumn("_pieces", pieces).select(*keys, F.posexplode("_pieces").alias("part", "text")))
+    of = lambda kind: F.when(~F.col("whole") & (F.col("kind") == kind), F.col("text"))  # noqa: E731  the other texts don't go to Python
+    native = F.when(F.col("whole"), F.array("text")).when(F.col("kind") == "asn1", B.split_asn1(F.col("text"))).otherwise(B.split_paragraph(F.col("text"), cap))
+    pieces = F.coalesce(P.split_table(of("table"), cap), P.split_actions(of("action_list"), cap), native)
+    return marked.withColumn("_pieces", pieces).select(*[c for c in marked.columns if c != "text"], F.posexplode("_pieces").alias("part", "text"))
 
 
 def pack_numbers(items: Column, target: int, cap: int) -> Column:
@@ -53,15 +49,21 @@ def pack_numbers(items: Column, target: int, cap: int) -> Column:
     return F.aggregate(items, start, step, lambda acc: acc["all"])
 
 
-def pack(blocks: DataFrame, target: int = TARGET, cap: int = CAP) -> DataFrame:
-    """Blocks of each section packed into pieces: the section's keys, piece_ord, kinds, text, chunk_type."""
-    row = F.struct("block_ord", "part", "kind", "text", T.n_tokens(F.col("text")).alias("n"), "whole")
-    grouped = blocks.groupBy(*SECTION).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+def pack(blocks: DataFrame, target: int = TARGET, cap: int = CAP, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Blocks of each section packed into pieces: the section's keys, piece_ord, kinds, text, chunk_type, context of a figure.
+
+    carry: more columns of the section, which are the same in all its blocks.
+    """
+    context = F.col("context") if "context" in blocks.columns else F.lit(None).cast("string").alias("context")
+    row = F.struct("block_ord", "part", "kind", "text", T.n_tokens(F.col("text")).alias("n"), "whole", context)
+    grouped = blocks.groupBy(*SECTION, *carry).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
     numbered = grouped.withColumn("_piece", pack_numbers(F.col("_rows"), target, cap))
-    each = numbered.select(*SECTION, F.explode(F.array_distinct("_piece")).alias("piece_ord"), "_rows", "_piece")
+    each = numbered.select(*SECTION, *carry, F.explode(F.array_distinct("_piece")).alias("piece_ord"), "_rows", "_piece")
     own = F.filter("_rows", lambda r, i: F.get("_piece", i) == F.col("piece_ord"))
     kinds = F.transform(own, lambda r: r["kind"])
-    return each.select(*SECTION, "piece_ord", kinds.alias("kinds"), F.trim(F.array_join(F.transform(own, lambda r: r["text"]), "\n\n")).alias("text"), chunk_type(kinds).alias("chunk_type"))
+    return each.select(
+        *SECTION, *carry, "piece_ord", kinds.alias("kinds"), F.trim(F.array_join(F.transform(own, lambda r: r["text"]), "\n\n")).alias("text"), chunk_type(kinds).alias("chunk_type"), F.get(own, F.lit(0))["context"].alias("context"),
+    )
 
 
 def tail_tokens(text: Column, n: int) -> Column:
@@ -84,18 +86,22 @@ def add_overlap(pieces: DataFrame, n: int = OVERLAP) -> DataFrame:
 def enforce_size(pieces: DataFrame, cap: int = CAP) -> DataFrame:
     """Pieces over 1.5 times the cap, but for figures, are split by force and marked (forced); sub_ord orders them."""
     over = (T.n_tokens(F.col("text")) > int(cap * 1.5)) & (F.col("chunk_type") != "figure")
-    keys = [c for c in pieces.columns if c != "text"]
     marked = pieces.withColumn("forced", over)
-    parts = F.when(F.col("chunk_type") == "table", P.force_split_table(F.col("text"), cap)).otherwise(T.split_tokens(F.col("text"), cap))
-    small = marked.where("not forced").select(*keys, "forced", F.lit(0).alias("sub_ord"), "text")
-    return small.unionByName(marked.where("forced").withColumn("_parts", parts).select(*keys, "forced", F.posexplode("_parts").alias("sub_ord", "text")))
+    table = P.force_split_table(F.when(F.col("forced") & (F.col("chunk_type") == "table"), F.col("text")), cap)
+    parts = F.coalesce(table, F.when(F.col("forced"), T.split_tokens(F.col("text"), cap)).otherwise(F.array("text")))
+    return marked.withColumn("_parts", parts).select(*[c for c in marked.columns if c != "text"], F.posexplode("_parts").alias("sub_ord", "text"))
 
 
-def figure_context(blocks: DataFrame, chars: int = 600) -> DataFrame:
-    """Figure blocks with the last paragraph before them in their section (context, cut; null if there is none)."""
+def with_context(blocks: DataFrame, chars: int = 600) -> DataFrame:
+    """Blocks with the last paragraph before them in their section (context, cut; null if there is none)."""
     before = Window.partitionBy(*SECTION).orderBy("block_ord").rowsBetween(Window.unboundedPreceding, -1)
     last = F.last_value(F.when((F.col("kind") == "paragraph") & (F.trim("text") != ""), F.col("text")), F.lit(True)).over(before)
-    return blocks.withColumn("context", F.left(last, F.lit(chars))).where("kind = 'figure'")
+    return blocks.withColumn("context", F.left(last, F.lit(chars)))
+
+
+def figure_context(blocks: DataFrame, chars: int = 600) -> DataFrame:
+    """Figure blocks with their context."""
+    return with_context(blocks, chars).where("kind = 'figure'")
 
 
 def dedupe_chunks(chunks: DataFrame) -> DataFrame:
@@ -108,16 +114,12 @@ def dedupe_chunks(chunks: DataFrame) -> DataFrame:
 def build_chunks(docs: DataFrame, target: int = TARGET, cap: int = CAP, overlap: int = OVERLAP) -> DataFrame:
     """Documents (spec_id, release, text) as chunks in order, with content-derived ids."""
     sections = merge_siblings(flag_garbage(sectionize(docs)).where("drop_reason is null").drop("drop_reason"))
-    meta = sections.select(*SECTION, "clause", "section_title", F.char_length("body").alias("parent_section_chars"))
-    blocks = B.blockize(sections.select(*SECTION, "body"))
-    pieces = pack(split_blocks(blocks, cap), target, cap)
+    about = ("clause", "section_title", "parent_section_chars")
+    blocks = with_context(B.blockize(sections.select(*SECTION, "clause", "section_title", F.char_length("body").alias("parent_section_chars"), "body")))
+    pieces = pack(split_blocks(blocks, cap), target, cap, about)
     if overlap > 0:
         pieces = add_overlap(pieces, overlap)
-    sized = enforce_size(pieces, cap).join(meta, SECTION)
-    # a figure stands alone in its piece, so its context is found by its place among the section's figures
-    nth = lambda order: F.row_number().over(Window.partitionBy(*SECTION, "chunk_type").orderBy(*order))
-    figures = figure_context(blocks).withColumn("chunk_type", F.lit("figure")).withColumn("_n", nth(["block_ord"])).select(*SECTION, "chunk_type", "_n", "context")
-    sized = sized.withColumn("_n", nth(["piece_ord", "sub_ord"])).join(figures, [*SECTION, "chunk_type", "_n"], "left")
+    sized = enforce_size(pieces, cap)
     head = T.section_header(F.col("spec_id"), F.col("clause"), F.col("section_title"))
     noted = T.formula_annotation(F.col("text"))
     plain = F.concat_ws("\n\n", head, F.trim("text"), F.nullif(noted, F.lit("")))
