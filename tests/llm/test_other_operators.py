@@ -222,6 +222,48 @@ def test_chats_with_odd_rows(spark):
     assert chat.read_back(chat.format_chats(chat.events_of_turns(df.limit(0)))).count() == 0
 
 
+def test_license_notices_are_found_across_lines_and_within_them(spark):
+    body = dict(license_scan.BODIES)["MIT"].split()
+    wrapped = "\n".join(" * " + " ".join(body[i : i + 11]) for i in range(0, len(body), 11))
+    texts = {
+        "MIT": [
+            "Copyright (c) 2020 Someone\n\n" + wrapped, " ".join(body), "int main() {}\n" * 300 + wrapped + "\nint x;" * 300,
+            "The plugin is small and does what it says. Released under the MIT License. See the docs for all of its settings.",
+        ],
+        "BSD-3-Clause": ["Some words before it.\n" * 20 + "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n" + "And after it.\n" * 20],
+        "ISC": ["x = 1\n" * 50 + "# Permission to use, copy, modify, and/or distribute this software for any\n# purpose with or without fee is hereby granted\n" + "y = 2\n" * 50],
+    }
+    rows = [(name, t) for name, ts in texts.items() for t in ts] + [(None, "the license of this software is under the terms that are permitted " * 40)]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    for r in license_scan.license_scan(df).collect():
+        assert ([f.license for f in r.found] == [rows[r.doc_id][0]]) if rows[r.doc_id][0] else not r.found, (r.doc_id, r.found)
+
+
+def test_license_windows_are_brute_force():
+    from collections import Counter
+
+    rng = random.Random(5)
+    templates = [("a", "released under the mit license"), ("b", "one two three two three four five six"), ("c", "x y x y x y")]
+    known = license_scan.Windows(templates, 0.8)
+    for _ in range(150):
+        w = [rng.choice("released under the mit license one two three four five six x y of".split()).encode() for _ in range(8)]
+        for _ in range(3):
+            body = rng.choice(templates)[1].encode().split()
+            w += [x for x in body if rng.random() > 0.1] + [b"of"] * rng.randrange(4)
+        got: dict[str, float] = {}
+        for dice, a, b, name in known.matches(w):
+            got[name] = max(dice, got.get(name, 0))
+        want: dict[str, float] = {}
+        grams = list(zip(w, w[1:]))
+        for name, text in templates:
+            body = text.encode().split()
+            t = Counter(zip(body, body[1:]))
+            best = max(2 * sum((Counter(grams[i:j]) & t).values()) / (j - i + sum(t.values())) for i in range(len(grams)) for j in range(i + 1, len(grams) + 1))
+            if best >= 0.8:
+                want[name] = best
+        assert got == pytest.approx(want)
+
+
 # language ID
 
 
