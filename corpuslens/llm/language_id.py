@@ -20,20 +20,26 @@ if the trigrams are less likely under the best language than if all were alike
 (it is written in none of the languages), if no language reaches ``MIN_CONFIDENCE``, or
 if the language isn't among the wanted ones. Null and empty texts have no
 letter. A null or unknown declaration, host or suffix is no evidence.
+
+``page_evidence`` takes all of these from raw web pages: the markup's language,
+the address's host, domain and suffix, and the text between the tags.
 """
 
 from __future__ import annotations
 
+import html
 import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuslens.llm.common import BLOCK_BYTES, blocks, stored
+from corpuslens.llm.url_filter import url_host
 
 SAMPLE_ROWS = 20_000
 MAX_LANGUAGES = 32
@@ -60,6 +66,29 @@ def language_tag(declared: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(F.trim(declared.cast("string")), "^([A-Za-z]{2,3})([-_].*)?$", 1)), F.lit(""))
 
 
+@F.pandas_udf(T.StringType())
+def _unescaped(texts: pd.Series) -> pd.Series:
+    return texts.map(html.unescape, na_action="ignore")
+
+
+def page_evidence(url: Column, page: Column) -> dict[str, Column]:
+    """text, lang, host, domain and suffix of web pages.
+
+    The domain is the last two labels of the host, or three where the second to
+    last is a general one under a country (``co.uk``). A host of one label or of
+    digits has neither domain nor suffix.
+    """
+    host = url_host(url)
+    part = lambda pattern, group: F.nullif(F.regexp_extract(host, rf"^(?:.*\.)?{pattern}\.?$", group), F.lit(""))
+    two = r"([^.]+\.([a-z][a-z0-9-]*))"
+    bare = F.regexp_replace(page, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
+    return {
+        "text": F.trim(F.regexp_replace(_unescaped(bare), r"\s+", " ")),
+        "lang": F.nullif(F.regexp_extract(page, r"""(?is)<html\b[^>]*?\s(?:xml:)?lang\s*=\s*["']?\s*([a-z][a-z0-9_-]*)""", 1), F.lit("")),
+        "host": host, "domain": F.coalesce(part(r"([^.]+\.(?:ac|co|com|edu|gov|net|org)\.[a-z]{2})", 1), part(two, 1)), "suffix": part(two, 2),
+    }
+
+
 def trigrams(data: bytes) -> np.ndarray:
     """Bucket of each byte trigram; ASCII letters count as lower case."""
     b = np.frombuffer(data.lower(), np.uint8).astype(np.uint32)

@@ -67,8 +67,17 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return language_id.identify(docs, language_id.fit(docs), ["doc_id", "lang", "source"], "text", F.col("lang"), F.col("source"))
+    """Documents, and web pages with their markup and address: doc_id or page_id is null, source is the host."""
+    nothing = F.lit(None).cast("string")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.lit(None).cast("long").alias("page_id"), "text", "lang", "source", nothing.alias("domain"), nothing.alias("suffix"))
+    evidence = language_id.page_evidence(F.col("url"), F.col("html"))
+    pages = _table(spark, sf_dir, "pages").select(
+        F.lit(None).cast("long").alias("doc_id"), "page_id", evidence["text"].alias("text"), evidence["lang"].alias("lang"), evidence["host"].alias("source"),
+        evidence["domain"].alias("domain"), evidence["suffix"].alias("suffix"),
+    )
+    rows = docs.unionByName(pages)
+    keep = ["doc_id", "page_id", "lang", "source"]
+    return language_id.identify(rows, language_id.fit(rows), keep, "text", F.col("lang"), F.col("source"), F.col("domain"), F.col("suffix"))
 
 
 QUERIES = {f.__name__: f for f in (

@@ -298,6 +298,25 @@ def test_language_id_of_odd_rows(spark):
     assert language_id.keep_identified(both.limit(0)).count() == 0
 
 
+def test_language_id_covers_the_pages(spark, tmp_path):
+    page = '<!DOCTYPE html><html class="x" lang="{}"><head><style>p {{}}</style></head><body><!-- no --><p>caf&eacute; &amp; th&#233;</p><script>var a = "<p>";</script></body></html>'
+    urls = ["https://u@A.example.de:80/x", "http://shop.example.co.uk/", "http://10.0.0.1/", "http://localhost/x", None, "http://example.com"]
+    df = spark.createDataFrame([(i, u, page.format("fr-FR")) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = df.select("page_id", *[c.alias(n) for n, c in language_id.page_evidence(F.col("url"), F.col("html")).items()]).orderBy("page_id").collect()
+    assert {(r.text, r.lang) for r in got} == {("café & thé", "fr-FR")}
+    assert [(r.host, r.domain, r.suffix) for r in got] == [
+        ("a.example.de", "example.de", "de"), ("shop.example.co.uk", "example.co.uk", "uk"), ("10.0.0.1", None, None), ("localhost", None, None), (None, None, None), ("example.com", "example.com", "com"),
+    ]
+    short = [(i, "http://a.example.de/", '<html lang="de"><p>zzz</p></html>') for i in range(30)] + [(30, "http://a.example.de/x", "<html><p>zzz</p></html>")]
+    spark.read.parquet(f"{SF}/documents.parquet").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/pages.parquet").unionByName(spark.createDataFrame([(10**6 + i, u, h) for i, u, h in short], "page_id long, url string, html string")).write.parquet(f"{tmp_path}/pages.parquet")
+    got = QUERIES["op10_language_id"](spark, str(tmp_path)).collect()
+    assert sum(r.doc_id is not None for r in got) == 200 and sum(r.page_id is not None for r in got) == 50 + 31
+    own = [r for r in got if r.page_id is not None and r.page_id < 10**6]
+    assert all(r.lang for r in own) and sum(r.detected == r.lang and r.accepted for r in own) > 0.9 * len(own)
+    assert {r.detected for r in got if r.page_id == 10**6 + 30} == {"de"}
+
+
 # the pipeline
 
 
