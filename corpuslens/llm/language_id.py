@@ -11,9 +11,10 @@ For each language l the log probability is the sum of
   towards its address suffix, and that towards the whole corpus. The counts are
   grouped aggregates of the declared languages over all rows.
 
-Trigram models are fitted on a bounded sample of the labelled rows
-(``SAMPLE_ROWS``, picked by a hash of the row), each text whole, for the
-``MAX_LANGUAGES`` most frequent labels. All else is computed over all rows.
+Trigram models are fitted for every label, on a bounded sample of its rows: an
+equal share of ``SAMPLE_ROWS``, but ``LEAST_ROWS`` at least, picked by a hash of
+id and text, each text whole. Beyond 256 labels the models have fewer buckets, so
+that they stay within ``MODEL_CELLS``. All else is computed over all rows.
 
 A row is rejected (accepted = false) if its text has no letter of any alphabet,
 if the trigrams are less likely under the best language than if all were alike
@@ -41,15 +42,18 @@ from pyspark.sql import types as T
 from corpuslens.llm.common import BLOCK_BYTES, blocks, stored
 from corpuslens.llm.url_filter import url_host
 
-SAMPLE_ROWS = 20_000
-MAX_LANGUAGES = 32
+SAMPLE_ROWS, LEAST_ROWS = 20_000, 200
 BUCKETS = 1 << 14
+#: Buckets of all models together.
+MODEL_CELLS = 1 << 22
+#: Languages scored at a time; bounds the memory of a block.
+SCORED = 32
 EFFECTIVE = 100
 DECLARED_RIGHT, SUFFIX_RIGHT, MIN_CONFIDENCE = 0.9, 0.7, 0.5
 #: Weight of the wider level, in rows, at each step of the host's prior.
 KAPPA = 10.0
-#: Hosts up to which their priors are broadcast: at most MAX_LANGUAGES doubles each.
-BROADCAST_HOSTS = 20_000
+#: Priors (hosts times languages) up to which they are broadcast.
+BROADCAST_PRIORS = 640_000
 
 #: Languages that a country's address suffix speaks for.
 SUFFIX_LANGUAGE = {
@@ -98,37 +102,55 @@ def trigrams(data: bytes) -> np.ndarray:
     return ((code * np.uint32(0x9E3779B1)) >> np.uint32(18)).astype(np.int64)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[str, np.ndarray] = {}
-    for part in blocks(batches, 1):
-        for label, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist()):
-            if label not in counts:
-                counts[label] = np.zeros(BUCKETS, np.int64)
-            counts[label] += np.bincount(trigrams(text), minlength=BUCKETS)
-    for label, c in counts.items():
-        at = np.flatnonzero(c)
-        yield pa.RecordBatch.from_arrays([pa.array([label] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(c[at])], ["label", "bucket", "n"])
+def _count(shift: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, np.ndarray] = {}
+        for part in blocks(batches, 1):
+            for label, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist()):
+                if label not in counts:
+                    counts[label] = np.zeros(BUCKETS >> shift, np.int64)
+                counts[label] += np.bincount(trigrams(text) >> shift, minlength=BUCKETS >> shift)
+        for label, c in counts.items():
+            at = np.flatnonzero(c)
+            yield pa.RecordBatch.from_arrays([pa.array([label] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(c[at])], ["label", "bucket", "n"])
+
+    return run
 
 
-def fit(rows: DataFrame, text_col: str = "text", label_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> dict[str, np.ndarray]:
+def sample(rows: DataFrame, text_col: str, label_col: str, sample_rows: int, id_cols: list[str]) -> tuple[DataFrame | None, list[str]]:
+    """Rows (label, text) to fit on, and all labels. Each label has the row of its smallest hash at least."""
+    ids = [F.col(c) for c in id_cols if c in rows.columns]
+    text = F.col(text_col).cast("string")
+    labelled = rows.select(language_tag(F.col(label_col)).alias("label"), text.alias("text"), F.pmod(F.xxhash64(*ids, text), F.lit(1 << 40)).alias("_key")).where("label is not null and text is not null")
+    found = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("_key").alias("least")).orderBy(F.desc("n"), "label").collect()
+    if not found:
+        return None, []
+    quota = max(LEAST_ROWS, sample_rows // len(found))
+    limits = [(r["label"], max(r["least"], int(min(1.0, quota / r["n"]) * (1 << 40)))) for r in found]
+    up_to = rows.sparkSession.createDataFrame(limits, "label string, _up_to long")
+    return labelled.join(F.broadcast(up_to), "label").where("_key <= _up_to").select("label", "text"), [r["label"] for r in found]
+
+
+def fit(rows: DataFrame, text_col: str = "text", label_col: str = "lang", sample_rows: int = SAMPLE_ROWS, id_cols: list[str] = ["doc_id"]) -> dict[str, np.ndarray]:
     """Log probability of each trigram bucket for each language.
 
-    What comes to the driver is a bucket count for each of at most
-    ``MAX_LANGUAGES`` languages.
+    What comes to the driver is a count for each of at most ``MODEL_CELLS``
+    buckets. A language whose sampled texts have no trigram has an even model.
     """
-    labelled = rows.select(language_tag(F.col(label_col)).alias("label"), F.col(text_col).cast("string").alias("text")).where("label is not null and text is not null")
-    found = labelled.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LANGUAGES).collect()
-    total = sum(r["count"] for r in found)
-    if not total:
+    picked, names = sample(rows, text_col, label_col, sample_rows, id_cols)
+    if not names:
         return {}
-    names = [r["label"] for r in found]
-    share = min(1.0, sample_rows / total)
-    picked = labelled.where(F.col("label").isin(names) & (F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20))))
-    counted = picked.mapInArrow(_count, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).collect()
-    counts = {n: np.zeros(BUCKETS) for n in names}
-    for r in counted:
-        counts[r["label"]][r["bucket"]] = r["n"]
-    return {n: np.log((c + 0.5) / (c.sum() + 0.5 * BUCKETS)) for n, c in counts.items() if c.sum()}
+    shift = 0
+    while len(names) * (BUCKETS >> shift) > MODEL_CELLS:
+        shift += 1
+    size = BUCKETS >> shift
+    counted = picked.mapInArrow(_count(shift), "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    index = {n: i for i, n in enumerate(names)}
+    counts = np.zeros((len(names), size))
+    if counted.num_rows:
+        label = np.array([index[x] for x in counted.column("label").to_pylist()])
+        counts[label, counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()
+    return {n: np.log((c + 0.5) / (c.sum() + 0.5 * size)) for n, c in zip(names, counts)}
 
 
 def host_priors(rows: DataFrame, languages: list[str], levels: list[Column], declared: Column, kappa: float = KAPPA) -> DataFrame:
@@ -169,21 +191,27 @@ def host_priors(rows: DataFrame, languages: list[str], levels: list[Column], dec
 def _score(models: dict[str, np.ndarray], at: dict[str, int], keep: int, schema_names: list[str], wanted: list[str] | None):
     names = list(models)
     table = np.stack([models[n] for n in names], 1) if names else np.zeros((BUCKETS, 0))
+    size = len(table)
+    shift = (BUCKETS // size).bit_length() - 1
     index = {n: i for i, n in enumerate(names)}
     ok = np.array([wanted is None or n in wanted for n in names], bool)
     n_lang = max(1, len(names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in blocks(batches, at["text"], max(1 << 16, BLOCK_BYTES // (2 * n_lang))):
+        whole = blocks(batches, at["text"], max(1 << 16, BLOCK_BYTES // (2 * min(n_lang, SCORED))))
+        most = max(1, MODEL_CELLS // n_lang)
+        for part in (block.slice(i, most) for block in whole for i in range(0, block.num_rows, most)):
             n = part.num_rows
             texts = part.column(at["text"]).to_pylist()
-            grams = [trigrams((t or "").encode("utf-8", "replace")) for t in texts]
+            grams = [trigrams((t or "").encode("utf-8", "replace")) >> shift for t in texts]
             sizes = np.array([len(g) for g in grams])
             mean = np.zeros((n, len(names)))
             has = np.flatnonzero(sizes)
             if len(has) and names:
                 starts = np.cumsum(sizes[has]) - sizes[has]
-                mean[has] = np.add.reduceat(table[np.concatenate([grams[i] for i in has])], starts, 0) / sizes[has, None]
+                every = np.concatenate([grams[i] for i in has])
+                for a in range(0, len(names), SCORED):
+                    mean[has, a : a + SCORED] = np.add.reduceat(table[:, a : a + SCORED][every], starts, 0) / sizes[has, None]
             log = mean * np.minimum(sizes, EFFECTIVE)[:, None]
             for key, right in (("declared", DECLARED_RIGHT), ("suffix", SUFFIX_RIGHT)):
                 for i, value in enumerate(part.column(at[key]).to_pylist()):
@@ -202,7 +230,7 @@ def _score(models: dict[str, np.ndarray], at: dict[str, int], keep: int, schema_
                     if not _LETTER.search(texts[i] or ""):
                         continue
                     best[i], sure[i] = names[top[i]], float(p[i, top[i]])
-                    known = not sizes[i] or mean[i].max() > -np.log(BUCKETS)
+                    known = not sizes[i] or mean[i].max() > -np.log(size) + 1e-9
                     fine[i] = bool(known and sure[i] >= MIN_CONFIDENCE and ok[top[i]])
             yield pa.RecordBatch.from_arrays([*part.columns[:keep], pa.array(best, pa.string()), pa.array(sure, pa.float64()), pa.array(fine, pa.bool_())], schema_names)
 
@@ -230,7 +258,7 @@ def identify(
     )
     if models and host is not None:
         priors = host_priors(rows, list(models), levels, declared)
-        if priors.count() <= BROADCAST_HOSTS:
+        if priors.count() * len(models) <= BROADCAST_PRIORS:
             priors = F.broadcast(priors)
         marked = marked.join(priors, F.col("_h0").eqNullSafe(F.col("_l0")) & F.col("_h1").eqNullSafe(F.col("_l1")) & F.col("_h2").eqNullSafe(F.col("_l2")), "left")
     else:

@@ -77,7 +77,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = docs.unionByName(pages)
     keep = ["doc_id", "page_id", "lang", "source"]
-    return language_id.identify(rows, language_id.fit(rows), keep, "text", F.col("lang"), F.col("source"), F.col("domain"), F.col("suffix"))
+    return language_id.identify(rows, language_id.fit(rows, id_cols=keep[:2]), keep, "text", F.col("lang"), F.col("source"), F.col("domain"), F.col("suffix"))
 
 
 QUERIES = {f.__name__: f for f in (

@@ -298,6 +298,33 @@ def test_language_id_of_odd_rows(spark):
     assert language_id.keep_identified(both.limit(0)).count() == 0
 
 
+def test_every_label_has_a_model(spark):
+    """40 languages of own words, one with few of many rows; and copies of one text don't come into the sample together."""
+    names = [f"q{chr(97 + i // 20)}{chr(97 + i % 20)}" for i in range(40)]
+    rng = random.Random(1)
+    words = {n: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)] for n in names}
+    rows = [(n, " ".join(rng.choice(words[n]) for _ in range(25))) for k, n in enumerate(names) for _ in range(400 if not k else 3)]
+    df = spark.createDataFrame([(i, t, n) for i, (n, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    models = language_id.fit(df, sample_rows=10)
+    assert set(models) == set(names)
+    got = language_id.identify(df, models, ["doc_id", "lang"], "text").collect()
+    assert sum(r.detected == r.lang and r.accepted for r in got) > 0.99 * len(got)
+    copies = spark.range(8000).selectExpr("id as doc_id", "if(id < 6000, 'one hot text', concat('text ', id)) as text", "if(id < 7990, 'en', 'de') as lang")
+    picked, labels = language_id.sample(copies, "text", "lang", 1000, ["doc_id"])
+    n = {r.label: r["count"] for r in picked.groupBy("label").count().collect()}
+    assert sorted(labels) == ["de", "en"] and n["de"] == 10 and 350 < n["en"] < 650
+    assert set(language_id.fit(copies.where("doc_id >= 7990 or doc_id < 7000").withColumn("text", F.when(F.col("lang") == "de", "x").otherwise(F.col("text"))))) == {"de", "en"}
+
+
+def test_models_of_many_languages_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MODEL_CELLS", 1 << 14)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("n_chars > 200")
+    models = language_id.fit(docs)
+    assert len(models) == 4 and sum(map(len, models.values())) == 1 << 14
+    got = language_id.identify(docs, models, ["doc_id", "lang"], "text").collect()
+    assert sum(r.lang == r.detected for r in got) > 0.97 * len(got)
+
+
 def test_language_id_covers_the_pages(spark, tmp_path):
     page = '<!DOCTYPE html><html class="x" lang="{}"><head><style>p {{}}</style></head><body><!-- no --><p>caf&eacute; &amp; th&#233;</p><script>var a = "<p>";</script></body></html>'
     urls = ["https://u@A.example.de:80/x", "http://shop.example.co.uk/", "http://10.0.0.1/", "http://localhost/x", None, "http://example.com"]
