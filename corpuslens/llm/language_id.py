@@ -9,7 +9,8 @@ For each language l the log probability is the sum of
 * address: a country suffix whose language is l (``SUFFIX_RIGHT``);
 * host: the prior of the host, smoothed towards that of its domain, that
   towards its address suffix, and that towards the whole corpus. The counts are
-  grouped aggregates of the declared languages over all rows.
+  grouped aggregates of the declared languages over all rows. A host without
+  declared rows has the prior of the next wider level that has some.
 
 Trigram models are fitted for every label, on a bounded sample of its rows: an
 equal share of ``SAMPLE_ROWS``, but ``LEAST_ROWS`` at least, picked by a hash of
@@ -20,7 +21,7 @@ A row is rejected (accepted = false) if its text has no letter of any alphabet,
 if the trigrams are less likely under the best language than if all were alike
 (it is written in none of the languages), if no language reaches ``MIN_CONFIDENCE``, or
 if the language isn't among the wanted ones. Null and empty texts have no
-letter. A null or unknown declaration, host or suffix is no evidence.
+letter. A null or unknown declaration or suffix is no evidence.
 
 ``page_evidence`` takes all of these from raw web pages: the markup's language,
 the address's host, domain and suffix, and the text between the tags.
@@ -156,21 +157,23 @@ def fit(rows: DataFrame, text_col: str = "text", label_col: str = "lang", sample
 def host_priors(rows: DataFrame, languages: list[str], levels: list[Column], declared: Column, kappa: float = KAPPA) -> DataFrame:
     """Prior of each host: columns _l0 … of the levels, narrowest first, and _prior, an array by language.
 
-    A level is smoothed towards the next wider one, with ``kappa`` rows' weight.
+    Every host of ``rows`` has one. A level is smoothed towards the next wider
+    one, with ``kappa`` rows' weight; one without declared rows takes that as it is.
     """
     names = [f"_l{i}" for i in range(len(levels))]
     counted = stored(
-        rows.select(*[c.alias(n) for c, n in zip(levels, names)], declared.alias("_d")).where(F.col("_d").isin(languages))
+        rows.select(*[c.alias(n) for c, n in zip(levels, names)], F.when(declared.isin(languages), declared).alias("_d"))
         .groupBy(*names, "_d").agg(F.count(F.lit(1)).cast("double").alias("_n")), "hosts",
     )
-    sums = [F.sum(F.when(F.col("_d") == l, F.col("_n")).otherwise(0.0)).alias(f"_c{i}") for i, l in enumerate(languages)]
 
     def counts(keys: list[str]) -> DataFrame:
-        cols = [F.array(*[f"_c{i}" for i in range(len(languages))]).alias("_k")]
-        return counted.groupBy(*keys).agg(*sums).select(*keys, *cols)
+        one = counted.groupBy(*keys, "_d").agg(F.sum("_n").alias("_n"))
+        found = F.map_from_entries(F.collect_list(F.when(F.col("_d").isNotNull(), F.struct("_d", "_n"))))
+        every = F.transform(F.array(*[F.lit(x) for x in languages]), lambda x: F.coalesce(F.try_element_at("_found", x), F.lit(0.0)))
+        return one.groupBy(*keys).agg(found.alias("_found")).select(*keys, every.alias("_k"))
 
-    whole = counted.agg(*sums).first()
-    ones = [(whole[f"_c{i}"] or 0.0) + 1.0 for i in range(len(languages))]
+    whole = {r["_d"]: r["_n"] for r in counted.groupBy("_d").agg(F.sum("_n").alias("_n")).collect()}
+    ones = [whole.get(x, 0.0) + 1.0 for x in languages]
     prior = F.array(*[F.lit(x / sum(ones)) for x in ones])
     out = None
     for width in range(len(names)):  # widest level first

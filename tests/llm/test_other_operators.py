@@ -298,6 +298,18 @@ def test_language_id_of_odd_rows(spark):
     assert language_id.keep_identified(both.limit(0)).count() == 0
 
 
+def test_hosts_without_declared_rows_have_the_wider_prior(spark):
+    models = language_id.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    known = [("de", "a.one.com", "one.com", "com")] * 60 + [("es", "a.two.org", "two.org", "org")] * 80 + [("fr", "a.three.net", "three.net", "net")] * 300
+    asked = [("new.one.com", "one.com", "com", "de"), ("a.four.org", "four.org", "org", "es"), ("a.five.info", "five.info", "info", "fr")]
+    rows = [("zzz", *k) for k in known] + [("zzz", d, *a[:3]) for d in (None, "xx") for a in asked]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, d string, h string, o string, s string")
+    got = {r.doc_id: r.detected for r in language_id.identify(df, models, ["doc_id"], "text", F.col("d"), F.col("h"), F.col("o"), F.col("s")).collect()}
+    assert [got[len(known) + i] for i in range(6)] == [a[3] for a in asked] * 2
+    priors = language_id.host_priors(df, list(models), [F.col(c) for c in "hos"], F.col("d"))
+    assert priors.count() == 6 and all(sum(r._prior) == pytest.approx(1) for r in priors.collect())
+
+
 def test_every_label_has_a_model(spark):
     """40 languages of own words, one with few of many rows; and copies of one text don't come into the sample together."""
     names = [f"q{chr(97 + i // 20)}{chr(97 + i % 20)}" for i in range(40)]
