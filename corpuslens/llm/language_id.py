@@ -29,12 +29,11 @@ the address's host, domain and suffix, and the text between the tags.
 
 from __future__ import annotations
 
-import html
 import re
 from collections.abc import Iterator
+from html.entities import name2codepoint
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,9 +70,18 @@ def language_tag(declared: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(F.trim(declared.cast("string")), "^([A-Za-z]{2,3})([-_].*)?$", 1)), F.lit(""))
 
 
-@F.pandas_udf(T.StringType())
-def _unescaped(texts: pd.Series) -> pd.Series:
-    return texts.map(html.unescape, na_action="ignore")
+def _unescaped(text: Column) -> Column:
+    """Character references of HTML 4, by name or number, as characters; others stay."""
+    names = F.create_map(*[F.lit(x) for n, c in {**name2codepoint, "apos": 39}.items() for x in (n, chr(c))])
+
+    def decoded(part: Column, i: Column) -> Column:
+        name = F.regexp_extract(part, "^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+        code = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 6), 16, 10)).otherwise(F.substring(name, 2, 7)).try_cast("int")
+        char = F.when(code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
+        char = F.when(F.startswith(name, F.lit("#")), char).otherwise(F.try_element_at(names, name))
+        return F.when(i == 0, part).otherwise(F.coalesce(F.concat(char, F.substr(part, F.length(name) + 2)), F.concat(F.lit("&"), part)))
+
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(F.split(text, "&"), decoded), "")).otherwise(text)
 
 
 def page_evidence(url: Column, page: Column) -> dict[str, Column]:

@@ -346,6 +346,9 @@ def test_language_id_covers_the_pages(spark, tmp_path):
     assert [(r.host, r.domain, r.suffix) for r in got] == [
         ("a.example.de", "example.de", "de"), ("shop.example.co.uk", "example.co.uk", "uk"), ("10.0.0.1", None, None), ("localhost", None, None), (None, None, None), ("example.com", "example.com", "com"),
     ]
+    refs = "R&D &lt;b&gt; &#x4E2D;&#128512;&Uuml;&#0;&#55296;&#9999999;&none; &amp;lt; &; a&"
+    row = spark.createDataFrame([(f"<p>{refs}</p>",)], "html string").select(language_id.page_evidence(F.lit("x"), F.col("html"))["text"].alias("t")).first()
+    assert row.t == "R&D <b> 中😀Ü\ufffd\ufffd\ufffd&none; &lt; &; a&"
     short = [(i, "http://a.example.de/", '<html lang="de"><p>zzz</p></html>') for i in range(30)] + [(30, "http://a.example.de/x", "<html><p>zzz</p></html>")]
     spark.read.parquet(f"{SF}/documents.parquet").write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{SF}/pages.parquet").unionByName(spark.createDataFrame([(10**6 + i, u, h) for i, u, h in short], "page_id long, url string, html string")).write.parquet(f"{tmp_path}/pages.parquet")
