@@ -84,15 +84,21 @@ def decide(by_dim: DataFrame, wide: int, narrow: int, threshold: float = 0.03) -
     return gaps.select(F.round("recall_gap", 9).alias("recall_gap"), F.round("mrr_gap", 9).alias("mrr_gap"), winner.alias("winner"), fallback.alias("fallback"))
 
 
+#: Configurations of a sweep up to which they are broadcast.
+BROADCAST_CONFIGS = 1000
+
+
 def sweep(hits: DataFrame, golden: DataFrame, chunks: DataFrame, configs: DataFrame) -> DataFrame:
     """Metrics of many fusion configurations from one set of candidate lists.
 
     configs: (config_id, depth, rrf_k, top_n): the first ``depth`` of each list
-    are fused with ``rrf_k`` and cut to ``top_n``; a handful of rows, so they are
-    joined to every hit in one pass. Returns config_id, n, n_empty, mrr,
-    section_recall_5.
+    are fused with ``rrf_k`` and cut to ``top_n``. All are joined to every hit in
+    one pass; up to ``BROADCAST_CONFIGS`` they are broadcast. Returns config_id,
+    n, n_empty, mrr, section_recall_5.
     """
-    tagged = hits.withColumn("_all", F.lit(1)).join(F.broadcast(configs.limit(1000).withColumn("_all", F.lit(1))), "_all").where(F.col("rank") <= F.col("depth"))
+    few = configs.count() <= BROADCAST_CONFIGS
+    sent = F.broadcast if few else lambda df: df
+    tagged = hits.crossJoin(sent(configs)).where(F.col("rank") <= F.col("depth"))
     parts = F.array_sort(F.collect_list(F.struct("list_no", "rank", "rrf_k")))
     fused = tagged.groupBy("config_id", "query_id", "chunk_id").agg(
         F.round(F.aggregate(parts, F.lit(0.0), lambda s, x: s + 1.0 / (x["rrf_k"] + x["rank"])), 12).alias("score"), F.min(F.struct("list_no", "rank")).alias("first"), F.max("top_n").alias("top_n"),
@@ -100,8 +106,7 @@ def sweep(hits: DataFrame, golden: DataFrame, chunks: DataFrame, configs: DataFr
     order = Window.partitionBy("config_id", "query_id").orderBy(F.desc("score"), "first", "chunk_id")
     ranked = fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("top_n")).join(chunks, "chunk_id")
     one = ranked.select(F.struct("config_id", "query_id").alias("query_id"), "rank", "spec_id", "section_path", "clause", "section_title")
-    ids = configs.select("config_id").withColumn("_all", F.lit(1))
-    every = golden.withColumn("_all", F.lit(1)).join(F.broadcast(ids.limit(1000)), "_all").select(F.struct("config_id", "query_id").alias("query_id"), "expected")
+    every = golden.crossJoin(sent(configs.select("config_id"))).select(F.struct("config_id", "query_id").alias("query_id"), "expected")
     metrics = question_metrics(judge_hits(one, every), every, (5,)).join(one.groupBy("query_id").agg(F.count(F.lit(1)).alias("_hits")), "query_id", "left")
     return metrics.groupBy(F.col("query_id.config_id").alias("config_id")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("_hits").isNull()).alias("n_empty"), F.round(F.avg("mrr"), 9).alias("mrr"), F.round(F.avg("section_recall_5"), 9).alias("section_recall_5"),

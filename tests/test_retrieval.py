@@ -247,3 +247,18 @@ def test_text_of_nulls_and_blanks(spark):
         T.doc_title(t).alias("g"), T.extract_spec_ids(t).alias("h"), T.parse_option(t).alias("i"), T.chunk_body(t).alias("j"),
     ).collect()
     assert all(r.a == "" and r.b == [] and r.c == [] and r.d and r.e == [] and not r.f and r.g is None and r.h == [] and r.i is None for r in got)
+
+
+def test_a_sweep_of_many_configurations_keeps_them_all(spark):
+    from corpuslens.plans.corpus_queries import table
+    from corpuslens.plans.relational_queries import _golden
+    from corpuslens.plans.retrieval_queries import hits
+
+    sf = "/root/testdata/sf0.001"
+    places = table(spark, sf, "documents").selectExpr("doc_id as chunk_id", "source as spec_id", "array(cast(doc_id % 7 as string), cast(doc_id % 3 as string)) as section_path", "'' as clause", "lang as section_title")
+    found, golden = hits(spark, sf).where("rank <= 2").localCheckpoint(), _golden(spark, sf).localCheckpoint()
+    many = spark.range(1010).selectExpr("cast(id as int) as config_id", "2 as depth", "60 as rrf_k", "2 as top_n")
+    got = evaluation.sweep(found, golden, places, many).collect()
+    few = {r.config_id: r for r in evaluation.sweep(found, golden, places, many.where("config_id < 3")).collect()}
+    assert sorted(r.config_id for r in got) == list(range(1010))
+    assert all(r[1:] == few[0][1:] for r in got) and len(few) == 3
