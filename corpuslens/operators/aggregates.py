@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslens.sources.scratch import kept
+
 
 def list_docs(chunks: DataFrame, release: str | None = None, series: str | None = None) -> DataFrame:
     """Documents with their number of chunks."""
@@ -48,41 +50,95 @@ def source_audit(manifest: DataFrame) -> DataFrame:
 def eval_aggregate(results: DataFrame, metrics: list[str], by: list[str]) -> DataFrame:
     """Means without nulls over all results and by each of ``by`` alone, with rates and the upper median of durations."""
     sets = [[F.col(b)] for b in by] + [[]]
-    return results.groupingSets(sets, *[F.col(b) for b in by]).agg(
+    out = results.groupingSets(sets, *[F.col(b) for b in by]).agg(
         F.grouping_id().cast("int").alias("level"), F.count(F.lit(1)).alias("total"), *[F.round(F.avg(m), 9).alias(m) for m in metrics],
         F.round(F.avg((F.size("forbidden") > 0).cast("double")), 9).alias("forbidden_rate"), F.count_if(F.col("terminal_event") == "final").alias("n_final"),
-        percentile("duration_ms", 0.5, "upper").alias("duration_p50"),
     )
+    counted = counts(results, by, "duration_ms")
+    levels = [counted.select(*[F.col(b) if b == one else F.lit(None).cast(counted.schema[b].dataType).alias(b) for b in by], F.lit(level).alias("level"), VALUE, COUNT) for one, level in _levels(by)]
+    every = levels[0]
+    for one in levels[1:]:
+        every = every.unionByName(one)
+    keys = ["level", *by]
+    return _joined(out, percentiles_of_counts(every, keys, {"duration_p50": (0.5, "upper")}), keys)
+
+
+def _levels(by: list[str]) -> list[tuple[str | None, int]]:
+    """Each key alone, then none, with the grouping id of the set."""
+    full = (1 << len(by)) - 1
+    return [(b, full & ~(1 << (len(by) - 1 - i))) for i, b in enumerate(by)] + [(None, full)]
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``left`` with those of ``right`` that have the same keys; null equals null."""
+    renamed = right.withColumnsRenamed({k: f"_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return left.join(renamed, on, "left").drop(*[f"_{k}" for k in keys])
+
 
+VALUE, COUNT = "_value", "_count"
 
-def percentile(col: str, p: float, kind: str) -> Column:
-    """A percentile of a group, by one of four definitions.
+
+def counts(df: DataFrame, by: list[str], col: str) -> DataFrame:
+    """How often each group has each value."""
+    return df.groupBy(*by, F.col(col).alias(VALUE)).agg(F.count(F.lit(1)).alias(COUNT))
+
+
+def percentiles(df: DataFrame, by: list[str], col: str, wanted: dict[str, tuple[float, str]]) -> DataFrame:
+    """Percentiles of each group, exactly: the keys and a column for each of ``wanted`` (name: p, kind).
 
     nearest:   the value at round(p · (n - 1)), halves to even; 0 for no values
     upper:     the value at index n // 2 of the sorted values (p is not used)
-    median:    the middle value, or the mean of the two
+    median:    the middle value, or the mean of the two (p is not used)
     exclusive: interpolated at p · (n + 1); null for fewer than 10 values
+
+    Nulls don't count. No group is gathered: equal values are counted first, and
+    the counts are dealt by ranges of value, each of which knows how many come
+    before it.
     """
-    xs = F.array_sort(F.collect_list(col))
-    n = F.size(xs)
-    if kind == "nearest":
-        return F.coalesce(F.get(xs, F.bround(F.lit(p) * (n - 1)).cast("int")).cast("double"), F.lit(0.0))
-    if kind == "upper":
-        return F.get(xs, F.floor(n / 2).cast("int")).cast("double")
-    if kind == "median":
-        return F.percentile(F.col(col), 0.5)
-    at = F.lit(p) * (n + 1)
-    j = F.least(F.greatest(F.floor(at), F.lit(1)), (n - 1).cast("long")).cast("int")
-    lo, hi = F.get(xs, j - 1).cast("double"), F.get(xs, j).cast("double")
-    return F.when(n >= 10, lo + (hi - lo) * (at - j))
+    return percentiles_of_counts(counts(df, by, col), by, wanted)
+
+
+def percentiles_of_counts(counted: DataFrame, by: list[str], wanted: dict[str, tuple[float, str]]) -> DataFrame:
+    """The same from ``counts``, or several of them together."""
+    merged = counted.groupBy(F.struct(*by, F.lit(0)).alias("_key"), VALUE).agg(F.sum(COUNT).alias(COUNT))
+    dealt = kept(merged.repartitionByRange("_key", VALUE).withColumn("_range", F.spark_partition_id()), "counts")
+    some = dealt.where(F.col(VALUE).isNotNull())
+    ranges = some.groupBy("_key", "_range").agg(F.sum(COUNT).alias("_in"))
+    upward = Window.partitionBy("_key").orderBy("_range")
+    told = ranges.select(F.col("_key").alias("_k"), F.col("_range").alias("_r"), (F.sum("_in").over(upward) - F.col("_in")).alias("_before"), F.sum("_in").over(Window.partitionBy("_key")).alias("_n"))
+    inside = Window.partitionBy("_key", "_range").orderBy(VALUE)
+    ranked = some.join(told, (F.col("_key") == F.col("_k")) & (F.col("_range") == F.col("_r"))).withColumn("_to", F.col("_before") + F.sum(COUNT).over(inside))
+
+    def at(index: Column) -> Column:
+        return F.max(F.when((index < F.col("_to")) & (index >= F.col("_to") - F.col(COUNT)), F.col(VALUE).cast("double")))
+
+    n = F.col("_n")
+
+    def one(p: float, kind: str) -> Column:
+        if kind == "nearest":
+            return at(F.bround(F.lit(p) * (n - 1)).cast("long"))
+        if kind == "upper":
+            return at(F.floor(n / 2))
+        if kind == "median":
+            return (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2
+        place = F.lit(p) * (n + 1)
+        j = F.least(F.greatest(F.floor(place), F.lit(1)), n - 1).cast("long")
+        lo, hi = at(j - 1), at(j)
+        return F.when(F.max("_n") >= 10, lo + (hi - lo) * F.max(place - j))
+
+    found = ranked.groupBy(F.col("_key").alias("_k")).agg(*[one(*spec).alias(name) for name, spec in wanted.items()])
+    groups = dealt.select("_key").distinct().join(found, F.col("_key") == F.col("_k"), "left")
+    return groups.select(*[F.col("_key")[b].alias(b) for b in by], *[F.coalesce(name, F.lit(0.0)).alias(name) if spec[1] == "nearest" else F.col(name) for name, spec in wanted.items()])
 
 
 def runs_summary(runs: DataFrame, metric: str, by: list[str]) -> DataFrame:
     """Repeated runs: mean over items of each item's best and of its mean value; durations pooled over all runs."""
     per_item = runs.groupBy(*by, "item_id").agg(F.max(metric).alias("best"), F.avg(metric).alias("mean"))
     means = per_item.groupBy(*by).agg(F.round(F.avg("best"), 9).alias("mean_best"), F.round(F.avg("mean"), 9).alias("mean_mean"))
-    times = runs.groupBy(*by).agg(percentile("duration_ms", 0.5, "nearest").alias("p50"), percentile("duration_ms", 0.95, "nearest").alias("p95"))
-    return means.join(times, by)
+    return _joined(means, percentiles(runs, by, "duration_ms", {"p50": (0.5, "nearest"), "p95": (0.95, "nearest")}), by)
 
 
 def delta(a: DataFrame, b: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
@@ -158,10 +214,10 @@ def chunk_quality(chunks: DataFrame) -> DataFrame:
     rows = F.least(F.size(F.filter(F.split("content", "\n"), lambda x: x.rlike(r"^\s*\|.*\|\s*$"))), F.lit(50))
     ready = chunks.select("chunk_type", size.alias("size"), rows.alias("rows"), F.col("content").rlike(r"\|\s*:?-{2,}").alias("ruled"), F.col("content").contains("$").alias("formula"))
     share = lambda c: F.round(F.avg(F.col(c).cast("double")), 9).alias(c)
-    return ready.groupBy("chunk_type").agg(
-        F.count(F.lit(1)).alias("n"), F.min("size").alias("min_size"), F.max("size").alias("max_size"), percentile("size", 0.5, "upper").alias("mid_size"), share("ruled"), share("formula"),
-        percentile("rows", 0.5, "upper").alias("mid_rows"),
-    )
+    out = ready.groupBy("chunk_type").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("min_size"), F.max("size").alias("max_size"), share("ruled"), share("formula"))
+    for col in ("size", "rows"):
+        out = _joined(out, percentiles(ready, ["chunk_type"], col, {f"mid_{col}": (0.5, "upper")}), ["chunk_type"])
+    return out
 
 
 def annotation_stats(chunks: DataFrame) -> DataFrame:

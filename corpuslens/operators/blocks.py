@@ -10,44 +10,68 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as T
+from corpuslens.functions.arrays import chars, cut_at, let, where_true
 from corpuslens.operators.sections import strip
 
-ROW, RULE = r"^\s*\|.*\|\s*$", r"^\s*\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?\s*$"
-TABLE_CAPTION = r"(?i)^\s*\**\s*Table\s+[A-Z]?\d+(?:\.\d+)*(?:-\d+)?[.:]?\s*:?\s*"
-FIGURE_CAPTION = r"(?i)^\s*\**\s*Figure\s+[A-Z]?\d+(?:\.\d+)*(?:-\d+)?\s*[:.]?\s*"
-IMAGE = r"^\s*!\[[^\]]*\]\([^)]+\)\s*$"
-ASN1_START, ASN1_STOP = r"--\s*(?:/\w+/\s*)?ASN1START\b", r"--\s*(?:/\w+/\s*)?ASN1STOP\b"
-ACTION = r"^\s*-\s+\d+>\s"
-NO_STRINGS = "array<string>"
+#: Lines of Markdown, and actions of procedures.
+ROW = r"^[ \t]*\|.*\|[ \t\r]*$"
+RULE = r"^[-:| \t\r]*-[-:| \t\r]*$"
+IMAGE = r"^[ \t]*!\[[^\]]*\]\([^)]+\)[ \t\r]*$"
+ACTION = r"^[ \t]*-[ \t]+[0-9]+>[ \t]"
+
+
+def is_row(line: Column) -> Column:
+    return line.rlike(ROW)
+
+
+def is_rule(line: Column) -> Column:
+    """The line under a table's header: nothing but dashes, colons, bars and spaces."""
+    return line.rlike(RULE)
+
+
+def is_caption(line: Column, what: str) -> Column:
+    """Whether a line begins as a caption, ``Table 5.1-2``, perhaps with emphasis."""
+    return line.rlike(rf"(?i)^[ \t*]*{what}[ \t]+[A-Z]?[0-9]")
+
+
+def is_asn1(line: Column, mark: str) -> Column:
+    """Whether a line has the mark in a comment."""
+    return line.contains(mark) & F.contains(F.substring_index(line, mark, 1), F.lit("--"))
 
 
 def line_classes(lines: Column) -> Column:
     """Array of struct for each line: what it may start, end or continue."""
-    at = lambda i: F.coalesce(F.get(lines, i), F.lit(""))
-    is_rule = lambda x: x.rlike(RULE) & x.contains("-")
+    own = F.transform(lines, lambda x: F.struct(x.alias("line"), is_row(x).alias("row"), is_rule(x).alias("rule"), x.rlike(ACTION).alias("action"), (F.trim(x) == "").alias("blank")))
 
-    def one(x, i):
-        nxt = at(i + 1)
-        return F.struct(
-            x.alias("line"), x.rlike(ASN1_START).alias("asn1"), x.rlike(ASN1_STOP).alias("stop"), x.rlike(IMAGE).alias("image"), x.rlike(ROW).alias("row"),
-            (x.rlike(ROW) & (is_rule(x) | is_rule(nxt) | is_rule(at(i + 2)))).alias("table"), (is_rule(x) | (x.rlike(ROW) & is_rule(nxt))).alias("ruled"),
-            x.rlike(ACTION).alias("action"), (x.startswith("    ") | x.startswith("\t")).alias("indented"), (F.trim(x) == "").alias("blank"),
-            ((F.trim(nxt) != "") & ~nxt.rlike(ACTION)).alias("then_text"), x.contains("$$").alias("math"), (F.regexp_count(x, F.lit(r"\$\$")) >= 2).alias("whole_math"),
-            x.rlike(r"^#{1,6}\s").alias("heading"), x.rlike(FIGURE_CAPTION).alias("caption"), (x.rlike(TABLE_CAPTION) & nxt.rlike(ROW) & (is_rule(nxt) | is_rule(at(i + 2)) | is_rule(at(i + 3)))).alias("titles"),
-        )
+    def classes(every):
+        def one(x, i):
+            line = x["line"]
+            ahead = lambda k, what: F.coalesce(F.get(every, i + k)[what], F.lit(False))
+            ruled = ahead(1, "rule")
+            return F.struct(
+                line.alias("line"), is_asn1(line, "ASN1START").alias("asn1"), is_asn1(line, "ASN1STOP").alias("stop"), line.rlike(IMAGE).alias("image"), x["row"].alias("row"),
+                (x["row"] & (x["rule"] | ruled | ahead(2, "rule"))).alias("table"), (x["rule"] | (x["row"] & ruled)).alias("ruled"),
+                x["action"].alias("action"), (line.startswith("    ") | line.startswith("\t")).alias("indented"), x["blank"].alias("blank"),
+                (~F.coalesce(F.get(every, i + 1)["blank"], F.lit(True)) & ~ahead(1, "action")).alias("then_text"), line.contains("$$").alias("math"), (F.size(F.split(line, r"\$\$")) > 2).alias("whole_math"),
+                line.rlike("^#{1,6}[ \t]").alias("heading"), is_caption(line, "figure").alias("caption"), (is_caption(line, "table") & ahead(1, "row") & (ruled | ahead(2, "rule") | ahead(3, "rule"))).alias("titles"),
+            )
+
+        return F.transform(every, one)
+
+    return let(own, classes)
 
-    return F.transform(lines, one)
 
+#: A letter for each kind of block; a capital one where a block begins.
+KINDS = {"asn1": "a", "figure": "i", "table": "t", "action_list": "l", "formula_block": "f", "paragraph": "p"}
 
-def block_numbers(classes: Column) -> Column:
-    """Array of (block, kind) for each line.
+
+def block_codes(classes: Column) -> Column:
+    """A letter for each line: the kind of its block, a capital one where the block begins.
 
     Precedence where nothing is open: ASN.1, image, table (with the caption line
     before it), action list, formula, heading, paragraph.
     """
-    start = F.struct(
-        F.lit("none").alias("open"), F.lit(0).alias("blanks"), F.lit(False).alias("captioned"), F.lit(0).alias("block"), F.array().cast("array<struct<block:int,kind:string>>").alias("all"),
-    )
+    start = F.struct(F.lit("none").alias("open"), F.lit(0).alias("blanks"), F.lit(False).alias("captioned"), F.lit("").alias("codes"))
 
     def step(acc, x):
         was = acc["open"]
@@ -61,47 +85,50 @@ def block_numbers(classes: Column) -> Column:
             .when(x["heading"], "heading").otherwise("paragraph")
         )
         kind = F.when((was == "titles") & goes_on, "table").when(goes_on, was).otherwise(fresh)
-        new = ~goes_on & ((fresh != "paragraph") | (was != "paragraph"))
-        block = acc["block"] + new.cast("int")
+        new = (acc["codes"] == "") | (~goes_on & ((fresh != "paragraph") | (was != "paragraph")))
         shown = F.when(kind == "titles", "table").when(kind == "heading", "paragraph").otherwise(kind)
+        letter = F.lit("p")
+        for name, code in KINDS.items():
+            letter = F.when(shown == name, code).otherwise(letter)
         closed = ((kind == "asn1") & x["stop"]) | ((kind == "formula_block") & F.when(goes_on, x["math"]).otherwise(x["whole_math"])) | (kind == "heading")
         return F.struct(
             F.when(closed, "none").otherwise(kind).alias("open"), F.when(x["blank"] & goes_on, acc["blanks"] + 1).otherwise(0).alias("blanks"),
-            ((kind == "figure") & (F.when(goes_on, acc["captioned"]).otherwise(F.lit(False)) | (goes_on & x["caption"]))).alias("captioned"), block.alias("block"),
-            F.concat(acc["all"], F.array(F.struct(block.alias("block"), shown.alias("kind")))).alias("all"),
+            ((kind == "figure") & (F.when(goes_on, acc["captioned"]).otherwise(F.lit(False)) | (goes_on & x["caption"]))).alias("captioned"),
+            F.concat(acc["codes"], F.when(new, F.upper(letter)).otherwise(letter)).alias("codes"),
         )
 
-    return F.aggregate(classes, start, step, lambda acc: acc["all"])
+    return F.aggregate(classes, start, step, lambda acc: acc["codes"])
 
 
 def blockize(sections: DataFrame) -> DataFrame:
-    """Sections as blocks: keys of the section, block_ord, kind, text. Blank blocks are left out."""
+    """Sections as blocks: keys of the section, block_ord (from 1), kind, text. Blank blocks are left out."""
     keys = [c for c in sections.columns if c != "body"]
     classed = sections.where(F.trim(F.coalesce("body", F.lit(""))) != "").withColumn("_lines", F.split("body", "\n"))
-    numbered = classed.withColumn("_blocks", block_numbers(line_classes(F.col("_lines"))))
-    each = numbered.select(*keys, "_lines", "_blocks", F.explode(F.array_distinct("_blocks")).alias("_b"))
-    text = F.array_join(F.filter("_lines", lambda x, i: F.get("_blocks", i)["block"] == F.col("_b.block")), "\n")
-    tidy = F.regexp_replace(F.regexp_replace(text, r"\s+$", ""), r"^(\s*\n)+", "")
-    return each.select(*keys, F.col("_b.block").alias("block_ord"), F.col("_b.kind").alias("kind"), tidy.alias("text")).where("text <> ''")
 
+    def runs(codes):
+        begins = lambda c: c == F.upper(c)
+        return F.arrays_zip(F.filter(codes, begins).alias("code"), cut_at(F.col("_lines"), where_true(F.transform(codes, begins))).alias("run"))
 
-# splitting
+    each = classed.select(*keys, F.posexplode(let(chars(block_codes(line_classes(F.col("_lines")))), runs)).alias("_at", "_b"))
+    tidy = F.regexp_replace(F.regexp_replace(F.array_join("_b.run", "\n"), r"\s+$", ""), r"^(\s*\n)+", "")
+    kind = F.lit("paragraph")
+    for name, code in KINDS.items():
+        kind = F.when(F.col("_b.code") == code.upper(), name).otherwise(kind)
+    return each.select(*keys, (F.col("_at") + 1).alias("block_ord"), kind.alias("kind"), tidy.alias("text")).where("text <> ''")
 
 
-def _cut_at(lines: Column, cuts: Column) -> Column:
-    """Runs of lines from each position (from 0, in order) to the next."""
-    return F.transform(cuts, lambda a, i: F.slice(lines, a + 1, F.coalesce(F.get(cuts, i + 1), F.size(lines)) - a))
+# splitting
 
 
 def split_asn1(text: Column) -> Column:
     """Pieces of an ASN.1 block at its top-level definitions, each between the marks; one definition stays whole."""
     lines = F.split(text, "\n")
-    begins, ends = lines[0].rlike(ASN1_START), F.element_at(lines, -1).rlike(ASN1_STOP)
+    begins, ends = is_asn1(lines[0], "ASN1START"), is_asn1(F.element_at(lines, -1), "ASN1STOP")
     first, last = F.when(begins, lines[0]).otherwise("-- ASN1START"), F.when(ends, F.element_at(lines, -1)).otherwise("-- ASN1STOP")
     inner = F.slice(lines, F.when(begins, 2).otherwise(1), F.greatest(F.size(lines) - begins.cast("int") - ends.cast("int"), F.lit(0)))
     defines = lambda x: x.rlike(r"^\s*[A-Za-z][\w-]*\s.{0,100}::= ") | x.rlike(r"^\s*[A-Za-z][\w-]* ::= ")
     at = F.filter(F.transform(inner, lambda x, i: F.when((i > 0) & defines(x), i)), lambda i: i.isNotNull())
-    pieces = F.transform(_cut_at(inner, F.concat(F.array(F.lit(0)), at)), lambda part: F.regexp_replace(F.array_join(F.concat(F.array(first), part, F.array(last)), "\n"), r"\s+$", ""))
+    pieces = F.transform(cut_at(inner, F.concat(F.array(F.lit(0)), at)), lambda part: F.regexp_replace(F.array_join(F.concat(F.array(first), part, F.array(last)), "\n"), r"\s+$", ""))
     return F.when(F.size(at) > 0, pieces).otherwise(F.array(text))
 
 
@@ -114,14 +141,17 @@ def split_paragraph(text: Column, cap: int) -> Column:
     units = F.flatten(F.transform(
         paragraphs, lambda p, i: F.when(T.n_tokens(p) <= cap, F.array(unit(F.lit(-1))(p))).otherwise(F.transform(F.flatten(F.transform(sentences(p), hard)), unit(i))),
     ))
-    start = F.struct(F.array().cast(NO_STRINGS).alias("done"), F.lit("").alias("text"), F.lit(0).alias("n"), F.lit(-2).alias("group"))
+    start = F.struct(F.lit(-2).alias("group"), F.lit(0).alias("n"), F.lit("").alias("codes"))
 
     def step(acc, u):
         joins = (acc["group"] == u["group"]) & (acc["n"] + u["n"] <= cap)
-        glue = F.when(u["group"] == -1, "\n\n").otherwise(" ")
         return F.struct(
-            F.when(joins | (acc["text"] == ""), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["text"]))).alias("done"),
-            F.when(joins, F.concat(acc["text"], glue, u["text"])).otherwise(u["text"]).alias("text"), F.when(joins, acc["n"] + u["n"]).otherwise(u["n"]).alias("n"), u["group"].alias("group"),
+            u["group"].alias("group"), F.when(joins, acc["n"] + u["n"]).otherwise(u["n"]).alias("n"), F.concat(acc["codes"], F.when(joins, "0").otherwise("1")).alias("codes"),
         )
 
-    return F.aggregate(units, start, step, lambda acc: F.when(acc["text"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["text"]))))
+    def pieces(every):
+        starts = where_true(F.transform(chars(F.aggregate(every, start, step, lambda acc: acc["codes"])), lambda c: c == "1"))
+        texts = lambda run, glue: F.array_join(F.transform(run, lambda u: u["text"]), glue)
+        return F.transform(cut_at(every, starts), lambda run: F.when(run[0]["group"] == -1, texts(run, "\n\n")).otherwise(texts(run, " ")))
+
+    return let(units, pieces)

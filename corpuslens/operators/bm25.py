@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpuslens.sources.scratch import kept
+
 K1, B = 1.5, 0.75
 
 #: English words that carry no meaning of their own.
@@ -41,20 +44,62 @@ def build_bm25(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "con
     return Bm25Index(postings, term_stats, corpus)
 
 
+def write_bm25(index: Bm25Index, path: str) -> None:
+    """Keep an index. Postings are laid out by term, so that a search reads the row groups of its terms."""
+    index.postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
+    index.term_stats.write.mode("overwrite").parquet(f"{path}/term_stats")
+    index.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
+
+
+def read_bm25(spark: SparkSession, path: str) -> Bm25Index:
+    """An index that was kept."""
+    return Bm25Index(*[spark.read.parquet(f"{path}/{name}") for name in ("postings", "term_stats", "corpus")])
+
+
+#: Terms of a batch of queries up to which they are broadcast: some 60 bytes each.
+BROADCAST_TERMS = 200_000
+
+
+def _asked(queries: DataFrame, query_id: str, text_col: str, stop_words: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """Terms of each query (query_id, term, qtf), and a hint for what is no larger."""
+    words = queries.select(F.col(query_id).alias("query_id"), F.explode(terms(F.col(text_col), stop_words)).alias("term"))
+    asked = kept(words.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")), "asked")
+    return asked, F.broadcast if asked.count() <= BROADCAST_TERMS else lambda df: df
+
+
+def _ranked(asked: DataFrame, hint: Callable[[DataFrame], DataFrame], postings: DataFrame, stats: DataFrame, n: int, avgdl: float | None, k: int) -> DataFrame:
+    idf = F.ln(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    tf = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl or 1.0)))
+    weighed = asked.join(stats, "term").select("query_id", "term", (F.col("qtf") * idf).alias("weight"))
+    scored = postings.join(hint(weighed), "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("weight") * tf), 9).alias("score"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
+
+
 def bm25_topk(queries: DataFrame, index: Bm25Index, k: int, query_id: str = "query_id", text_col: str = "text", max_df: int | None = None, stop_words: list[str] = STOP_WORDS) -> DataFrame:
     """The k best chunks of each query: query_id, rank, chunk_id, score.
 
     A term asked twice counts twice. Equal scores go by chunk id. Terms in more
-    than ``max_df`` chunks are left out if that is given.
+    than ``max_df`` chunks are left out if that is given. A batch of few terms is
+    sent to the postings, so no frequent term gathers its postings in one task.
     """
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(terms(F.col(text_col), stop_words)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    asked, hint = _asked(queries, query_id, text_col, stop_words)
     stats = index.term_stats if max_df is None else index.term_stats.where(F.col("df") <= max_df)
     n, avgdl = index.corpus.first()
-    idf = F.ln(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl or 1.0)))
-    scored = asked.join(stats, "term").join(index.postings, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("qtf") * idf * tf), 9).alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
+    return _ranked(asked, hint, index.postings, stats, n, avgdl, k)
+
+
+def bm25_search(queries: DataFrame, chunks: DataFrame, k: int, id_col: str = "chunk_id", content_col: str = "content", query_id: str = "query_id", text_col: str = "text", stop_words: list[str] = STOP_WORDS) -> DataFrame:
+    """The same for chunks without an index: one pass over the texts, in which only the asked terms are counted."""
+    asked, hint = _asked(queries, query_id, text_col, stop_words)
+    mark = ""  # no term; a chunk's row of its own, so that n and the mean length come from the same pass
+    words = chunks.select(F.col(id_col).alias("chunk_id"), terms(F.col(content_col), stop_words).alias("words"))
+    each = words.select("chunk_id", F.size("words").alias("dl"), F.explode(F.concat(F.array(F.lit(mark)), "words")).alias("term"))
+    wanted = asked.select("term").distinct().unionByName(asked.sparkSession.createDataFrame([(mark,)], "term string"))
+    found = kept(each.join(hint(wanted), "term", "left_semi").groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")), "found")
+    n, avgdl = found.where(F.col("term") == mark).agg(F.count(F.lit(1)), F.avg("dl")).first()
+    postings = found.where(F.col("term") != mark)
+    return _ranked(asked, hint, postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), n, avgdl, k)
 
 
 def field_lookup(queries: DataFrame, index: Bm25Index, chunks: DataFrame, over: int = 60, keep: int = 10, types: tuple[str, ...] = ("text", "table"), chars: int = 240) -> DataFrame:

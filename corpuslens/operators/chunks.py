@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions import ids
 from corpuslens.functions import text as T
+from corpuslens.functions.arrays import chars, cut_at, where_true
 from corpuslens.operators import blocks as B
 from corpuslens.operators import splitting as P
 from corpuslens.operators.sections import flag_garbage, merge_siblings, sectionize
@@ -35,18 +36,17 @@ def split_blocks(blocks: DataFrame, cap: int = CAP) -> DataFrame:
     return marked.withColumn("_pieces", pieces).select(*[c for c in marked.columns if c != "text"], F.posexplode("_pieces").alias("part", "text"))
 
 
-def pack_numbers(items: Column, target: int, cap: int) -> Column:
-    """Piece of each of an array of (kind, n, whole): flushed before it would pass the cap, after it reaches the target; figures and split blocks stand alone."""
-    start = F.struct(F.lit(-1).alias("piece"), F.lit(0).alias("sum"), F.lit(True).alias("shut"), F.array().cast("array<int>").alias("all"))
+def piece_starts(items: Column, target: int, cap: int) -> Column:
+    """Where pieces begin in an array of (kind, n, whole): flushed before one would pass the cap, after it reaches the target; figures and split blocks stand alone."""
+    start = F.struct(F.lit(0).alias("sum"), F.lit(True).alias("shut"), F.lit("").alias("codes"))
 
     def step(acc, x):
         alone = (x["kind"] == "figure") | ~x["whole"] | (x["n"] > cap)
         new = acc["shut"] | alone | (acc["sum"] + x["n"] > cap)
         total = F.when(new, x["n"]).otherwise(acc["sum"] + x["n"])
-        piece = acc["piece"] + new.cast("int")
-        return F.struct(piece.alias("piece"), total.alias("sum"), (alone | (total >= target)).alias("shut"), F.concat(acc["all"], F.array(piece)).alias("all"))
+        return F.struct(total.alias("sum"), (alone | (total >= target)).alias("shut"), F.concat(acc["codes"], F.when(new, "1").otherwise("0")).alias("codes"))
 
-    return F.aggregate(items, start, step, lambda acc: acc["all"])
+    return where_true(F.transform(chars(F.aggregate(items, start, step, lambda acc: acc["codes"])), lambda c: c == "1"))
 
 
 def pack(blocks: DataFrame, target: int = TARGET, cap: int = CAP, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -57,12 +57,10 @@ def pack(blocks: DataFrame, target: int = TARGET, cap: int = CAP, carry: tuple[s
     context = F.col("context") if "context" in blocks.columns else F.lit(None).cast("string").alias("context")
     row = F.struct("block_ord", "part", "kind", "text", T.n_tokens(F.col("text")).alias("n"), "whole", context)
     grouped = blocks.groupBy(*SECTION, *carry).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-    numbered = grouped.withColumn("_piece", pack_numbers(F.col("_rows"), target, cap))
-    each = numbered.select(*SECTION, *carry, F.explode(F.array_distinct("_piece")).alias("piece_ord"), "_rows", "_piece")
-    own = F.filter("_rows", lambda r, i: F.get("_piece", i) == F.col("piece_ord"))
-    kinds = F.transform(own, lambda r: r["kind"])
+    each = grouped.select(*SECTION, *carry, F.posexplode(cut_at(F.col("_rows"), piece_starts(F.col("_rows"), target, cap))).alias("piece_ord", "_own"))
+    kinds = F.transform("_own", lambda r: r["kind"])
     return each.select(
-        *SECTION, *carry, "piece_ord", kinds.alias("kinds"), F.trim(F.array_join(F.transform(own, lambda r: r["text"]), "\n\n")).alias("text"), chunk_type(kinds).alias("chunk_type"), F.get(own, F.lit(0))["context"].alias("context"),
+        *SECTION, *carry, "piece_ord", kinds.alias("kinds"), F.trim(F.array_join(F.transform("_own", lambda r: r["text"]), "\n\n")).alias("text"), chunk_type(kinds).alias("chunk_type"), F.get("_own", F.lit(0))["context"].alias("context"),
     )
 
 

@@ -68,14 +68,20 @@ def reference_text(golden: DataFrame, chunks: DataFrame, most: int = 3000, separ
     """Text of each item's expected sections: (item_id, spec_id, section) ⋈ chunks by document and section prefix.
 
     A section null or empty takes the whole document; a chunk counts once; texts
-    come in document order, cut at ``most`` characters.
+    come in document order, cut at ``most`` characters. Only chunks that begin
+    before the cut are gathered: each but the first adds a separator, so they are
+    among the first ``most``, which each task finds before the shuffle.
     """
     under = golden.join(chunks, "spec_id").where(
         (F.coalesce("section", F.lit("")) == "") | (F.col("clause") == F.col("section")) | F.startswith("clause", F.concat("section", F.lit(".")))
     )
-    once = under.groupBy("item_id", "chunk_id").agg(F.min(F.struct("document_order", "content")).alias("c"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c.document_order", "chunk_id", "c.content"))), lambda x: x["content"]), separator)
-    return once.groupBy("item_id").agg(F.left(joined, F.lit(most)).alias("reference"))
+    once = under.groupBy("item_id", "chunk_id").agg(F.min(F.struct("document_order", F.left("content", F.lit(most)).alias("content"))).alias("c"))
+    order = Window.partitionBy("item_id").orderBy("c.document_order", "chunk_id")
+    first = once.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most)
+    size = F.coalesce(F.char_length("c.content") + len(separator), F.lit(0))
+    early = first.withColumn("_before", F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("_before") < most)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "c.content"))), lambda x: x["content"]), separator)
+    return early.groupBy("item_id").agg(F.left(joined, F.lit(most)).alias("reference"))
 
 
 def attach_price(usage: DataFrame, prices: DataFrame) -> DataFrame:

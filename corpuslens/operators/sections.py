@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as T
+from corpuslens.functions.arrays import cut_at, packed
 
 HEADING = r"^(#{1,6})\s+(.*?)\s*$"
 
@@ -57,18 +58,6 @@ def flag_garbage(sections: DataFrame) -> DataFrame:
     return sections.withColumn("drop_reason", T.garbage_reason(F.col("clause"), F.col("section_title"), F.col("body")))
 
 
-def greedy_groups(tokens: Column, cap: int) -> Column:
-    """Number of the group of each of an array of sizes: a group is closed before it would pass the cap."""
-    start = F.struct(F.lit(0).alias("group"), F.lit(0).alias("sum"), F.array().cast("array<int>").alias("all"))
-
-    def step(acc, n):
-        opens = (F.size(acc["all"]) > 0) & (acc["sum"] + n > cap)
-        group = acc["group"] + opens.cast("int")
-        return F.struct(group.alias("group"), F.when(opens, n).otherwise(acc["sum"] + n).alias("sum"), F.concat(acc["all"], F.array(group)).alias("all"))
-
-    return F.aggregate(tokens, start, step, lambda acc: acc["all"])
-
-
 def merge_siblings(sections: DataFrame, short: int = 200, cap: int = 400) -> DataFrame:
     """Merge runs of neighbouring short sections under one parent clause, up to ``cap`` tokens.
 
@@ -84,10 +73,8 @@ def merge_siblings(sections: DataFrame, short: int = 200, cap: int = 400) -> Dat
     islands = marked.withColumn("_island", F.sum(breaks).over(order))
     row = F.struct("section_ord", "clause", "section_title", "section_level", "body", "image_refs", "_tokens")
     grouped = islands.groupBy("spec_id", "release", "_island", "_parent").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-    split = grouped.withColumn("_groups", greedy_groups(F.transform("_rows", lambda r: r["_tokens"]), cap)).select(
-        "spec_id", "release", "_parent", F.explode(F.array_distinct("_groups")).alias("_g"), "_rows", "_groups"
-    )
-    part = split.withColumn("_part", F.filter("_rows", lambda r, i: F.get("_groups", i) == F.col("_g")))
+    starts = packed(F.transform("_rows", lambda r: r["_tokens"]), cap)
+    part = grouped.select("spec_id", "release", "_parent", F.explode(cut_at(F.col("_rows"), starts)).alias("_part"))
     one = F.col("_part")[0]
     many = F.size("_part") > 1
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions import text as T
 from corpuslens.functions import vectors as V
-from corpuslens.operators.aggregates import percentile
+from corpuslens.operators.aggregates import percentiles
 
 
 def id_drift(old: DataFrame, new: DataFrame, threshold: float = 0.05) -> DataFrame:
@@ -49,13 +49,6 @@ def merge_golden(files: DataFrame, force: bool = False) -> tuple[DataFrame, Data
     return marked.where("_all = 1").drop("_n", "_all"), marked.where("_n > 1").select("file_no", "id")
 
 
-def first_seen(files: DataFrame, column: str) -> DataFrame:
-    """Distinct values of an array column over all files, in the order in which they first appear: value, place."""
-    seen = files.select("file_no", "item_no", F.posexplode(column).alias("at", "value"))
-    first = seen.groupBy("value").agg(F.min(F.struct("file_no", "item_no", "at")).alias("_first"))
-    return first.withColumn("place", F.row_number().over(Window.orderBy("_first"))).select("value", "place")
-
-
 #: What an item's fields may hold.
 CATEGORIES = ["definition", "procedure", "multi_section", "table_lookup", "formula", "negative"]
 LANGUAGES, SOURCES = ["en", "zh"], ["teleqna_transformed", "hand_crafted"]
@@ -144,7 +137,8 @@ def vector_equivalence(wide: DataFrame, narrow: DataFrame, width: int, median_ga
     """Cosine of cut wide vectors with narrow ones (id, vec): min, p01, p05, median, mean, and whether the gates are met."""
     joined = wide.select("id", V.truncate_renorm(F.col("vec"), width).alias("w")).join(narrow.select("id", F.col("vec").alias("v")), "id")
     sims = joined.select(F.round(V.cosine(F.col("w"), F.col("v")), 9).alias("sim"))
-    out = sims.agg(
-        F.count("sim").alias("n"), F.min("sim").alias("least"), percentile("sim", 0.01, "nearest").alias("p01"), percentile("sim", 0.05, "nearest").alias("p05"), F.percentile("sim", 0.5).alias("median"), F.round(F.avg("sim"), 9).alias("mean"),
-    )
+    whole = sims.withColumn("whole", F.lit(0))
+    ranks = percentiles(whole, ["whole"], "sim", {"p01": (0.01, "nearest"), "p05": (0.05, "nearest"), "median": (0.5, "median")})
+    sums = sims.agg(F.count("sim").alias("n"), F.min("sim").alias("least"), F.round(F.avg("sim"), 9).alias("mean")).withColumn("whole", F.lit(0))
+    out = sums.join(ranks, "whole", "left").fillna(0.0, ["p01", "p05"]).select("n", "least", "p01", "p05", "median", "mean")
     return out.withColumn("passed", F.coalesce((F.col("median") >= median_gate) & (F.col("least") >= min_gate), F.lit(False)))

@@ -1,7 +1,8 @@
-"""Splitting of large tables and action lists: small functions on one text, run in batches.
+"""Splitting of large tables and action lists.
 
-Built-in expressions would read the lines once for each piece here, so these
-two run in Python, on the few blocks that are too large.
+Tables are cut by expressions over their rows. An action list is cut by levels,
+one inside the other, which no expression can do; a small function on one text
+does it, in batches, for the few blocks that are too large.
 """
 
 from __future__ import annotations
@@ -12,10 +13,12 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpuslens.functions import text as T
+from corpuslens.functions.arrays import cut_at, let, packed, where_true
+from corpuslens.operators.blocks import is_row, is_rule
+
 _TOKEN = re.compile(r"[A-Za-z0-9_]+|[^\sA-Za-z0-9_]", re.ASCII)
-_ROW = re.compile(r"^\s*\|.*\|\s*$")
-_RULE = re.compile(r"^\s*\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?\s*$")
-_LEVEL = re.compile(r"^\s*-\s+(\d+)>\s")
+_LEVEL = re.compile(r"[ \t]*-[ \t]+(\d+)>\s")
 
 
 def n_tokens(text: str) -> int:
@@ -28,44 +31,45 @@ def token_pieces(text: str, cap: int) -> list[str]:
     return [text[spans[a][0] : spans[min(a + cap, len(spans)) - 1][1]] for a in range(0, len(spans), cap)]
 
 
-def _pack(rows: list[str], budget: int) -> list[list[str]]:
-    out: list[list[str]] = []
-    left = 0
-    for row in rows:
-        n = n_tokens(row)
-        if not out or n > left:
-            out.append([])
-            left = budget
-        out[-1].append(row)
-        left -= n
-    return out
-
-
-def table_pieces(text: str, cap: int, by_tokens: bool = False) -> list[str]:
+def split_table(text: Column, cap: int, by_tokens: bool = False) -> Column:
     """Pieces of a table, each with its caption and header.
 
     The number of rows of a piece comes from the 95th percentile of their sizes;
     by_tokens packs rows by their own sizes instead, and cuts those over the
     budget. A table without a rule line, or rows, stays whole, or is cut by tokens.
     """
-    lines = text.split("\n")
-    rule = next((i for i, x in enumerate(lines) if _RULE.match(x)), None)
-    rows = [] if rule is None else [x for x in lines[rule + 1 :] if x.strip()]
-    if not rows:
-        return token_pieces(text, cap) if by_tokens else [text]
-    captioned = not _ROW.match(lines[0])
-    header = [x for x in lines[captioned : rule + 1] if x.strip()]
-    head = [*([lines[0], ""] if captioned else []), *header]
-    budget = max(1, cap - n_tokens("\n".join(head)))
-    if by_tokens:
-        parts = _pack([p for r in rows for p in (token_pieces(r, budget) if n_tokens(r) > budget else [r])], budget)
-    else:
-        sizes = sorted(map(n_tokens, rows))
-        each = max(1, budget // max(1, sizes[max(0, int(len(sizes) * 0.95) - 1)]))
-        if len(rows) <= each:
-            return [text]
-        parts = [rows[a : a + each] for a in range(0, len(rows), each)]
-    return ["\n".join([*head, *p]) for p in parts]
+    none = F.array().cast("array<string>")
+    full = lambda x: F.trim(x) != ""
+
+    def parts(lines):
+        rule = F.get(where_true(F.transform(lines, is_rule)), F.lit(0))
+        captioned = ~is_row(lines[0])
+        begin = F.when(captioned, 1).otherwise(0)
+        header = F.filter(F.slice(lines, begin + 1, F.greatest(rule + 1 - begin, F.lit(0))), full)
+        return F.struct(F.concat(F.when(captioned, F.array(lines[0], F.lit(""))).otherwise(none), header).alias("head"), F.coalesce(F.filter(F.slice(lines, rule + 2, F.size(lines)), full), none).alias("rows"))
+
+    def sized(t):
+        return F.struct(t["head"].alias("head"), t["rows"].alias("rows"), F.greatest(cap - T.n_tokens(F.array_join(t["head"], "\n")), F.lit(1)).alias("budget"), F.transform(t["rows"], T.n_tokens).alias("sizes"))
+
+    def pieces(t):
+        shown = lambda part: F.array_join(F.concat(t["head"], part), "\n")
+        if by_tokens:
+            pattern = F.concat(F.lit(rf"((?:{T.TOKEN})(?:\s*(?:{T.TOKEN})){{0,"), (t["budget"] - 1).cast("string"), F.lit("})"))
+            cut = F.flatten(F.transform(t["rows"], lambda x, i: F.when(F.get(t["sizes"], i) > t["budget"], F.regexp_extract_all(x, pattern, F.lit(1))).otherwise(F.array(x))))
+            made, whole = let(cut, lambda c: F.transform(cut_at(c, packed(F.transform(c, T.n_tokens), t["budget"])), shown)), T.split_tokens(text, cap)
+        else:
+            large = F.greatest(F.get(F.array_sort(t["sizes"]), F.greatest(F.floor(F.size(t["sizes"]) * F.lit(0.95)).cast("int") - 1, F.lit(0))), F.lit(1))
+            groups = lambda each: F.transform(F.sequence(F.lit(0), F.size(t["rows"]) - 1, each), lambda a: shown(F.slice(t["rows"], a + 1, each)))
+            made = let(F.greatest(F.floor(t["budget"] / large), F.lit(1)).cast("int"), lambda each: F.when(F.size(t["rows"]) <= each, F.array(text)).otherwise(groups(each)))
+            whole = F.array(text)
+        return F.when(F.size(t["rows"]) > 0, made).otherwise(whole)
+
+    return F.when(text.isNotNull(), let(let(let(F.split(text, "\n"), parts), sized), pieces))
+
+
+def force_split_table(text: Column, cap: int) -> Column:
+    """Pieces of at most ``cap`` tokens, but for the header."""
+    return split_table(text, cap, True)
 
 
 def action_pieces(text: str, cap: int) -> list[str]:
@@ -96,21 +100,9 @@ def action_pieces(text: str, cap: int) -> list[str]:
     return cut(text.split("\n"), -1, [])
 
 
-def _column(fn, text: Column, *args) -> Column:
+def split_actions(text: Column, cap: int) -> Column:
     @F.pandas_udf("array<string>")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else fn(t, *args))
+        return texts.map(lambda t: None if t is None else action_pieces(t, cap))
 
     return run(text)
-
-
-def split_table(text: Column, cap: int) -> Column:
-    return _column(table_pieces, text, cap)
-
-
-def force_split_table(text: Column, cap: int) -> Column:
-    return _column(table_pieces, text, cap, True)
-
-
-def split_actions(text: Column, cap: int) -> Column:
-    return _column(action_pieces, text, cap)

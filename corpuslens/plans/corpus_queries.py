@@ -24,14 +24,14 @@ from corpuslens.sources import write as W
 
 def marked_up(spark: SparkSession, d: str) -> DataFrame:
     lines = F.split("text", "\n")
-    head = lambda x, i: F.concat(F.lit("## "), (F.floor(i / 6) + 1).cast("string"), F.lit("."), (F.floor(i / 3) + 1).cast("string"), F.lit(" "), F.left(x, F.lit(30)))
+    head = lambda x, i: F.concat(F.lit("## "), (F.floor(i / 6) + 1).cast("string"), F.lit("."), (F.floor(i / 3) + 1).cast("string"), F.lit(" "), x)
     marked = F.transform(lines, lambda x, i: F.when(i % 3 == 0, head(x, i)).otherwise(x))
     return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("spec_id"), F.col("source").alias("release"), F.array_join(marked, "\n").alias("text"))
 
 
 _LINES = """
 l as (select doc_id, source, i - 1 as i, string_split(text, chr(10))[i] as x from documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) t(i)),
-m as (select *, i % 3 = 0 and left(x, 30) is not null as h, ((i // 6) + 1) || '.' || ((i // 3) + 1) as clause, trim(left(x, 30)) as title from l)"""
+m as (select *, i % 3 = 0 and x is not null as h, ((i // 6) + 1) || '.' || ((i // 3) + 1) as clause, case when length(trim(x)) <= 1200 then trim(x) else rtrim(left(trim(x), 1199)) || '…' end as title from l)"""
 
 
 @query(f"""with {_LINES}, s as (select doc_id::varchar as spec_id, (i // 3)::int as section_ord, max(clause) filter (where h) as clause, max(title) filter (where h) as title, coalesce(string_agg(x, chr(10) order by i) filter (where not h), '') as body from m group by doc_id, i // 3)
@@ -58,20 +58,39 @@ def chk02_merge_siblings(spark, d):
 
 
 def _sections(spark, d):
-    """Sections whose lines become rules, tables, actions and formulae by their place."""
-    lines = F.split("text", r"\. ")
-    made = F.transform(lines, lambda x, i: F.when(i % 7 == 1, F.concat(F.lit("| a | "), F.left(x, F.lit(10)), F.lit(" |\n|---|---|\n| 1 | 2 |"))).when(i % 7 == 3, F.concat(F.lit("- 1> "), x, F.lit("\n    more"))).when(i % 7 == 5, F.concat(F.lit("$$"), F.left(x, F.lit(5)), F.lit("$$"))).otherwise(x))
-    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("spec_id"), F.col("source").alias("release"), F.lit(0).alias("section_ord"), F.array_join(made, "\n").alias("body"))
+    """Sections whose lines become tables, actions, formulae and paragraphs by their place."""
+    lines = F.split(F.translate(F.replace("text", F.lit("\n"), F.lit(" ")), "$|", "SI"), r"\. ")
 
+    def made(x, i):
+        x = F.concat(F.lit("t "), x)
+        table_ = F.concat(F.lit("| a | "), x, F.lit(" |\n|---|---|\n| 1 | 2 |"))
+        return F.when(i % 7 == 1, table_).when(i % 7 == 3, F.concat(F.lit("- 1> "), x, F.lit("\n    more"))).when(i % 7 == 5, F.concat(F.lit("$$"), x, F.lit("$$"))).otherwise(x)
 
-@query()
+    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("spec_id"), F.col("source").alias("release"), F.lit(0).alias("section_ord"), F.array_join(F.transform(lines, made), "\n").alias("body"))
+
+
+_TOKENS = "len(regexp_extract_all({}, '[A-Za-z0-9_]+|[^\\sA-Za-z0-9_]'))"
+_BLOCKS = """
+p as (select doc_id, source, string_split(translate(replace(text, chr(10), ' '), '$|', 'SI'), '. ') as p from documents), l as (select doc_id, source, i - 1 as i, 't ' || p[i] as x from p, unnest(range(1, len(p) + 1)) u(i)),
+m as (select *, case i % 7 when 1 then '| a | ' || x || ' |' || chr(10) || '|---|---|' || chr(10) || '| 1 | 2 |' when 3 then '- 1> ' || x || chr(10) || '    more' when 5 then '$$' || x || '$$' else x end as t,
+  case i % 7 when 1 then 'table' when 3 then 'action_list' when 5 then 'formula_block' else 'paragraph' end as k, (i % 7 <> 0 or i = 0)::int as opens from l),
+b as (select *, (sum(opens) over (partition by doc_id order by i))::int as block_ord from m),
+blocks as (select doc_id::varchar as spec_id, source as release, 0 as section_ord, block_ord, min(k) as kind, regexp_replace(string_agg(t, chr(10) order by i), '\\s+$', '') as text from b group by all)"""
+
+
+@query(f"with {_BLOCKS} select * from blocks")
 def chk03_blockize(spark, d):
     return B.blockize(_sections(spark, d))
 
 
-@query()
+@query(f"""with recursive {_BLOCKS}, n as (select *, {_TOKENS.format("text")} as n, row_number() over (partition by spec_id order by block_ord) as k from blocks),
+g as (select spec_id, k, n as total, n >= 40 as shut, 0 as piece_ord from n where k = 1
+  union all select n.spec_id, n.k, case when shut or n > 60 or total + n > 60 then n else total + n end, case when shut or n > 60 or total + n > 60 then n >= 40 else total + n >= 40 end, piece_ord + (shut or n > 60 or total + n > 60)::int from g join n on n.spec_id = g.spec_id and n.k = g.k + 1)
+select spec_id, piece_ord::int as piece_ord, case when bool_or(kind = 'table') then 'table' when bool_or(kind = 'formula_block') then 'formula' when bool_or(kind = 'action_list') then 'action_list' else 'text' end as chunk_type, trim(string_agg(text, chr(10) || chr(10) order by k)) as text
+from g join n using (spec_id, k) group by spec_id, piece_ord""")
 def chk04_pack(spark, d):
-    return C.pack(C.split_blocks(B.blockize(_sections(spark, d)), 60), 40, 60).select("spec_id", "piece_ord", "chunk_type", "text")
+    blocks = B.blockize(_sections(spark, d)).withColumns({"part": F.lit(0), "whole": F.lit(True)})
+    return C.pack(blocks, 40, 60).select("spec_id", "piece_ord", "chunk_type", "text")
 
 
 TABLE_TEXT = "concat('Table 5.', cast(doc_id as string), '-1: cap', chr(10), '| a | b |', chr(10), '|---|---|', chr(10), '| ', replace(replace(text, '|', '/'), chr(10), concat(' | x |', chr(10), '| ')), ' | x |')"
@@ -96,14 +115,28 @@ def chk06_split_asn1(spark, d):
     return t.select("doc_id", F.posexplode(B.split_asn1(F.col("t"))).alias("piece", "text"))
 
 
-@query()
+_RUNS = "regexp_extract_all({}, '(?:[A-Za-z0-9_]+|[^\\sA-Za-z0-9_])(?:\\s*(?:[A-Za-z0-9_]+|[^\\sA-Za-z0-9_])){{0,59}}')"
+
+
+@query(f"""
+with p as (select doc_id, string_split(replace(text, chr(10), ' '), '. ') as p from documents), l as (select doc_id, i - 1 as i, '- ' || ((i - 1) % 2 + 1) || '> ' || p[i] as x from p, unnest(range(1, len(p) + 1)) u(i)),
+a as (select doc_id, rtrim(string_agg(x, chr(10) order by i)) as t from l group by doc_id), q as (select doc_id, i // 2 as k, rtrim(string_agg(x, chr(10) order by i)) as t from l group by all),
+u as (select doc_id, 0 as k, [t] as ts from a where {_TOKENS.format("t")} <= 60 union all select doc_id, k, case when {_TOKENS.format("q.t")} <= 60 then [q.t] else {_RUNS.format("q.t")} end from q join a using (doc_id) where {_TOKENS.format("a.t")} > 60)
+select doc_id, (row_number() over (partition by doc_id order by k, j) - 1)::int as part, ts[j] as text from u, unnest(range(1, len(ts) + 1)) x(j)""")
 def chk07_split_actions(spark, d):
-    lines = F.split("text", r"\. ")
-    made = F.array_join(F.transform(lines, lambda x, i: F.concat(F.lit("- "), (i % 3 + 1).cast("string"), F.lit("> "), x)), "\n")
+    """Actions of two levels by turns, so a piece is an action of the first level with the next one under it."""
+    lines = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), r"\. ")
+    made = F.array_join(F.transform(lines, lambda x, i: F.concat(F.lit("- "), (i % 2 + 1).cast("string"), F.lit("> "), x)), "\n")
     return table(spark, d, "documents").select("doc_id", made.alias("t")).select("doc_id", F.posexplode(P.split_actions(F.col("t"), 60)).alias("part", "text"))
 
 
-@query()
+@query(f"""
+with recursive t as (select doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as t from documents), s as (select doc_id, t, {_TOKENS.format("t")} as n, string_split(regexp_replace(t, '([.!?。！？])\\s+', '\\1' || chr(1), 'g'), chr(1)) as ss from t where t <> ''),
+e as (select doc_id, n, i, regexp_replace(ss[i], '^\\s+|\\s+$', '', 'g') as x from s, unnest(range(1, len(ss) + 1)) u(i) where n > 60),
+h as (select doc_id, i, case when {_TOKENS.format("x")} > 60 then {_RUNS.format("x")} else [x] end as xs from e where x <> ''),
+u as (select doc_id, row_number() over (partition by doc_id order by i, j) as k, xs[j] as x, {_TOKENS.format("xs[j]")} as n from h, unnest(range(1, len(xs) + 1)) y(j)),
+g as (select doc_id, k, n as total, 0 as piece from u where k = 1 union all select u.doc_id, u.k, case when total + n <= 60 then total + n else n end, piece + (total + n > 60)::int from g join u on u.doc_id = g.doc_id and u.k = g.k + 1)
+select doc_id, piece::int as piece, string_agg(x, ' ' order by k) as text from g join u using (doc_id, k) group by doc_id, piece union all select doc_id, 0, t from s where n <= 60""")
 def chk08_split_paragraphs(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(B.split_paragraph(F.col("text"), 60)).alias("piece", "text"))
 
@@ -146,10 +179,10 @@ def chk12_build_chunks(spark, d):
 
 
 @query("""
-with c as (select doc_id, source, lang, left(text, 4) as content, n_chars % 50 as chunk_id from documents), a as (select *, row_number() over (partition by source, lang, content order by doc_id) as a from c), b as (select *, row_number() over (partition by source, chunk_id order by doc_id) as b from a where a = 1)
+with c as (select doc_id, source, lang, text as content, n_chars % 50 as chunk_id from documents), a as (select *, row_number() over (partition by source, lang, content order by doc_id) as a from c), b as (select *, row_number() over (partition by source, chunk_id order by doc_id) as b from a where a = 1)
 select doc_id, source from b where b = 1""")
 def chk13_dedupe_chunks(spark, d):
-    t = table(spark, d, "documents").selectExpr("source as spec_id", "'r' as release", "0 as section_ord", "doc_id as piece_ord", "0 as sub_ord", "concat(lang, left(text, 4)) as content", "n_chars % 50 as chunk_id")
+    t = table(spark, d, "documents").selectExpr("source as spec_id", "'r' as release", "0 as section_ord", "doc_id as piece_ord", "0 as sub_ord", "concat(lang, text) as content", "n_chars % 50 as chunk_id")
     return C.dedupe_chunks(t).select(F.col("piece_ord").alias("doc_id"), F.col("spec_id").alias("source"))
 
 
@@ -161,28 +194,32 @@ def chk14_chunk_stats(spark, d):
 
 
 def _terms(spark, d):
-    body = "concat('**T', cast(doc_id % 40 as string), ':** ', replace(text, chr(10), concat(chr(10), chr(10), chr(10), chr(10))), chr(10), '**', left(lang, 1), ':** x', chr(10), '| A', cast(doc_id % 30 as string), ' | ', left(replace(replace(text, chr(10), ' '), '|', '/'), 20), ' |', chr(10), '|---|---|', chr(10), '| Abbreviation | Meaning |')"
+    body = "concat('**T', cast(doc_id % 40 as string), ':** ', replace(text, chr(10), concat(chr(10), chr(10), chr(10), chr(10))), chr(10), '**', left(lang, 1), ':** x', chr(10), '| A', cast(doc_id % 30 as string), ' | ', replace(replace(text, chr(10), ' '), '|', '/'), ' |', chr(10), '|---|---|', chr(10), '| Abbreviation | Meaning |')"
     return table(spark, d, "documents").selectExpr("source as spec_id", "doc_id as section_ord", "'3.1' as clause", "case doc_id % 3 when 0 then 'Definitions' when 1 then ' abbreviations' else 'Definitions and abbreviations' end as section_title", f"{body} as body")
 
 
-@query("""
-with t as (select source, doc_id, 'T' || (doc_id % 40) as term, left(regexp_replace(regexp_replace(replace(text, chr(10), chr(10) || chr(10) || chr(10) || chr(10)), '\\n[ \\t]*\\n[ \\t]*(?:\\n[ \\t]*)+', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g'), 8000) as definition from documents)
-select source as spec_id, doc_id as section_ord, term, definition from t where definition <> ''""")
+_DEFINED = """t as (select source, doc_id, 'T' || (doc_id % 40) as term, left(regexp_replace(regexp_replace(replace(text, chr(10), chr(10) || chr(10) || chr(10) || chr(10)), '\\n[ \\t]*\\n[ \\t]*(?:\\n[ \\t]*)+', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g'), 8000) as definition from documents),
+terms as (select source, doc_id, term, definition, 0 as place from t where definition <> ''
+  union all select source, doc_id, left(lang, 1), 'x' || chr(10) || '| A' || (doc_id % 30) || ' | ' || replace(replace(text, chr(10), ' '), '|', '/') || ' |' || chr(10) || '|---|---|' || chr(10) || '| Abbreviation | Meaning |', 1 from documents),
+named as (select source, doc_id, term, left(definition, 8000) as definition, place from terms), short as (select source, doc_id, 'A' || (doc_id % 30) as term, left(trim(replace(replace(text, chr(10), ' '), '|', '/')), 8000) as definition, 0 as place from documents where trim(replace(text, chr(10), ' ')) <> '')"""
+
+
+@query(f"with {_DEFINED} select source as spec_id, doc_id as section_ord, term, definition from named")
 def chk15_definitions(spark, d):
-    return G.extract_definitions(_terms(spark, d)).where("term like 'T%'").select("spec_id", "section_ord", "term", "definition")
+    return G.extract_definitions(_terms(spark, d)).select("spec_id", "section_ord", "term", "definition")
 
 
 @query("""
-select source as spec_id, doc_id as section_ord, 'A' || (doc_id % 30) as term, trim(left(replace(replace(text, chr(10), ' '), '|', '/'), 20)) as definition from documents""")
+select source as spec_id, doc_id as section_ord, 'A' || (doc_id % 30) as term, left(trim(replace(replace(text, chr(10), ' '), '|', '/')), 8000) as definition from documents""")
 def chk16_abbreviations(spark, d):
     return G.extract_abbreviations(_terms(spark, d)).select("spec_id", "section_ord", "term", "definition")
 
 
-@query("""
-with e as (select source, doc_id, 'T' || (doc_id % 40) as term, 0 as k from documents where doc_id % 3 <> 1 union all select source, doc_id, left(lang, 1), 0 from documents where doc_id % 3 <> 1 union all select source, doc_id, 'A' || (doc_id % 30), 1 from documents where doc_id % 3 <> 0)
-select distinct source as spec_id, term, lower(term) as normalized_term from e""")
+@query(f"""with {_DEFINED}, e as (select *, 0 as k from named where doc_id % 3 <> 1 union all select *, 1 from short where doc_id % 3 <> 0),
+f as (select *, row_number() over (partition by source, term order by doc_id, k, place) as n from e)
+select source as spec_id, term, lower(term) as normalized_term, definition, '3.1' as path from f where n = 1""")
 def chk17_build_glossary(spark, d):
-    return G.build_glossary(_terms(spark, d)).select("spec_id", "term", "normalized_term")
+    return G.build_glossary(_terms(spark, d)).select("spec_id", "term", "normalized_term", "definition", F.array_join("section_path", "/").alias("path"))
 
 
 @query("""
@@ -216,13 +253,30 @@ def prj30_prefix_filter(spark, d):
     return prefix_filter(t, "1", "text").select("doc_id", F.lit("text").alias("mode")).unionByName(prefix_filter(t, "1", "segments").select("doc_id", F.lit("segments").alias("mode")))
 
 
-@query()
+_CONFIGS = [(1, 5, 60, 5), (2, 20, 60, 10), (3, 20, 10, 10)]
+
+
+def _sweep_sql() -> str:
+    from corpuslens.plans.retrieval_queries import _DEN, _HITS, _LEX
+
+    rows = ", ".join(map(str, _CONFIGS))
+    return f"""with {_LEX}, {_DEN}, {_HITS}, cfg as (select * from (values {rows}) v(config_id, depth, rrf_k, top_n)),
+fu as (select config_id, query_id, chunk_id, round(sum(1.0::double / (rrf_k + rank)), 12) as score, min(list_no * 100000 + rank) as f, max(top_n) as top_n from hits, cfg where rank <= depth group by all),
+rk as (select *, row_number() over (partition by config_id, query_id order by score desc, f, chunk_id) as r from fu),
+j as (select config_id, query_id, r, query_id % 10 <> 9 and ((source = 'src' || (query_id % 20) and (query_id % 3 = 0 or chunk_id % 7 = query_id % 7)) or (query_id % 3 <> 0 and source = 'src3' and chunk_id % 7 = query_id % 7 and chunk_id % 3 = 1)) as hit from rk join documents on doc_id = chunk_id where r <= top_n),
+m as (select config_id, query_id, min(r) filter (where hit) as se from j group by all),
+g as (select config_id, item_id as query_id, item_id % 10 <> 9 as asked from benchmark, cfg)
+select config_id, count(*) as n, count(*) filter (where m.query_id is null) as n_empty, round(avg(case when asked then coalesce(1.0::double / se, 0) end), 9) as mrr, round(avg(case when asked then coalesce(se <= 5, false)::int::double end), 9) as section_recall_5
+from g left join m using (config_id, query_id) group by config_id"""
+
+
+@query(_sweep_sql())
 def evl05_sweep(spark, d):
     from corpuslens.plans.relational_queries import _golden
     from corpuslens.plans.retrieval_queries import hits
 
     places = table(spark, d, "documents").selectExpr("doc_id as chunk_id", "source as spec_id", "array(cast(doc_id % 7 as string), cast(doc_id % 3 as string)) as section_path", "'' as clause", "lang as section_title")
-    configs = spark.createDataFrame([(1, 5, 60, 5), (2, 20, 60, 10), (3, 20, 10, 10)], "config_id int, depth int, rrf_k int, top_n int")
+    configs = spark.createDataFrame(_CONFIGS, "config_id int, depth int, rrf_k int, top_n int")
     return V.sweep(hits(spark, d), _golden(spark, d), places, configs)
 
 

@@ -85,3 +85,112 @@ def str07_dedupe(spark, d):
     e = _events(spark, d).select(F.concat_ws("/", "user_id", F.floor("value")).alias("chunk_id"), "ts", "user_id")
     out = _to_end(stream.dedupe(e, "60 days"), "append", "str07")
     return spark.read.parquet(out).groupBy(F.col("user_id").alias("chunk_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# the streaming forms of quota, runs and trailing cost
+
+
+@query("select user_id, floor(epoch(ts) / 86400)::bigint * 86400 as window_start, count(*) as n, count(*) > 3 as over_limit from events where event_type = 'click' group by 1, 2")
+def str01_rate_windows_stream(spark, d):
+    e = _events(spark, d).select("user_id", F.col("event_type").alias("bucket"), "ts")
+    out = _to_end(stream.rate_windows(e, "click", 86400, 3), "update", "str01")
+    return stream.latest(spark.read.parquet(out).drop("batch"), ["user_id", "window_start"]).withColumnRenamed("over", "over_limit")
+
+
+@query("""
+with n as (select event_id, user_id, (ts + interval 8 hour)::date as local_day, row_number() over (partition by user_id, (ts + interval 8 hour)::date order by ts, event_id) as n from events where user_id % 5 <> 0)
+select user_id, local_day::varchar as local_day, event_id, n, case n when 1 then 'first' else 'over' end as edge from n where n in (1, 4)""")
+def str02_daily_quota_stream(spark, d):
+    e = _events(spark, d).selectExpr("event_id", "user_id", "ts", "case when user_id % 5 = 0 then 'admin' else 'user' end as role")
+    out = _to_end(stream.daily_quota(e, "Asia/Shanghai", 3), "append", "str02")
+    return spark.read.parquet(out).select("user_id", "local_day", "event_id", "n", "edge")
+
+
+@query("""
+with e as (select user_id as run_id, event_id as seq, case event_type when 'view' then 'token' when 'error' then 'error' when 'purchase' then 'final' when 'click' then 'node_end' else 'end' end as event from events)
+select run_id, coalesce('a' || max(seq) filter (where event = 'final'), '') as answer, count(*) filter (where event = 'token') as n_tokens, arg_max(event, seq) filter (where event in ('final', 'error')) as terminal from e group by run_id having bool_or(event in ('final', 'error'))""")
+def str05_fold_run_events_stream(spark, d):
+    """Runs that have ended; the others are still open when the stream stops."""
+    kind = "case event_type when 'view' then 'token' when 'error' then 'error' when 'purchase' then 'final' when 'click' then 'node_end' else 'end' end"
+    data = "case event_type when 'purchase' then to_json(named_struct('answer', concat('a', cast(event_id as string)))) else props end"
+    e = _events(spark, d).selectExpr("user_id as run_id", "event_id as seq", f"{kind} as event", f"{data} as data", "ts")
+    out = _to_end(stream.fold_run_events(e), "append", "str05")
+    return spark.read.parquet(out).where("terminal in ('final', 'error', 'cancelled')").select("run_id", "answer", "n_tokens", "terminal")
+
+
+@query(f"""with {_DAILY}, d as (select day, sum(total_cost_usd) as c from us group by day), a as (select unnest(generate_series(min(day), max(day) + 7, interval 1 day))::date as day from d)
+select a.day::varchar as day, round(sum(c), 4) as trailing_cost from a join d on d.day between a.day - 7 and a.day group by a.day""")
+def str08_trailing_usage_stream(spark, d):
+    prices = spark.createDataFrame(_P, "kind string, model string, input_price double, output_price double, call_price double, billed boolean")
+    calls = _events(spark, d).selectExpr(
+        "event_id", "case when user_id % 11 = 0 then null else user_id end as user_id", "ts", f"{KIND} as kind", "concat('m', cast(user_id % 2 as string)) as model", "cast(floor(value) as bigint) - 2 as input_tokens",
+        "event_id % 7 as output_tokens", "event_id % 5 - 1 as n_docs", "event_id % 13 as doc_tokens",
+    )
+    out = _to_end(stream.trailing_usage(U.call_cost(calls, prices)), "update", "str08")
+    return stream.latest(spark.read.parquet(out).drop("batch"), ["day"]).select(F.col("day").cast("string").alias("day"), F.round("trailing_cost", 4).alias("trailing_cost"))
+
+
+@query("select doc_id, source as spec_id, 0 as v from documents where source not in ('src1', 'src2') union all select doc_id, source, 1 from documents where source in ('src1', 'src2') and doc_id % 3 = 0")
+def str06_stream_corpus(spark, d):
+    """Two deliveries: all documents, then two of them changed and one as it was."""
+    path = scratch_path(spark, "str06")
+    t = table(spark, d, "documents").select(F.col("source").alias("spec_id"), "doc_id", "text", F.lit(0).alias("v"))
+    again = t.where("spec_id in ('src1', 'src2') and doc_id % 3 = 0 or spec_id = 'src3'").withColumn("v", F.lit(1))
+    for delivery in (t, again):
+        delivery.write.mode("append").parquet(f"{path}/in")
+        stream.stream_corpus(spark.readStream.schema(t.schema).parquet(f"{path}/in"), lambda rows: rows.select("spec_id", "doc_id", "v"), f"{path}/out", path)
+    return spark.read.parquet(f"{path}/out").select("doc_id", F.col("spec_id").cast("string").alias("spec_id"), "v")
+
+
+# readers
+
+
+def _files(spark: SparkSession, d: str, name: str) -> str:
+    """A file for each page, under RELEASE/SERIES/DOCUMENT/."""
+    path = scratch_path(spark, name)
+    placed = table(spark, d, "pages").selectExpr("html", "page_id % 3 as release", "page_id % 2 as series", "page_id as spec_uid")
+    placed.write.partitionBy("release", "series", "spec_uid").text(path)
+    return path
+
+
+@query("select 'release=' || (page_id % 3) as release, 'spec_uid=' || page_id as spec_uid, sha256(html || chr(10)) as sha256 from pages")
+def src01_read_corpus(spark, d):
+    return read.read_corpus(spark, _files(spark, d, "src01"), "part-*").select("release", "spec_uid", F.sha2("text", 256).alias("sha256"))
+
+
+@query("select doc_id, text from documents where doc_id % 5 > 1 and trim(text) <> ''")
+def src04_read_jsonl(spark, d):
+    """Of the lines one in five is broken and one blank."""
+    path = scratch_path(spark, "src04")
+    line = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit('{"doc_id": '), F.col("doc_id").cast("string"))).when(F.col("doc_id") % 5 == 1, " ").otherwise(F.to_json(F.struct("doc_id", "text")))
+    table(spark, d, "documents").select(line.alias("value")).write.text(path)
+    return read.read_jsonl(spark, path, "doc_id bigint, text string", ["doc_id", "text"])
+
+
+@query("select doc_id::varchar as key, text, lang from documents")
+def src05_read_keyed_json(spark, d):
+    """Objects of fifty records each."""
+    path = scratch_path(spark, "src05")
+    record = F.struct(F.col("doc_id").cast("string").alias("key"), F.struct("text", "lang").alias("value"))
+    grouped = table(spark, d, "documents").groupBy(F.expr("doc_id div 50").alias("file")).agg(F.to_json(F.map_from_entries(F.collect_list(record))).alias("value"))
+    grouped.write.partitionBy("file").text(path)
+    return read.read_keyed_json(spark, f"{path}/*", "text string, lang string")
+
+
+@query("select 'q' || item_id as id, text as question, case when item_id % 3 = 0 then '' else 's' || item_id end as specs, case when item_id % 4 = 0 then 1 else 0 end as n_facts, item_id % 5 = 0 as refuses from benchmark")
+def src06_read_golden(spark, d):
+    path = scratch_path(spark, "src06")
+    spec = F.struct(F.when(F.col("item_id") % 3 == 0, " ").otherwise(F.concat(F.lit(" s"), F.col("item_id").cast("string"))).alias("spec_id"))
+    item = F.struct(
+        F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("id"), F.col("text").alias("question"), F.array(spec).alias("expected_specs"),
+        F.when(F.col("item_id") % 4 == 0, F.array("text")).alias("expected_facts"), F.when(F.col("item_id") % 5 == 0, F.lit(True)).alias("must_say_not_found"),
+    )
+    files = table(spark, d, "benchmark").groupBy(F.expr("item_id div 10").alias("file")).agg(F.to_json(F.collect_list(item)).alias("value"))
+    files.write.partitionBy("file").text(path)
+    golden = read.read_golden(spark, f"{path}/*")
+    return golden.select("id", "question", F.array_join("expected_specs.spec_id", ",").alias("specs"), F.size("expected_facts").alias("n_facts"), F.col("must_say_not_found").alias("refuses"))
+
+
+@query("select page_id::varchar as spec_uid, strlen(html) + 1 as size, sha256(html || chr(10)) as sha256 from pages")
+def src07_hash_files(spark, d):
+    return read.hash_files(spark, _files(spark, d, "src07"), "part-*").select(F.regexp_extract("path", "spec_uid=([0-9]+)/", 1).alias("spec_uid"), "size", "sha256")

@@ -76,23 +76,23 @@ def jon06_merge_runs(spark, d):
 
 @query("""
 with c as (select source as k, arg_min(text, doc_id) as content from documents where text <> '' group by source)
-select page_id, 'src' || (page_id % 25) as chunk_id, left(content, 50) as content from pages left join c on k = 'src' || (page_id % 25)""")
+select page_id, 'src' || (page_id % 25) as chunk_id, content from pages left join c on k = 'src' || (page_id % 25)""")
 def jon07_hydrate(spark, d):
     c = table(spark, d, "pages").selectExpr("page_id", "concat('src', cast(page_id % 25 as string)) as chunk_id")
     chunks = table(spark, d, "documents").selectExpr("source as chunk_id", "text as content", "doc_id as ord")
-    return J.hydrate(c, chunks).select("page_id", "chunk_id", F.left("content", F.lit(50)).alias("content"))
+    return J.hydrate(c, chunks).select("page_id", "chunk_id", "content")
 
 
 @query("""
 with g as (select item_id, 'src' || (item_id % 20) as spec_id, case when item_id % 4 = 0 then null else (item_id % 7)::varchar end as section from benchmark union all select item_id, 'src' || (item_id % 20), (item_id % 7) || '.1' from benchmark),
-c as (select doc_id, source as spec_id, (doc_id % 7) || '.' || (doc_id % 3) as clause, left(text, 200) as t from documents),
+c as (select doc_id, source as spec_id, (doc_id % 7) || '.' || (doc_id % 3) as clause, text as t from documents),
 u as (select distinct item_id, doc_id, t from g join c using (spec_id) where coalesce(section, '') = '' or clause = section or starts_with(clause, section || '.'))
 select item_id, left(string_agg(t, chr(10) || chr(10) order by doc_id), 3000) as reference from u group by item_id""")
 def jon08_reference_text(spark, d):
     b = table(spark, d, "benchmark")
     g = b.selectExpr("item_id", "concat('src', cast(item_id % 20 as string)) as spec_id", "case when item_id % 4 = 0 then null else cast(item_id % 7 as string) end as section").unionByName(
         b.selectExpr("item_id", "concat('src', cast(item_id % 20 as string)) as spec_id", "concat(cast(item_id % 7 as string), '.1') as section"))
-    c = table(spark, d, "documents").selectExpr("doc_id as chunk_id", "doc_id as document_order", "source as spec_id", "concat(cast(doc_id % 7 as string), '.', cast(doc_id % 3 as string)) as clause", "left(text, 200) as content")
+    c = table(spark, d, "documents").selectExpr("doc_id as chunk_id", "doc_id as document_order", "source as spec_id", "concat(cast(doc_id % 7 as string), '.', cast(doc_id % 3 as string)) as clause", "text as content")
     return J.reference_text(g, c)
 
 
@@ -145,10 +145,10 @@ def jon12_system_pairs(spark, d):
 
 
 @query("""
-with t as (select distinct regexp_extract(text, '([\\pL\\pN]+)', 1) as term from benchmark), w as (select distinct source, unnest(regexp_extract_all(lower(text), '[\\pL\\pN]+')) as word from documents)
+with t as (select distinct unnest(regexp_extract_all(text, '[\\pL\\pN]+')) as term from benchmark), w as (select distinct source, unnest(regexp_extract_all(lower(text), '[\\pL\\pN]+')) as word from documents)
 select term, count(distinct source) as n_documents from t left join w on word = lower(term) group by term""")
 def jon13_term_document_counts(spark, d):
-    terms = table(spark, d, "benchmark").select(F.regexp_extract("text", r"([\pL\pN]+)", 1).alias("term"))
+    terms = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"([\pL\pN]+)"), F.lit(1))).alias("term"))
     return J.term_document_counts(terms, table(spark, d, "documents").selectExpr("source as spec_id", "text as content"))
 
 
@@ -214,9 +214,8 @@ with s as (select source, list_sort(list(n_chars)) as x, count(*) as n, 0.9::dou
 k as (select *, least(greatest(floor(pos), 1), n - 1)::bigint as j, round_even(0.95::double * (n - 1), 0)::bigint as r from s)
 select source, x[r + 1]::double as nearest, x[n // 2 + 1]::double as upper, (select median(n_chars) from documents d where d.source = k.source) as median, case when n >= 10 then x[j] + (x[j + 1] - x[j]) * (pos - j) end as exclusive from k""")
 def agg11_percentiles(spark, d):
-    p = A.percentile
-    return table(spark, d, "documents").groupBy("source").agg(
-        p("n_chars", 0.95, "nearest").alias("nearest"), p("n_chars", 0.5, "upper").alias("upper"), p("n_chars", 0.5, "median").alias("median"), p("n_chars", 0.9, "exclusive").alias("exclusive"))
+    wanted = {"nearest": (0.95, "nearest"), "upper": (0.5, "upper"), "median": (0.5, "median"), "exclusive": (0.9, "exclusive")}
+    return A.percentiles(table(spark, d, "documents"), ["source"], "n_chars", wanted)
 
 
 @query("""
@@ -283,12 +282,12 @@ def agg17_distribution(spark, d):
 
 
 @query("""
-with t as (select doc_id % 3 as k, replace(text, ', ', chr(10) || '|--|' || left(text, 3)) || case when doc_id % 5 = 0 then '$x$' else '' end as c from documents),
+with t as (select doc_id % 3 as k, replace(text, ', ', chr(10) || '|--|' || lang) || case when doc_id % 5 = 0 then '$x$' else '' end as c from documents),
 s as (select k, length(c) as size, least(len(list_filter(string_split(c, chr(10)), lambda x: regexp_matches(x, '^\\s*\\|.*\\|\\s*$'))), 50) as rows, regexp_matches(c, '\\|\\s*:?-{2,}') as ruled, contains(c, '$') as formula from t)
 select k::varchar as chunk_type, count(*) as n, min(size) as min_size, max(size) as max_size, list_sort(list(size))[count(*) // 2 + 1]::double as mid_size, round(avg(ruled::int), 9) as ruled, round(avg(formula::int), 9) as formula,
   list_sort(list(rows))[count(*) // 2 + 1]::double as mid_rows from s group by k""")
 def agg18_chunk_quality(spark, d):
-    t = table(spark, d, "documents").selectExpr("cast(doc_id % 3 as string) as chunk_type", "concat(replace(text, ', ', concat(chr(10), '|--|', left(text, 3))), case when doc_id % 5 = 0 then '$x$' else '' end) as content")
+    t = table(spark, d, "documents").selectExpr("cast(doc_id % 3 as string) as chunk_type", "concat(replace(text, ', ', concat(chr(10), '|--|', lang)), case when doc_id % 5 = 0 then '$x$' else '' end) as content")
     return A.chunk_quality(t)
 
 
@@ -296,7 +295,7 @@ def agg18_chunk_quality(spark, d):
 with t as (select source as spec_id, lang as chunk_type, doc_id % 2 = 0 as s, doc_id % 3 = 0 as l from documents)
 select spec_id, chunk_type, grouping_id(spec_id, chunk_type)::int as level, count(*) as n, count(*) filter (where s and not l) as symbols_only, count(*) filter (where l and not s) as lost_only, count(*) filter (where s and l) as both from t group by rollup (spec_id, chunk_type)""")
 def agg19_annotation_stats(spark, d):
-    t = table(spark, d, "documents").selectExpr("source as spec_id", "lang as chunk_type", "concat(left(text, 50), case when doc_id % 2 = 0 then ' Formula symbols: a' else '' end, case when doc_id % 3 = 0 then ' [Note: source markdown contains stripped formula(s)]' else '' end) as content")
+    t = table(spark, d, "documents").selectExpr("source as spec_id", "lang as chunk_type", "concat(text, case when doc_id % 2 = 0 then ' Formula symbols: a' else '' end, case when doc_id % 3 = 0 then ' [Note: source markdown contains stripped formula(s)]' else '' end) as content")
     return A.annotation_stats(t)
 
 
@@ -370,10 +369,10 @@ def win05_plan_slots(spark, d):
 
 
 @query("""
-with r as (select source as spec_id, doc_id as chunk_id, list(doc_id) over w as ids, list(left(text, 10)) over w as c from documents window w as (partition by source order by doc_id rows between current row and 2 following))
+with r as (select source as spec_id, doc_id as chunk_id, list(doc_id) over w as ids, list(text) over w as c from documents window w as (partition by source order by doc_id rows between current row and 2 following))
 select spec_id, chunk_id, array_to_string(ids, ',') as ids, array_to_string(c, chr(10) || chr(10)) as content from r where len(ids) >= 2""")
 def win06_adjacent_runs(spark, d):
-    t = table(spark, d, "documents").selectExpr("source as spec_id", "doc_id as chunk_id", "doc_id as document_order", "left(text, 10) as content")
+    t = table(spark, d, "documents").selectExpr("source as spec_id", "doc_id as chunk_id", "doc_id as document_order", "text as content")
     return W.adjacent_runs(t).withColumn("ids", F.array_join(F.transform("ids", lambda x: x.cast("string")), ","))
 
 
@@ -514,11 +513,12 @@ def evl07_score_answers(spark, d):
 
 
 @query("""
-with t as (select doc_id, text, string_split(replace(text, chr(10), ' '), ' ') as w from documents), f as (select doc_id, trim(regexp_replace(lower(array_to_string(list_slice(w, 1, 9), ' ') || ' qqqq zzzz wwww yyyy'), '[^a-z0-9]+', ' ', 'g')) as fact, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' as h from t),
+with t as (select a.doc_id, a.text, b.text as fact from documents a join documents b on b.doc_id = a.doc_id + 1), f as (select doc_id, trim(regexp_replace(lower(fact || ' qqqq'), '[^a-z0-9]+', ' ', 'g')) as fact, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' as h from t),
 k as (select doc_id, fact, h, list_filter(string_split(fact, ' '), lambda x: length(x) >= 4) as ws from f)
 select doc_id, len(list_filter(ws, lambda x: contains(h, x))) / len(ws) >= 0.6 as present from k""")
 def evl08_fact_in_text(spark, d):
-    t = table(spark, d, "documents").select("doc_id", "text", F.concat(F.array_join(F.slice(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), 1, 9), " "), F.lit(" qqqq zzzz wwww yyyy")).alias("fact"))
+    docs = table(spark, d, "documents")
+    t = docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.concat("text", F.lit(" qqqq")).alias("fact")), "doc_id")
     return t.select("doc_id", V.fact_in_text(F.col("fact"), F.col("text")).alias("present"))
 
 
@@ -565,10 +565,10 @@ def evl13_flag_items(spark, d):
 
 
 @query("""
-with s as (select doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g') as text from documents),
-t as (select doc_id, regexp_extract_all(upper(left(text, 60)) || ' ' || text, '\\b([A-Z][A-Z0-9]{1,9})\\b', 1) as a from s)
+with s as (select doc_id, source, regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g') as text from documents),
+t as (select doc_id, regexp_extract_all(upper(source) || ' ' || text, '\\b([A-Z][A-Z0-9]{1,9})\\b', 1) as a from s)
 select doc_id, array_to_string(list_filter(a, lambda x, i: list_position(a, x) = i and x not in ('THE', 'OF')), ',') as acronyms from t""")
 def evl14_acronyms(spark, d):
     ascii_only = F.regexp_replace("text", r"[^\x00-\x7F]", "_")
-    t = table(spark, d, "documents").select("doc_id", ascii_only.alias("text"))
-    return t.select("doc_id", F.array_join(V.acronyms(F.concat(F.upper(F.left("text", F.lit(60))), F.lit(" "), F.col("text")), ["THE", "OF"]), ",").alias("acronyms"))
+    t = table(spark, d, "documents").select("doc_id", "source", ascii_only.alias("text"))
+    return t.select("doc_id", F.array_join(V.acronyms(F.concat(F.upper("source"), F.lit(" "), F.col("text")), ["THE", "OF"]), ",").alias("acronyms"))

@@ -1,7 +1,8 @@
 """Lexical and vector retrieval, fusion and expansion over documents, embeddings and benchmark items.
 
-Documents are chunks, their source the document, their language the series; the
-first words of each benchmark item and the vector of its number are a query.
+Documents are chunks, their source the document, their language the series.
+Each benchmark item's text, and the vector of its number, are a query; vector
+search alone is asked every vector whose id is divisible by 50.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from corpuslens.functions import text as T
 from corpuslens.operators import bm25, dense, fusion
 from corpuslens.plans.registry import query, table
+from corpuslens.sources.scratch import kept, scratch_path
 
 K = 20
 PARENT = "concat(source, '/', cast(doc_id div 8 as string))"
@@ -26,11 +28,11 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", r"\s+"), 1, 12), " ").alias("text"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 def lexical(spark: SparkSession, d: str, k: int = K) -> DataFrame:
-    return bm25.bm25_topk(questions(spark, d), bm25.build_bm25(chunks(spark, d)), k)
+    return bm25.bm25_search(questions(spark, d), chunks(spark, d), k)
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -42,12 +44,17 @@ def asked(spark: SparkSession, d: str) -> DataFrame:
     return vectors(spark, d).join(items, F.col("chunk_id") == F.col("query_id")).select("query_id", "vec")
 
 
+def every_fiftieth(spark: SparkSession, d: str) -> DataFrame:
+    return vectors(spark, d).where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "vec")
+
+
 def nearest(spark: SparkSession, d: str, k: int = K) -> DataFrame:
     return dense.dense_topk(asked(spark, d), vectors(spark, d), k)
 
 
 def hits(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.as_hits(nearest(spark, d).withColumn("sub", F.lit(0)), lexical(spark, d).withColumn("sub", F.lit(0)), F.col("sub"))
+    both = fusion.as_hits(nearest(spark, d).withColumn("sub", F.lit(0)), lexical(spark, d).withColumn("sub", F.lit(0)), F.col("sub"))
+    return kept(both, "hits")  # some rows for each query; read several times
 
 
 def fused(spark: SparkSession, d: str) -> DataFrame:
@@ -56,7 +63,7 @@ def fused(spark: SparkSession, d: str) -> DataFrame:
 
 _STOP = "', '".join(bm25.STOP_WORDS)
 _LEX = f"""
-qt as (select item_id as query_id, unnest(regexp_extract_all(lower(array_to_string(list_slice(string_split_regex(text, '\\s+'), 1, 12), ' ')), '[\\pL\\pN]{{2,}}')) as term from benchmark),
+qt as (select item_id as query_id, unnest(regexp_extract_all(lower(text), '[\\pL\\pN]{{2,}}')) as term from benchmark),
 q as (select query_id, term, count(*) as qtf from qt where term not in ('{_STOP}') group by all),
 w as (select doc_id as chunk_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\pL\\pN]{{2,}}'), lambda x: x not in ('{_STOP}')) as ws from documents),
 st as (select count(*) as n, avg(len(ws)) as avgdl from w),
@@ -69,6 +76,7 @@ _DEN = """
 v as (select vec_id as chunk_id, embedding::double[] as e, sqrt(list_inner_product(embedding::double[], embedding::double[])) as n, label from embeddings),
 ds as (select item_id as query_id, c.chunk_id, c.label, round(list_inner_product(a.e, c.e) / (a.n * c.n), 9) as score from benchmark join v a on a.chunk_id = item_id, v c),
 den as (select *, row_number() over (partition by query_id order by score desc, chunk_id)::int as rank from ds)"""
+_DEN50 = _DEN.replace("item_id as query_id", "a.chunk_id as query_id").replace("from benchmark join v a on a.chunk_id = item_id, v c", "from v a, v c where a.chunk_id % 50 = 0")
 _HITS = f"""
 hits as (select query_id, 0 as list_no, rank, chunk_id, score as score_dense, null::double as score_sparse from den where rank <= {K}
   union all select query_id, 10000, rank, chunk_id, null, score from lex where rank <= {K})"""
@@ -94,30 +102,41 @@ def ret02_bm25_topk(spark, d):
 select query_id, row_number() over (partition by query_id order by rank)::int as place, chunk_id, spec_id, chunk_type, score, preview from f where chunk_type in ('text', 'table')
 qualify place <= 10""")
 def ret03_field_lookup(spark, d):
-    c = chunks(spark, d)
-    return bm25.field_lookup(questions(spark, d), bm25.build_bm25(c), c)
+    c, path = chunks(spark, d), scratch_path(spark, "bm25")
+    bm25.write_bm25(bm25.build_bm25(c), path)
+    return bm25.field_lookup(questions(spark, d), bm25.read_bm25(spark, path), c)
 
 
-@query(f"""with {_DEN}, f as (select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id)::int as rank from ds where label < 5)
+@query(f"""with {_DEN50}, f as (select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id)::int as rank from ds where label < 5)
 select query_id, 'all' as which, rank, chunk_id, score from den where rank <= {K} union all select query_id, 'some', rank, chunk_id, score from f where rank <= {K}""")
 def ret04_dense_topk(spark, d):
-    some = dense.dense_topk(asked(spark, d), vectors(spark, d), K, spark.range(5).select(F.col("id").cast("int").alias("spec_id")))
-    return nearest(spark, d).withColumn("which", F.lit("all")).unionByName(some.withColumn("which", F.lit("some"))).select("query_id", "which", "rank", "chunk_id", "score")
+    asked_ = every_fiftieth(spark, d)
+    some = dense.dense_topk(asked_, vectors(spark, d), K, spark.range(5).select(F.col("id").cast("int").alias("spec_id")))
+    return dense.dense_topk(asked_, vectors(spark, d), K).withColumn("which", F.lit("all")).unionByName(some.withColumn("which", F.lit("some"))).select("query_id", "which", "rank", "chunk_id", "score")
 
 
 @query()
 def ret05_ann_topk(spark, d):
-    return dense.ann_topk(asked(spark, d), vectors(spark, d), K, 64)
+    return dense.ann_topk(every_fiftieth(spark, d), vectors(spark, d), K, 64)
+
+
+@query(f"select count(*) as n_queries, least({K}, (select count(*) from embeddings)) * count(*) as n_wanted, true as recall_is_90 from embeddings where vec_id % 50 = 0", name="ret05_ann_recall")
+def ret05_ann_recall(spark, d):
+    """Recall of the approximate search over all its queries: at least 0.9 of the exact hits."""
+    wanted = dense.dense_topk(every_fiftieth(spark, d), vectors(spark, d), K).select("query_id", "chunk_id")
+    found = ret05_ann_topk(spark, d).select("query_id", "chunk_id", F.lit(1).alias("found"))
+    both = wanted.join(found, ["query_id", "chunk_id"], "left")
+    return both.agg(F.count_distinct("query_id").alias("n_queries"), F.count(F.lit(1)).alias("n_wanted"), (F.count("found") >= 0.9 * F.count(F.lit(1))).alias("recall_is_90"))
 
 
 @query(f"""
 with x as (select vec_id as chunk_id, unnest([16, 32, 64]) as dim, embedding from embeddings),
 v as (select chunk_id, dim, list_slice(embedding, 1, dim)::double[] as e from x),
 n as (select *, sqrt(list_inner_product(e, e)) as n from v),
-s as (select item_id as query_id, a.dim, c.chunk_id, round(list_inner_product(a.e, c.e) / (a.n * c.n), 9) as score from benchmark join n a on a.chunk_id = item_id join n c on a.dim = c.dim)
+s as (select a.chunk_id as query_id, a.dim, c.chunk_id, round(list_inner_product(a.e, c.e) / (a.n * c.n), 9) as score from n a join n c on a.dim = c.dim where a.chunk_id % 50 = 0)
 select query_id, dim, row_number() over (partition by query_id, dim order by score desc, chunk_id)::int as rank, chunk_id, score from s qualify rank <= {K}""")
 def ret06_dense_multidim(spark, d):
-    return dense.dense_multidim(asked(spark, d), vectors(spark, d), [16, 32, 64], K)
+    return dense.dense_multidim(every_fiftieth(spark, d), vectors(spark, d), [16, 32, 64], K)
 
 
 @query(_ALL + " select query_id, rank, chunk_id, fused_score, score_dense, score_sparse from fused")
@@ -179,10 +198,10 @@ def ret12_rerank_by_facet(spark, d):
     return fusion.rerank_by_facet(joined, 2, 4)
 
 
-@query(_ALL + """, s as (select query_id, chunk_id, rank, round(fused_score + case when contains(lower(left(b.text, 40)), lang) then 0.1 else 0 end, 12) as boosted from fused join documents on doc_id = chunk_id join benchmark b on item_id = query_id where rank <= 10)
+@query(_ALL + """, s as (select query_id, chunk_id, rank, round(fused_score + case when contains(lower(b.text), lang) then 0.1 else 0 end, 12) as boosted from fused join documents on doc_id = chunk_id join benchmark b on item_id = query_id where rank <= 10)
 select query_id, row_number() over (partition by query_id order by boosted desc, rank)::int as place, chunk_id, boosted from s qualify place <= 6""")
 def ret13_title_boost(spark, d):
-    words = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.lower(F.left("text", F.lit(40))).alias("q"))
+    words = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.lower("text").alias("q"))
     langs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "lang")
     joined = fused(spark, d).join(words, "query_id").join(langs, "chunk_id")
     ready = joined.select("query_id", "chunk_id", "rank", "fused_score", F.lit(None).cast("double").alias("score_rerank"), F.array("lang").alias("terms"), F.col("q").alias("section_title"))
@@ -210,15 +229,15 @@ def ret15_fetch_content(spark, d):
     return fusion.fetch_content(fused(spark, d), chunks(spark, d))
 
 
-_GLOSS = "with g as (select lower(left(text, 3)) as normalized_term, doc_id as term, source as spec_id from documents where lang = 'en'), "
+_GLOSS = "with g as (select lower(string_split(text, ' ')[-1]) as normalized_term, doc_id as term, source as spec_id from documents where lang = 'en'), "
 
 
-@query(_GLOSS + """q as (select item_id as query_id, unnest(list_distinct(list_transform(string_split(text, ' ')[1:20], lambda x: lower(left(x, 3))))) as normalized_term from benchmark),
+@query(_GLOSS + """q as (select item_id as query_id, unnest(list_distinct(list_transform(string_split(text, ' '), lambda x: lower(x)))) as normalized_term from benchmark),
 m as (select query_id, normalized_term, term, spec_id, row_number() over (partition by query_id order by normalized_term, spec_id, term)::int as place from q join g using (normalized_term))
 select query_id, place, normalized_term, spec_id, term from m where place <= 16""")
 def ret16_glossary_lookup(spark, d):
-    g = table(spark, d, "documents").where("lang = 'en'").selectExpr("lower(left(text, 3)) as normalized_term", "doc_id as term", "source as spec_id")
-    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.transform(F.slice(F.split("text", " "), 1, 20), lambda x: F.left(x, F.lit(3))).alias("candidates"))
+    g = table(spark, d, "documents").where("lang = 'en'").selectExpr("lower(element_at(split(text, ' '), -1)) as normalized_term", "doc_id as term", "source as spec_id")
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.split("text", " ").alias("candidates"))
     return fusion.glossary_lookup(q, g).select("query_id", "place", "normalized_term", "spec_id", "term")
 
 
@@ -234,12 +253,12 @@ def ret17_toc(spark, d):
     return fusion.toc(targets, c, 5).select("query_id", "place", F.array_join("section_path", ".").alias("path"), "section_title", "chunk_id")
 
 
-@query(_ALL + r""", a as (select item_id as query_id, 'see [' || (item_id % 12) || '] and [3][1] or [99], [1] ' || left(text, 20) as answer from benchmark),
+@query(_ALL + r""", a as (select item_id as query_id, 'see [' || (item_id % 12) || '] and [3][1] or [99], [1] ' || text as answer from benchmark),
 m as (select query_id, i, regexp_extract_all(answer, '\[(\d+)\]', 1)[i]::int as rank from a, unnest(range(1, 6)) t(i)),
 f as (select query_id, rank, min(i) as i from m group by all)
 select f.query_id, row_number() over (partition by f.query_id order by i)::int as place, f.rank, chunk_id from f join fused using (query_id, rank) where f.rank <= 10""")
 def ret18_resolve_citations(spark, d):
-    answers = table(spark, d, "benchmark").selectExpr("item_id as query_id", "concat('see [', cast(item_id % 12 as string), '] and [3][1] or [99], [1] ', left(text, 20)) as answer")
+    answers = table(spark, d, "benchmark").selectExpr("item_id as query_id", "concat('see [', cast(item_id % 12 as string), '] and [3][1] or [99], [1] ', text) as answer")
     return fusion.resolve_citations(answers, fused(spark, d))
 
 
@@ -253,13 +272,13 @@ def ret19_assemble_context(spark, d):
 
 @query("""
 with t as (select item_id, list_transform(string_split(text, ' '), lambda x: lower(trim(x))) as l, list_transform(string_split(text, ' '), lambda x: trim(x)) as w from benchmark),
-a as (select item_id, list_concat([w[1]], w[2:9]) as s, ['Extra', 'extra', w[1], ' '] as m from t),
+a as (select item_id, w as s, ['Extra', 'extra', w[1], ' '] as m from t),
 b as (select item_id, m, list_slice(list_filter(s, lambda x, i: x <> '' and list_position(list_transform(s, lambda y: lower(y)), lower(x)) = i), 1, 4) as s from a),
 c as (select item_id, list_concat(s, list_filter(m, lambda x: trim(x) <> '')) as s from b)
 select item_id, array_to_string(list_filter(s, lambda x, i: list_position(list_transform(s, lambda y: lower(y)), lower(x)) = i), '|') as queries from c""")
 def ret20_expand_queries(spark, d):
     w = F.split("text", " ")
-    t = table(spark, d, "benchmark").select("item_id", w[0].alias("primary"), F.slice(w, 2, 8).alias("sub_queries"), F.array(F.lit("Extra"), F.lit("extra"), w[0], F.lit(" ")).alias("missing"))
+    t = table(spark, d, "benchmark").select("item_id", w[0].alias("primary"), F.slice(w, 2, F.size(w)).alias("sub_queries"), F.array(F.lit("Extra"), F.lit("extra"), w[0], F.lit(" ")).alias("missing"))
     return fusion.expand_queries(t).select("item_id", F.array_join("queries", "|").alias("queries"))
 
 

@@ -67,13 +67,13 @@ def set05_validate_golden(spark, d):
 
 
 @query("""
-with c as (select source as spec_id, n_chars % 60 as chunk_id, lang as p, left(text, 6) as t, case when doc_id % 2 = 0 then 'table' else 'text' end as kind, text from documents),
+with c as (select source as spec_id, n_chars % 60 as chunk_id, lang as p, text as t, case when doc_id % 2 = 0 then 'table' else 'text' end as kind, text from documents),
 r as (select spec_id, count(*) filter (where kind = 'table' and len(list_filter(string_split(text, chr(10)), lambda x: contains(x, '-') and regexp_matches(x, '^\\s*\\|?\\s*:?-+:?\\s*(\\|\\s*:?-+:?\\s*)*\\|?\\s*$'))) = 0) as n from c group by 1)
 select spec_id, 'table_without_rule' as code, n from r where n > 0
 union all select spec_id, 'repeated_id', count(*) from (select spec_id, chunk_id from c group by all having count(*) > 1) group by 1
 union all select spec_id, 'repeated_content', count(*) from (select spec_id, p, t from c group by all having count(*) > 1) group by 1""")
 def set06_integrity_audit(spark, d):
-    t = table(spark, d, "documents").selectExpr("source as spec_id", "n_chars % 60 as chunk_id", "lang as parent_section_id", "left(text, 6) as content", "case when doc_id % 2 = 0 then 'table' else 'text' end as chunk_type", "lang as section_title")
+    t = table(spark, d, "documents").selectExpr("source as spec_id", "n_chars % 60 as chunk_id", "lang as parent_section_id", "text as content", "case when doc_id % 2 = 0 then 'table' else 'text' end as chunk_type", "lang as section_title")
     return S.integrity_audit(t)
 
 
@@ -97,25 +97,25 @@ def set08_attribution_diff(spark, d):
 
 
 @query("""
-with t as (select item_id, list_slice(string_split(replace(text, chr(10), ' '), ' '), 1, 6) as ts from benchmark), w as (select distinct source, unnest(regexp_extract_all(lower(text), '[\\pL\\pN]+')) as word from documents),
-c as (select word, count(distinct source) as n from w group by word), p as (select item_id, i, trim(ts[i]) as term from t, unnest(range(1, 7)) x(i) where length(trim(ts[i])) >= 4)
+with t as (select item_id, string_split(replace(text, chr(10), ' '), ' ') as ts from benchmark), w as (select distinct source, unnest(regexp_extract_all(lower(text), '[\\pL\\pN]+')) as word from documents),
+c as (select word, count(distinct source) as n from w group by word), p as (select item_id, i, trim(ts[i]) as term from t, unnest(range(1, len(ts) + 1)) x(i) where length(trim(ts[i])) >= 4)
 select t.item_id, (select arg_min(term, i) from p join c on word = lower(term) where n >= 3 and p.item_id = t.item_id) as found, (select count(*) from p join c on word = lower(term) where n >= 3 and p.item_id = t.item_id) = 0 as kept from t""")
 def set09_symmetry_gate(spark, d):
     from corpuslens.operators.joins import term_document_counts
 
-    items = table(spark, d, "benchmark").select("item_id", F.slice(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), 1, 6).alias("terms"))
+    items = table(spark, d, "benchmark").select("item_id", F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ").alias("terms"))
     counts = term_document_counts(items.select(F.explode("terms").alias("term")), table(spark, d, "documents").selectExpr("source as spec_id", "text as content"))
     return S.symmetry_gate(items, counts).select("item_id", "found", "kept")
 
 
 @query("""
-with t as (select doc_id, lang, '23.' || (100 + doc_id % 400) as a, doc_id % 4 as k, regexp_replace(left(text, 200), '[0-9]', 'x', 'g') as text from documents), s as (select *, case k when 0 then [] when 1 then [a] else [a, '38.331'] end as seen from t),
+with t as (select doc_id, lang, '23.' || (100 + doc_id % 400) as a, doc_id % 4 as k, regexp_replace(text, '[0-9]', 'x', 'g') as text from documents), s as (select *, case k when 0 then [] when 1 then [a] else [a, '38.331'] end as seen from t),
 i as (select *, list_filter(seen, lambda x: x in ('38.331', '23.101', '23.105')) as ins from s)
 select doc_id as item_id, lang as category, case when lang not in ('en', 'de') then 'rejected_category' when len(seen) = 0 then 'rejected_no_spec' when len(ins) = 0 then 'out_of_scope' else 'kept' end as verdict, array_to_string(ins, ',') as specs,
   regexp_matches(text, '(?i)(^|[^\\pL\\pN_])the($|[^\\pL\\pN_])')::int + regexp_matches(text, '(?i)(^|[^\\pL\\pN_])und($|[^\\pL\\pN_])')::int as topic_score from i""")
 def set10_route_items(spark, d):
     a = "concat('23.', cast(100 + doc_id % 400 as string))"
-    t = table(spark, d, "documents").selectExpr("doc_id as item_id", "lang as category", "regexp_replace(left(text, 200), '[0-9]', 'x') as question", f"case when doc_id % 4 > 0 then concat('TS ', {a}) end as explanation", "case when doc_id % 4 > 1 then array('see 38.331', 'x') else array('y') end as options")
+    t = table(spark, d, "documents").selectExpr("doc_id as item_id", "lang as category", "regexp_replace(text, '[0-9]', 'x') as question", f"case when doc_id % 4 > 0 then concat('TS ', {a}) end as explanation", "case when doc_id % 4 > 1 then array('see 38.331', 'x') else array('y') end as options")
     return S.route_items(t, ["en", "de"], ["38.331", "23.101", "23.105"], ["the", "und"]).withColumn("specs", F.array_join("specs", ","))
 
 
@@ -197,14 +197,14 @@ def str02_daily_quota(spark, d):
 
 
 @query("""
-with e as (select user_id as run_id, event_id as seq, case event_type when 'view' then 'token' when 'click' then 'node_end' when 'error' then 'error' when 'purchase' then 'final' else 'end' end as event, event_type, props, event_id % 4 as nd, floor(value * 10)::bigint as ms from events where user_id % 3 <> 0),
+with e as (select user_id as run_id, event_id as seq, case event_type when 'view' then 'token' when 'click' then 'node_end' when 'error' then 'error' when 'purchase' then 'final' else 'end' end as event, event_type, props, event_id % 4 as nd, floor(value * 10)::bigint as ms from events),
 f as (select run_id, coalesce('a' || max(seq) filter (where event = 'final'), '') as answer, count(*) filter (where event = 'token') as n_tokens, coalesce(arg_max(event, seq) filter (where event in ('final', 'error')), case when bool_or(event = 'end') then 'end' else 'incomplete' end) as terminal,
   coalesce(string_agg('n' || nd || ':' || ms, ',' order by seq) filter (where event = 'node_end'), '') as nodes from e group by run_id)
 select * from f""")
 def str05_fold_run_events(spark, d):
     kind = "case event_type when 'view' then 'token' when 'click' then 'node_end' when 'error' then 'error' when 'purchase' then 'final' else 'end' end"
     data = "case event_type when 'click' then to_json(named_struct('node', concat('n', cast(event_id % 4 as string)), 'duration_ms', cast(floor(value * 10) as bigint))) when 'purchase' then to_json(named_struct('answer', concat('a', cast(event_id as string)))) else props end"
-    e = table(spark, d, "events").where("user_id % 3 <> 0").selectExpr("user_id as run_id", "event_id as seq", f"{kind} as event", f"{data} as data")
+    e = table(spark, d, "events").selectExpr("user_id as run_id", "event_id as seq", f"{kind} as event", f"{data} as data")
     return U.fold_run_events(e).select("run_id", "answer", "n_tokens", "terminal", F.array_join(F.transform("node_durations", lambda x: F.concat(x["node"], F.lit(":"), x["ms"].cast("string"))), ",").alias("nodes"))
 
 

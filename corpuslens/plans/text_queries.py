@@ -108,7 +108,7 @@ def prj09_pseudo_headings(spark, d):
     return t.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(text.is_pseudo_heading(F.col("line"))).alias("n_pseudo"))
 
 
-IMAGED = "concat('![a](img/', cast(doc_id as string), '.png)', chr(10), text, '![', left(text, 5), '](x.jpg) ![](y z.png)')"
+IMAGED = "concat('![a](img/', cast(doc_id as string), '.png)', chr(10), text, '![', text, '](x.jpg) ![](y z.png)')"
 
 
 @query(f"select doc_id, array_to_string(regexp_extract_all({sql_of(IMAGED)}, '!\\[[^\\]]*\\]\\(([^)]+)\\)', 1), ',') as refs from documents")
@@ -117,7 +117,7 @@ def prj10_image_refs(spark, d):
     return t.select("doc_id", F.array_join(text.image_refs(F.col("text")), ",").alias("refs"))
 
 
-LISTED = "case doc_id % 5 when 0 then ' **Contents** ' when 1 then '3rd Generation Partnership Project' when 2 then 'Scope' else left(text, 20) end"
+LISTED = "case doc_id % 5 when 0 then ' **Contents** ' when 1 then '3rd Generation Partnership Project' when 2 then 'Scope' else text end"
 NUMBERED = f"case when doc_id % 11 = 3 then {SPEC} else {CLAUSE} end"
 TABLED = "case when doc_id % 7 = 4 then concat(regexp_replace(text, '([a-z]) ([a-z])', '$1 |$2'), ' Internet') else text end"
 
@@ -140,11 +140,11 @@ def prj11_flag_garbage(spark, d):
 
 
 @query(f"""
-with t as (select doc_id, {sql_of(SPEC)} as spec_id, {sql_of(CLAUSE)} as clause, left(text, 12) as title from documents)
+with t as (select doc_id, {sql_of(SPEC)} as spec_id, {sql_of(CLAUSE)} as clause, text as title from documents)
 select doc_id, nullif(regexp_extract(clause, '^(.+)\\.[^.]*$', 1), '') as parent, case when clause = '' then 0 else len(string_split(clause, '.')) end as depth,
   '[' || spec_id || case when trim(clause) = '' and trim(title) = '' then '' else ' § ' || concat_ws(' ', nullif(trim(clause), ''), nullif(trim(title), '')) end || ']' as header from t""")
 def prj12_section_headers(spark, d):
-    t = table(spark, d, "documents").selectExpr("doc_id", f"{SPEC} as spec_id", f"{CLAUSE} as clause", "left(text, 12) as title")
+    t = table(spark, d, "documents").selectExpr("doc_id", f"{SPEC} as spec_id", f"{CLAUSE} as clause", "text as title")
     c = F.col("clause")
     return t.select("doc_id", text.parent_clause(c).alias("parent"), F.size(text.section_path(c)).cast("long").alias("depth"), text.section_header(F.col("spec_id"), c, F.col("title")).alias("header"))
 
@@ -156,47 +156,48 @@ def _uuid_sql(space: str, name: str) -> str:
 
 
 _H, _U = _uuid_sql(ids.CHUNK_SPACE, f"{sql_of(SPEC)} || '|' || {sql_of(CLAUSE)} || '|' || left(sha256(text), 16)")
-_H2, _ = _uuid_sql(ids.SECTION_SPACE, f"{sql_of(SPEC)} || '|' || {sql_of(CLAUSE)} || '|' || left(text, 12)")
+_H2, _ = _uuid_sql(ids.SECTION_SPACE, f"{sql_of(SPEC)} || '|' || {sql_of(CLAUSE)} || '|' || text")
 
 
 @query(f"""
 with a as (select doc_id, {_H} as h from documents), b as (select doc_id, {_H2} as h from documents)
 select x.doc_id, x.chunk_id, y.parent_section_id from (select doc_id, {_U} as chunk_id from a) x join (select doc_id, {_U} as parent_section_id from b) y using (doc_id)""")
 def prj13_content_ids(spark, d):
-    t = table(spark, d, "documents").selectExpr("doc_id", f"{SPEC} as s", f"{CLAUSE} as c", "left(text, 12) as t", "text")
+    t = table(spark, d, "documents").selectExpr("doc_id", f"{SPEC} as s", f"{CLAUSE} as c", "text as t", "text")
     return t.select("doc_id", ids.chunk_id(F.col("s"), F.col("c"), F.col("text")).alias("chunk_id"), ids.parent_section_id(F.col("s"), F.col("c"), F.col("t")).alias("parent_section_id"))
 
 
-LOST = "case doc_id % 5 when 0 then concat(left(text, 100), ' is given by:', chr(10), chr(10), 'where x') when 1 then concat('- are defined as ', text) when 2 then concat('where', chr(10), left(text, 9), chr(10), ' and ', chr(10)) else left(text, 500) end"
+LOST = "case doc_id % 5 when 0 then concat(text, ' is given by:', chr(10), chr(10), 'where x') when 1 then concat('- are defined as ', text) when 2 then concat('where', chr(10), text, chr(10), ' and ', chr(10)) else text end"
 
 
 @query(f"""
 with t as (select doc_id, {LOST} as text from documents)
-select doc_id, regexp_matches(text, '(?i)\\b(?:{text._TRIGGERS})[\\t ]*[:.,]?[\\t ]*\\n\\s*\\n\\s*(?:{text._ANCHORS})\\b')
-  or len(regexp_extract_all(text, '(?im)^[\\t ]*(?:{text._ANCHORS})[\\t ]*[:.,]?[\\t ]*$')) >= 2
-  or regexp_matches(text, '(?im)^[-*]\\s+(?:is|are|denotes?|represents?)\\s+(?:given|defined|expressed|the|a|an)\\b') as stripped from t""")
+select doc_id, regexp_matches(text, '(?i)\\b(?:(?:defined|given|expressed|computed|obtained|determined|described|denoted|generated|calculated)\\s+by|(?:computed|obtained|generated|calculated|written|stated|formulated)\\s+as|is\\s+given\\s+as|as\\s+follows|converted to [^.\\n]*as)[\\t ]*[:.,]?[\\t ]*\\n\\s*\\n\\s*(?:where|and|with|here|in which|for which|such that)\\b')
+  or len(list_filter(string_split(lower(text), chr(10)), lambda x: rtrim(regexp_replace(trim(x), '[:.,]$', '')) in ('where', 'and', 'with', 'here', 'in which', 'for which', 'such that'))) >= 2
+  or len(list_filter(string_split(lower(text), chr(10)), lambda x: regexp_matches(x, '^[-*]\\s+(is|are|denotes?|represents?)\\s+(given|defined|expressed|the|a|an)\\b'))) > 0 as stripped from t""")
 def prj14_stripped_formula(spark, d):
     t = table(spark, d, "documents").selectExpr("doc_id", f"{LOST} as text")
     return t.select("doc_id", text.has_stripped_formula(F.col("text")).alias("stripped"))
 
 
-FORMULA = "concat('$$N_{slot}^{', left(replace(text, '$', ''), 30), '} = \\\\sum x_', cast(doc_id as string), ' 12$$ and $\\\\mathrm{abc} + q$')"
+FORMULA = "concat('$$N_{slot}^{', replace(text, '$', ''), '} = \\\\sum x_', cast(doc_id as string), ' 12$$ and $\\\\mathrm{abc} + q$')"
 
 
 @query(r"""
-with t as (select doc_id, '$$N_{slot}^{' || left(replace(text, '$', ''), 30) || '} = \sum x_' || doc_id || ' 12$$ and $\mathrm{abc} + q$' as text from documents),
+with t as (select doc_id, '$$N_{slot}^{' || replace(text, '$', '') || '} = \sum x_' || doc_id || ' 12$$ and $\mathrm{abc} + q$' as text from documents),
 f as (select doc_id, array_to_string(list_concat(regexp_extract_all(text, '(?s)\$\$(.+?)\$\$', 1), regexp_extract_all(regexp_replace(text, '(?s)\$\$(.+?)\$\$', ' ', 'g'), '\$([^$\n]{1,400}?)\$', 1)), ' ' || chr(10) || ' ') as s from t),
 n as (select doc_id, regexp_replace(regexp_replace(regexp_replace(s, '\\(?:mathrm|text)\s*\{([^{}]*)\}', ' \1 ', 'g'), '\\([a-zA-Z]+)', ' \1 ', 'g'), '[{}\\\[\]()|=+*/<>!~&%@?:;"''`,\-\s]+', ' ', 'g') as s from f),
 k as (select doc_id, list_transform(string_split(s, ' '), lambda x: regexp_replace(x, '^[_^.,]+|[_^.,]+$', '', 'g')) as w from n),
 u as (select doc_id, i, w[i] as tok from k, unnest(range(1, len(w) + 1)) r(i)),
-g as (select doc_id, tok, min(i) as i from u where regexp_matches(tok, '\p{L}') and lower(tok) not in ('""" + "', '".join(w.lower() for w in text.LATEX_WORDS) + r"""') group by all)
-select t.doc_id, coalesce(string_agg(tok, ' ' order by i), '') as symbols from t left join g using (doc_id) group by t.doc_id""")
+g as (select doc_id, tok, min(i) as i from u where regexp_matches(tok, '\p{L}') and lower(tok) not in ('""" + "', '".join(w.lower() for w in text.LATEX_WORDS) + r"""') group by all),
+h as (select *, row_number() over (partition by doc_id order by i) as place from g)
+select t.doc_id, coalesce(string_agg(tok, ' ' order by i), '') as symbols from t left join h on t.doc_id = h.doc_id and place <= 40 group by t.doc_id""")
 def prj15_formula_symbols(spark, d):
     t = table(spark, d, "documents").selectExpr("doc_id", f"{FORMULA} as text")
     return t.select("doc_id", F.array_join(text.formula_symbols(F.col("text")), " ").alias("symbols"))
 
 
-FIGURE = "concat('![Alt ', cast(doc_id as string), '](img/', cast(doc_id as string), '.png)', chr(10), chr(10), left(text, 200), case when doc_id % 2 = 0 then concat(chr(10), '**Figure 5.', cast(doc_id as string), '-1: The line.**') else concat(' Alt ', cast(doc_id as string)) end)"
+FIGURE = "concat('![Alt ', cast(doc_id as string), '](img/', cast(doc_id as string), '.png)', chr(10), chr(10), text, case when doc_id % 2 = 0 then concat(chr(10), '**Figure 5.', cast(doc_id as string), '-1: The line.**') else concat(' Alt ', cast(doc_id as string)) end)"
 
 
 @query(f"""
@@ -226,10 +227,10 @@ def prj17_resolve_path(spark, d):
 
 
 @query("""
-select doc_id, lower(regexp_replace(regexp_replace(regexp_replace('  "' || left(text, 60) || ''' ', '^\\s+|\\s+$', '', 'g'), '^["''`]+|["''`]+$', '', 'g'), '\\s+', ' ', 'g')) as term,
+select doc_id, lower(regexp_replace(regexp_replace(regexp_replace('  "' || text || ''' ', '^\\s+|\\s+$', '', 'g'), '^["''`]+|["''`]+$', '', 'g'), '\\s+', ' ', 'g')) as term,
   left(regexp_replace(regexp_replace(replace(text, '. ', '.' || chr(10) || ' ' || chr(10) || chr(10) || chr(10)), '\\n[ \\t]*\\n[ \\t]*(?:\\n[ \\t]*)+', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g'), 8000) as definition from documents""")
 def prj18_glossary_text(spark, d):
-    t = table(spark, d, "documents").selectExpr("doc_id", "concat('  \"', left(text, 60), '\\' ') as term", "replace(text, '. ', concat('.', chr(10), ' ', chr(10), chr(10), chr(10))) as body")
+    t = table(spark, d, "documents").selectExpr("doc_id", "concat('  \"', text, '\\' ') as term", "replace(text, '. ', concat('.', chr(10), ' ', chr(10), chr(10), chr(10))) as body")
     return t.select("doc_id", text.normalize_term(F.col("term")).alias("term"), text.clean_definition(F.col("body")).alias("definition"))
 
 
@@ -256,7 +257,7 @@ def prj20_chunk_body(spark, d):
     return t.select("doc_id", text.chunk_body(F.col("content")).alias("body"))
 
 
-NAMED = f"concat('See TS ', {SPEC}, '-h60 and 3GPP ts', {SPEC}, ' or 23.501 v17; ', left(text, 40), ' 2', cast(doc_id % 9 as string), '700-81-i00.docx 23501.jsonl')"
+NAMED = f"concat('See TS ', {SPEC}, '-h60 and 3GPP ts', {SPEC}, ' or 23.501 v17; ', text, ' 2', cast(doc_id % 9 as string), '700-81-i00.docx 23501.jsonl')"
 
 
 @query(f"""
@@ -280,7 +281,7 @@ def prj22_topic_score(spark, d):
     return table(spark, d, "documents").select("doc_id", text.topic_score(F.col("text"), TOPICS).alias("score"))
 
 
-ASKED = f"concat(left(text, 300), case doc_id % 4 when 0 then concat(' in TS ', {SPEC}) when 1 then ' see Clause 5' when 2 then ' stable 5' else ' Annex b' end)"
+ASKED = f"concat(text, case doc_id % 4 when 0 then concat(' in TS ', {SPEC}) when 1 then ' see Clause 5' when 2 then ' stable 5' else ' Annex b' end)"
 CODED = "concat('38.', cast(101 + doc_id % 50 as string), case when doc_id % 3 = 0 then '-1' else '' end)"
 
 
@@ -294,21 +295,21 @@ def prj23_sampling_predicates(spark, d):
     return t.select("doc_id", text.is_closed_book(F.col("q")).alias("closed"), text.is_excluded(F.col("spec")).alias("excluded"), text.is_usable(F.col("title"), F.col("content"), F.col("kind")).alias("usable"))
 
 
-QUESTION = f"concat(left(text, 200), ' p-ZP-CSI RRCReconfiguration in ', {SPEC}, case when doc_id % 2 = 0 then ' section 5.3.1' else ' at 7.2' end)"
+QUESTION = f"concat(text, ' p-ZP-CSI RRCReconfiguration in ', {SPEC}, case when doc_id % 2 = 0 then ' section 5.3.1' else ' at 7.2' end)"
 
 
 @query(f"""
 with t as (select doc_id, {sql_of(QUESTION)} as q, {sql_of(SPEC)} as spec from documents),
 s as (select doc_id, q, spec, list_transform(regexp_extract_all(q, '[A-Za-z][A-Za-z0-9]*(?:-[A-Za-z0-9]+)+|[A-Z][A-Za-z0-9]{{2,}}'), lambda x: lower(x)) as terms, list_filter(regexp_extract_all(q, '[A-Z][A-Za-z0-9\\-]+|[a-z]{{3,}}'), lambda x: lower(x) not in ('the', 'and', 'section')) as c from t),
-f as (select *, list_transform(c, lambda x: lower(x)) as lc, case when regexp_matches(spec, '^(2[1-9]|3[0-8])') then spec end as spec_id from s)
+f as (select *, list_transform(c, lambda x: lower(x)) as lc, nullif(regexp_extract(q, '\\b((?:2[1-9]|3[0-8])\\.\\d{{3}})\\b', 1), '') as spec_id from s)
 select doc_id, array_to_string(terms, ' ') as terms, array_to_string(list_slice(list_filter(c, lambda v, i: list_position(lc, lower(v)) = i), 1, 8), ' ') as candidates, spec_id,
-  coalesce(nullif(regexp_extract(replace(q, spec, ''), '(?i)(?:§|sec(?:tion)?\\.?\\s+|clause\\s+)(\\d+(?:\\.\\d+){{0,4}})', 1), ''), nullif(regexp_extract(replace(q, spec, ''), '\\b(\\d+(?:\\.\\d+){{1,4}})\\b', 1), '')) as prefix from f""")
+  coalesce(nullif(regexp_extract(replace(q, coalesce(spec_id, chr(0)), ''), '(?i)(?:§|sec(?:tion)?\\.?\\s+|clause\\s+)(\\d+(?:\\.\\d+){{0,4}})', 1), ''), nullif(regexp_extract(replace(q, coalesce(spec_id, chr(0)), ''), '\\b(\\d+(?:\\.\\d+){{1,4}})\\b', 1), '')) as prefix from f""")
 def prj24_query_targets(spark, d):
     t = table(spark, d, "documents").selectExpr("doc_id", f"{QUESTION} as q").withColumn("t", text.toc_target(F.col("q")))
     return t.select("doc_id", F.array_join(text.salient_terms(F.col("q")), " ").alias("terms"), F.array_join(text.glossary_candidates(F.col("q"), ["the", "and", "section"]), " ").alias("candidates"), "t.spec_id", "t.prefix")
 
 
-REPLY = "concat(left(text, 80), case doc_id % 4 when 0 then ' Not Found here' when 1 then ' 未定义' when 2 then ' does not exist' else '' end)"
+REPLY = "concat(text, case doc_id % 4 when 0 then ' Not Found here' when 1 then ' 未定义' when 2 then ' does not exist' else '' end)"
 
 
 @query(f"""

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpuslens.operators.usage import COUNTERS, usage_rows
+from corpuslens.sources.scratch import kept
 from corpuslens.sources.write import replace_documents
 
 
@@ -122,10 +123,34 @@ def dedupe(chunks: DataFrame, delay: str = "1 hour") -> DataFrame:
     return chunks.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["chunk_id"])
 
 
-def corpus_updates(make: Callable[[DataFrame], DataFrame], path: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: chunks of new and changed documents by ``make``, in place of what is there of them."""
+def corpus_updates(make: Callable[[DataFrame], DataFrame], path: str, manifest: str, text_col: str = "text") -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: chunks of new and changed documents by ``make``, in place of what is there of them.
+
+    A document (spec_id) is all its rows in a batch. It is changed if a digest of
+    their texts, in any order, isn't the one that ``manifest`` has; then its rows
+    go to ``make``, and what that gives replaces the document's rows at ``path``.
+    Each batch writes digests to a folder of its own, so a replayed batch
+    replaces itself.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        replace_documents(make(batch), path)
+        spark = batch.sparkSession
+        row = F.xxhash64(F.col(text_col)).cast("decimal(38,0)")
+        digests = batch.groupBy("spec_id").agg(F.concat_ws(":", F.count(F.lit(1)).cast("string"), F.sum(row).cast("string"), F.bit_xor(F.xxhash64(F.col(text_col), F.lit(1))).cast("string")).alias("digest"))
+        told = spark.read.schema("spec_id string, digest string, batch long").parquet(manifest).where(F.col("batch") < number)
+        known = told.groupBy("spec_id").agg(F.max_by("digest", "batch").alias("known"))
+        changed = kept(digests.join(known, "spec_id", "left").where("known is null or known <> digest").select("spec_id", "digest"), "changed")
+        if not changed.isEmpty():
+            replace_documents(make(batch.join(changed.select("spec_id"), "spec_id", "left_semi")), path)
+        changed.write.mode("overwrite").parquet(f"{manifest}/batch={number}")
 
     return write
+
+
+def stream_corpus(docs: DataFrame, make: Callable[[DataFrame], DataFrame], path: str, state: str) -> None:
+    """Take in what is there of a stream of documents (spec_id, text, …) and stop; the next call goes on from there."""
+    spark = docs.sparkSession
+    manifest = f"{state}/manifest"
+    spark.createDataFrame([], "spec_id string, digest string").write.mode("overwrite").parquet(f"{manifest}/batch=-1")
+    query = docs.writeStream.foreachBatch(corpus_updates(make, path, manifest)).option("checkpointLocation", f"{state}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()

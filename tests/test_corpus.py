@@ -96,14 +96,16 @@ def test_chunks_are_stable_headed_and_once(spark, docs):
     assert "Figure caption: Figure 6-1: The line" in figure.content and figure.content.endswith("Context: text after")
 
 
-def test_oversized_blocks_are_split():
+def test_oversized_blocks_are_split(spark):
     table = "Table 1: c\n| a | b |\n|---|---|\n" + "\n".join(f"| {i} | x |" for i in range(40))
-    parts = splitting.table_pieces(table, 60)
+    odd = [table, "| a |\n| b |", "| a |\n|:-:|\n| " + "y, " * 100 + " |", "| a |\n|---|\n", None]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "i int, t string").select("i", splitting.split_table(F.col("t"), 60).alias("p"), splitting.force_split_table(F.col("t"), 60).alias("f")).orderBy("i").collect()
+    parts, forced = got[0].p, got[0].f
     assert len(parts) > 1 and all(p.startswith("Table 1: c\n\n| a | b |\n|---|---|\n") for p in parts)
     assert [x for p in parts for x in p.split("\n")[4:]] == table.split("\n")[3:]
-    forced = splitting.table_pieces(table, 60, True)
     assert all(splitting.n_tokens(p) <= 60 for p in forced) and [x for p in forced for x in p.split("\n")[4:]] == table.split("\n")[3:]
-    assert splitting.table_pieces("| a |\n| b |", 1) == ["| a |\n| b |"]
+    assert got[1].p == got[1].f == [odd[1]] and got[3].p == [odd[3]] and got[4].p is None
+    assert got[2].p == [odd[2]] and len(got[2].f) > 3 and all(splitting.n_tokens(p) <= 60 for p in got[2].f) and "".join("".join(p.split("\n")[2:]) for p in got[2].f).count("y") == 100
     actions = "- 1> one\n" + "\n".join(f"- 2> two {i} and some words more" for i in range(10)) + "\n- 1> last"
     parts = splitting.action_pieces(actions, 30)
     assert all(splitting.n_tokens(p) <= 30 for p in parts) and parts[0].startswith("- 1> one\n- 2> two 0") and parts[1].startswith("- 1> one\n- 2> two 1") and parts[-1] == "- 1> last"

@@ -1,6 +1,7 @@
 """Retrieval, evaluation, usage and streams on hand-made rows."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -108,13 +109,21 @@ def test_drift(spark):
 
 def test_percentiles(spark):
     df = spark.createDataFrame([(float(i),) for i in range(1, 13)], "x double")
-    got = df.agg(*[aggregates.percentile("x", p, k).alias(k) for p, k in ((0.5, "nearest"), (0.5, "upper"), (0.5, "median"), (0.9, "exclusive"))]).first()
+    wanted = {"nearest": (0.5, "nearest"), "upper": (0.5, "upper"), "median": (0.5, "median"), "exclusive": (0.9, "exclusive")}
+    got = aggregates.percentiles(df, [], "x", wanted).first()
     import statistics
 
     xs = list(map(float, range(1, 13)))
     assert (got.nearest, got.upper, got.median) == (sorted(xs)[round(0.5 * 11)], xs[6], statistics.median(xs)) and got.exclusive == pytest.approx(statistics.quantiles(xs, n=10)[8])
-    few = df.limit(3).agg(aggregates.percentile("x", 0.9, "exclusive").alias("e")).first()
-    assert few.e is None
+    keyed = spark.createDataFrame([("a", 3), ("a", 1), ("a", 1), (None, 7), ("b", None)], "k string, x int")
+    few = {r.k: r for r in aggregates.percentiles(keyed, ["k"], "x", wanted).collect()}
+    assert {k: (r.nearest, r.upper, r.median, r.exclusive) for k, r in few.items()} == {"a": (1, 1, 1, None), None: (7, 7, 7, None), "b": (0, None, None, None)}
+    rng = random.Random(3)
+    many = [(g, float(rng.randrange(40)) if g == "a" else rng.random()) for g in "ab" for _ in range(3001)]
+    got = {r.k: r for r in aggregates.percentiles(spark.createDataFrame(many, "k string, x double"), ["k"], "x", {"p": (0.95, "nearest"), "e": (0.9, "exclusive")}).collect()}
+    for g in "ab":
+        xs = sorted(x for k, x in many if k == g)
+        assert got[g].p == xs[round(0.95 * 3000)] and got[g].e == pytest.approx(statistics.quantiles(xs, n=10)[8])
 
 
 def test_alerts(spark):
@@ -222,12 +231,27 @@ def test_fold_run_events_as_a_stream(spark, tmp_path):
 
 
 def test_corpus_updates_replace_documents(spark, tmp_path):
-    path = str(tmp_path / "out")
-    write = stream.corpus_updates(lambda docs: docs.selectExpr("spec_id", "explode(split(text, ' ')) as word"), path)
-    make = lambda rows: spark.createDataFrame(rows, "spec_id string, text string")
-    write(make([("a", "x y"), ("b", "z")]), 0)
-    write(make([("a", "new")]), 1)
-    assert sorted((r.spec_id, r.word) for r in spark.read.parquet(path).collect()) == [("a", "new"), ("b", "z")]
+    path, rows = str(tmp_path / "out"), str(tmp_path / "in")
+    make = lambda docs: docs.selectExpr("spec_id", "v", "explode(split(text, ' ')) as word")
+    schema = "spec_id string, text string, v int"
+
+    def deliver(*docs):
+        spark.createDataFrame(docs, schema).coalesce(1).write.mode("append").parquet(rows)
+        stream.stream_corpus(spark.readStream.schema(schema).parquet(rows), make, path, str(tmp_path / "state"))
+        return sorted((r.spec_id, r.word, r.v) for r in spark.read.parquet(path).collect())
+
+    assert deliver(("a", "x y", 0), ("b", "z", 0), ("c", None, 0)) == [("a", "x", 0), ("a", "y", 0), ("b", "z", 0)]
+    assert deliver(("a", "new", 1), ("b", "z", 1)) == [("a", "new", 1), ("b", "z", 0)]
+    assert deliver(("a", "x y", 2)) == [("a", "x", 2), ("a", "y", 2), ("b", "z", 0)]
+
+
+def test_a_kept_lexical_index_gives_what_a_search_without_one_gives(spark, tmp_path):
+    chunks = spark.createDataFrame([(1, "the PDU session one one"), (2, "session two"), (3, None), (4, "of the"), (5, "one two three session")], "chunk_id long, content string")
+    asked = spark.createDataFrame([(1, "PDU session session"), (2, "the of"), (3, None), (4, "three one")], "query_id long, text string")
+    bm25.write_bm25(bm25.build_bm25(chunks), str(tmp_path))
+    one = sorted(map(tuple, bm25.bm25_topk(asked, bm25.read_bm25(spark, str(tmp_path)), 2).collect()))
+    assert one == sorted(map(tuple, bm25.bm25_search(asked, chunks, 2).collect())) and [r[:3] for r in one] == [(1, 1, 1), (1, 2, 2), (4, 1, 5), (4, 2, 1)]
+    assert bm25.bm25_search(asked, chunks.limit(0), 2).count() == 0
 
 
 def test_operators_don_t_depend_on_the_order_of_rows(spark):
