@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -23,17 +24,22 @@ _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; where that is unset (a
-    local session), a temporary folder takes its place.
+    The cluster names it in ``spark.checkpoint.dir``; where that is unset, a
+    local session takes a temporary folder, and any other one must name it.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="corpuslens-"))
         base = sc.getCheckpointDir()
     return base.rstrip("/")
 
 
+_WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -43,7 +49,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corpuslens-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[table] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables. What was made of them must be stored itself by then."""
+    for table in tables:
+        sc = table.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop(table))
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores before it as no column of that name takes."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def text_bytes(name: str):

@@ -14,27 +14,32 @@ first. Components of two signatures agree with probability J.
 
 The steps:
 
-1. Texts become groups of equal texts, each with one node: its smallest id.
+1. Rows become groups of equal texts, each with one node, a row of that text.
    All else is done between nodes.
 2. ``BANDS`` bands of ``ROWS`` components each put nodes into buckets. At
-   J = 0.8 a pair shares none with probability (1 - 0.8**4)**32, under 1e-7.
+   J = 0.8 a pair shares none with probability (1 - 0.8**6)**40, under 6e-6.
 3. In every bucket, all nodes are compared to its hub, the node that meets most
-   others in all its buckets; J is computed exactly from the texts. Links make
-   classes (connected components, by large and small stars).
+   others in all its buckets; J is computed exactly from the texts. A hub's text
+   goes to at most ``HUB_PARTS`` places, and its members come to it one after
+   another. Links make classes (connected components, by large and small stars).
 4. Pairs of one bucket that are still in different classes are compared too,
    by a sketch of ``SKETCH`` bits first: a pair at J = 0.8 agrees in 90 % of
    them, and passes unless it falls short by more than five standard
    deviations. The sketches are compared inside the join, so the pairs that
    don't pass are never rows. Members of a bucket of over ``REFINE`` nodes go
    to buckets of a longer signature instead, where less similar ones seldom
-   meet; a pair at J = 0.8 misses those with probability under 1e-5. So no link
+   meet; a pair at J = 0.8 misses those with probability under 2e-5. So no link
    between classes is left out by a cap, and pairs within a class are never
    listed.
 
+Signatures are drawn for blocks of ``CELLS`` components at most, so a task's
+memory depends on neither the number nor the length of the texts in a batch.
+
 Null counts as a text without words. Texts without words have no shingles and
 are near nothing, not even each other. Texts of fewer than five words have one
 shingle, all their words. Rows with a null id are classes of their own (null).
-Rows that share an id are one node and share a class.
+Rows that share an id are told apart by their texts: each is in the class of
+its text, and exactly one row of a class stays, also of rows that repeat.
 """
 
 from __future__ import annotations
@@ -47,12 +52,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import WordHashes, blocks, gram_hashes, mix, stored, text_bytes
+from corpuslens.llm.common import WordHashes, blocks, discard, gram_hashes, mix, stored, text_bytes, unused
 
 SHINGLE, THRESHOLD = 5, 0.8
-BANDS, ROWS = 32, 4
-SKETCH, FINE_BANDS, FINE_ROWS = 2048, 64, 8
+BANDS, ROWS = 40, 6
+SKETCH, FINE_BANDS, FINE_ROWS = 2048, 96, 10
 REFINE = 1000
+#: Places that the text of one hub is sent to.
+HUB_PARTS = 256
+#: Components of the signatures that are drawn at a time.
+CELLS = 1 << 17
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -66,27 +75,32 @@ def shingles(words: list[bytes], cache: WordHashes, size: int = SHINGLE) -> tupl
 
 
 def signatures(elements: np.ndarray, weights: np.ndarray, doc: np.ndarray, n_docs: int, size: int) -> np.ndarray:
-    """ProbMinHash signatures of several weighted sets at once; ``size`` is a power of two.
+    """ProbMinHash signatures of several weighted sets at once.
 
-    elements, weights and doc (0 … n_docs - 1) are parallel arrays.
+    elements, weights and doc (0 … n_docs - 1) are parallel arrays. The fewer
+    elements are left, the more points of each are drawn in a round.
     """
     first = np.full(n_docs * size, np.inf)
     winner = np.zeros(n_docs * size, np.uint64)
     latest = np.full(n_docs, np.inf)
-    bits = np.uint64(64 - int(size).bit_length() + 1)
     point = np.zeros(len(elements))
-    t = 0
+    drawn = 0
     while len(elements):
-        t += 1
-        r = mix(elements + np.uint64(t * int(_GOLDEN) % 2**64))
-        point = point - np.log1p(-((r >> np.uint64(11)).astype(np.float64) * 2.0**-53)) / weights
-        slot = doc * size + (mix(r + _GOLDEN) >> bits).astype(np.int64)
-        early = np.flatnonzero(point < first[slot])
-        at, when = slot[early], point[early]
+        k = min(64, max(1, (1 << 14) // len(elements)))
+        steps = np.arange(drawn + 1, drawn + k + 1, dtype=np.uint64) * _GOLDEN
+        drawn += k
+        r = mix(elements[:, None] + steps)
+        wait = -np.log1p(-((r >> np.uint64(11)).astype(np.float64) * 2.0**-53)) / weights[:, None]
+        wait[:, 0] += point
+        when = np.cumsum(wait, 1)
+        slot = doc[:, None] * size + (((mix(r + _GOLDEN) >> np.uint64(32)) * np.uint64(size)) >> np.uint64(32)).astype(np.int64)
+        point, when, slot = when[:, -1], when.ravel(), slot.ravel()
+        early = np.flatnonzero(when < first[slot])
+        at, when = slot[early], when[early]
         np.minimum.at(first, at, when)
-        won = early[when == first[at]]
-        winner[slot[won]] = elements[won]
-        touched = np.unique(doc[early])
+        won = when == first[at]
+        winner[at[won]] = elements[early[won] // k]
+        touched = np.unique(doc[early // k])
         latest[touched] = first.reshape(n_docs, size)[touched].max(1)
         go = np.flatnonzero(point < latest[doc])
         elements, weights, doc, point = elements[go], weights[go], doc[go], point[go]
@@ -121,60 +135,59 @@ def _lists(x: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(ends, pa.array(x.reshape(-1).view(np.int64)))
 
 
-def _signed(texts: list[bytes], cache: WordHashes, size: int, components: int) -> tuple[list[tuple], np.ndarray]:
-    sets = [shingles(t.split(), cache, size) for t in texts]
-    doc = np.repeat(np.arange(len(sets)), [len(s[0]) for s in sets])
-    return sets, signatures(np.concatenate([s[0] for s in sets]), np.concatenate([s[1] for s in sets]), doc, len(sets), components)
+def _signed(batches: Iterator[pa.RecordBatch], size: int, components: int) -> Iterator[tuple[pa.RecordBatch, list[bytes], np.ndarray, np.ndarray]]:
+    """Blocks of rows (any, text) with their texts, whether each is without words, and their signatures."""
+    cache = WordHashes()
+    most = max(1, CELLS // components)
+    whole = blocks(batches, 1, 1 << 20)
+    for part in (block.slice(i, most) for block in whole for i in range(0, block.num_rows, most)):
+        texts = [t or b"" for t in part.column(1).to_pylist()]
+        sets = [shingles(t.split(), cache, size) for t in texts]
+        lengths = np.array([len(s[0]) for s in sets])
+        sig = signatures(np.concatenate([s[0] for s in sets]), np.concatenate([s[1] for s in sets]), np.repeat(np.arange(len(sets)), lengths), len(sets), components)
+        yield part, texts, lengths == 0, sig
 
 
-def _sketch(size: int):
-    """Bits of a longer signature, packed into longs, and its band keys."""
-    at = np.arange(1, SKETCH + 1, dtype=np.uint64) * _GOLDEN
-
+def _sign(bands: int, rows: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
-        for part in blocks(batches, 1, 1 << 20):
-            _, sig = _signed(part.column(1).to_pylist(), cache, size, SKETCH)
-            bits = np.packbits((mix(sig + at) >> np.uint64(63)).astype(np.uint8), axis=1).view(np.uint64)
-            yield pa.RecordBatch.from_arrays([part.column(0), _lists(bits), _lists(band_keys(sig, FINE_BANDS, FINE_ROWS))], ["node", "sketch", "fine"])
+        for part, texts, empty, sig in _signed(batches, size, bands * rows):
+            same = pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), same, pa.array(empty), _lists(band_keys(sig, bands, rows))], ["id", "same", "empty", "bands"])
 
     return run
 
 
-def _sign(bands: int, rows: int, size: int):
-    components = 1 << (bands * rows - 1).bit_length()
+def _sketch(size: int):
+    """Bits of a longer signature, packed into longs, and its band keys."""
+    at = np.arange(1, SKETCH + 1, dtype=np.uint64) * _GOLDEN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
-        for part in blocks(batches, 1, 2 << 20):
-            texts = [t or b"" for t in part.column(1).to_pylist()]
-            sets, sig = _signed(texts, cache, size, components)
-            empty = np.array([not len(s[0]) for s in sets])
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), pa.array(empty), _lists(band_keys(sig, bands, rows))],
-                ["id", "same", "empty", "bands"],
-            )
+        for part, _, _, sig in _signed(batches, size, SKETCH):
+            bits = np.packbits((mix(sig + at) >> np.uint64(63)).astype(np.uint8), axis=1).view(np.uint64)
+            yield pa.RecordBatch.from_arrays([part.column(0), _lists(bits), _lists(band_keys(sig, FINE_BANDS, FINE_ROWS))], ["node", "sketch", "fine"])
 
     return run
 
 
 def _verify(threshold: float, size: int):
+    """Rows (hub, part, node, text) come in order; the row of a hub, whose node is null, comes before its members'."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
-        known: dict[bytes, tuple] = {}
-
-        def weighted(text: bytes) -> tuple:
-            if text not in known:
-                if len(known) > 64:
-                    known.clear()
-                known[text] = shingles(text.split(), cache, size)
-            return known[text]
-
-        for part in blocks(batches, 2, 1 << 20):
-            a, b, text_a, text_b = (c.to_pylist() for c in part.columns)
-            sims = [probability_jaccard(weighted(x), weighted(y)) for x, y in zip(text_a, text_b)]
-            keep = pa.array([s >= threshold for s in sims])
-            yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep), pa.array(sims, pa.float64()).filter(keep)], ["a", "b", "sim"])
+        hub = None
+        for part in blocks(batches, 3, 1 << 20):
+            a, b, sim = [], [], []
+            for h, node, text in zip(*(part.column(i).to_pylist() for i in (0, 2, 3))):
+                own = shingles(text.split(), cache, size)
+                if node is None:
+                    hub = own
+                    continue
+                s = probability_jaccard(hub, own)
+                if s >= threshold:
+                    a.append(h)
+                    b.append(node)
+                    sim.append(s)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sim, pa.float64())], ["a", "b", "sim"])
 
     return run
 
@@ -197,7 +210,8 @@ def components(links: DataFrame) -> DataFrame:
         large = stored(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(down.select("u", F.col("m").alias("v")))
-        edges = stored(small.distinct(), "edges")
+        last, edges = edges, stored(small.distinct(), "edges")
+        discard(last, large)
         after = mark(edges)
         if after == before:
             break
@@ -211,21 +225,27 @@ class _Nodes:
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int, size: int, threshold: float):
         self.size, self.threshold = size, threshold
         keyed = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text"))
-        self.signed = stored(keyed.mapInArrow(_sign(bands, rows, size), "id long, same binary, empty boolean, bands array<long>"), "signed")
+        signed = keyed.mapInArrow(_sign(bands, rows, size), "id long, same binary, empty boolean, bands array<long>")
+        self.signed = stored(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
         usable = self.signed.where("id is not null and not empty")
-        self.equal = stored(usable.groupBy("same").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n")), "equal")
-        nodes = usable.join(self.equal, (F.col("id") == F.col("node")) & (usable["same"] == self.equal["same"]), "left_semi").select(F.col("id").alias("node"), "bands")
-        rows_of = nodes.select("node", F.explode("bands").alias("band"))
+        least = F.min(F.struct("id", "row"))
+        self.equal = stored(usable.groupBy("same").agg(least.alias("least")).select("same", F.col("least.row").alias("node"), F.col("least.id").alias("id")), "equal")
+        rows_of = usable.join(self.equal.select("node"), F.col("row") == F.col("node"), "left_semi").select(F.col("row").alias("node"), F.explode("bands").alias("band"))
         crowded = stored(rows_of.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "crowded")
-        self.buckets = stored(rows_of.join(crowded, "band").distinct(), "buckets")  # repeated rows of one text count once
-        members = self.buckets.select("node").distinct()
-        self.texts = stored(keyed.where("text is not null").join(members, F.col("id") == F.col("node"), "left_semi").select("id", "text").dropDuplicates(["id"]), "texts")
+        self.buckets = stored(rows_of.join(crowded, "band"), "buckets")
+        discard(crowded)
+        members = self.equal.join(self.buckets.select("node").distinct(), "node", "left_semi")
+        same = F.unhex(F.sha2("text", 256))
+        texts = keyed.where("text is not null").withColumn("same", same).join(members, ["id", "same"]).select("node", "text")
+        self.texts = stored(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")  # rows that repeat have one text
 
     def linked(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose texts are similar enough."""
-        a = self.texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-        b = self.texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify(self.threshold, self.size), "a long, b long, sim double")
+        """The pairs (a, b) whose texts are similar enough; a is the hub of its pairs."""
+        placed = pairs.select(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.lit(HUB_PARTS)).cast("int").alias("part"), F.col("b").alias("node"))
+        hubs = placed.select("hub", "part").distinct().join(self.texts.withColumnRenamed("node", "hub"), "hub").select("hub", "part", F.lit(None).cast("long").alias("node"), "text")
+        members = placed.join(self.texts, "node").select("hub", "part", "node", "text")
+        dealt = hubs.unionByName(members).repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("node").asc_nulls_first())
+        return dealt.mapInArrow(_verify(self.threshold, self.size), "a long, b long, sim double")
 
 
 def _unlike(cells: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
@@ -253,47 +273,75 @@ def near_classes(
     """One row per row of ``docs``: its id, class_id (the smallest id of its class), n_links and kept.
 
     n_links: how many of the links that made the classes touch the row's text.
-    kept: whether the row's id is its class's; the one document that stays.
+    kept: whether the row is the one of its class that stays; its id is class_id.
     """
+    return _classified(docs, id_col, text_col, threshold, bands, rows, size, refine).select(F.col("id").alias(id_col), "class_id", "n_links", "kept")
+
+
+def _classified(docs: DataFrame, id_col: str, text_col: str, threshold: float, bands: int, rows: int, size: int, refine: int) -> DataFrame:
     nodes = _Nodes(docs, id_col, text_col, bands, rows, size, threshold)
     buckets = nodes.buckets
     reach = buckets.groupBy("node").agg(F.sum(F.col("n") - 1).alias("reach"))
     hubs = stored(buckets.join(reach, "node").groupBy("band").agg(F.max(F.struct("reach", (-F.col("node")).alias("minus"))).alias("top")).select("band", (-F.col("top.minus")).alias("hub")), "hubs")
-    tested = stored(buckets.join(hubs, "band").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "tested")
+    tested = stored(buckets.join(hubs, "band").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "tested")
     links = stored(nodes.linked(tested), "links")
 
     roots = components(links)
     labelled = stored(buckets.join(roots, "node", "left").select(F.col("band").alias("key"), "n", "node", F.coalesce("root", "node").alias("label")), "labelled")
+    discard(hubs, buckets)
 
     def divided(cells: DataFrame) -> DataFrame:
         """Cells whose key has nodes of several classes."""
-        split = stored(cells.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"), "split")
+        split = cells.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
         return cells.join(split, "key", "left_semi")
 
     open_ = stored(divided(labelled), "open")
-    sketches = stored(
-        nodes.texts.join(open_.select(F.col("node").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("node"), "text").mapInArrow(_sketch(size), "node long, sketch array<long>, fine array<long>"), "sketches"
-    )
+    discard(labelled)
+    texts = nodes.texts.join(open_.select("node").distinct(), "node", "left_semi")
+    sketches = stored(texts.select("node", "text").mapInArrow(_sketch(size), "node long, sketch array<long>, fine array<long>"), "sketches")
     small = open_.where(F.col("n") <= refine).select("key", "node", "label")
     large = open_.where(F.col("n") > refine).select("node", "label").distinct()
     fine = divided(large.join(sketches.select("node", "fine"), "node").select(F.explode("fine").alias("key"), "node", "label"))
-    rest = _unlike(small, sketches, threshold).unionByName(_unlike(fine, sketches, threshold)).distinct().join(tested, ["a", "b"], "left_anti")
+    either = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    rest = stored(_unlike(small, sketches, threshold).unionByName(_unlike(fine, sketches, threshold)).distinct().join(either, ["a", "b"], "left_anti"), "rest")
     more = stored(nodes.linked(rest), "more")
+    discard(open_, sketches, tested, rest, nodes.texts)
     links = links.unionByName(more)
     if not more.isEmpty():
         roots = components(links)
 
-    degree = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n_links"))
-    known = stored(nodes.equal.select("same", "node").join(roots, "node", "left").join(degree, "node", "left"), "known")
-    return nodes.signed.select("id", "same").join(known, "same", "left").select(
-        F.col("id").alias(id_col),
-        F.when(F.col("id").isNotNull(), F.coalesce("root", "node", "id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        (F.col("id").isNull() | (F.coalesce("root", "node", "id") == F.col("id"))).alias("kept"),
+    degree = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n_links"))
+    rooted = stored(nodes.equal.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    class_ = rooted.groupBy("root").agg(F.min(F.struct("id", F.col("node").alias("row"))).alias("least"))
+    known = stored(rooted.join(class_, "root").join(degree, "node", "left").select("same", "least", "n_links"), "known")
+    discard(rooted)
+    mine = F.when(F.col("least").isNull(), F.col("id")).otherwise(F.col("least.id"))
+    return nodes.signed.where("id is not null").select("id", "same", "row").join(known, "same", "left").select(
+        "id", "same", mine.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("least").isNull() | (F.col("row") == F.col("least.row"))).alias("kept"),
+    ).unionByName(
+        nodes.signed.where("id is null").select("id", "same", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
     )
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    gone = near_classes(docs, id_col, text_col, **options).where("not kept").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+def keep_one_of_each(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
+    bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, refine: int = REFINE,
+) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Rows are dropped by id and text; of rows that repeat both, one is left.
+    """
+    found = _classified(docs, id_col, text_col, threshold, bands, rows, size, refine).where("id is not null")
+    verdicts = stored(found.groupBy("id", "same").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("kept").cast("int")).alias("stay")).where("n > stay"), "verdicts")
+    id_name, text_name = unused(docs.columns, "_id"), unused(docs.columns, "_text")
+    text = F.unhex(F.sha2(F.coalesce(text_bytes(text_col), F.lit(b"")), 256))
+    on = (F.col(id_col).cast("long") == F.col(id_name)) & (text == F.col(text_name))
+
+    def where(condition: str) -> DataFrame:
+        return verdicts.where(condition).select(F.col("id").alias(id_name), F.col("same").alias(text_name))
+
+    left, again = docs.join(where("stay = 0"), on, "left_anti"), where("stay > 0")
+    if again.isEmpty():
+        return left
+    once = left.join(again, on, "left_semi").withColumn(text_name, text).dropDuplicates([id_col, text_name]).drop(text_name)
+    return left.join(again, on, "left_anti").unionByName(once)
