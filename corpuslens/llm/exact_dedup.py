@@ -8,7 +8,11 @@ texts.
 
 Null counts as empty, and empty texts equal each other. Of equal texts the row
 with the largest id stays; a null id is smaller than any other. Where that id
-is on several rows of one text, exactly one of them stays.
+is on several rows of one text, exactly one of them stays. Columns of the input
+keep their names and values, whatever these are.
+
+Groups of over ``LARGE_GROUP`` rows are told to their rows by a broadcast of at
+most ``BROADCAST_BYTES``, so that no task gets all rows of one text.
 """
 
 from __future__ import annotations
@@ -21,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import blocks, mix, stored, text_bytes
+from corpuslens.llm.common import blocks, mix, stored, text_bytes, unused
 
 MIN_BYTES, MEAN_BITS, MAX_BYTES = 2048, 12, 32768
 _REACH = 32
+#: Rows of a group from which on it is broadcast; more, if such groups are too many to be.
+LARGE_GROUP, BROADCAST_BYTES = 1000, 32 << 20
 
 #: A random 32-bit number for each byte value.
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
@@ -112,7 +118,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = stored(
         made.groupBy("recipe").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("id", "row")).alias("last")).where("n > 1"), "groups"
     )
-    joined = made.join(groups, "recipe", "left")
+    least = LARGE_GROUP
+    while (groups.where(F.col("n") > least).agg(F.sum(F.octet_length("recipe") + 64)).first()[0] or 0) > BROADCAST_BYTES:
+        least *= 10
+    large = F.broadcast(groups.where(F.col("n") > least))
+    joined = made.join(large, "recipe").unionByName(made.join(large.select("recipe"), "recipe", "left_anti").join(groups.where(F.col("n") <= least), "recipe", "left"))
     alone = F.col("n").isNull()
     return joined.select(
         F.col("id").alias(id_col),
@@ -125,10 +135,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
+    sha_name, id_name, text_name = (unused(docs.columns, x) for x in ("_sha", "_kept_id", "_kept_sha"))
+    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias(id_name), F.col("text_sha256").alias(text_name))
     sha = F.sha2(F.coalesce(text_bytes(text_col), F.lit(b"")), 256)
-    stay = docs.withColumn("_sha", sha).join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha")), "left_semi")
+    stay = docs.withColumn(sha_name, sha).join(kept, F.col(id_col).cast("long").eqNullSafe(F.col(id_name)) & (F.col(sha_name) == F.col(text_name)), "left_semi")
     again = docs.groupBy(F.col(id_col)).count().where("count > 1")
     if not again.isEmpty():
-        stay = stay.dropDuplicates([id_col, "_sha"])
-    return stay.drop("_sha")
+        stay = stay.dropDuplicates([id_col, sha_name])
+    return stay.drop(sha_name)
