@@ -3,15 +3,18 @@
 A source's repetition rate is its target share of the mixture divided by its
 share of the corpus, times the mixture's size. Each document's number of copies
 comes from a Poisson distribution with that mean: the smallest k whose
-cumulative probability reaches the document's hash-seeded uniform number. So
-the number of copies depends on the id, the seed and the rate alone, and any
-task can be run again. Copies are dealt out by a hash and sorted by it, which
-is a uniform shuffle of the whole mixture.
+cumulative probability reaches the document's hash-seeded uniform number. A
+rate above ``TABLE_RATE`` is the sum of equal parts of at most that, each drawn
+by a number of its own, so tables stay short whatever the rate. So the number
+of copies depends on the id, the seed and the rate alone, and any task can be
+run again. Copies are dealt out by a hash and sorted by it, which is a uniform
+shuffle of the whole mixture.
 
 Sizes are characters; null and empty texts count as none, and a source of no
 characters, or of target weight nought, has rate nought. A null source is a
 source of its own. Rows with a null id draw as one document would; rows that
-repeat an id are copied alike.
+repeat an id are copied alike, and are dealt out by their texts too, so they
+don't meet in one task unless they are equal.
 """
 
 from __future__ import annotations
@@ -19,20 +22,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import stored
+from corpuslens.llm.common import stored, unused
 
 #: Sources up to which their rates are broadcast: some 100 bytes each and a short array.
 BROADCAST_SOURCES = 20_000
+#: Largest rate of one table of probabilities.
+TABLE_RATE = 128
 
 
-def uniform(key: Column, seed: int) -> Column:
-    """A number in (0, 1] from an id and a seed: the first 52 bits of an MD5."""
-    text = F.concat_ws(":", F.lit(str(seed)), F.coalesce(key.cast("string"), F.lit("")))
+def uniform(key: Column, seed: int, draw: Column | None = None) -> Column:
+    """A number in (0, 1] from an id, a seed and a draw's number: the first 52 bits of an MD5."""
+    draws = F.lit(str(seed)) if draw is None else F.when(draw == 0, str(seed)).otherwise(F.concat(F.lit(f"{seed}."), draw.cast("string")))
+    text = F.concat_ws(":", draws, F.coalesce(key.cast("string"), F.lit("")))
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 1) / F.lit(float(1 << 52))
 
 
+def draws_of(rate: Column) -> Column:
+    """Into how many equal parts a rate is divided."""
+    return F.greatest(F.ceil(rate / TABLE_RATE), F.lit(1)).cast("int")
+
+
 def poisson_table(rate: Column) -> Column:
-    """Cumulative probabilities of 0, 1, 2, … far into the tail, from log probabilities so that any rate works."""
+    """Cumulative probabilities of 0, 1, 2, … far into the tail, for a rate up to ``TABLE_RATE``."""
     steps = F.sequence(F.lit(1), (rate + 12 * F.sqrt(rate) + 40).cast("int"))
     start = F.struct((-rate).alias("logp"), F.exp(-rate).alias("cum"), F.array(F.exp(-rate)).alias("all"))
 
@@ -69,17 +80,26 @@ def mix_sources(
     docs: DataFrame, weights: dict[str, float] | None = None, budget: float = 1.0, seed: int = 0,
     id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
 ) -> DataFrame:
-    """The mixture: the columns of ``docs`` and copy (from 1), rate, shuffle_key, shuffled globally."""
-    rates = source_rates(docs, weights, budget, source_col, text_col).select("_src", "rate", poisson_table(F.col("rate")).alias("_cum"))
+    """The mixture: the columns of ``docs`` and copy (from 1), rate, shuffle_key, shuffled globally.
+
+    Where ``docs`` has a column of one of these names, that stays as it is and
+    the new one has an underscore before its name.
+    """
+    src, cum, draws, n = (unused(docs.columns, x) for x in ("_src", "_cum", "_draws", "_n"))
+    copy, rate, shuffle_key = (unused(docs.columns, x) for x in ("copy", "rate", "shuffle_key"))
+    of_source = F.col("rate")
+    rates = source_rates(docs, weights, budget, source_col, text_col)
+    rates = rates.select(F.col("_src").alias(src), of_source.alias(rate), draws_of(of_source).alias(draws), poisson_table(of_source / draws_of(of_source)).alias(cum))
     if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
     key = F.col(id_col)
-    copies = F.size(F.filter("_cum", lambda c: c < uniform(key, seed)))
-    placed = F.md5(F.concat_ws(":", F.lit(f"{seed}/place"), F.coalesce(key.cast("string"), F.lit("")), F.col("copy").cast("string")))
+    numbers = F.transform(F.sequence(F.lit(0), F.col(draws) - 1), lambda j: uniform(key, seed, j))  # an array, so each is computed once
+    copies = F.aggregate(numbers, F.lit(0), lambda total, u: total + F.size(F.filter(cum, lambda c: c < u)))
+    placed = F.md5(F.concat_ws(":", F.lit(f"{seed}/place"), F.coalesce(key.cast("string"), F.lit("")), F.col(copy).cast("string")))
     mixed = (
-        docs.join(rates, F.col(source_col).eqNullSafe(F.col("_src")))
-        .withColumn("_n", copies).where("_n > 0")
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-        .select(*docs.columns, "copy", "rate", placed.alias("shuffle_key"))
+        docs.join(rates, F.col(source_col).eqNullSafe(F.col(src)))
+        .withColumn(n, copies).where(F.col(n) > 0)
+        .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n))))
+        .select(*docs.columns, copy, rate, placed.alias(shuffle_key))
     )
-    return mixed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    return mixed.repartition(F.col(shuffle_key), F.xxhash64(F.col(text_col))).sortWithinPartitions(shuffle_key)
