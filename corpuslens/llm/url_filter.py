@@ -21,8 +21,13 @@ Changes at equal times apply adds first, so a remove at the same time wins.
 Entries with a null among kind, pattern, action, change and time have no
 effect. URLs are matched without scheme, user, port, query and fragment, in
 lower case up to the path. A capture whose URL is null or has no host matches
-nothing, and one with a null time neither: they are kept. Rows that repeat are
-judged each for itself.
+nothing, and one with a null time neither: they are kept. The verdict depends on
+URL and time alone, so each pair of them is looked up once, and rows that repeat
+have the same one.
+
+Captures look up no more than the list can answer: paths down to its deepest
+prefix, and single labels (``com``) only if it has one. A list of up to
+``BROADCAST_ENTRIES`` is broadcast, so no key of the captures is shuffled.
 """
 
 from __future__ import annotations
@@ -30,6 +35,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslens.llm.common import stored, unused
+
+#: Intervals up to which a list is broadcast: some 150 bytes each.
+BROADCAST_ENTRIES = 100_000
+
 
 def url_host(url: Column) -> Column:
     """Host of a URL, in lower case; null if it has none."""
@@ -51,14 +61,18 @@ def validity(entries: DataFrame) -> DataFrame:
     )
 
 
-def lookup_keys(host: Column, path: Column) -> Column:
-    """What a capture looks up: array of (kind, pattern)."""
+def lookup_keys(host: Column, path: Column, depth: int, least_labels: int) -> Column:
+    """What a capture looks up: array of (kind, pattern); prefixes of up to ``depth`` parts, domains of so many labels at least."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
-    domains = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, n), ".").alias("pattern")))
+
+    def up_to(last: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: i > 0)
+
+    domains = F.transform(up_to(n - (least_labels - 1)), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, n), ".").alias("pattern")))
     parts = F.filter(F.split(F.lower(path), "/"), lambda p: p != "")
     prefixes = F.transform(
-        F.filter(F.sequence(F.lit(0), F.size(parts)), lambda i: i > 0),
+        up_to(F.least(F.size(parts), F.lit(depth))),
         lambda i: F.struct(F.lit("prefix").alias("kind"), F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")).alias("pattern")),
     )
     own = F.array(F.struct(F.lit("host").alias("kind"), host.alias("pattern")))
@@ -66,20 +80,33 @@ def lookup_keys(host: Column, path: Column) -> Column:
 
 
 def url_filter(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_col: str = "fetched_at") -> DataFrame:
-    """The captures with host, kind, pattern and listed_at of the entry that decides (null if none), and kept."""
-    names = captures.columns
-    numbered = captures.withColumn("_row", F.monotonically_increasing_id())
-    host = url_host(F.col(url_col))
-    seen = numbered.select("_row", F.col(time_col).alias("_at"), F.explode(lookup_keys(host, url_path(F.col(url_col)))).alias("_key"))
-    listed = validity(entries)
+    """The captures with host, matched_kind, matched_pattern and listed_at of the entry that decides (null if none), and kept.
+
+    Where the captures have a column of one of these names, that stays as it is
+    and the new one has an underscore before its name.
+    """
+    listed = stored(validity(entries), "list")
+    prefix, domain = F.col("kind") == "prefix", F.col("kind") == "domain"
+    about = listed.agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.when(prefix, F.size(F.split("pattern", "/")) - 1)).alias("depth"), F.min(F.when(domain, F.size(F.split("pattern", r"\.")))).alias("labels")
+    ).first()
+    if about["n"] <= BROADCAST_ENTRIES:
+        listed = F.broadcast(listed)
+    url, at = F.col(url_col).cast("string"), F.col(time_col)
+    pairs = captures.select(url.alias("_url"), at.alias("_at")).where("_url is not null and _at is not null").distinct()
+    keys = lookup_keys(url_host(F.col("_url")), url_path(F.col("_url")), about["depth"] or 0, about["labels"] or 1)
+    seen = pairs.select("_url", "_at", F.explode(keys).alias("_key"))
     active = seen.join(
         listed, (F.col("_key.kind") == listed["kind"]) & (F.col("_key.pattern") == listed["pattern"]) & (listed["valid_from"] <= F.col("_at")) & (listed["valid_to"].isNull() | (F.col("_at") < listed["valid_to"]))
     )
     rank = F.struct(F.length("pattern").alias("n"), F.col("kind").alias("kind"), F.col("pattern").alias("pattern"), F.col("action").alias("action"), F.col("valid_from").alias("listed_at"))
-    decided = active.groupBy("_row").agg(F.max(rank).alias("_top"))
-    return numbered.join(decided, "_row", "left").select(
-        *names, host.alias("host"), F.col("_top.kind").alias("matched_kind"), F.col("_top.pattern").alias("matched_pattern"), F.col("_top.listed_at").alias("listed_at"),
-        F.coalesce(F.col("_top.action") != "block", F.lit(True)).alias("kept"),
+    decided = active.groupBy("_url", "_at").agg(F.max(rank).alias("_top"))
+    names = captures.columns
+    top, by_url, by_at = unused(names, "_top"), unused(names, "_url"), unused(names, "_at")
+    found = captures.join(decided.toDF(by_url, by_at, top), (url == F.col(by_url)) & (at == F.col(by_at)), "left")
+    return found.select(
+        *names, url_host(F.col(url_col)).alias(unused(names, "host")), F.col(f"{top}.kind").alias(unused(names, "matched_kind")), F.col(f"{top}.pattern").alias(unused(names, "matched_pattern")),
+        F.col(f"{top}.listed_at").alias(unused(names, "listed_at")), F.coalesce(F.col(f"{top}.action") != "block", F.lit(True)).alias(unused(names, "kept")),
     )
 
 
