@@ -96,7 +96,9 @@ def bm25_search(queries: DataFrame, chunks: DataFrame, k: int, id_col: str = "ch
     words = chunks.select(F.col(id_col).alias("chunk_id"), terms(F.col(content_col), stop_words).alias("words"))
     each = words.select("chunk_id", F.size("words").alias("dl"), F.explode(F.concat(F.array(F.lit(mark)), "words")).alias("term"))
     wanted = asked.select("term").distinct().unionByName(asked.sparkSession.createDataFrame([(mark,)], "term string"))
-    found = kept(each.join(hint(wanted), "term", "left_semi").groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")), "found")
+    # a chunk's terms stay together, so that a task has all of a chunk's score before the shuffle
+    near = each.join(hint(wanted), "term", "left_semi").repartition("chunk_id")
+    found = kept(near.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")), "found")
     n, avgdl = found.where(F.col("term") == mark).agg(F.count(F.lit(1)), F.avg("dl")).first()
     postings = found.where(F.col("term") != mark)
     return _ranked(asked, hint, postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), n, avgdl, k)

@@ -9,36 +9,55 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions import vectors as V
+from corpuslens.sources.scratch import kept
 
 BLOCK_ROWS = 4096
 #: Scores are compared at this many digits, so that ties don't hang on the order of a sum.
 DIGITS = 9
 
 
-def _unit(column: pd.Series) -> np.ndarray:
+def _unit(column: pd.Series, width: int | None = None) -> np.ndarray:
+    """Rows of length one, of vectors cut to ``width``; one wider than they are is an error."""
     x = np.stack([np.asarray(v, np.float64) for v in column])
+    if width is not None and width > x.shape[1]:
+        raise ValueError(f"{width} is wider than the vectors, which have {x.shape[1]} components")
+    x = x[:, :width]
     n = np.sqrt((x * x).sum(1, keepdims=True))
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
-def _best_of_blocks(k: int):
+def _best_of_blocks(k: int, widths: list[int | None]):
     def run(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "chunk_id": [], "score": []}
+        out = {"query_id": [], "dim": [], "chunk_id": [], "score": []}
         if len(vectors) and len(queries):
             ids = vectors["chunk_id"].to_numpy()
-            scores = np.round(_unit(queries["vec"]) @ _unit(vectors["vec"]).T, DIGITS)
-            for q, row in zip(queries["query_id"], scores):
-                cut = np.partition(row, -k)[-k] if len(row) > k else -np.inf
-                at = np.flatnonzero(row >= cut)
-                at = at[np.lexsort((ids[at], -row[at]))[:k]]
-                out["query_id"] += [q] * len(at)
-                out["chunk_id"] += ids[at].tolist()
-                out["score"] += row[at].tolist()
-        return pd.DataFrame(out).astype({"query_id": "int64", "chunk_id": "int64", "score": "float64"})
+            for width in widths:
+                scores = np.round(_unit(queries["vec"], width) @ _unit(vectors["vec"], width).T, DIGITS)
+                for q, row in zip(queries["query_id"], scores):
+                    cut = np.partition(row, -k)[-k] if len(row) > k else -np.inf
+                    at = np.flatnonzero(row >= cut)
+                    at = at[np.lexsort((ids[at], -row[at]))[:k]]
+                    out["query_id"] += [q] * len(at)
+                    out["dim"] += [width or 0] * len(at)
+                    out["chunk_id"] += ids[at].tolist()
+                    out["score"] += row[at].tolist()
+        return pd.DataFrame(out).astype({"query_id": "int64", "dim": "int32", "chunk_id": "int64", "score": "float64"})
 
     return run
 
 
+def _in_blocks(queries: DataFrame, vectors: DataFrame, k: int, widths: list[int | None], block_rows: int) -> DataFrame:
+    """The k best of each query and width: query_id, dim, rank, chunk_id, score."""
+    rows = kept(vectors.select(F.col("chunk_id").cast("long"), "vec").dropna(), "vectors")
+    asked = kept(queries.select(F.col("query_id").cast("long"), "vec").dropna(), "queries")
+    n, m = max(1, -(-rows.count() // block_rows)), max(1, -(-asked.count() // block_rows))
+    left = rows.select("chunk_id", "vec", F.pmod(F.xxhash64("chunk_id"), F.lit(n)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("part"))
+    right = asked.select("query_id", "vec", F.pmod(F.xxhash64("query_id"), F.lit(m)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("shard"))
+    found = left.groupBy("shard", "part").cogroup(right.groupBy("shard", "part")).applyInPandas(_best_of_blocks(k, widths), "query_id long, dim int, chunk_id long, score double")
+    best = Window.partitionBy("query_id", "dim").orderBy(F.desc("score"), "chunk_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "dim", "rank", "chunk_id", "score")
+
+
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, spec_ids: DataFrame | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The k nearest chunks by cosine: query_id, rank, chunk_id, score.
 
@@ -49,54 +68,54 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, spec_ids: DataFra
     """
     if spec_ids is not None:
         vectors = vectors.join(spec_ids.select("spec_id").distinct(), "spec_id", "left_semi")
-    rows = vectors.select(F.col("chunk_id").cast("long"), "vec").dropna()
-    asked = queries.select(F.col("query_id").cast("long"), "vec").dropna()
-    n, m = max(1, -(-rows.count() // block_rows)), max(1, -(-asked.count() // block_rows))
-    left = rows.select("chunk_id", "vec", F.pmod(F.xxhash64("chunk_id"), F.lit(n)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("part"))
-    right = asked.select("query_id", "vec", F.pmod(F.xxhash64("query_id"), F.lit(m)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("shard"))
-    found = left.groupBy("shard", "part").cogroup(right.groupBy("shard", "part")).applyInPandas(_best_of_blocks(k), "query_id long, chunk_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
+    return _in_blocks(queries, vectors, k, [None], block_rows).drop("dim")
 
 
-def dense_multidim(queries: DataFrame, vectors: DataFrame, dims: list[int], k: int) -> DataFrame:
-    """Results for several widths, each cut from the widest vector: query_id, dim, rank, chunk_id, score."""
-    out = None
-    for d in dims:
-        cut = lambda df: df.withColumn("vec", V.truncate_renorm(F.col("vec"), d))  # noqa: B023, E731
-        one = dense_topk(cut(queries), cut(vectors), k).withColumn("dim", F.lit(d))
-        out = one if out is None else out.unionByName(one)
-    return out.select("query_id", "dim", "rank", "chunk_id", "score")
+def dense_multidim(queries: DataFrame, vectors: DataFrame, dims: list[int], k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Results for several widths, each cut from the widest vector, in one pass: query_id, dim, rank, chunk_id, score."""
+    return _in_blocks(queries, vectors, k, list(dims), block_rows)
 
 
-def _buckets(planes: np.ndarray):
-    """planes: (tables, bits, width)."""
-    powers = 1 << np.arange(planes.shape[1])
+def _buckets(planes: np.ndarray, near: bool):
+    """Keys of the buckets of each vector: one in each table, and if ``near`` those that differ from it in one plane. planes: (tables, bits, width)."""
+    tables, bits = planes.shape[:2]
+    powers = 1 << np.arange(bits, dtype=np.int64)
+    flips = np.concatenate([[0], powers]) if near else np.zeros(1, np.int64)
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 x = np.stack([np.asarray(v, np.float64) for v in batch.column(1).to_pylist()])
-                keys = ((np.einsum("tbw,nw->ntb", planes, x) > 0) * powers).sum(2) + (np.arange(planes.shape[0]) << planes.shape[1])
+                own = ((np.einsum("tbw,nw->ntb", planes, x) > 0) * powers).sum(2)
+                keys = (own[:, :, None] ^ flips) + (np.arange(tables, dtype=np.int64) << bits)[:, None]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(keys.tolist(), pa.list_(pa.int64()))], ["id", "vec", "keys"]
+                    [batch.column(0), batch.column(1), pa.array(keys.reshape(len(x), -1).tolist(), pa.list_(pa.int64()))], ["id", "vec", "keys"]
                 )
 
     return run
 
 
-def ann_topk(queries: DataFrame, vectors: DataFrame, k: int, width: int, tables: int = 64, bits: int = 6, seed: int = 7) -> DataFrame:
+#: Vectors of a bucket, on average, at which buckets are halved.
+BUCKET_ROWS = 64
+
+
+def ann_topk(queries: DataFrame, vectors: DataFrame, k: int, width: int, tables: int = 64, bits: int | None = None, seed: int = 7) -> DataFrame:
     """About the k nearest chunks by cosine: rows that share a hyperplane bucket with the query, scored exactly.
 
-    Every row is indexed; recall against dense_topk depends on tables and bits.
+    Every row is indexed, in one bucket of each table; a query also looks into the
+    buckets beyond each single plane. The number of planes (bits) grows with the
+    logarithm of the rows, so that buckets don't grow. Recall against dense_topk
+    depends on tables.
     """
+    if bits is None:
+        bits = min(40, max(6, int(np.ceil(np.log2(max(1, vectors.count()) / BUCKET_ROWS)))))
     planes = np.random.default_rng(seed).normal(size=(tables, bits, width))
 
-    def keyed(df: DataFrame, id_col: str) -> DataFrame:
-        made = df.select(F.col(id_col).cast("long").alias("id"), F.col("vec").cast("array<double>")).dropna().mapInArrow(_buckets(planes), "id long, vec array<double>, keys array<long>")
-        return made
+    def keyed(df: DataFrame, id_col: str, near: bool) -> DataFrame:
+        whole = df.select(F.col(id_col).cast("long").alias("id"), F.col("vec").cast("array<double>")).dropna()
+        return kept(whole.mapInArrow(_buckets(planes, near), "id long, vec array<double>, keys array<long>"), "buckets")
 
-    rows, asked = keyed(vectors, "chunk_id"), keyed(queries, "query_id")
+    rows, asked = keyed(vectors, "chunk_id", False), keyed(queries, "query_id", True)
     pairs = (
         rows.select(F.col("id").alias("chunk_id"), F.explode("keys").alias("key"))
         .join(asked.select(F.col("id").alias("query_id"), F.explode("keys").alias("key")), "key").select("query_id", "chunk_id").distinct()

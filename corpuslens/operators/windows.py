@@ -64,11 +64,11 @@ def plan_slots(targets: DataFrame, quota: DataFrame, oversample: float) -> DataF
 
     Both tables are small lists of names; every category meets every series.
     """
-    whole = quota.agg(F.sum("quota").alias("all")).first()["all"] or 1
-    series = quota.agg(F.collect_list(F.struct("series", "quota")).alias("s")).first()["s"]
-    every = targets.withColumn("s", F.explode(F.array(*[F.struct(F.lit(r["series"]).alias("series"), F.lit(r["quota"]).alias("quota")) for r in series])))
+    whole = F.coalesce(F.nullif(F.aggregate("all", F.lit(0).cast("double"), lambda total, x: total + x["quota"]), F.lit(0.0)), F.lit(1.0))
+    series = quota.agg(F.collect_list(F.struct("series", "quota")).alias("all")).withColumn("_one", F.lit(1))
+    every = targets.withColumn("_one", F.lit(1)).join(F.broadcast(series), "_one").select("category", "target", whole.alias("whole"), F.explode("all").alias("s"))
     n = F.greatest(F.lit(1), F.bround(F.col("target") * oversample).cast("int"))
-    raw = n * F.col("s.quota") / F.lit(float(whole))
+    raw = n * F.col("s.quota") / F.col("whole")
     shared = every.select("category", "s.series", n.alias("n"), F.floor(raw).cast("int").alias("base"), F.round(raw - F.floor(raw), 9).alias("rest"))
     left = F.col("n") - F.sum("base").over(Window.partitionBy("category"))
     place = F.row_number().over(Window.partitionBy("category").orderBy(F.desc("rest"), "series"))

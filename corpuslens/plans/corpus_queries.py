@@ -316,12 +316,12 @@ def snk06_projections(spark, d):
     return W.to_meta(t.drop("lang"), "p").join(payload, "chunk_id")
 
 
-@query("select 'ok' as what, count(*) as n from documents where doc_id % 4 <> 0 union all select 'failed', count(*) from documents where doc_id % 4 = 0")
+@query("select doc_id, doc_id % 4 = 0 as failed, case when doc_id % 4 = 0 then 'broken' end as error from documents")
 def snk09_split_failures(spark, d):
     t = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 4 == 0, "broken").alias("error"))
     ok, failed = W.split_failures(t)
-    count = lambda df, what: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), "n")
-    return count(ok, "ok").unionByName(count(failed, "failed"))
+    told = lambda df, failed, error: df.select("doc_id", F.lit(failed).alias("failed"), error.alias("error"))
+    return told(ok, False, F.lit(None).cast("string")).unionByName(told(failed, True, F.col("error")))
 
 
 @query("select doc_id from documents where doc_id not in (select doc_id from labels)")
@@ -362,10 +362,10 @@ def src02_build_manifest(spark, d):
 # user functions
 
 
-@query("select vec_id as chunk_id, 4 as width from embeddings")
+@query("select vec_id as chunk_id, 4 as width, length(label::varchar)::double as first, 1.0::double as last from embeddings")
 def udf01_embed(spark, d):
     t = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").cast("string").alias("content"))
-    return udf.embed(t, lambda texts: [[float(len(x))] * 4 for x in texts], 4).select("chunk_id", F.size("vec").alias("width"))
+    return udf.embed(t, lambda texts: [[float(len(x)), 0.0, 0.0, 1.0] for x in texts], 4).select("chunk_id", F.size("vec").alias("width"), F.col("vec")[0].cast("double").alias("first"), F.col("vec")[3].cast("double").alias("last"))
 
 
 @query("select doc_id, case when doc_id % 5 = 0 then null else lang || length(source) end as label, doc_id % 5 = 0 as failed from documents")
