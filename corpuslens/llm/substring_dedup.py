@@ -11,19 +11,24 @@ the same minimiser form a super-k-mer. The steps:
 2. Those travel as one packed string each to the bucket of their minimiser,
    where sorting the windows finds equal ones exactly.
 3. A bucket of more than ``HOT_WINDOWS`` windows (a passage that very many
-   documents share) isn't gathered: its windows are spread one by one by a
-   128-bit digest and aggregated before they are shuffled.
+   documents share) is divided: its super-k-mers are cut where the runs of words
+   next to the minimiser enter or leave the window, and go to a bucket of their
+   own for each such context. Equal packed strings are counted before they are
+   shuffled, so that one of each, with its smallest id, is left to be sorted.
+   Should a context still have over ``CONTEXT_WINDOWS`` windows, they are
+   counted by their words, each alone; one that comes again and again in a
+   string, as in a run of one word, is there once, with the words that it covers.
 4. Covered words are cut from the documents.
 
 Words are runs of anything but ASCII white space, unchanged. Null ids take no
 part (nothing is smaller or larger than null): their text stays whole. Null
 and empty texts have no words. Rows that repeat an id are judged each by its
-own text; a row never counts as earlier than another row of the same id.
+own text; a row never counts as earlier than another row of the same id. Rows
+that repeat id and text cost in proportion to their number.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from itertools import accumulate, groupby
 
@@ -32,14 +37,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import WordHashes, blocks, gram_hashes, stored, text_bytes
+from corpuslens.llm.common import WordHashes, blocks, discard, gram_hashes, mix, stored, text_bytes
 
 GRAM = 12
 #: Windows in a bucket up to which one task sorts it.
 HOT_WINDOWS = 2048
+#: Windows in a context up to which one task sorts it; some 30 MB.
+CONTEXT_WINDOWS = 1 << 16
 
 _HEADER = "mini long, id long, h long, start int, nwin int"
-_PIECE = "mini long, hot boolean, id long, h long, start int, packed binary"
+_PIECE = "mini long, sub long, hot boolean, id long, h long, start int, nwin int, packed binary"
 _SPAN = "id long, h long, a int, b int"
 
 
@@ -97,20 +104,37 @@ def _headers(window: int, gram: int):
     return run
 
 
-def _cut(window: int):
+def contexts(hashes: np.ndarray, mini: np.uint64, window: int, gram: int) -> np.ndarray:
+    """A key for each window of a super-k-mer: the runs of words before and after its first minimiser, as far as they are in the window."""
+    grams = gram_hashes(hashes, gram)
+    start = np.arange(len(hashes) - window + 1)
+    found = np.flatnonzero(grams == mini)
+    place = found[np.searchsorted(found, start)]
+    before, after = place - gram, place + gram
+    left = np.where(before >= start, grams[np.maximum(before, 0)], np.uint64(0))
+    right = np.where(after + gram <= start + window, grams[np.minimum(after, len(grams) - 1)], np.uint64(0))
+    return mix(mix(left + np.uint64(1)) + right)
+
+
+def _cut(window: int, gram: int):
+    types = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
         for part in blocks(batches, 2, 1 << 20):
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[tuple] = []
             for id_, h, text, pieces in zip(*(c.to_pylist() for c in part.columns)):
                 words = text.split()
                 for p in pieces:
-                    row = (p["mini"], p["hot"], id_, h, p["start"], b" ".join(words[p["start"] : p["start"] + p["nwin"] + window - 1]))
-                    for c, v in zip(out, row):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))],
-                ["mini", "hot", "id", "h", "start", "packed"],
-            )
+                    start, n, mini = p["start"], p["nwin"], p["mini"]
+                    runs = [(0, n, 0)]
+                    if p["hot"]:
+                        key = contexts(cache.of(words[start : start + n + window - 1]), np.int64(mini).view(np.uint64), window, gram)
+                        at = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), n]
+                        runs = [(a, b, k) for a, b, k in zip(at, at[1:], key.view(np.int64)[at[:-1]].tolist())]
+                    for a, b, sub in runs:
+                        out.append((mini, sub, p["hot"], id_, h, start + a, b - a, b" ".join(words[start + a : start + b + window - 1])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 8, types)], ["mini", "sub", "hot", "id", "h", "start", "nwin", "packed"])
 
     return run
 
@@ -159,16 +183,16 @@ def _span_batch(spans: list[tuple]) -> pa.RecordBatch:
 
 
 def _sort_buckets(window: int):
-    """Buckets come one after another; each is held alone, and is bounded."""
+    """Rows (mini, sub, id, h, start, packed): buckets come one after another; each is held alone, and is bounded."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for part in blocks(batches, 4, 1 << 20):
+        for part in blocks(batches, 5, 1 << 20):
             yield from zip(*(c.to_pylist() for c in part.columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans: list[tuple] = []
-        for _, bucket in groupby(rows(batches), key=lambda r: r[0]):
-            spans += repeated_in_bucket([r[1:] for r in bucket], window)
+        for _, bucket in groupby(rows(batches), key=lambda r: r[:2]):
+            spans += repeated_in_bucket([r[2:] for r in bucket], window)
             if len(spans) > 20_000:
                 yield _span_batch(spans)
                 spans = []
@@ -178,19 +202,18 @@ def _sort_buckets(window: int):
 
 
 def _spread(window: int):
+    """Each distinct window of packed strings (id, h, packed), with the spans [a, b) that it covers there."""
+    types = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in blocks(batches, 3, 1 << 18):
-            digest, id_, h, at = [], [], [], []
-            for i, k, start, packed in zip(*(c.to_pylist() for c in part.columns)):
-                for j, w in enumerate(windows_of(packed, window)):
-                    digest.append(hashlib.blake2b(w, digest_size=16).digest())
-                    id_.append(i)
-                    h.append(k)
-                    at.append(start + j)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(digest, pa.binary()), pa.array(id_, pa.int64()), pa.array(h, pa.int64()), pa.array(at, pa.int32())],
-                ["digest", "id", "h", "at"],
-            )
+        for part in blocks(batches, 2, 1 << 17):
+            out: list[tuple] = []
+            for i, h, packed in zip(*(c.to_pylist() for c in part.columns)):
+                places: dict[bytes, list[tuple[int, int]]] = {}
+                for at, w in enumerate(windows_of(packed, window)):
+                    places.setdefault(w, []).append((at, at + window))
+                out += [(w, i, h, a, b) for w, spans in places.items() for a, b in merged(spans)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 5, types)], ["words", "id", "h", "a", "b"])
 
     return run
 
@@ -229,8 +252,8 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("h"), text_bytes(text_col).alias("text"))
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, hot_windows: int = HOT_WINDOWS) -> DataFrame:
-    """Word spans [a, b) of each row (id, hash of its text) that repeat an earlier document."""
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, hot_windows: int = HOT_WINDOWS, context_windows: int = CONTEXT_WINDOWS) -> DataFrame:
+    """Word spans [a, b) that repeat an earlier document: rows (id, hash of its text, spans), of which a row may have several."""
     gram = min(GRAM, window)
     keyed = _keyed(docs, id_col, text_col)
     usable = keyed.where("id is not null and text is not null")
@@ -242,32 +265,50 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .select("mini", (F.col("n") > hot_windows).alias("hot")),
         "shared",
     )
-    wanted = (
-        headers.join(shared, "mini").groupBy("id", "h").agg(F.collect_list(F.struct("mini", "hot", "start", "nwin")).alias("pieces"))
+    piece = F.struct("mini", "hot", "start", "nwin")
+    wanted = headers.join(shared, "mini").groupBy("id", "h").agg(F.collect_set(piece).alias("pieces"))  # of repeated rows once
+    pieces = stored(usable.join(wanted, ["id", "h"]).select("id", "h", "text", "pieces").mapInArrow(_cut(window, gram), _PIECE), "pieces")
+    discard(headers, shared)
+    cold = _sorted_spans(pieces.where("not hot").select("mini", "sub", "id", "h", "start", "packed"), window)
+    return cold.select("id", "h", F.array(F.struct("a", "b")).alias("spans")).unionByName(
+        _hot_spans(pieces.where("hot"), window, max(hot_windows, context_windows))
     )
-    pieces = stored(usable.join(wanted, ["id", "h"]).select("id", "h", "text", "pieces").mapInArrow(_cut(window), _PIECE), "pieces")
 
-    sorted_spans = (
-        pieces.where("not hot").select("mini", "id", "h", "start", "packed")
-        .repartition("mini").sortWithinPartitions("mini").mapInArrow(_sort_buckets(window), _SPAN)
-    )
-    spread = pieces.where("hot").select("id", "h", "start", "packed").mapInArrow(_spread(window), "digest binary, id long, h long, at int")
-    first = stored(spread.groupBy("digest").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi"), "first")
-    hot_spans = (
-        spread.join(first.drop("hi"), "digest").where("id > lo").select("id", "h", F.col("at").alias("a"), (F.col("at") + window).cast("int").alias("b"))
-    )
-    return sorted_spans.unionByName(hot_spans)
+
+def _sorted_spans(rows: DataFrame, window: int) -> DataFrame:
+    dealt = rows.repartition("mini", "sub").sortWithinPartitions("mini", "sub")
+    return dealt.mapInArrow(_sort_buckets(window), _SPAN)
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, hot_windows: int = HOT_WINDOWS) -> DataFrame:
+def _hot_spans(pieces: DataFrame, window: int, most: int) -> DataFrame:
+    """Spans of hot buckets: of each packed string, all holders but the one of smallest id repeat it; that one is sorted among the others' like."""
+    held = ["mini", "sub", "packed"]
+    strings = stored(
+        pieces.groupBy(*held).agg(F.min("id").alias("lo"), F.first("nwin").alias("nwin")).withColumn("u", F.monotonically_increasing_id()), "strings"
+    )
+    sizes = stored(strings.groupBy("mini", "sub").agg(F.sum("nwin").alias("n"), F.count(F.lit(1)).alias("k")).where("k > 1"), "contexts")
+    several = strings.join(sizes, ["mini", "sub"])
+    few = several.where(F.col("n") <= most).select("mini", "sub", F.col("lo").alias("id"), F.col("u").alias("h"), F.lit(0).alias("start"), "packed")
+    spread = several.where(F.col("n") > most).select("lo", "u", "packed").mapInArrow(_spread(window), "words binary, id long, h long, a int, b int")
+    first = spread.groupBy("words").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").drop("hi")
+    alone = spread.join(first, "words").where("id > lo").select("id", "h", "a", "b")
+    inner = stored(_sorted_spans(few, window).unionByName(alone).groupBy(F.col("h").alias("u")).agg(F.collect_set(F.struct("a", "b")).alias("spans")), "inner")
+    holders = stored(pieces.join(strings.drop("nwin"), held).select("id", "h", "start", "nwin", "u", (F.col("id") > F.col("lo")).alias("later")), "holders")
+    discard(strings, sizes)
+    whole = holders.where("later").select("id", "h", F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("nwin") + (window - 1)).alias("b"))).alias("spans"))
+    moved = F.transform("spans", lambda x: F.struct((x["a"] + F.col("start")).alias("a"), (x["b"] + F.col("start")).alias("b")))
+    return whole.unionByName(holders.where("not later").join(inner, "u").select("id", "h", moved.alias("spans")))
+
+
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, hot_windows: int = HOT_WINDOWS, context_windows: int = CONTEXT_WINDOWS) -> DataFrame:
     """Cut words covered by a window that an earlier document also has.
 
     One row per input row: the id, n_words, n_removed, kept_text (words joined
     by one space) and removed (array of word spans [start, end)). Windows are
     judged on the input, not on what other cuts leave.
     """
-    spans = repeated_spans(docs, id_col, text_col, window, hot_windows)
-    by_row = spans.groupBy("id", "h").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    spans = repeated_spans(docs, id_col, text_col, window, hot_windows, context_windows)
+    by_row = spans.groupBy("id", "h").agg(F.flatten(F.collect_set("spans")).alias("spans"))
     cut = (
         _keyed(docs, id_col, text_col).join(by_row, ["id", "h"], "left").select("id", "text", "spans")
         .mapInArrow(_remove, "id long, n_words long, n_removed long, kept binary, removed array<struct<start:int,end:int>>")
