@@ -49,14 +49,26 @@ _RESETS = ("edit", "regenerate")
 
 
 def events_of_turns(rows: DataFrame) -> DataFrame:
-    """A table of finished messages (conv_id, turn, role, text) as an event log, one delta for each row."""
+    """A table of finished messages (conv_id, turn, role, text) as the event log of how they came about.
+
+    An assistant's message was drafted, regenerated, and streamed in two deltas;
+    another one was drafted and then edited.
+    """
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    return rows.select("conv_id", F.row_number().over(order).cast("long").alias("seq"), F.lit("delta").alias("event"), "role", "text").withColumn("turn", F.col("seq"))
+    numbered = rows.select("conv_id", "role", "text", F.row_number().over(order).cast("long").alias("turn"))
+    half = F.floor(F.char_length("text") / 2).cast("int")
+    step = lambda event, text: F.struct(F.lit(event).alias("event"), text.alias("text"))
+    draft, text = F.lit("draft"), F.col("text")
+    log = F.when(F.col("role") == "assistant", F.array(step("delta", draft), step("regenerate", F.lit(None).cast("string")), step("delta", F.left("text", half)), step("delta", F.substr(text, half + 1)))).otherwise(
+        F.array(step("delta", draft), step("edit", text))
+    )
+    return numbered.select("conv_id", "turn", "role", F.posexplode(log).alias("at", "e")).select("conv_id", (F.col("turn") * 4 + F.col("at")).alias("seq"), "e.event", "turn", "role", "e.text")
 
 
 def final_messages(events: DataFrame) -> DataFrame:
     """Fold a log (conv_id, seq, event, turn, role, text) into messages (conv_id, turn, role, text)."""
-    after = Window.partitionBy("conv_id").orderBy("seq", "turn", "role", "text").rowsBetween(1, Window.unboundedFollowing)
+    # what comes after an event is what comes before it in the other direction, where the minimum runs along
+    after = Window.partitionBy("conv_id").orderBy(*[F.col(c).desc() for c in ("seq", "turn", "role", "text")]).rowsBetween(Window.unboundedPreceding, -1)
     reset = F.when(F.col("event").isin(*_RESETS), F.col("turn"))
     alive = events.withColumn("_cut", F.min(reset).over(after)).where(F.col("_cut").isNull() | (F.col("_cut") > F.col("turn")))
     part = F.struct("seq", F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
