@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import blocks
+from corpuslens.llm.common import blocks, unused
 
 MARK = "▁"
 #: A run of spaces and what follows up to the next one; spaces at the end stand alone.
@@ -134,8 +134,11 @@ def _run(model: bytes):
 
 
 def sentencepiece_codec(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
-    """One row per row of ``docs``: its id, ids (array of int), ids_text (decimal, joined by commas), decoded."""
+    """One row per row of ``docs``: its id, ids (array of int), ids_text (decimal, joined by commas), decoded.
+
+    One of these that is called as the id column is gets an underscore before its name.
+    """
     with open(model or default_model(), "rb") as f:
         data = f.read()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_run(data), "id long, ids array<int>, ids_text string, decoded string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(_run(data), "id long, ids array<int>, ids_text string, decoded string").toDF(id_col, *[unused([id_col], n) for n in ("ids", "ids_text", "decoded")])
