@@ -111,6 +111,14 @@ def trigrams(data: bytes) -> np.ndarray:
     return ((code * np.uint32(0x9E3779B1)) >> np.uint32(18)).astype(np.int64)
 
 
+def trigram_counts(data: bytes, shift: int, piece: int = 1 << 20) -> np.ndarray:
+    """How often each bucket occurs, piece by piece, so that memory doesn't grow with the text."""
+    counts = np.zeros(BUCKETS >> shift, np.int64)
+    for i in range(0, max(1, len(data) - 2), piece):
+        counts += np.bincount(trigrams(data[i : i + piece + 2]) >> shift, minlength=len(counts))
+    return counts
+
+
 def _count(shift: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -118,7 +126,7 @@ def _count(shift: int):
             for label, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist()):
                 if label not in counts:
                     counts[label] = np.zeros(BUCKETS >> shift, np.int64)
-                counts[label] += np.bincount(trigrams(text) >> shift, minlength=BUCKETS >> shift)
+                counts[label] += trigram_counts(text, shift)
         for label, c in counts.items():
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([label] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(c[at])], ["label", "bucket", "n"])
@@ -214,10 +222,14 @@ def _score(models: dict[str, np.ndarray], at: dict[str, int], keep: int, schema_
         for part in (block.slice(i, most) for block in whole for i in range(0, block.num_rows, most)):
             n = part.num_rows
             texts = part.column(at["text"]).to_pylist()
-            grams = [trigrams((t or "").encode("utf-8", "replace")) >> shift for t in texts]
-            sizes = np.array([len(g) for g in grams])
+            coded = [(t or "").encode("utf-8", "replace") for t in texts]
+            sizes = np.array([max(0, len(t) - 2) for t in coded])
             mean = np.zeros((n, len(names)))
-            has = np.flatnonzero(sizes)
+            long = sizes > size  # texts of more trigrams than there are buckets are counted by bucket
+            for i in np.flatnonzero(long):
+                mean[i] = trigram_counts(coded[i], shift) @ table / sizes[i]
+            has = np.flatnonzero((sizes > 0) & ~long)
+            grams = {i: trigrams(coded[i]) >> shift for i in has}
             if len(has) and names:
                 starts = np.cumsum(sizes[has]) - sizes[has]
                 every = np.concatenate([grams[i] for i in has])
