@@ -43,6 +43,30 @@ def test_topk_with_fewer_rows_than_k_and_none(spark):
     assert topk.topk(df.limit(0), df.limit(0), 5).count() == 0
 
 
+def test_topk_of_huge_and_ragged_vectors(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.integers(-(2**17), 2**17, 3 + i % 2) * 1.0).tolist()) for i in range(60)] + [(60, [1e30, 0.0, 0.0]), (61, []), (62, [1.0]), (63, [2.0**18, 2.0**18, 2.0**18]), (64, [-(2.0**18), 1.0, 2.0**18]), (65, [2.0**18, 2.0**18, 2.0**18 - 1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.topk(df, df, 4, shard_rows=7, query_rows=5).collect())
+    fine = [(i, [int(256 * x) for x in v]) for i, v in rows if i not in (60, 61)]
+    want = []
+    for i, q in fine:
+        scored = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in fine if j != i and len(v) == len(q))[:4]
+        want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scored)]
+    assert got == sorted(want) and max(abs(r[3]) for r in got) > 2**53
+
+
+def test_topk_drops_cells_before_the_shuffle(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(32, 16)) * 4
+    rows = [(i, (centres[i % 32] + 0.05 * rng.normal(size=16)).tolist()) for i in range(4000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    result, first, rest = topk._searched(df, df.where("vec_id % 50 = 0"), 5, 256.0, "vec_id", "embedding", 125, 4096)
+    cells = first.select("cell").distinct().count()
+    assert cells > 8 and rest.count() < 0.3 * 80 * 32
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in result.collect()) == topk_by_force(rows, set(range(0, 4000, 50)), 5)
+
+
 # mixing
 
 
@@ -71,6 +95,21 @@ def test_mixing_odd_rows(spark):
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
 
+def test_mixing_of_a_tiny_source_at_a_large_rate(spark):
+    docs = spark.createDataFrame([(1, "tiny", "x"), (2, "big", "y" * 100_000)], "doc_id long, source string, text string").withColumns({"copy": F.lit("c"), "rate": F.lit("r"), "shuffle_key": F.lit("s"), "_n": F.lit(5)})
+    got = mixing.mix_sources(docs, {"tiny": 1.0, "big": 0.0}, budget=10.0)
+    assert got.columns == [*docs.columns, "_copy", "_rate", "_shuffle_key"]
+    r = got.agg(F.count("*").alias("n"), F.max("_copy").alias("m"), F.max("_rate").alias("rate"), F.min("copy").alias("c"), F.min("_n").alias("k")).first()
+    assert r.rate == pytest.approx(1_000_010) and abs(r.n - 1_000_010) < 5 * 1000 and (r.m, r.c, r.k) == (r.n, "c", 5)
+
+
+def test_rates_of_several_draws_have_mean_and_variance_of_the_rate(spark):
+    docs = spark.range(3000).selectExpr("id as doc_id", "if(id < 2000, 's', 't') as source", "if(id < 2000, 'x', repeat('x', 1000)) as text")
+    n = [r.n for r in mixing.mix_sources(docs, {"s": 1.0, "t": 0.0}, budget=2.0 / 3).groupBy("doc_id").agg(F.count("*").alias("n")).collect()]
+    rate = (1_002_000 * 2 / 3) / 2000
+    assert len(n) == 2000 and abs(np.mean(n) - rate) < 5 * (rate / 2000) ** 0.5 and 0.85 < np.var(n) / rate < 1.15
+
+
 # SentencePiece
 
 
@@ -125,6 +164,21 @@ def test_url_filter_at_fetch_time(spark):
     assert url_filter.url_filter(df, entries.limit(0)).where("kept").count() == len(cases)
 
 
+def test_url_filter_looks_up_what_the_list_can_answer(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "BROADCAST_ENTRIES", 1)
+    day = datetime(2024, 1, 1)
+    entries = spark.createDataFrame(
+        [("domain", "zip", "block", "add", day), ("prefix", "a.com/x/y", "block", "add", day), ("domain", "b.co.uk", "block", "add", day)],
+        "kind string, pattern string, action string, change string, changed_at timestamp",
+    )
+    urls = {"http://x.zip/": False, "http://a.com/x": True, "http://a.com/x/Y/z": False, "http://a.com/" + "x/" * 3000: True, "http://w.b.co.uk": False, "http://co.uk": True, "http://localhost/": True}
+    df = spark.createDataFrame([(u, datetime(2024, 1, 2), "h") for u in urls] * 2, "url string, fetched_at timestamp, host string")
+    df = df.withColumns({"kept": F.lit("k"), "_row": F.lit(1), "listed_at": F.lit("l"), "_top": F.lit(2), "_url": F.lit(3)})
+    got = url_filter.url_filter(df, entries)
+    assert got.columns == [*df.columns, "_host", "matched_kind", "matched_pattern", "_listed_at", "_kept"]
+    assert {r.url: r["_kept"] for r in got.collect()} == urls and got.count() == 2 * len(urls)
+
+
 # license scan
 
 
@@ -287,6 +341,43 @@ def test_language_evidence_decides_short_texts(spark):
     assert got[30] == "de" and got[31] == "de" and got[32] == "fr"
 
 
+def test_long_texts_are_counted_by_bucket():
+    rng = random.Random(4)
+    data = bytes(rng.randrange(256) for _ in range(50_001))
+    for shift in (0, 3):
+        want = np.bincount(language_id.trigrams(data) >> shift, minlength=language_id.BUCKETS >> shift)
+        assert (language_id.trigram_counts(data, shift, 777) == want).all() and want.sum() == len(data) - 2
+    assert language_id.trigram_counts(b"ab", 0).sum() == 0 and language_id.trigram_counts(b"", 0).sum() == 0
+
+
+def test_posterior_is_brute_force(spark):
+    """Each source of evidence summed by hand for short and long texts."""
+    rng = random.Random(9)
+    word = {"en": "the of and ing", "de": "der und die sch", "fr": "le la et que"}
+    rows = [(i, " ".join(rng.choice(word[x].split()) for _ in range(rng.choice([1, 3, 40, 9000]))), x if i % 3 else None, f"h{i % 4}") for i, x in enumerate(rng.choices(list(word), k=60))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    models = language_id.fit(df)
+    names = list(models)
+    got = {r.doc_id: r for r in language_id.identify(df, models, ["doc_id"], "text", F.col("lang"), F.col("source")).collect()}
+    smooth = lambda counts, prior: [(c + language_id.KAPPA * p) / (sum(counts) + language_id.KAPPA) for c, p in zip(counts, prior)]
+    whole = [sum(r[2] == x for r in rows) + 1.0 for x in names]
+    wide = [x / sum(whole) for x in whole]
+    every = [sum(r[2] == x for r in rows) for x in names]
+    for _ in range(2):  # suffix and domain are one group of all rows here
+        wide = smooth(every, wide)
+    for i, text, lang, host in rows:
+        own = smooth([sum(r[2] == x and r[3] == host for r in rows) for x in names], wide)
+        grams = language_id.trigrams(text.encode())
+        log = []
+        for k, x in enumerate(names):
+            one = math.log(own[k]) + (sum(models[x][g] for g in grams) / len(grams) * min(len(grams), language_id.EFFECTIVE) if len(grams) else 0.0)
+            if lang in names:
+                one += math.log(language_id.DECLARED_RIGHT if x == lang else (1 - language_id.DECLARED_RIGHT) / (len(names) - 1))
+            log.append(one)
+        p = [math.exp(v - max(log)) for v in log]
+        assert got[i].detected == names[p.index(max(p))] and got[i].confidence == pytest.approx(max(p) / sum(p), abs=1e-6)
+
+
 def test_language_id_of_odd_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
     odd = spark.createDataFrame([(10**6 + i, t, l, s, 0) for i, (t, l, s) in enumerate([(None, "en", "src0"), ("", None, None), ("123 !!", "en", None), ("日本語テキスト" * 50, None, None), ("the and of", "??", None)])], docs.schema)
@@ -376,5 +467,21 @@ def test_each_stage_does_its_work(spark):
     assert mixed.columns == docs.columns and mixed.subtract(kept).isEmpty()
 
 
+def test_stages_with_odd_rows_and_columns(spark):
+    docs = spark.createDataFrame(
+        [(1, "die und der die schon", "de", "a", 3, "c", 0.5), (2, None, None, None, None, None, None), (None, "", "de", "a", 0, "x", 1.0), (1, "die und der die schon", "de", "a", 3, "c", 0.5), (4, "der und " * 5000, "de", "b", 9, "c", 2.0)],
+        "doc_id long, text string, lang string, source string, n_chars long, copy string, rate double",
+    )
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, "")
+        assert got.columns == docs.columns and {r.copy for r in got.collect()} <= {"c", "x", None}, name
+        assert stage(spark, docs.limit(0), "").count() == 0
+    coded = corpus_pipeline.encode(spark, docs, "")
+    assert sorted(str(r.doc_id) for r in coded.collect()) == ["1", "1", "2", "4", "None"] and coded.where("doc_id = 2").first().n_tokens == 0
+    assert corpus_pipeline.encode(spark, docs.limit(0), "").count() == 0
+    renamed = sentencepiece_codec.sentencepiece_codec(docs.withColumnRenamed("doc_id", "ids"), "ids")
+    assert renamed.columns == ["ids", "_ids", "ids_text", "decoded"]
+
+
 def test_every_operator_has_one_query():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))

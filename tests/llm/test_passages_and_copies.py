@@ -2,9 +2,12 @@
 
 import hashlib
 import random
+import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,10 +62,33 @@ def passages(seed):
 @pytest.mark.parametrize("hot_windows", [1, 40, 2048])
 def test_substring_dedup_is_brute_force(spark, hot_windows):
     texts = passages(hot_windows)
-    got = substring_dedup.substring_dedup(frame(spark, texts, extra=True), window=20, hot_windows=hot_windows).collect()
+    got = substring_dedup.substring_dedup(frame(spark, texts, extra=True), window=20, hot_windows=hot_windows, context_windows=hot_windows).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got), key=str) == cut_by_force(texts, 20)
 
 
+@pytest.mark.parametrize("hot_windows", [1, 60, 2048])
+def test_hot_passages_are_sorted_by_context(spark, hot_windows):
+    """Passages longer and shorter than a window and its contexts, in many documents with other words around."""
+    rng = random.Random(hot_windows)
+    shared = [[f"p{k}q{i}" for i in range(n)] for k, n in enumerate((30, 45, 58, 75, 140))]
+    texts = []
+    for i in range(120):
+        w = [f"r{rng.randrange(10**6)}" for _ in range(rng.randrange(60))]
+        for p in rng.sample(shared, 2):
+            at = rng.randrange(len(w) + 1)
+            w[at:at] = p
+        texts.append((i, " ".join(w)))
+    got = substring_dedup.substring_dedup(frame(spark, texts), hot_windows=hot_windows, context_windows=hot_windows).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got), key=str) == cut_by_force(texts, 50)
+
+
+def test_repeated_rows_cost_in_proportion(spark):
+    text = " ".join(f"w{i}" for i in range(70))
+    texts = [(2, text)] * 4000 + [(1, text[:-1])]
+    got = substring_dedup.substring_dedup(frame(spark, texts))
+    assert {(r.doc_id, r.n_removed, len(r.removed)) for r in got.distinct().collect()} == {(1, 0, 0), (2, 69, 1)} and got.count() == 4001
+
+
 def test_substring_dedup_of_one_very_long_text(spark):
     words = [f"w{i % 977}x{i}" for i in range(60_000)]
     texts = [(1, " ".join(words)), (2, " ".join(words[100:40_000] + ["new"] + words[50_000:50_049]))]
@@ -95,7 +121,10 @@ def copies():
 
 
 @pytest.mark.parametrize("identifiers", [exact_dedup.IDENTIFIERS, (lambda b: b[:1], lambda b: hashlib.md5(b).digest())])
-def test_exact_dedup_is_brute_force(spark, identifiers):
+@pytest.mark.parametrize("large,most", [(1000, 1 << 25), (2, 1 << 25), (1, 700)])
+def test_exact_dedup_is_brute_force(spark, monkeypatch, identifiers, large, most):
+    monkeypatch.setattr(exact_dedup, "LARGE_GROUP", large)
+    monkeypatch.setattr(exact_dedup, "BROADCAST_BYTES", most)
     rows = copies()
     got = exact_dedup.exact_dedup(frame(spark, rows, extra=True), identifiers=identifiers).collect()
     size = Counter(t or "" for _, t in rows)
@@ -110,7 +139,7 @@ def test_exact_dedup_is_brute_force(spark, identifiers):
 
 def test_keep_distinct_keeps_one_row_of_each_text(spark):
     rows = copies()
-    df = frame(spark, rows, extra=True)
+    df = frame(spark, rows, extra=True).withColumns({c: F.lit("x") for c in ("_sha", "_kept_id", "_kept_sha")})
     got = exact_dedup.keep_distinct(df)
     assert got.columns == df.columns
     texts = [r.text or "" for r in got.collect()]
@@ -171,12 +200,41 @@ def classes_by_force(rows, threshold=0.8):
     return {i: find(i) for i, _ in rows}
 
 
+def classes_by_shared_shingles(texts, threshold=0.8):
+    sets = {i: weigh(t) for i, t in texts.items()}
+    root, having = {i: i for i in texts}, {}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sorted(sets):
+        common = Counter(j for s in sets[i] for j in having.setdefault(s, []))
+        for j, n in common.items():
+            # the similarity is at most the common share of the distinct shingles times the largest ratio of weights
+            if n >= 0.3 * max(len(sets[i]), len(sets[j])) and find(i) != find(j) and similar(sets[i], sets[j]) >= threshold:
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+        for s in sets[i]:
+            having[s].append(i)
+    return {i: find(i) for i in texts}
+
+
+def similar(a, b):
+    """similarity(), summed over arrays."""
+    keys = sorted(a.keys() | b.keys())
+    x, y = (np.array([s.get(k, 0.0) for k in keys]) for s in (a, b))
+    both = (x > 0) & (y > 0)
+    return sum(1 / np.maximum(x / p, y / q).sum() for p, q in zip(x[both], y[both]))
+
+
 @pytest.mark.parametrize("seed,refine", [(1, 1000), (2, 1000), (3, 2)])
 def test_near_classes_are_brute_force(spark, seed, refine):
     rows = near_texts(seed)
     got = minhash.near_classes(frame(spark, rows, extra=True), refine=refine).collect()
     assert {r.doc_id: r.class_id for r in got} == classes_by_force(rows)
-    assert all(r.kept == (r.doc_id == r.class_id) for r in got)
+    assert sorted(r.doc_id for r in got if r.kept) == sorted(set(r.class_id for r in got))
 
 
 def test_a_hub_joins_copies_that_are_not_near_each_other(spark):
@@ -201,7 +259,36 @@ def test_near_classes_of_odd_rows(spark):
     assert sorted((r.doc_id, r.class_id) for r in got if r.doc_id is not None) == [(1, 1), (2, 2), (3, 3), (4, 4), (4, 4), (5, 4), (6, 6), (7, 6), (8, 8)]
     assert [r.class_id for r in got if r.doc_id is None] == [None, None]
     left = minhash.keep_one_of_each(frame(spark, rows)).collect()
-    assert sorted(str(r.doc_id) for r in left) == ["1", "2", "3", "4", "4", "6", "8", "None", "None"]
+    assert sorted(str(r.doc_id) for r in left) == ["1", "2", "3", "4", "6", "8", "None", "None"]
+
+
+def test_an_id_with_several_texts_loses_no_link(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, "else " + " ".join(f"c{i}" for i in range(60)))]
+    got = sorted((r.doc_id, r.class_id, r.kept) for r in minhash.near_classes(frame(spark, rows)).collect())
+    assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True)]
+    left = minhash.keep_one_of_each(frame(spark, rows, extra=True).withColumns({"_id": F.lit(1), "_text": F.lit("x")}))
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == sorted([(1, a), (1, b), rows[4]])
+
+
+def test_many_short_texts_are_signed_in_bounded_memory():
+    texts = [f"{i} one two three four five six seven eight nine ten" for i in range(10_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000)), pa.array([t.encode() for t in texts])], ["id", "text"])
+    tracemalloc.start()
+    began = time.process_time()
+    rows = sum(b.num_rows for b in minhash._sketch(5)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 10_000 and peak < 100e6 and time.process_time() - began < 120
+
+
+@pytest.mark.parametrize("refine", [1000, 2])
+def test_near_classes_of_the_documents_lose_no_link(spark, refine):
+    """Recall over all pairs of the table, found by their shared shingles."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = classes_by_shared_shingles({r.doc_id: r.text for r in docs.collect()})
+    got = {r.doc_id: r.class_id for r in minhash.near_classes(docs, refine=refine).collect()}
+    assert got == want
 
 
 def test_signatures_estimate_the_probability_jaccard():
