@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import chat, exact_dedup, language_id, license_scan, minhash, mixing, sentencepiece_codec, substring_dedup, topk, url_filter
+from corpuslens.llm import chat, exact_dedup, language_id, license_scan, line_dedup, minhash, mixing, sentencepiece_codec, substring_dedup, topk, url_filter
 
 TOP = 5
 QUERY_EVERY = 50
@@ -80,9 +80,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(rows, language_id.fit(rows, id_cols=keep[:2]), keep, "text", F.col("lang"), F.col("source"), F.col("domain"), F.col("suffix"))
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_minhash_near_dedup, op3_exact_topk, op4_exact_dedup, op5_mix_sources,
     op6_sentencepiece, op7_url_filter, op8_license_scan, op9_chat_formatting, op10_language_id,
+    op12_line_dedup,
 )}
 
 _OP1 = r"""
@@ -173,7 +179,18 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
 from o group by conv_id
 """
 
+_OP12 = r"""
+with l as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+x as (select doc_id, i, lines[i] as line, translate(trim(lines[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+      from l, unnest(range(1, len(lines) + 1)) as t(i)),
+k as (select key, max(doc_id) as last from x where length(key) >= 40 group by key having count(distinct doc_id) >= 5),
+j as (select x.*, k.last is not null and k.last <> doc_id as gone from x left join k using (key))
+select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256
+from j group by doc_id
+"""
+
 ORACLE_SQL = {
     "op1_substring_dedup": _OP1, "op3_exact_topk": _OP3, "op4_exact_dedup": _OP4, "op5_mix_sources": _OP5,
     "op7_url_filter": _OP7, "op8_license_scan": _OP8, "op9_chat_formatting": _OP9,
+    "op12_line_dedup": _OP12,
 }
