@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import chat, exact_dedup, language_id, license_scan, line_dedup, minhash, mixing, sentencepiece_codec, substring_dedup, topk, url_filter
+from corpuslens.llm import chat, exact_dedup, filter_audit, language_id, license_scan, line_dedup, minhash, mixing, sentencepiece_codec, substring_dedup, topk, url_filter
 
 TOP = 5
 QUERY_EVERY = 50
@@ -85,10 +85,14 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op13_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_minhash_near_dedup, op3_exact_topk, op4_exact_dedup, op5_mix_sources,
     op6_sentencepiece, op7_url_filter, op8_license_scan, op9_chat_formatting, op10_language_id,
-    op12_line_dedup,
+    op12_line_dedup, op13_filter_interaction,
 )}
 
 _OP1 = r"""
@@ -189,8 +193,26 @@ select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped, sha256(
 from j group by doc_id
 """
 
+_OP13 = r"""
+with d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+l as (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by doc_id),
+f as (select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+        100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text), regexp_matches(text, '[#$%&*|]'), coalesce(d.doc_id > min(d.doc_id) over (partition by text), false)] as fails
+      from d left join l on d.doc_id = l.doc_id),
+g as (select part, good, toxic, fails, count(*) as n from f group by all),
+x as (select unnest(['A', 'B', 'C', 'D', 'E']) as c),
+o as (select a.c || b.c || c.c || d.c || e.c as filter_order from x a, x b, x c, x d, x e where len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+s as (select filter_order, step, filter_order[step] as letter, list_transform(range(1, step), lambda j: ascii(filter_order[j]) - 64) as before, ascii(filter_order[step]) - 64 as own from o, unnest(range(1, 6)) as t(step)),
+r as (select part, filter_order, step, letter, n, good, toxic, fails[own] as fail, len(list_filter(before, lambda j: fails[j])) > 0 as gone, fails[own] and len(list_filter(fails, lambda b: b)) = 1 as alone from g, s),
+t as (select part, filter_order, step, letter, coalesce(sum(n) filter (not fail and not gone), 0) as kept, coalesce(sum(n) filter (fail and not gone), 0) as removed,
+        coalesce(sum(n) filter (fail and gone), 0) as redundant, coalesce(sum(n) filter (alone), 0) as unique_fails,
+        coalesce(sum(n) filter (fail and not gone and good), 0) as good_lost, coalesce(sum(n) filter (fail and not gone and toxic), 0) as toxic_lost from r group by all)
+select part, filter_order, step::int as step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant, unique_fails::bigint as unique_fails, good_lost::bigint as good_lost,
+  toxic_lost::bigint as toxic_lost, (sum(removed) over (partition by part, letter))::bigint as shapley from t
+"""
+
 ORACLE_SQL = {
     "op1_substring_dedup": _OP1, "op3_exact_topk": _OP3, "op4_exact_dedup": _OP4, "op5_mix_sources": _OP5,
     "op7_url_filter": _OP7, "op8_license_scan": _OP8, "op9_chat_formatting": _OP9,
-    "op12_line_dedup": _OP12,
+    "op12_line_dedup": _OP12, "op13_filter_interaction": _OP13,
 }

@@ -1,5 +1,6 @@
 """Line dedup, filter interaction audit and hard negatives against brute force."""
 
+import itertools
 import random
 import re
 from collections import defaultdict
@@ -7,7 +8,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from corpuslens.llm import line_dedup
+from corpuslens.llm import filter_audit, line_dedup
 
 # line dedup
 
@@ -57,3 +58,80 @@ def test_line_dedup_of_nothing_and_without_python(spark):
     df = line_dedup.line_dedup(spark.createDataFrame([(1, "a")], DOCS))
     plan = df._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+# filter interaction audit
+
+
+def fails_of(text, copied):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    return (
+        (len(words) < 200) | (100 * len(set(words)) < 50 * len(words)) << 1 | (100 * len(re.findall("[A-Z]", text)) > 3 * len(text)) << 2
+        | bool(re.search(r"[#$%&*|]", text)) << 3 | copied << 4
+    )
+
+
+def masks_by_force(rows):
+    least = defaultdict(list)
+    for i, text, _ in rows:
+        if i is not None:
+            least[text or ""].append(i)
+    return [(i, part or "", fails_of(text or "", i is not None and i > min(least[text or ""]))) for i, text, part in rows]
+
+
+def audit_by_force(rows, labels):
+    good, toxic = {i for i, q, _ in labels if i is not None and q == 1}, {i for i, _, t in labels if i is not None and t == 1}
+    out, shapley = {}, defaultdict(int)
+    found = masks_by_force(rows)
+    for part in {p for _, p, _ in found}:
+        mine = [(i, m) for i, p, m in found if p == part]
+        for order in itertools.permutations("ABCDE"):
+            left = mine
+            for step, c in enumerate(order):
+                bit = 1 << "ABCDE".index(c)
+                gone, stay = [i for i, m in left if m & bit], [x for x in left if not x[1] & bit]
+                failing = sum(bool(m & bit) for _, m in mine)
+                out[part, "".join(order), step + 1] = [len(stay), len(gone), failing - len(gone), sum(m == bit for _, m in mine), sum(i in good for i in gone), sum(i in toxic for i in gone)]
+                shapley[part, c] += len(gone)
+                left = stay
+    return sorted((*k, *v, shapley[k[0], k[1][k[2] - 1]]) for k, v in out.items())
+
+
+def audit_rows():
+    rng = random.Random(8)
+    stem = "The same beginning of many long texts, " * 40
+    texts = ["", None, "#", "A B C", "ünï çödé " * 250, "é" * 300, " ".join(f"w{n}" for n in range(300)), "x y " * 200, stem, stem + "a", stem + "b", "a b\x1cc " * 201]
+    texts += [stem + rng.choice("abc") * n for n in range(1, 40)] + [" ".join(rng.choice(["good", "Word", "x%", "y", f"u{rng.random()}"]) for _ in range(rng.randint(1, 400))) for _ in range(40)]
+    rows = [(i, rng.choice(texts), rng.choice(["en", "de", None, ""])) for i in range(500)]
+    rows += [(i, "the hot text", "en") for i in range(600, 900)] + [(None, "the hot text", "en"), (None, "only without id", "fr"), (600, "the hot text", "de"), (599, None, "it"), (7, "the hot text", "en")]
+    return rows
+
+
+@pytest.mark.parametrize("sizes", [{}, {"block_bytes": 2000, "range_bytes": 3000, "prefix_bytes": 4, "many_holders": 3}])
+def test_masks_and_audit_are_brute_force(spark, sizes):
+    rows = audit_rows()
+    clash = {x: F.lit(1) for x in ("id", "part", "mask", "copies", "prefix", "hot", "long", "p", "n", "good")}
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7).withColumns(clash)
+    got = filter_audit.masks(df, **sizes)
+    assert sorted([(r.id, r.part, r["mask"]) for r in got.collect() for _ in range(r.copies)], key=str) == sorted(masks_by_force(rows), key=str)
+    rng = random.Random(9)
+    labels = [(i, rng.choice([0, 1, None]), rng.choice([0, 1])) for i in range(0, 900, 3)] + [(3, 1, 1), (3, 0, 0), (None, 1, 1), (10**6, 1, 0)]
+    said = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    told = filter_audit.audit(filter_audit.counts(got, said)).collect()
+    assert sorted(map(tuple, told)) == audit_by_force(rows, labels)
+
+
+def test_audit_of_empty_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert filter_audit.filter_audit(none, labels).count() == 0
+    assert filter_audit.filter_audit(spark.createDataFrame([(1, None, None)], none.schema), labels).count() == 600
+
+
+def test_prefixes_grow_where_long_texts_begin_alike(spark):
+    stem = b"s" * 3000
+    rows = [(i, "", 0, 1, stem + bytes([65 + i % 26]) * 50) for i in range(52)] + [(100 + i, "", 0, 1, b"t" * 3000) for i in range(50)] + [(200 + i, "", 0, 1, bytes([35 + i]) * 9) for i in range(20)]
+    df = spark.createDataFrame(rows, filter_audit.ROWS)
+    lengths = {r.id: len(r.prefix) for r in filter_audit.adaptive_prefixes(df, 8000, 4).collect()}
+    assert len(lengths) == len(rows)
+    assert {lengths[i] for i in range(52)} == {3050} and {lengths[i] for i in range(100, 150)} == {4} and {lengths[i] for i in range(200, 220)} == {4}
