@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import chat, exact_dedup, filter_audit, language_id, license_scan, line_dedup, minhash, mixing, sentencepiece_codec, substring_dedup, topk, url_filter
+from corpuslens.llm import chat, exact_dedup, filter_audit, hard_negatives, language_id, license_scan, line_dedup, minhash, mixing, sentencepiece_codec, substring_dedup, topk, url_filter
 
 TOP = 5
 QUERY_EVERY = 50
+ANCHOR_EVERY = 100
 MIX_SEED = 17
 
 
@@ -80,6 +81,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(rows, language_id.fit(rows, id_cols=keep[:2]), keep, "text", F.col("lang"), F.col("source"), F.col("domain"), F.col("suffix"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh row has the next label, so that some rows are like their anchors but labelled otherwise."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % ANCHOR_EVERY == 0)
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -92,7 +99,7 @@ def op13_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_minhash_near_dedup, op3_exact_topk, op4_exact_dedup, op5_mix_sources,
     op6_sentencepiece, op7_url_filter, op8_license_scan, op9_chat_formatting, op10_language_id,
-    op12_line_dedup, op13_filter_interaction,
+    op11_hard_negatives, op12_line_dedup, op13_filter_interaction,
 )}
 
 _OP1 = r"""
@@ -183,6 +190,17 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
 from o group by conv_id
 """
 
+_OP11 = f"""
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint)::double[] as v from embeddings
+           where vec_id is not null and label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, c.vec_id, a.label = c.label as same, list_inner_product(a.v, c.v)::bigint as score
+      from v a join v c on a.vec_id <> c.vec_id where a.vec_id % {ANCHOR_EVERY} = 0),
+p as (select anchor_id, vec_id as positive_id, score as positive_score, row_number() over (partition by anchor_id order by score desc, vec_id) as nth from s where same),
+n as (select p.anchor_id, positive_id, positive_score, s.vec_id as negative_id, s.score as negative_score, row_number() over (partition by p.anchor_id, nth order by s.score desc, s.vec_id) as rank
+      from p join s on p.anchor_id = s.anchor_id where nth <= 5 and not same and 30 * positive_score <= 100 * s.score and 100 * s.score <= 90 * positive_score)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from n where rank <= 10
+"""
+
 _OP12 = r"""
 with l as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
 x as (select doc_id, i, lines[i] as line, translate(trim(lines[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
@@ -214,5 +232,5 @@ select part, filter_order, step::int as step, kept::bigint as kept, removed::big
 ORACLE_SQL = {
     "op1_substring_dedup": _OP1, "op3_exact_topk": _OP3, "op4_exact_dedup": _OP4, "op5_mix_sources": _OP5,
     "op7_url_filter": _OP7, "op8_license_scan": _OP8, "op9_chat_formatting": _OP9,
-    "op12_line_dedup": _OP12, "op13_filter_interaction": _OP13,
+    "op11_hard_negatives": _OP11, "op12_line_dedup": _OP12, "op13_filter_interaction": _OP13,
 }

@@ -1,14 +1,16 @@
 """Line dedup, filter interaction audit and hard negatives against brute force."""
 
 import itertools
+import math
 import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpuslens.llm import filter_audit, line_dedup
+from corpuslens.llm import filter_audit, hard_negatives, line_dedup
 
 # line dedup
 
@@ -135,3 +137,70 @@ def test_prefixes_grow_where_long_texts_begin_alike(spark):
     lengths = {r.id: len(r.prefix) for r in filter_audit.adaptive_prefixes(df, 8000, 4).collect()}
     assert len(lengths) == len(rows)
     assert {lengths[i] for i in range(52)} == {3050} and {lengths[i] for i in range(100, 150)} == {4} and {lengths[i] for i in range(200, 220)} == {4}
+
+
+# hard negatives
+
+
+def negatives_by_force(rows, every):
+    fine = [(i, y, [math.floor(256 * x) for x in v]) for i, y, v in rows if i is not None and y is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for i, y, q in {(i, y, tuple(v)) for i, y, v in fine if i % every == 0}:
+        scored = sorted((-sum(a * b for a, b in zip(q, v)), j, z) for j, z, v in fine if j != i and len(v) == len(q))
+        for p, j in [(-s, j) for s, j, z in scored if z == y][:5]:
+            found = [(-s, n) for s, n, z in scored if z != y and 30 * p <= -100 * s <= 90 * p][:10]
+            out += [(i, j, r + 1, n, max(-(2**63), min(2**63 - 1, p)), max(-(2**63), min(2**63 - 1, s))) for r, (s, n) in enumerate(found)]
+    return sorted(out)
+
+
+def vector_rows():
+    rng = np.random.default_rng(7)
+    rows = [(i, int(rng.integers(0, 3)), (rng.normal(size=6) + 1).tolist()) for i in range(300)]
+    rows += [(300 + i, i % 2, rows[10][2]) for i in range(150)]  # one vector on many rows
+    rows += [(460 + i, i % 3, (rng.normal(size=4) + 1).tolist()) for i in range(40)] + [(500, 1, [2.0]), (501, 0, [1.0]), (502, 1, [1.0])]
+    rows += [(510 + i, i % 2, (rng.normal(size=6) * 10.0 ** (3 * i)).tolist()) for i in range(12)]  # up to 1e33
+    rows += [(600, 0, [3e30, 0.0, 1.0, 0.0, 0.0, 0.0]), (601, 0, [1e30] * 6), (602, 1, [6e29] * 6), (603, 1, [5e29, 1e30, 0.0, 0.0, 0.0, 0.0])]
+    rows += [(700, 1, None), (710, None, [1.0] * 6), (720, 1, [math.nan] * 6), (730, 1, [None] + [1.0] * 5), (740, 1, []), (None, 1, [1.0] * 6), (750, 2, [math.inf] * 6)]
+    return rows + [rows[20], (20, 1, rows[30][2]), (20, 2, rows[30][2])]  # repeated ids
+
+
+@pytest.mark.parametrize("sizes", [{}, {"block_rows": 16, "anchor_rows": 5, "map_blocks": 7}])
+def test_hard_negatives_are_brute_force(spark, sizes):
+    rows = vector_rows()
+    clash = {x: F.lit(1) for x in ("id", "anchor", "v", "width", "block", "q", "part", "windows", "p", "wide")}
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").withColumns(clash)
+    got = sorted(map(tuple, hard_negatives.mine(df, F.col("vec_id") % 10 == 0, **sizes).collect()))
+    assert got == negatives_by_force(rows, 10) and len(got) > 500
+
+
+def test_hard_negatives_of_nothing(spark):
+    df = spark.createDataFrame([], "vec_id long, label int, embedding array<float>")
+    assert hard_negatives.mine(df, F.col("vec_id") % 10 == 0).count() == 0
+    lone = spark.createDataFrame([(0, 1, [1.0, 2.0]), (1, 1, [1.0, 1.0])], df.schema)
+    assert hard_negatives.mine(lone, F.col("vec_id") % 10 == 0).count() == 0
+
+
+def test_zone_maps_spare_blocks(spark):
+    """Vectors in narrow groups: an anchor reads the blocks of its own group and of those near it."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(40, 8)) * 4
+    rows = [(i, i % 40 % 5, (centres[i % 40] + rng.normal(size=8) * 0.05).tolist()) for i in range(4000)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    got, miner = hard_negatives.mined(df, F.col("vec_id") % 100 == 0, "vec_id", "label", "embedding", 256.0, 5, 10, 30, 90, 50, 4096, 4096)
+    assert sorted(map(tuple, got.collect())) == negatives_by_force(rows, 100)
+    all_pairs = miner.zones.count() * 40
+    assert sum(r.count() for r in miner.read) < all_pairs / 3
+
+
+def test_curve_visits_neighbours():
+    grid = np.array(list(itertools.product(range(8), repeat=3)))
+    place = hard_negatives.hilbert(grid, 3)
+    assert sorted(place.tolist()) == list(range(512))
+    steps = np.abs(np.diff(grid[np.argsort(place)], axis=0)).sum(1)
+    assert (steps == 1).all()
+
+
+def test_wide_keys_sort_as_their_scores():
+    scores = sorted({s * (n + d) for n in (2**63, 2**64, 2**80, 2**200, 255 << 70) for d in (-1, 0, 1, 12345) for s in (1, -1)})
+    keys = [(max(-(2**63), min(2**63 - 1, s)), hard_negatives.wide_key(s) or b"") for s in scores]
+    assert keys == sorted(keys) and [hard_negatives.wide_value(s, k or None) for s, k in keys] == scores
