@@ -45,11 +45,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.llm.common import stored
+from corpuslens.llm.exact_scores import LONG, best, by_width, clipped, floor_of, products, quantised, wide_key, wide_value
 
 BLOCK_ROWS, ANCHOR_ROWS, MAP_BLOCKS = 2048, 4096, 4096
 SAMPLE_ROWS, CURVE_DIMS, CURVE_BITS = 20_000, 8, 7
 POSITIVES, NEGATIVES, LOW, HIGH = 5, 10, 30, 90
-_LONG = (1 << 63) - 1
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
@@ -80,62 +80,6 @@ def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
     return place
 
 
-def _floor(x: Column) -> Column:
-    """The floor as a double; from 2^52 on every double is its own floor, and a long may not hold it."""
-    return F.when(F.abs(x) < F.lit(2.0**52), F.floor(x).cast("double")).otherwise(x)
-
-
-def quantised(vector: Column, scale: float) -> Column:
-    """floor(scale * x) of each component as an integral double; null where one is null or not finite, and for empty vectors."""
-    cells = F.transform(vector, lambda x: _floor(x.cast("double") * scale))
-    fine = F.forall(cells, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return F.when((F.size(vector) > 0) & fine, cells)
-
-
-_int = np.frompyfunc(int, 1, 1)
-
-
-def products(anchors: np.ndarray, block: np.ndarray) -> np.ndarray:
-    """Exact integer inner products (anchors × rows of the block); only where large components meet are they Python's integers."""
-    sums, tall = np.abs(anchors).sum(1), np.abs(block).max(1)
-    kinds = [(np.flatnonzero(a), np.flatnonzero(b)) for a in (sums < 2.0**33, sums >= 2.0**33) for b in (tall < 2.0**20, tall >= 2.0**20)]
-    parts = []
-    for rows, columns in kinds:
-        if len(rows) and len(columns):
-            x, y = anchors[rows], block[columns]
-            most = sums[rows].max() * tall[columns].max()
-            if most < 2.0**53:
-                parts.append((rows, columns, (x @ y.T).astype(np.int64)))
-            elif most < 2.0**62:
-                parts.append((rows, columns, x.astype(np.int64) @ y.astype(np.int64).T))
-            else:
-                parts.append((rows, columns, _int(x).dot(_int(y).T)))
-    if len(parts) == 1:
-        return parts[0][2]
-    out = np.zeros((len(anchors), len(block)), object if any(p.dtype == object for _, _, p in parts) else np.int64)
-    for rows, columns, part in parts:
-        out[np.ix_(rows, columns)] = part
-    return out
-
-
-def wide_key(score: int) -> bytes | None:
-    """Bytes that sort as the scores do, for scores that no long holds; null for others."""
-    if -_LONG <= score < _LONG:
-        return None
-    size = score.bit_length() // 8 + 1
-    if score > 0:
-        return b"\x01" + size.to_bytes(4) + score.to_bytes(size)
-    return b"\x00" + ((1 << 32) - 1 - size).to_bytes(4) + (score + (1 << 8 * size)).to_bytes(size)
-
-
-def wide_value(score: int, key: bytes | None) -> int:
-    """The score that ``wide_key`` was made of."""
-    if key is None:
-        return score
-    value = int.from_bytes(key[5:])
-    return value if key[0] else value - (1 << 8 * (len(key) - 5))
-
-
 def interval(low: np.ndarray, high: np.ndarray, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Least and largest score that an anchor (row) may have in a block (column), with room for the rounding of doubles."""
     up, down = np.maximum(anchors, 0.0), np.minimum(anchors, 0.0)
@@ -167,30 +111,21 @@ def _tame(x: np.ndarray) -> np.ndarray:
     return np.clip(x, -(2.0**40), 2.0**40)
 
 
-def _by_width(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Vectors of a column of lists by their length: length, rows, matrix."""
-    ends, flat = np.asarray(column.offsets), column.values.to_numpy(zero_copy_only=False)
-    sizes = np.diff(ends)
-    for width in np.unique(sizes):
-        rows = np.flatnonzero(sizes == width)
-        yield int(width), rows, flat[ends[rows][:, None] + np.arange(width)]
-
-
 def _fit(rows: DataFrame, n: int) -> dict[int, Curve]:
     share = int(min(1.0, SAMPLE_ROWS / max(1, n)) * (1 << 40))
     sample = rows.where(F.pmod(F.xxhash64("id", "v"), F.lit(1 << 40)) <= share).select("v").limit(SAMPLE_ROWS).toArrow()
-    by_width: dict[int, list[np.ndarray]] = {}
+    parts_of: dict[int, list[np.ndarray]] = {}
     for chunk in sample.column("v").chunks:
-        for width, _, v in _by_width(chunk):
-            by_width.setdefault(width, []).append(v)
-    return {width: Curve(np.concatenate(parts)) for width, parts in by_width.items()}
+        for width, _, v in by_width(chunk):
+            parts_of.setdefault(width, []).append(v)
+    return {width: Curve(np.concatenate(parts)) for width, parts in parts_of.items()}
 
 
 def _placed(curves: dict[int, Curve]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             widths, places = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows, np.int64)
-            for width, rows, v in _by_width(batch.column("v")):
+            for width, rows, v in by_width(batch.column("v")):
                 widths[rows] = width
                 if width in curves:
                     places[rows] = curves[width].of(v)
@@ -228,7 +163,7 @@ def _zones_of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     for batch in batches:
         blocks, ids, labels = (batch.column(c).to_numpy() for c in ("block", "id", "label"))
         out = []
-        for width, rows, v in _by_width(batch.column("v")):
+        for width, rows, v in by_width(batch.column("v")):
             for block in np.unique(blocks[rows]):
                 mine = blocks[rows] == block
                 x, at = v[mine], rows[mine]
@@ -307,23 +242,13 @@ def _route(same: bool, low: int, high: int, first: bool) -> Callable:
     return run
 
 
-def best(scores: np.ndarray, ids: np.ndarray, among: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best of ``among`` (positions): higher scores, then smaller ids."""
-    if scores.dtype == object:
-        return np.array(sorted(among.tolist(), key=lambda i: (-scores[i], ids[i]))[:k], np.int64)
-    if len(among) > k:
-        least = np.partition(scores[among], len(among) - k)[len(among) - k]
-        among = among[scores[among] >= least]
-    return among[np.lexsort((ids[among], -scores[among]))[:k]]
-
-
 def _within(scores: np.ndarray, bottom: int | None, top: int | None) -> np.ndarray | bool:
     if bottom is None:
         return True
     if scores.dtype != object:
-        if bottom > _LONG or top < -_LONG:
+        if bottom > LONG or top < -LONG:
             return False
-        bottom, top = max(bottom, -_LONG), min(top, _LONG)
+        bottom, top = max(bottom, -LONG), min(top, LONG)
     return ((scores >= bottom) & (scores <= top)).astype(bool)
 
 
@@ -344,7 +269,7 @@ def _search(same: bool, low: int, high: int, k: int) -> Callable:
                         among = np.flatnonzero(mine & _within(scores, *_limits(window, low, high)))
                         for i in best(scores, ids, among, k).tolist():
                             score = int(scores[i])
-                            out.append((q, window["w"], int(ids[i]), max(-_LONG - 1, min(_LONG, score)), wide_key(score)))
+                            out.append((q, window["w"], int(ids[i]), clipped(score), wide_key(score)))
         return pd.DataFrame(out, columns=["q", "w", "id", "score", "wide"]).astype({"q": "int64", "w": "int32", "id": "int64", "score": "int64"})
 
     return run
@@ -394,16 +319,12 @@ def _first(found: DataFrame, k: int) -> DataFrame:
 
 def _floors(found: DataFrame, k: int) -> DataFrame:
     """The k-th row of each window where there is one: q, w, floor, floor_id. Scores that doubles don't hold exactly are rounded down."""
-    score = F.col("score").cast("double")
-    down = F.when(F.abs(score) < F.lit(2.0**53), score).otherwise(score - F.abs(score) * 1e-15)
-    lowest = F.when(F.col("wide").isNotNull() & (F.col("score") < 0), F.lit(float("-inf"))).otherwise(down)
-    exact = F.abs(score) < F.lit(2.0**53)
-    return _first(found, k).where(F.col("rank") == k).select("q", "w", lowest.alias("floor"), F.when(exact, F.col("id")).otherwise(F.lit(_LONG)).alias("floor_id"))
+    return _first(found, k).where(F.col("rank") == k).select("q", "w", floor_of(F.col("score"), F.col("wide")).alias("floor"), F.when(F.abs(F.col("score").cast("double")) < F.lit(2.0**53), F.col("id")).otherwise(F.lit(LONG)).alias("floor_id"))
 
 
 def _with_floors(windows: DataFrame, floors: DataFrame) -> DataFrame:
     """Windows (q, w, p, wide) gathered for each anchor, some at most for each."""
-    known = windows.join(floors, ["q", "w"], "left").fillna({"floor": float("-inf"), "floor_id": _LONG})
+    known = windows.join(floors, ["q", "w"], "left").fillna({"floor": float("-inf"), "floor_id": LONG})
     return known.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("w", "p", "wide", "floor", "floor_id"))).alias("windows"))
 
 

@@ -16,12 +16,13 @@ others are dropped before anything is shuffled. Queries come to a shard in block
 of a bounded size, so no task holds all queries or all vectors.
 
 Components are integers, and scores exact: they are summed as doubles where these
-hold all of them exactly, else as long integers. Ties go to the smaller id.
+hold all of them exactly, else as long integers, else as Python's. A score that no
+long holds is compared as it is but returned as the largest or smallest long. Ties
+go to the smaller id.
 
-Vectors that are null or empty, or hold null or non-finite components, take no
-part, as are rows with a null id; nor do vectors with a component beyond
-``LARGEST``, whose scores needn't fit a long integer. A query meets the vectors of
-its own length only. Rows that repeat an id all take part, as candidates of one id
+Vectors that are null or empty, or hold null or non-finite components (also after
+scaling), take no part, nor do rows with a null id. A query meets the vectors of its
+own length only. Rows that repeat an id all take part, as candidates of one id
 and, if it is a query's, the query is asked once for each distinct vector of that
 id; a row is no candidate for its own id.
 """
@@ -34,25 +35,26 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.llm.common import discard, stored
+from corpuslens.llm.exact_scores import best as best_of
+from corpuslens.llm.exact_scores import by_width, clipped, floor_of, products, quantised, wide_key
 
 SHARD_ROWS = 2048
 QUERY_ROWS = 4096
 LEAF_ROWS = 64
 #: Vectors that the upper levels are fitted on, and the most cells they make.
 SAMPLE_ROWS, MAX_CELLS = 20_000, 1024
-#: Largest component in absolute value; 1024 products of two such fit a long.
-LARGEST = 1 << 26
-_NONE = -(1 << 63)
 
 
 def bounds_of(centres: np.ndarray, radii: np.ndarray, q: np.ndarray) -> np.ndarray:
     """No vector of a ball scores more than this; the last term covers the rounding of doubles."""
-    length = np.sqrt(q @ q)
-    return np.floor(centres @ q + length * radii + 1e-9 * length * (np.sqrt((centres * centres).sum(1)) + radii) + 1e-6)
+    with np.errstate(all="ignore"):
+        length = np.sqrt(q @ q)
+        bounds = np.floor(centres @ q + length * radii + 1e-9 * length * (np.sqrt((centres * centres).sum(1)) + radii) + 1e-6)
+    return np.where(np.isnan(bounds), np.inf, bounds)  # where doubles overflow, nothing is known
 
 
 class BallTree:
@@ -60,8 +62,7 @@ class BallTree:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF_ROWS):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.whole = ids[order], vectors[order].astype(np.int64)
-        self.vectors = self.whole.astype(np.float64)
+        self.ids, self.vectors = ids[order], vectors[order].astype(np.float64)
         centres, radii, self.least, self.span, self.children = [], [], [], [], []
         perm = np.arange(len(ids))
 
@@ -85,15 +86,17 @@ class BallTree:
                 self.children[node] = (left, right)
             return node
 
-        build(0, len(ids))
+        with np.errstate(all="ignore"):
+            build(0, len(ids))
+            self.longest = float(np.sqrt((self.vectors**2).sum(1).max()))
         self.centres, self.radii = np.array(centres), np.array(radii)
-        self.ids, self.vectors, self.whole = self.ids[perm], self.vectors[perm], self.whole[perm]
-        self.longest = float(np.sqrt((self.vectors**2).sum(1).max()))
+        self.ids, self.vectors = self.ids[perm], self.vectors[perm]
 
-    def search(self, query: np.ndarray, own: int, k: int, floor: int) -> list[tuple[int, int]]:
+    def search(self, query: np.ndarray, own: int, k: int, floor: float) -> list[tuple[int, int]]:
         """Up to k best (score, id), but for ``own``; at least all that belong to the k best of a search whose k-th score is ``floor``."""
-        q, whole = query.astype(np.float64), query.astype(np.int64)
-        exact = self.longest * float(np.sqrt(q @ q)) < 2.0**52  # so that doubles hold each score and each partial sum
+        q = query.astype(np.float64)
+        with np.errstate(all="ignore"):
+            exact = self.longest * float(np.sqrt(q @ q)) < 2.0**52  # so that doubles hold each score and each partial sum
         bounds = bounds_of(self.centres, self.radii, q)
         best: list[tuple[int, int]] = []  # heap of (score, -id), worst first
         heap = [(-bounds[0], 0)]
@@ -108,11 +111,10 @@ class BallTree:
                     heapq.heappush(heap, (-bounds[child], child))
                 continue
             lo, hi = self.span[node]
-            scores = (self.vectors[lo:hi] @ q).astype(np.int64) if exact else self.whole[lo:hi] @ whole
-            least = max(floor, best[0][0] if len(best) == k else floor)
-            at = np.flatnonzero((scores >= least) & (self.ids[lo:hi] != own))
-            if len(at) > k:  # of equals, smaller ids come first
-                at = at[np.lexsort((self.ids[lo:hi][at], -scores[at]))[:k]]
+            scores = (self.vectors[lo:hi] @ q).astype(np.int64) if exact else products(q[None], self.vectors[lo:hi])[0]
+            ids = self.ids[lo:hi]
+            least = max(floor, best[0][0]) if len(best) == k else floor
+            at = best_of(scores, ids, np.flatnonzero((ids != own) & (scores >= least) if exact else ids != own), k)
             for i in at.tolist():
                 item = (int(scores[i]), -int(self.ids[lo + i]))
                 if len(best) < k:
@@ -154,22 +156,14 @@ class Cells:
         return node - ((1 << self.depth) - 1)
 
 
-def _by_width(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Vectors of a column of lists by their length: length, rows, matrix."""
-    ends, flat = np.asarray(column.offsets), column.values.to_numpy(zero_copy_only=False)
-    sizes = np.diff(ends)
-    for width in np.unique(sizes):
-        rows = np.flatnonzero(sizes == width)
-        yield int(width), rows, flat[ends[rows][:, None] + np.arange(width)]
-
-
 def _place(trees: dict[int, Cells]):
     """Columns (…, v) with the width, the cell and the distance from the cell's centre added. A width without a tree has one cell about nought."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.seterr(all="ignore")
         for batch in batches:
             widths, cells, far = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows)
-            for width, rows, v in _by_width(batch.column("v")):
+            for width, rows, v in by_width(batch.column("v")):
                 x = v.astype(np.float64)
                 widths[rows] = width
                 if width in trees:
@@ -193,7 +187,7 @@ def _route(trees: dict[int, Cells], radii: dict[tuple[int, int], float], first:
         for batch in batches:
             row, widths, cells = [], [], []
             floors, homes = np.asarray(batch.column("floor")), np.asarray(batch.column("home"))
-            for width, rows, v in _by_width(batch.column("v")):
+            for width, rows, v in by_width(batch.column("v")):
                 if width not in balls:
                     continue
                 at, centres, reach = balls[width]
@@ -214,30 +208,23 @@ def _search(k: int) -> Callable:
         if len(vectors) and len(queries):
             tree = BallTree(vectors["vec_id"].to_numpy(), np.stack(vectors["v"].to_list()))
             for query_id, part, v, floor in zip(queries["query_id"], queries["q"], np.stack(queries["v"].to_list()), queries["floor"]):
-                out += [(query_id, part, i, s) for s, i in tree.search(v, query_id, k, floor)]
-        return pd.DataFrame(out, columns=["query_id", "q", "vec_id", "score"]).astype("int64")
+                out += [(query_id, part, i, clipped(s), wide_key(s)) for s, i in tree.search(v, query_id, k, floor)]
+        return pd.DataFrame(out, columns=["query_id", "q", "vec_id", "score", "wide"]).astype({c: "int64" for c in ("query_id", "q", "vec_id", "score")})
 
     return run
 
 
-def quantised(vector: Column, scale: float) -> Column:
-    """floor(scale * x) of each component as double; null if a component is null, not finite, or too large."""
-    scaled = lambda x: x.cast("double") * scale
-    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(scaled(x)) <= F.lit(float(LARGEST))))
-    return F.when(fine, F.transform(vector, lambda x: F.floor(scaled(x)).cast("long")))
-
-
 def _fit(rows: DataFrame, n: int, shard_rows: int) -> dict[int, Cells]:
     """Upper levels for each length of the sampled vectors."""
     share = int(min(1.0, SAMPLE_ROWS / max(1, n)) * (1 << 40))
     sample = rows.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 40)) <= share).select("v").limit(SAMPLE_ROWS).toArrow()
-    by_width: dict[int, list[np.ndarray]] = {}
+    parts_of: dict[int, list[np.ndarray]] = {}
     for chunk in sample.column("v").chunks:
-        for width, _, v in _by_width(chunk):
-            by_width.setdefault(width, []).append(v.astype(np.float64))
+        for width, _, v in by_width(chunk):
+            parts_of.setdefault(width, []).append(v.astype(np.float64))
     cells = min(MAX_CELLS, -(-n // shard_rows))
     depth = max(0, (cells - 1).bit_length())
-    return {width: Cells(np.concatenate(parts), depth) for width, parts in by_width.items()}
+    return {width: Cells(np.concatenate(parts), depth) for width, parts in parts_of.items()}
 
 
 def topk(
@@ -256,15 +243,15 @@ def _searched(vectors: DataFrame, queries: DataFrame, k: int, scale: float, id_c
 
     plain = stored(clean(vectors), "vectors")
     trees = _fit(plain, plain.count(), shard_rows)
-    placed = "vec_id long, v array<long>, width int, cell int, far double"
+    placed = "vec_id long, v array<double>, width int, cell int, far double"
     rows = stored(plain.mapInArrow(_place(trees), placed), "placed")
     balls = stored(rows.groupBy("width", "cell").agg(F.max("far").alias("radius"), F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("shards")), "balls")
     # of the sampled lengths alone, some thousand cells at most for each; another length is one cell, which is always searched
     sampled = balls.where(F.col("width").isin(list(trees)))
     radii = {(r["width"], r["cell"]): r["radius"] for r in sampled.collect()}
     asked = stored(clean(queries).distinct().select(F.col("vec_id").alias("query_id"), F.monotonically_increasing_id().alias("q"), "v"), "queries")
-    routed = "query_id long, q long, v array<long>, floor long, home int, width int, cell int"
-    found = "query_id long, q long, vec_id long, score long"
+    routed = "query_id long, q long, v array<double>, floor double, home int, width int, cell int"
+    found = "query_id long, q long, vec_id long, score long, wide binary"
 
     def route(df: DataFrame, first: bool) -> DataFrame:
         df = df.select("query_id", "q", "v", "floor", "home")
@@ -283,12 +270,13 @@ def _searched(vectors: DataFrame, queries: DataFrame, k: int, scale: float, id_c
         right = ask.join(plan, ["width", "cell"]).select("query_id", "q", "v", "floor", "width", "cell", F.pmod(F.xxhash64("q"), F.col("parts")).cast("int").alias("part"), numbers("shards").alias("shard"))
         return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_search(k), found)
 
-    first = stored(route(asked.withColumns({"floor": F.lit(_NONE).cast("long"), "home": F.lit(-1)}), True), "first")
+    none = F.lit(float("-inf"))
+    best = Window.partitionBy("q").orderBy(F.desc("score"), F.desc("wide"), "vec_id")
+    first = stored(route(asked.withColumns({"floor": none, "home": F.lit(-1)}), True), "first")
     pilot = stored(pairs(first), "pilot")
-    floors = pilot.groupBy("q").agg(F.array_sort(F.collect_list("score"), lambda x, y: F.when(x > y, -1).when(x < y, 1).otherwise(0)).alias("s")).select("q", F.coalesce(F.get("s", F.lit(k - 1)), F.lit(_NONE).cast("long")).alias("floor"))
-    known = first.select("query_id", "q", "v", F.col("cell").alias("home")).join(floors, "q", "left").fillna(_NONE, ["floor"])
+    floors = pilot.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).where(F.col("rank") == k).select("q", floor_of(F.col("score"), F.col("wide")).alias("floor"))
+    known = first.select("query_id", "q", "v", F.col("cell").alias("home")).join(floors, "q", "left").withColumn("floor", F.coalesce("floor", none))
     rest = stored(route(known, False), "rest")
-    best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     discard(plain)
     every = pilot.unionByName(pairs(rest)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return every.select("query_id", "rank", "vec_id", "score"), first, rest

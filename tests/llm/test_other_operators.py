@@ -48,14 +48,29 @@ def test_topk_of_huge_and_ragged_vectors(spark):
     rows = [(i, (rng.integers(-(2**17), 2**17, 3 + i % 2) * 1.0).tolist()) for i in range(60)] + [(60, [1e30, 0.0, 0.0]), (61, []), (62, [1.0]), (63, [2.0**18, 2.0**18, 2.0**18]), (64, [-(2.0**18), 1.0, 2.0**18]), (65, [2.0**18, 2.0**18, 2.0**18 - 1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.topk(df, df, 4, shard_rows=7, query_rows=5).collect())
-    fine = [(i, [int(256 * x) for x in v]) for i, v in rows if i not in (60, 61)]
+    fine = [(i, [int(256 * x) for x in v]) for i, v in rows if i != 61]
     want = []
     for i, q in fine:
         scored = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in fine if j != i and len(v) == len(q))[:4]
-        want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scored)]
+        want += [(i, n + 1, j, max(-(2**63), min(2**63 - 1, -s))) for n, (s, j) in enumerate(scored)]
     assert got == sorted(want) and max(abs(r[3]) for r in got) > 2**53
 
 
+@pytest.mark.parametrize("shard_rows", [2048, 3])
+def test_topk_keeps_every_finite_vector(spark, shard_rows):
+    rows = [(50, [1.0, 0.0]), (51, [1e6, 0.0]), (100, [3e5, 1.0]), (1, [2.0, 5.0]), (2, [-3.0, 1.0]), (3, [3.0, 0.0]), (4, [0.5, 0.5]), (150, [1e300, -1e300]), (5, [-1e299, 1e298]), (6, [1e308, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.topk(df, df.where("vec_id % 50 = 0"), 9, shard_rows=shard_rows).collect())
+    fine = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i != 6]  # 256e308 is no double
+    want = []
+    for i, q in (x for x in fine if x[0] % 50 == 0):
+        scored = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in fine if j != i)
+        want += [(i, n + 1, j, max(-(2**63), min(2**63 - 1, -s))) for n, (s, j) in enumerate(scored)]
+    assert got == sorted(want)
+    only = [r[2:] for r in topk.topk(df.where("vec_id <= 100"), df.where("vec_id = 50"), 1).collect()]
+    assert only == [(51, 65_536_000_000)]
+
+
 def test_topk_drops_cells_before_the_shuffle(spark):
     rng = np.random.default_rng(6)
     centres = rng.normal(size=(32, 16)) * 4
