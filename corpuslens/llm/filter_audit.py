@@ -12,8 +12,9 @@ smallest id met so far:
    smaller id there already fails E, and so does a holder that a smaller id
    replaces; both go on without their text. Only holders stay open.
 2. Open texts are range-partitioned by a prefix, 32 bytes at first. Where the
-   texts of one prefix are too many bytes and differ, their prefix is made four
-   times as long, and so on; prefixes of single texts aren't.
+   texts of one prefix are too many bytes, or too large a share of all, and differ,
+   their prefix is made four times as long, and so on; prefixes of single texts
+   aren't.
 3. A text held by very many tasks goes through a round of tries by (prefix, salt)
    first, so that a few holders of it are left.
 4. Each range has its tries, traversed when the range is read: what still holds a
@@ -44,6 +45,8 @@ MIN_WORDS, DISTINCT_PERCENT, CAPITAL_PERCENT, MARKS = 200, 50, 3, b"#$%&*|"
 
 #: Text that one trie of the first pass holds, and that the tries of one range should hold.
 BLOCK_BYTES, RANGE_BYTES = 16 << 20, 64 << 20
+#: A prefix should hold no more than one part in so many of all text either, where that is more than so many bytes.
+SHARES, LEAST_RANGE_BYTES = 256, 256 << 10
 #: What a node takes besides its label, about.
 NODE_BYTES = 500
 PREFIX_BYTES, PREFIX_GROWTH = 32, 4
@@ -208,9 +211,11 @@ def _marked(rows: DataFrame, prefixes: DataFrame, name: str) -> DataFrame:
 def adaptive_prefixes(open_rows: DataFrame, range_bytes: int = RANGE_BYTES, prefix_bytes: int = PREFIX_BYTES) -> DataFrame:
     """``open_rows`` with the prefix of their text that is long enough to tell large ranges apart."""
     rows, length = open_rows.withColumn("prefix", F.substring("text", 1, prefix_bytes)), prefix_bytes
+    total = open_rows.agg(F.sum(F.octet_length("text") + NODE_BYTES)).first()[0] or 0
+    most = min(range_bytes, max(total // SHARES, LEAST_RANGE_BYTES))
     todo = rows
     while True:
-        heavy = stored(_holders_by_prefix(todo).where((F.col("bytes") > range_bytes) & (F.col("longest") > length) & (F.col("lo") < F.col("hi"))), "prefixes")
+        heavy = stored(_holders_by_prefix(todo).where((F.col("bytes") > most) & (F.col("longest") > length) & (F.col("lo") < F.col("hi"))), "prefixes")
         if heavy.isEmpty():
             return rows
         length *= PREFIX_GROWTH
