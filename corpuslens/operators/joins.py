@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslens.sources.scratch import kept
+
 
 def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
     """The page ``number`` (from 1) of a listing in a total order."""
@@ -13,8 +18,8 @@ def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFram
 
 def feedback_list(feedback: DataFrame, messages: DataFrame, users: DataFrame, thumb: str | None = None, number: int = 1, size: int = 20) -> DataFrame:
     """Feedback with its message and user, newest first; feedback without either is left out."""
-    kept = feedback if thumb is None else feedback.where(F.col("thumb") == thumb)
-    joined = kept.join(messages, "message_id").join(users, "user_id")
+    chosen = feedback if thumb is None else feedback.where(F.col("thumb") == thumb)
+    joined = chosen.join(messages, "message_id").join(users, "user_id")
     return page(joined, [F.desc("created_at"), F.col("feedback_id")], number, size)
 
 
@@ -109,12 +114,56 @@ def system_pairs(answers: DataFrame) -> DataFrame:
     return answers.join(other, "item_id").where(F.col("system") < F.col("system_b")).select("item_id", F.col("system").alias("system_a"), "system_b", F.col("answer").alias("answer_a"), "answer_b")
 
 
-def term_document_counts(terms: DataFrame, chunks: DataFrame) -> DataFrame:
-    """In how many documents each single-word term occurs: (term) × (spec_id, content) → term, n_documents.
+#: Bytes of terms that one automaton holds, and so one pass over the texts looks for.
+TERM_BYTES = 8 << 20
+
+
+def _found_in(terms: list[tuple[int, str]]) -> Callable:
+    """Columns (spec_id, content) to (spec_id, number): the terms that each document's texts hold, once for each batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for number, term in terms:
+            automaton.add_word(term, number)
+        automaton.make_automaton()
+        for batch in batches:
+            seen: dict[int, set[str]] = {}
+            for spec, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for _, number in automaton.iter(text.as_py()):
+                    seen.setdefault(number, set()).add(spec)
+            rows = [(spec, number) for number, specs in seen.items() for spec in specs]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["spec_id", "number"])
+
+    return run
+
+
+def term_document_counts(terms: DataFrame, chunks: DataFrame, term_bytes: int = TERM_BYTES) -> DataFrame:
+    """In how many documents each term occurs: (term) × (spec_id, content) → term, n_documents.
 
-    Words are compared without regard to case, so the join is one of equality.
+    A term is any text: a word, part of one, a phrase with blanks, hyphens or commas.
+    It occurs where a content holds it, without regard to case; blanks at its ends
+    don't count, and an empty term occurs nowhere. A document is all chunks of a
+    spec_id. Texts don't move: each task looks for all terms in one pass with an
+    automaton of ``term_bytes`` of terms at most; more terms take more passes. What
+    is shuffled is (term, document), each once for a task.
     """
-    words = chunks.select("spec_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("content", F.lit(""))), F.lit(r"([\pL\pN]+)"), F.lit(1)))).alias("word"))
-    wanted = terms.select("term", F.lower("term").alias("word")).distinct()
-    found = wanted.join(words, "word", "left").groupBy("term").agg(F.count_distinct("spec_id").alias("n_documents"))
-    return found
+    wanted = kept(terms.where("term is not null").select("term", F.lower(F.trim("term")).alias("lowered")).distinct(), "terms")
+    looked = wanted.where("lowered <> ''").select("lowered").distinct()
+    total = looked.agg(F.sum(F.octet_length("lowered") + 64)).first()[0] or 0
+    passes = -(-total // term_bytes)
+    texts = chunks.where("content is not null and spec_id is not null").select(F.col("spec_id").cast("string").alias("spec_id"), F.lower("content").alias("content"))
+    numbered = kept(looked.withColumns({"number": F.monotonically_increasing_id(), "pass": F.pmod(F.xxhash64("lowered"), F.lit(max(passes, 1)))}), "numbered")
+    found = None
+    for n in range(passes):
+        part = [(r["number"], r["lowered"]) for r in numbered.where(F.col("pass") == n).collect()]  # a bounded part, about term_bytes
+        if not part:
+            continue
+        one = texts.mapInArrow(_found_in(part), "spec_id string, number long")
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        return wanted.select("term", F.lit(0).cast("long").alias("n_documents")).distinct()
+    counts = found.distinct().groupBy("number").agg(F.count(F.lit(1)).alias("n"))
+    named = numbered.join(counts, "number").select("lowered", "n")
+    return wanted.join(named, "lowered", "left").select("term", F.coalesce("n", F.lit(0)).cast("long").alias("n_documents")).distinct()

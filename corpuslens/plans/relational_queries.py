@@ -145,10 +145,16 @@ def jon12_system_pairs(spark, d):
 
 
 @query("""
-with t as (select distinct unnest(regexp_extract_all(text, '[\\pL\\pN]+')) as term from benchmark), w as (select distinct source, unnest(regexp_extract_all(lower(text), '[\\pL\\pN]+')) as word from documents)
-select term, count(distinct source) as n_documents from t left join w on word = lower(term) group by term""")
+with w as (select regexp_split_to_array(text, '[ \\n]+') as w from benchmark),
+t as (select distinct array_to_string(list_slice(w, i, i + k), ' ') as term from w, unnest(range(1, len(w) + 1)) x(i), unnest(range(0, 4)) y(k) where i + k <= len(w)),
+p as (select term, lower(trim(term)) as low from t), d as (select source, lower(text) as low from documents where text is not null)
+select term, count(distinct source) as n_documents from p left join d on p.low <> '' and contains(d.low, p.low) group by term""")
 def jon13_term_document_counts(spark, d):
-    terms = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"([\pL\pN]+)"), F.lit(1))).alias("term"))
+    """Every phrase of one to four words of the benchmark, with whatever stands in and at its words."""
+    words = table(spark, d, "benchmark").select(F.split("text", "[ \\n]+").alias("w"))
+    begun = words.select("w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("i"))
+    runs = begun.select("w", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(4), F.size("w") - F.col("i") + 1))).alias("k"))
+    terms = runs.select(F.array_join(F.slice("w", F.col("i"), F.col("k")), " ").alias("term"))
     return J.term_document_counts(terms, table(spark, d, "documents").selectExpr("source as spec_id", "text as content"))
 
 

@@ -97,14 +97,16 @@ def set08_attribution_diff(spark, d):
 
 
 @query("""
-with t as (select item_id, string_split(replace(text, chr(10), ' '), ' ') as ts from benchmark), w as (select distinct source, unnest(regexp_extract_all(lower(text), '[\\pL\\pN]+')) as word from documents),
-c as (select word, count(distinct source) as n from w group by word), p as (select item_id, i, trim(ts[i]) as term from t, unnest(range(1, len(ts) + 1)) x(i) where length(trim(ts[i])) >= 4)
-select t.item_id, (select arg_min(term, i) from p join c on word = lower(term) where n >= 3 and p.item_id = t.item_id) as found, (select count(*) from p join c on word = lower(term) where n >= 3 and p.item_id = t.item_id) = 0 as kept from t""")
+with t as (select item_id, string_split_regex(replace(text, chr(10), ' '), ' *[.,;] *') as ts from benchmark), d as (select source, lower(text) as low from documents where text is not null),
+p as (select item_id, i, trim(ts[i]) as term from t, unnest(range(1, len(ts) + 1)) x(i) where length(trim(ts[i])) >= 4), q as (select distinct term from p),
+c as (select term, count(distinct source) as n from q join d on contains(low, lower(term)) group by term)
+select t.item_id, (select arg_min(term, i) from p join c using (term) where n >= 3 and p.item_id = t.item_id) as found, (select count(*) from p join c using (term) where n >= 3 and p.item_id = t.item_id) = 0 as kept from t""")
 def set09_symmetry_gate(spark, d):
+    """Probes are the clauses of each benchmark text, of many words."""
     from corpuslens.operators.joins import term_document_counts
 
-    items = table(spark, d, "benchmark").select("item_id", F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ").alias("terms"))
-    counts = term_document_counts(items.select(F.explode("terms").alias("term")), table(spark, d, "documents").selectExpr("source as spec_id", "text as content"))
+    items = table(spark, d, "benchmark").select("item_id", F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " *[.,;] *").alias("terms"))
+    counts = term_document_counts(items.select(F.explode("terms").alias("t")).select(F.trim("t").alias("term")), table(spark, d, "documents").selectExpr("source as spec_id", "text as content"))
     return S.symmetry_gate(items, counts).select("item_id", "found", "kept")
 
 
