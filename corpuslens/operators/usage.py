@@ -94,18 +94,28 @@ def daily_quota(events: DataFrame, tz: str, limit: int) -> DataFrame:
     return ordinary.withColumn("n", n).withColumn("edge", edge).withColumn("over", F.col("n") > limit)
 
 
-def fold_run_events(events: DataFrame) -> DataFrame:
-    """Events of runs (run_id, seq, event, data) folded: answer, number of tokens, node durations, last lists, terminal state, error."""
+def run_event_fields(events: DataFrame) -> DataFrame:
+    """Events of runs (run_id, seq, event, data, …) with what their data say: answer, citations, confidence, chunks, node, ms."""
     data = lambda path: F.get_json_object("data", path)
+    return events.withColumns({
+        "answer": data("$.answer"), "citations": data("$.citations"), "confidence": data("$.confidence").try_cast("double"), "chunks": data("$.chunks"),
+        "node": data("$.node"), "ms": data("$.duration_ms").try_cast("long"),
+    })
+
+
+def fold_run_events(events: DataFrame) -> DataFrame:
+    """Events of runs (run_id, seq, event, data) folded: answer, number of tokens, node durations, last lists, citations, confidence, terminal state, error."""
     last = lambda cond, value: F.max_by(F.when(cond, value), F.when(cond, F.col("seq")))
     ev = F.col("event")
     ended = ev.isin("final", "cancelled", "error")
-    node = F.when((ev == "node_end") & data("$.node").isNotNull(), F.struct(F.col("seq"), data("$.node").alias("node"), data("$.duration_ms").try_cast("long").alias("ms")))
-    nodes = F.transform(F.array_sort(F.collect_list(node)), lambda x: F.struct(x["node"], x["ms"]))
+    node = F.when((ev == "node_end") & F.col("node").isNotNull(), F.struct("seq", "node", "ms"))
+    nodes = F.transform(F.array_sort(F.collect_list(node)), lambda x: F.struct(x["node"].alias("node"), x["ms"].alias("ms")))
     latest = F.filter(nodes, lambda x: x["ms"].isNotNull())
-    return events.groupBy("run_id").agg(
-        F.coalesce(last(ev == "final", data("$.answer")), F.lit("")).alias("answer"), F.count_if(ev == "token").alias("n_tokens"), latest.alias("node_durations"),
-        last(ev == "chunks_rerank", data("$.chunks")).alias("chunks_rerank"), F.coalesce(last(ended, ev), F.when(F.max(ev == "end"), "end"), F.lit("incomplete")).alias("terminal"), last(ev == "error", F.col("data")).alias("error"),
+    return run_event_fields(events).groupBy("run_id").agg(
+        F.coalesce(last(ev == "final", F.col("answer")), F.lit("")).alias("answer"), F.count_if(ev == "token").alias("n_tokens"), latest.alias("node_durations"),
+        *[last(ev == c, F.col("chunks")).alias(c) for c in ("chunks_hit", "chunks_rerank", "chunks_expanded")],
+        last(ev == "final", F.col("citations")).alias("citations"), F.coalesce(last(ev == "final", F.col("confidence")), F.lit(0.0)).alias("confidence"),
+        F.coalesce(last(ended, ev), F.when(F.max(ev == "end"), "end"), F.lit("incomplete")).alias("terminal"), last(ev == "error", F.col("data")).alias("error"),
     )
 
 

@@ -1,4 +1,4 @@
-"""Writers: idempotent, by document or by record."""
+"""Writers by record, projections and exports. Tables replaced by document are in ``snapshots``."""
 
 from __future__ import annotations
 
@@ -7,8 +7,16 @@ from pyspark.sql import functions as F
 
 
 def upsert(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """``existing`` with the rows of ``new`` in place of those with the same keys; of equal keys in ``new`` the first by content."""
-    once = new.dropDuplicates(keys)
+    """``existing`` with the rows of ``new`` in place of those with the same keys; of equal keys in ``new`` the first by content.
+
+    Content is the other columns as JSON, so the result doesn't hang on the order of rows.
+    """
+    others = [c for c in new.columns if c not in keys]
+    if others:
+        content = F.struct(*others)
+        once = new.groupBy(*keys).agg(F.min_by(content, F.to_json(content, {"ignoreNullFields": "false"})).alias("_content")).select(*keys, "_content.*").select(*new.columns)
+    else:
+        once = new.distinct()
     return existing.join(once.select(*keys), keys, "left_anti").unionByName(once, allowMissingColumns=True)
 
 
@@ -22,31 +30,6 @@ def upsert_chunks(existing: DataFrame, new: DataFrame) -> DataFrame:
     return upsert(existing, new, ["chunk_id", "provider"])
 
 
-def replace_documents(rows: DataFrame, path: str, key: str = "spec_id") -> None:
-    """Write rows by document: what is there of a document in ``rows`` is replaced, all else stays."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
-
-
-def write_glossary(entries: DataFrame, documents: DataFrame, path: str) -> None:
-    """Replace the entries of ``documents`` (spec_id); those without entries are emptied too."""
-    spark = entries.sparkSession
-    try:
-        old = spark.read.parquet(path)
-    except Exception as missing:  # nothing is there yet
-        if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
-            raise
-        replace_documents(entries, path)
-        return
-    emptied = documents.select("spec_id").distinct().join(entries.select("spec_id").distinct(), "spec_id", "left_anti")
-    # names of the emptied documents that have a folder; they go before the folders change
-    gone = old.select("spec_id").distinct().join(emptied, "spec_id", "left_semi").collect()
-    replace_documents(entries, path)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    for row in gone:
-        target = hadoop.Path(f"{path}/spec_id={row.spec_id}")
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def purge_documents(ids: DataFrame, tables: dict[str, DataFrame], key: str = "spec_id") -> tuple[dict[str, DataFrame], DataFrame]:
     """Tables without some documents, and how many rows each lost: (sink, removed)."""
     wanted = ids.select(key).distinct()

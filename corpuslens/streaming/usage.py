@@ -1,21 +1,17 @@
-"""Streaming forms of usage, quota, run events, and corpus updates.
+"""Streaming forms of rate windows, usage and trailing cost, by Spark's own aggregations.
 
-Each gives the rows of its batch form. Time is that of the event; rows later
-than the watermark are dropped by Spark and can be had from a side query.
+Time is that of the event. Rows later than the watermark are dropped by Spark.
+Quotas and runs, which need an order, are in ``processors``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpuslens.operators.usage import COUNTERS, usage_rows
-from corpuslens.sources.scratch import kept
-from corpuslens.sources.write import replace_documents
 
 
 def rate_windows(events: DataFrame, bucket: str, seconds: int, most: int, delay: str = "10 minutes") -> DataFrame:
@@ -28,36 +24,6 @@ def rate_windows(events: DataFrame, bucket: str, seconds: int, most: int, delay:
     return counted.select("user_id", F.unix_timestamp("w.start").alias("window_start"), "n", (F.col("n") > most).alias("over"))
 
 
-_STATE = "n long"
-_EDGE = "user_id long, local_day string, event_id long, n long, edge string"
-
-
-def daily_quota(events: DataFrame, tz: str, limit: int, delay: str = "1 hour") -> DataFrame:
-    """Edges of daily quotas, each once: ``first`` and ``over``; state ends an hour after the local day does."""
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        user, day = key
-        if state.hasTimedOut:
-            state.remove()
-            return
-        n = state.get[0] if state.exists else 0
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        out = []
-        for event in rows["event_id"]:
-            n += 1
-            if n in (1, limit + 1):
-                out.append((user, day, event, n, "first" if n == 1 else "over"))
-        state.update((n,))
-        end = pd.Timestamp(day, tz=tz) + pd.DateOffset(days=1)
-        due = int(end.timestamp() * 1000) + 3_600_000
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["user_id", "local_day", "event_id", "n", "edge"])
-
-    ordinary = events.where((F.col("role") == "user") & F.lit(limit > 0)).withWatermark("ts", delay)
-    keyed = ordinary.withColumn("local_day", F.date_format(F.from_utc_timestamp("ts", tz), "yyyy-MM-dd"))
-    return keyed.groupBy("user_id", "local_day").applyInPandasWithState(run, _EDGE, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def usage_cube(calls: DataFrame, delay: str = "1 day") -> DataFrame:
     """Running daily cube of calls with cost, by user and UTC day."""
     rows = usage_rows(calls.withWatermark("ts", delay))
@@ -80,77 +46,25 @@ def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def trailing_usage(calls: DataFrame, days: int = 7, delay: str = "1 day") -> DataFrame:
-    """Cost of each day and the ``days`` before it, as calls arrive: day, trailing_cost."""
-    rows = usage_rows(calls.withWatermark("ts", delay))
-    w = F.window("ts", f"{days + 1} days", "1 day")
-    return rows.groupBy(w.alias("w")).agg(F.sum("cost").alias("trailing_cost")).select(F.date_sub(F.to_date("w.end"), 1).alias("day"), "trailing_cost")
-
-
-_RUN = "run_id long, answer string, n_tokens long, terminal string"
-
-
-def fold_run_events(events: DataFrame, timeout: str = "30 minutes") -> DataFrame:
-    """Runs (run_id, seq, event, data, ts) folded into one row, sent when the terminal event (final, cancelled, error) arrives or the run falls silent."""
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        import json
+    """As calls arrive, for each day: cost and tokens of that day and the ``days`` before it, and its month's cost up to it.
 
-        answer, tokens, terminal = state.get if state.exists else ("", 0, "incomplete")
-        if not state.hasTimedOut:
-            rows = pd.concat(list(frames)).sort_values("seq")
-            for event, data in zip(rows["event"], rows["data"]):
-                if event == "token":
-                    tokens += 1
-                elif event == "final":
-                    answer, terminal = json.loads(data).get("answer") or "", "final"
-                elif event in ("cancelled", "error"):
-                    terminal = event
-                elif event == "end" and terminal == "incomplete":
-                    terminal = "end"
-        if state.hasTimedOut or terminal in ("final", "cancelled", "error"):
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame([(key[0], answer, tokens, terminal)], columns=["run_id", "answer", "n_tokens", "terminal"])
-        else:
-            state.update((answer, tokens, terminal))
-            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + int(pd.Timedelta(timeout).total_seconds() * 1000) + 1)
-
-    return events.withWatermark("ts", timeout).groupBy("run_id").applyInPandasWithState(run, _RUN, "answer string, n_tokens long, terminal string", "append", GroupStateTimeout.EventTimeTimeout)
+    Columns day, trailing_cost, trailing_tokens, month_cost. A call counts for its own
+    day and those after it that are within ``days`` or in its month; tasks add these
+    up before anything is shuffled. A day's state ends when the watermark of calls
+    passes it by the longest of these spans.
+    """
+    span = max(days, 30)
+    spread = usage_rows(calls).withColumn("_own", F.to_date("ts")).withColumn("_day", F.explode(F.sequence(F.col("_own"), F.greatest(F.date_add("_own", days), F.last_day("_own")))))
+    dated = spread.withColumn("_at", F.col("_day").cast("timestamp")).withWatermark("_at", f"{span + 1} days {delay}")
+    late = F.datediff("_day", "_own") <= days
+    month = F.trunc("_day", "month") == F.trunc("_own", "month")
+    summed = dated.groupBy(F.window("_at", "1 day").alias("w")).agg(
+        F.sum(F.when(late, F.col("cost")).otherwise(0.0)).alias("trailing_cost"), F.sum(F.when(late, F.col("llm_input_tokens")).otherwise(0)).alias("trailing_tokens"),
+        F.sum(F.when(month, F.col("cost")).otherwise(0.0)).alias("month_cost"),
+    )
+    return summed.select(F.to_date("w.start").alias("day"), "trailing_cost", "trailing_tokens", "month_cost")
 
 
 def dedupe(chunks: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Chunks (chunk_id, ts) whose id wasn't seen within the delay."""
     return chunks.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["chunk_id"])
-
-
-def corpus_updates(make: Callable[[DataFrame], DataFrame], path: str, manifest: str, text_col: str = "text") -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: chunks of new and changed documents by ``make``, in place of what is there of them.
-
-    A document (spec_id) is all its rows in a batch. It is changed if a digest of
-    their texts, in any order, isn't the one that ``manifest`` has; then its rows
-    go to ``make``, and what that gives replaces the document's rows at ``path``.
-    Each batch writes digests to a folder of its own, so a replayed batch
-    replaces itself.
-    """
-
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        row = F.xxhash64(F.col(text_col)).cast("decimal(38,0)")
-        digests = batch.groupBy("spec_id").agg(F.concat_ws(":", F.count(F.lit(1)).cast("string"), F.sum(row).cast("string"), F.bit_xor(F.xxhash64(F.col(text_col), F.lit(1))).cast("string")).alias("digest"))
-        told = spark.read.schema("spec_id string, digest string, batch long").parquet(manifest).where(F.col("batch") < number)
-        known = told.groupBy("spec_id").agg(F.max_by("digest", "batch").alias("known"))
-        changed = kept(digests.join(known, "spec_id", "left").where("known is null or known <> digest").select("spec_id", "digest"), "changed")
-        if not changed.isEmpty():
-            replace_documents(make(batch.join(changed.select("spec_id"), "spec_id", "left_semi")), path)
-        changed.write.mode("overwrite").parquet(f"{manifest}/batch={number}")
-
-    return write
-
-
-def stream_corpus(docs: DataFrame, make: Callable[[DataFrame], DataFrame], path: str, state: str) -> None:
-    """Take in what is there of a stream of documents (spec_id, text, …) and stop; the next call goes on from there."""
-    spark = docs.sparkSession
-    manifest = f"{state}/manifest"
-    spark.createDataFrame([], "spec_id string, digest string").write.mode("overwrite").parquet(f"{manifest}/batch=-1")
-    query = docs.writeStream.foreachBatch(corpus_updates(make, path, manifest)).option("checkpointLocation", f"{state}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()

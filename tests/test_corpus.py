@@ -10,7 +10,7 @@ from corpuslens.operators import chunks as C
 from corpuslens.operators import glossary as G
 from corpuslens.operators import sections as S
 from corpuslens.operators import selection, splitting, udf
-from corpuslens.sources import read, write
+from corpuslens.sources import read, snapshots, write
 
 LONG = "This sentence is here to be long enough for a section that is kept by the rules. " * 3
 DOC = f"""# Title 38.211
@@ -152,14 +152,13 @@ def test_tokens(spark):
 def test_replace_by_document(spark, tmp_path):
     path = str(tmp_path / "chunks")
     make = lambda rows: spark.createDataFrame(rows, "spec_id string, chunk_id int")
-    write.replace_documents(make([("a", i) for i in range(5)] + [("b", 9)]), path)
-    write.replace_documents(make([("a", i) for i in range(3)]), path)
-    got = spark.read.parquet(path).groupBy("spec_id").count().collect()
+    snapshots.create_table(spark, path, make([]).schema)
+    snapshots.replace_documents(make([("a", i) for i in range(5)] + [("b", 9)]), path)
+    snapshots.replace_documents(make([("a", i) for i in range(3)]), path)
+    got = snapshots.read_table(spark, path).groupBy("spec_id").count().collect()
     assert {r.spec_id: r["count"] for r in got} == {"a": 3, "b": 1}
-    write.write_glossary(make([("b", 1), ("b", 2)]), make([("a", 0), ("b", 0)]), path)
-    assert sorted((r.spec_id, r.chunk_id) for r in spark.read.parquet(path).collect()) == [("b", 1), ("b", 2)]
-    write.write_glossary(make([("c", 1)]), make([("c", 0)]), str(tmp_path / "new"))
-    assert spark.read.parquet(str(tmp_path / "new")).count() == 1
+    assert snapshots.write_glossary(make([("b", 1), ("b", 2)]), make([("a", 0), ("b", 0)]), path)["deleted"] == 4
+    assert sorted((r.spec_id, r.chunk_id) for r in snapshots.read_table(spark, path).collect()) == [("b", 1), ("b", 2)]
 
 
 def test_readers(spark, tmp_path):

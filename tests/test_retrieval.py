@@ -184,14 +184,6 @@ def test_rate_windows_as_a_stream(spark, events, tmp_path):
     assert {(r.user_id, r.window_start): r.n for r in got} == want and all(r.over == (r.n > 2) for r in got)
 
 
-def test_daily_quota_as_a_stream(spark, events, tmp_path):
-    batch, make, _ = events
-    want = sorted((r.user_id, str(r.local_day), r.event_id, r.edge) for r in usage.daily_quota(batch, "Asia/Shanghai", 4).where("edge is not null").collect())
-    got = run(stream.daily_quota(make(), "Asia/Shanghai", 4), tmp_path).collect()
-    assert sorted((r.user_id, r.local_day, r.event_id, r.edge) for r in got) == want
-    assert usage.daily_quota(batch, "UTC", 0).count() == 0
-
-
 def test_streaming_dedupe(spark, events, tmp_path):
     _, make, _ = events
     got = run(stream.dedupe(make().select(F.col("user_id").alias("chunk_id"), "ts"), "60 days"), tmp_path)
@@ -217,34 +209,6 @@ def test_usage_cube_and_trailing_as_streams(spark, tmp_path):
     assert {(r.user_id, r.day): (r.llm_input_tokens, r.total_cost_usd) for r in newest.collect()} == want
 
 
-def test_fold_run_events_as_a_stream(spark, tmp_path):
-    base = dt.datetime(2024, 1, 1)
-    rows = []
-    for run_id in range(4):
-        for seq, (e, data) in enumerate([("token", "{}"), ("token", "{}"), ("final", '{"answer": "a%d"}' % run_id) if run_id % 2 else ("error", '{"x": 1}')]):
-            rows.append((run_id, seq, e, data, base + dt.timedelta(seconds=seq)))
-    df = spark.createDataFrame(rows, "run_id long, seq long, event string, data string, ts timestamp")
-    df.coalesce(1).write.parquet(str(tmp_path / "runs"))
-    want = {(r.run_id, r.answer, r.n_tokens, r.terminal) for r in usage.fold_run_events(df).collect()}
-    got = run(stream.fold_run_events(spark.readStream.schema(df.schema).parquet(str(tmp_path / "runs"))), tmp_path).collect()
-    assert {(r.run_id, r.answer, r.n_tokens, r.terminal) for r in got} == want
-
-
-def test_corpus_updates_replace_documents(spark, tmp_path):
-    path, rows = str(tmp_path / "out"), str(tmp_path / "in")
-    make = lambda docs: docs.selectExpr("spec_id", "v", "explode(split(text, ' ')) as word")
-    schema = "spec_id string, text string, v int"
-
-    def deliver(*docs):
-        spark.createDataFrame(docs, schema).coalesce(1).write.mode("append").parquet(rows)
-        stream.stream_corpus(spark.readStream.schema(schema).parquet(rows), make, path, str(tmp_path / "state"))
-        return sorted((r.spec_id, r.word, r.v) for r in spark.read.parquet(path).collect())
-
-    assert deliver(("a", "x y", 0), ("b", "z", 0), ("c", None, 0)) == [("a", "x", 0), ("a", "y", 0), ("b", "z", 0)]
-    assert deliver(("a", "new", 1), ("b", "z", 1)) == [("a", "new", 1), ("b", "z", 0)]
-    assert deliver(("a", "x y", 2)) == [("a", "x", 2), ("a", "y", 2), ("b", "z", 0)]
-
-
 def test_a_kept_lexical_index_gives_what_a_search_without_one_gives(spark, tmp_path):
     chunks = spark.createDataFrame([(1, "the PDU session one one"), (2, "session two"), (3, None), (4, "of the"), (5, "one two three session")], "chunk_id long, content string")
     asked = spark.createDataFrame([(1, "PDU session session"), (2, "the of"), (3, None), (4, "three one")], "query_id long, text string")
