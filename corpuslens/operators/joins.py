@@ -69,26 +69,63 @@ def hydrate(citations: DataFrame, chunks: DataFrame, order: str = "ord") -> Data
     return citations.join(first, "chunk_id", "left")
 
 
-def reference_text(golden: DataFrame, chunks: DataFrame, most: int = 3000, separator: str = "\n\n") -> DataFrame:
+def clause_ancestors(clause: Column) -> Column:
+    """A clause's own number and those of all sections around it, and the empty one of the document: ``4.2.1`` gives ``, 4, 4.2, 4.2.1``."""
+    parts = F.split(clause, r"\.")
+    own = F.transform(parts, lambda _, i: F.array_join(F.slice(parts, 1, i + 1), "."))
+    return F.concat(F.array(F.lit("")), F.coalesce(own, F.array().cast("array<string>")))
+
+
+def section_text(golden: DataFrame, chunks: DataFrame, most: int = 3000, separator: str = "\n\n") -> DataFrame:
     """Text of each item's expected sections: (item_id, spec_id, section) ⋈ chunks by document and section prefix.
 
-    A section null or empty takes the whole document; a chunk counts once; texts
-    come in document order, cut at ``most`` characters. Only chunks that begin
-    before the cut are gathered: each but the first adds a separator, so they are
-    among the first ``most``, which each task finds before the shuffle.
+    A section null or empty takes the whole document; a content counts once; texts
+    come in document order, cut at ``most`` characters. A chunk is joined under each
+    section around it, so the join is one of equality and no chunk meets an item
+    that doesn't ask for it. Only chunks that begin before the cut are gathered:
+    each but the first adds a separator, so they are among the first ``most``, which
+    each task finds before the shuffle.
     """
-    under = golden.join(chunks, "spec_id").where(
-        (F.coalesce("section", F.lit("")) == "") | (F.col("clause") == F.col("section")) | F.startswith("clause", F.concat("section", F.lit(".")))
-    )
-    once = under.groupBy("item_id", "chunk_id").agg(F.min(F.struct("document_order", F.left("content", F.lit(most)).alias("content"))).alias("c"))
-    order = Window.partitionBy("item_id").orderBy("c.document_order", "chunk_id")
+    asked = golden.select("item_id", "spec_id", F.coalesce(F.trim("section"), F.lit("")).alias("under")).distinct()
+    places = chunks.where("content is not null").select("spec_id", "chunk_id", "document_order", "content", F.explode(F.array_distinct(clause_ancestors(F.col("clause")))).alias("under"))
+    once = asked.join(places, ["spec_id", "under"]).groupBy("item_id", F.sha2("content", 256).alias("_sha")).agg(F.min(F.struct("document_order", "chunk_id", F.left("content", F.lit(most)).alias("content"))).alias("c"))
+    order = Window.partitionBy("item_id").orderBy("c.document_order", "c.chunk_id")
     first = once.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most)
-    size = F.coalesce(F.char_length("c.content") + len(separator), F.lit(0))
+    size = F.char_length("c.content") + len(separator)
     early = first.withColumn("_before", F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("_before") < most)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "c.content"))), lambda x: x["content"]), separator)
     return early.groupBy("item_id").agg(F.left(joined, F.lit(most)).alias("reference"))
 
 
+VARIANTS = ("facts", "sentences", "wrapped", "section", "hybrid")
+
+
+def reference_text(golden: DataFrame, chunks: DataFrame, items: DataFrame, variant: str = "section", most: int = 3000, separator: str = "\n\n") -> DataFrame:
+    """A reference for each of ``items`` (item_id, facts): item_id, reference.
+
+    ``facts``: the facts in a row. ``sentences``: each fact, trimmed, as a sentence.
+    ``wrapped``: each as what the answer should mention. ``section``: the text of the
+    item's expected sections (``section_text``), else its sentences. ``hybrid``: the
+    wrapped facts and that text, or what there is of them. Where an item has nothing,
+    a note says so.
+    """
+    if variant not in VARIANTS:
+        raise ValueError(f"variant is one of {', '.join(VARIANTS)}")
+    facts = F.coalesce("facts", F.array().cast("array<string>"))
+    trimmed = F.transform(facts, lambda f: F.trim(f))
+    none, some = F.lit("(no ground truth)"), F.size(facts) > 0
+    sentences = F.when(some, F.concat(F.array_join(trimmed, ". "), F.lit(".")))
+    wrapped = F.when(some, F.concat(F.array_join(F.transform(trimmed, lambda f: F.concat(F.lit("The answer should mention "), f)), ". "), F.lit(".")))
+    if variant not in ("section", "hybrid"):
+        made = {"facts": F.when(some, F.array_join(facts, " ")), "sentences": sentences, "wrapped": wrapped}[variant]
+        return items.select("item_id", F.coalesce(made, none).alias("reference"))
+    found = section_text(golden, chunks, most, separator).select("item_id", F.when(F.col("reference") != "", F.col("reference")).alias("_text"))
+    joined, text = items.join(found, "item_id", "left"), F.col("_text")
+    both = F.concat(wrapped, F.lit("\n\nReference section content:\n"), text)
+    made = F.coalesce(text, sentences, none) if variant == "section" else F.coalesce(both, text, wrapped, none)
+    return joined.select("item_id", made.alias("reference"))
+
+
 def attach_price(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """Usage with the prices of (kind, model); unknown or unbilled ones cost nothing."""
     billed = prices.where("billed").select("kind", "model", "input_price", "output_price", "call_price")

@@ -84,16 +84,30 @@ def jon07_hydrate(spark, d):
 
 
 @query("""
-with g as (select item_id, 'src' || (item_id % 20) as spec_id, case when item_id % 4 = 0 then null else (item_id % 7)::varchar end as section from benchmark union all select item_id, 'src' || (item_id % 20), (item_id % 7) || '.1' from benchmark),
-c as (select doc_id, source as spec_id, (doc_id % 7) || '.' || (doc_id % 3) as clause, text as t from documents),
-u as (select distinct item_id, doc_id, t from g join c using (spec_id) where coalesce(section, '') = '' or clause = section or starts_with(clause, section || '.'))
-select item_id, left(string_agg(t, chr(10) || chr(10) order by doc_id), 3000) as reference from u group by item_id""")
+with g as (select item_id, 'src' || (item_id % 20) as spec_id, case when item_id % 4 = 0 then null else (item_id % 9)::varchar end as section from benchmark
+           union all select item_id, 'src' || (item_id % 20), (item_id % 9) || '.1' from benchmark),
+c as (select doc_id, source as spec_id, (doc_id % 7) || '.' || (doc_id % 3) as clause, text as t from documents where text is not null),
+u as (select item_id, min(doc_id) as doc_id, t from g join c using (spec_id) where coalesce(section, '') = '' or clause = section or starts_with(clause, section || '.') group by item_id, t),
+r as (select item_id, nullif(left(string_agg(t, chr(10) || chr(10) order by doc_id), 3000), '') as sec from u group by item_id),
+i as (select item_id, case when item_id % 5 = 0 then [] else list_transform(string_split(text, '.'), lambda x: trim(x)) end as facts from benchmark),
+s as (select i.item_id, sec, case when len(facts) > 0 then array_to_string(facts, '. ') || '.' end as sent, case when len(facts) > 0 then array_to_string(list_transform(facts, lambda f: 'The answer should mention ' || f), '. ') || '.' end as wrap
+      from i left join r on i.item_id = r.item_id)
+select item_id, 'sentences' as variant, coalesce(sent, '(no ground truth)') as reference from s
+union all select item_id, 'section', coalesce(sec, sent, '(no ground truth)') from s
+union all select item_id, 'hybrid', coalesce(wrap || chr(10) || chr(10) || 'Reference section content:' || chr(10) || sec, sec, wrap, '(no ground truth)') from s""")
 def jon08_reference_text(spark, d):
+    """Three variants; some items have no facts, some no section that is there."""
     b = table(spark, d, "benchmark")
-    g = b.selectExpr("item_id", "concat('src', cast(item_id % 20 as string)) as spec_id", "case when item_id % 4 = 0 then null else cast(item_id % 7 as string) end as section").unionByName(
-        b.selectExpr("item_id", "concat('src', cast(item_id % 20 as string)) as spec_id", "concat(cast(item_id % 7 as string), '.1') as section"))
+    section = "case when item_id % 4 = 0 then null else cast(item_id % 9 as string) end as section"
+    asked = b.selectExpr("item_id", "concat('src', cast(item_id % 20 as string)) as spec_id", section)
+    g = asked.unionByName(b.selectExpr("item_id", "concat('src', cast(item_id % 20 as string)) as spec_id", "concat(cast(item_id % 9 as string), '.1') as section"))
+    items = b.selectExpr("item_id", "case when item_id % 5 = 0 then cast(array() as array<string>) else split(text, '[.]') end as facts")
     c = table(spark, d, "documents").selectExpr("doc_id as chunk_id", "doc_id as document_order", "source as spec_id", "concat(cast(doc_id % 7 as string), '.', cast(doc_id % 3 as string)) as clause", "text as content")
-    return J.reference_text(g, c)
+    out = None
+    for variant in ("sentences", "section", "hybrid"):
+        one = J.reference_text(g, c, items, variant).select("item_id", F.lit(variant).alias("variant"), "reference")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 _PRICES = [("view", "m0", 1e-3, 2e-3, 0.0, True), ("click", "m1", 5e-3, 0.0, 0.01, True), ("error", "m0", 1.0, 1.0, 1.0, False)]
