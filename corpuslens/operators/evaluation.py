@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslens.functions.arrays import let
+
 
 def _blank(c: Column) -> Column:
     return F.coalesce(F.trim(c), F.lit("")) == ""
@@ -84,33 +88,93 @@ def decide(by_dim: DataFrame, wide: int, narrow: int, threshold: float = 0.03) -
     return gaps.select(F.round("recall_gap", 9).alias("recall_gap"), F.round("mrr_gap", 9).alias("mrr_gap"), winner.alias("winner"), fallback.alias("fallback"))
 
 
-#: Configurations of a sweep up to which they are broadcast.
-BROADCAST_CONFIGS = 1000
+#: Lists from this number on are lexical (``fusion.as_hits``).
+SPARSE_LISTS = 10_000
+KINDS = ("rrf", "round_robin", "dense", "sparse")
+_NESTED = "array<struct<kind:string,dense_depth:int,sparse_depth:int,rrf_k:int,nested:array<struct<config_id:int,top_n:int,rerank_k:int>>>>"
+
+
+def _fusions(configs: DataFrame) -> tuple[Column, int, int]:
+    """The configurations as one value, those that share a fusion side by side, and the greatest depths. They are parameters, and come to the driver."""
+    rows = [r.asDict() for r in configs.select("config_id", "kind", "dense_depth", "sparse_depth", "rrf_k", "top_n", "rerank_k").collect()]
+    if unknown := {r["kind"] for r in rows} - set(KINDS):
+        raise ValueError(f"unknown kinds of fusion: {', '.join(sorted(map(str, unknown)))}")
+    shared: dict[tuple, list[dict]] = {}
+    for r in rows:
+        shared.setdefault((r["kind"], r["dense_depth"], r["sparse_depth"], r["rrf_k"]), []).append({x: r[x] for x in ("config_id", "top_n", "rerank_k")})
+    text = json.dumps([{"kind": k, "dense_depth": d, "sparse_depth": s, "rrf_k": n, "nested": v} for (k, d, s, n), v in shared.items()])
+    deepest = lambda c: max((r[c] for r in rows), default=0)
+    return F.from_json(F.lit(text), _NESTED), deepest("dense_depth"), deepest("sparse_depth")
+
+
+def _fused_order(found: Column, f: Column) -> Column:
+    """Candidates of a question in the order of the fusion ``f``, without those in none of its lists."""
+
+    def place(x: Column) -> Column:
+        inside = lambda p: F.when(p["list_no"] < SPARSE_LISTS, (f["kind"] != "sparse") & (p["rank"] <= f["dense_depth"])).otherwise((f["kind"] != "dense") & (p["rank"] <= f["sparse_depth"]))
+
+        def keyed(parts: Column) -> Column:
+            total = F.round(F.aggregate(parts, F.lit(0.0), lambda s, p: s + 1.0 / (f["rrf_k"] + p["rank"])), 12)
+            turn, head = F.array_min(F.transform(parts, lambda p: F.struct(p["rank"].alias("a"), p["list_no"].alias("b")))), F.struct(parts[0]["list_no"].alias("a"), parts[0]["rank"].alias("b"))
+            by_turn = f["kind"] == "round_robin"
+            return F.when(F.size(parts) > 0, F.struct(F.when(by_turn, 0.0).otherwise(-total).alias("key"), F.when(by_turn, turn).otherwise(head).alias("first"), x["chunk_id"].alias("chunk_id"), x["spec_hit"].alias("spec_hit"), x["section_hit"].alias("section_hit"), x["score"].alias("score")))
+
+        return let(F.filter(x["parts"], inside), keyed)
 
+    return F.array_sort(F.filter(F.transform(found, place), lambda x: x.isNotNull()))
 
-def sweep(hits: DataFrame, golden: DataFrame, chunks: DataFrame, configs: DataFrame) -> DataFrame:
-    """Metrics of many fusion configurations from one set of candidate lists.
 
-    configs: (config_id, depth, rrf_k, top_n): the first ``depth`` of each list
-    are fused with ``rrf_k`` and cut to ``top_n``. All are joined to every hit in
-    one pass; up to ``BROADCAST_CONFIGS`` they are broadcast. Returns config_id,
-    n, n_empty, mrr, section_recall_5.
+def _shown(ordered: Column, c: Column) -> Column:
+    """What a configuration shows of a fused list: its first, or the best of these by the re-ranker where it scored any."""
+
+    def cut(top: Column) -> Column:
+        keyed = F.transform(top, lambda x, i: F.struct(x["score"].isNull().alias("none"), (-x["score"]).alias("key"), i.alias("place"), x.alias("hit")))
+        by_score = F.transform(F.array_sort(keyed), lambda x: x["hit"])
+        some = F.exists(top, lambda x: x["score"].isNotNull())
+        return F.when(c["rerank_k"].isNull(), top).otherwise(F.slice(F.when(some, by_score).otherwise(top), 1, F.coalesce(c["rerank_k"], F.lit(0))))
+
+    return let(F.slice(ordered, 1, c["top_n"]), cut)
+
+
+def sweep(hits: DataFrame, golden: DataFrame, chunks: DataFrame, configs: DataFrame, scores: DataFrame | None = None, ks: tuple[int, ...] = (5, 10, 20)) -> tuple[DataFrame, DataFrame]:
+    """Metrics of many configurations from one set of candidate lists: a summary of each, and its questions.
+
+    configs: (config_id, kind, dense_depth, sparse_depth, rrf_k, top_n, rerank_k).
+    The first of each list, to the depth of its side, are fused by ``rrf``, in turns
+    (``round_robin``), or from one side (``dense``, ``sparse``), and cut to
+    ``top_n``; then, unless ``rerank_k`` is null, re-ranked by ``scores`` (query_id,
+    chunk_id, score) and cut to that. A question without scores keeps the fused order.
+
+    A question's candidates, as many as the greatest depths allow, are judged once
+    and gathered in its row. Configurations that share a fusion share its order,
+    of which each takes a prefix; no hit is joined with a configuration.
+
+    Summary: config_id, n, n_empty (nothing was found), n_failed, and means of mrr,
+    mrr_spec, spec_recall_k, section_recall_k. Questions: config_id, query_id,
+    n_hits, the metrics (null where nothing was expected), and failed (no expected
+    section among the first of the largest k).
     """
-    few = configs.count() <= BROADCAST_CONFIGS
-    sent = F.broadcast if few else lambda df: df
-    tagged = hits.crossJoin(sent(configs)).where(F.col("rank") <= F.col("depth"))
-    parts = F.array_sort(F.collect_list(F.struct("list_no", "rank", "rrf_k")))
-    fused = tagged.groupBy("config_id", "query_id", "chunk_id").agg(
-        F.round(F.aggregate(parts, F.lit(0.0), lambda s, x: s + 1.0 / (x["rrf_k"] + x["rank"])), 12).alias("score"), F.min(F.struct("list_no", "rank")).alias("first"), F.max("top_n").alias("top_n"),
-    )
-    order = Window.partitionBy("config_id", "query_id").orderBy(F.desc("score"), "first", "chunk_id")
-    ranked = fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("top_n")).join(chunks, "chunk_id")
-    one = ranked.select(F.struct("config_id", "query_id").alias("query_id"), "rank", "spec_id", "section_path", "clause", "section_title")
-    every = golden.crossJoin(sent(configs.select("config_id"))).select(F.struct("config_id", "query_id").alias("query_id"), "expected")
-    metrics = question_metrics(judge_hits(one, every), every, (5,)).join(one.groupBy("query_id").agg(F.count(F.lit(1)).alias("_hits")), "query_id", "left")
-    return metrics.groupBy(F.col("query_id.config_id").alias("config_id")).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("_hits").isNull()).alias("n_empty"), F.round(F.avg("mrr"), 9).alias("mrr"), F.round(F.avg("section_recall_5"), 9).alias("section_recall_5"),
+    fusions, dense, sparse = _fusions(configs)
+    near = hits.where(F.col("rank") <= F.when(F.col("list_no") < SPARSE_LISTS, dense).otherwise(sparse))
+    each = near.groupBy("query_id", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("list_no", "rank"))).alias("parts")).join(chunks, "chunk_id")
+    judged = judge_hits(each.select("query_id", "chunk_id", "parts", "spec_id", "section_path", "clause", "section_title"), golden)
+    scored = judged.withColumn("score", F.lit(None).cast("double")) if scores is None else judged.join(scores.select("query_id", "chunk_id", F.col("score").cast("double").alias("score")), ["query_id", "chunk_id"], "left")
+    lists = scored.groupBy("query_id").agg(F.collect_list(F.struct("chunk_id", "parts", "spec_hit", "section_hit", "score")).alias("found"))
+    asked = golden.select("query_id", (F.size("expected") > 0).alias("asked")).join(lists, "query_id", "left")
+    ordered = asked.withColumn("f", F.explode(fusions)).select("query_id", "asked", _fused_order(F.col("found"), F.col("f")).alias("ordered"), "f.nested")
+    shown = ordered.select("query_id", "asked", "ordered", F.explode("nested").alias("c")).select("query_id", "asked", "c.config_id", _shown(F.col("ordered"), F.col("c")).alias("shown"))
+    place = lambda flag: F.nullif(F.array_position(F.transform("shown", lambda x: x[flag]), F.lit(True)), F.lit(0))
+    placed = shown.select("config_id", "query_id", "asked", F.greatest(F.coalesce(F.size("shown"), F.lit(0)), F.lit(0)).cast("long").alias("n_hits"), place("section_hit").alias("_section"), place("spec_hit").alias("_spec"))
+    when_asked = lambda c: F.when(F.col("asked"), F.coalesce(c, F.lit(0.0)))
+    metrics = {"mrr": when_asked(1.0 / F.col("_section")), "mrr_spec": when_asked(1.0 / F.col("_spec"))}
+    for k in ks:
+        metrics |= {f"spec_recall_{k}": when_asked((F.col("_spec") <= k).cast("double")), f"section_recall_{k}": when_asked((F.col("_section") <= k).cast("double"))}
+    failed = F.col("asked") & (F.coalesce(F.col("_section"), F.lit(max(ks) + 1)) > max(ks))
+    questions = placed.select("config_id", "query_id", "n_hits", *[c.alias(n) for n, c in metrics.items()], failed.alias("failed"))
+    summary = questions.groupBy("config_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_hits") == 0).alias("n_empty"), F.count_if("failed").alias("n_failed"), *[F.round(F.avg(m), 9).alias(m) for m in metrics],
     )
+    return summary, questions
 
 
 def regression(metrics: DataFrame, baseline: DataFrame, strict: bool, tolerance: float = 2.0) -> DataFrame:

@@ -253,31 +253,47 @@ def prj30_prefix_filter(spark, d):
     return prefix_filter(t, "1", "text").select("doc_id", F.lit("text").alias("mode")).unionByName(prefix_filter(t, "1", "segments").select("doc_id", F.lit("segments").alias("mode")))
 
 
-_CONFIGS = [(1, 5, 60, 5), (2, 20, 60, 10), (3, 20, 10, 10)]
+#: Kinds of fusion, with and without a re-ranker; several share a fusion.
+_CONFIGS = [
+    (1, "rrf", 5, 5, 60, 5, None), (2, "rrf", 20, 20, 60, 10, None), (3, "rrf", 20, 20, 10, 10, None), (4, "rrf", 20, 20, 60, 10, 5), (5, "rrf", 20, 20, 60, 4, 10),
+    (6, "dense", 20, 0, 60, 10, None), (7, "dense", 20, 0, 60, 10, 5), (8, "round_robin", 20, 10, 60, 10, None), (9, "round_robin", 20, 10, 60, 10, 4), (10, "sparse", 0, 20, 60, 10, None),
+]
 
 
 def _sweep_sql() -> str:
     from corpuslens.plans.retrieval_queries import _DEN, _HITS, _LEX
 
-    rows = ", ".join(map(str, _CONFIGS))
-    return f"""with {_LEX}, {_DEN}, {_HITS}, cfg as (select * from (values {rows}) v(config_id, depth, rrf_k, top_n)),
-fu as (select config_id, query_id, chunk_id, round(sum(1.0::double / (rrf_k + rank)), 12) as score, min(list_no * 100000 + rank) as f, max(top_n) as top_n from hits, cfg where rank <= depth group by all),
-rk as (select *, row_number() over (partition by config_id, query_id order by score desc, f, chunk_id) as r from fu),
-j as (select config_id, query_id, r, query_id % 10 <> 9 and ((source = 'src' || (query_id % 20) and (query_id % 3 = 0 or chunk_id % 7 = query_id % 7)) or (query_id % 3 <> 0 and source = 'src3' and chunk_id % 7 = query_id % 7 and chunk_id % 3 = 1)) as hit from rk join documents on doc_id = chunk_id where r <= top_n),
-m as (select config_id, query_id, min(r) filter (where hit) as se from j group by all),
-g as (select config_id, item_id as query_id, item_id % 10 <> 9 as asked from benchmark, cfg)
-select config_id, count(*) as n, count(*) filter (where m.query_id is null) as n_empty, round(avg(case when asked then coalesce(1.0::double / se, 0) end), 9) as mrr, round(avg(case when asked then coalesce(se <= 5, false)::int::double end), 9) as section_recall_5
-from g left join m using (config_id, query_id) group by config_id"""
+    rows = ", ".join(str(c).replace("None", "null") for c in _CONFIGS)
+    return f"""with {_LEX}, {_DEN}, {_HITS}, cfg as (select * from (values {rows}) v(config_id, kind, dd, sd, rrf_k, top_n, rerank_k)),
+fus as (select config_id, query_id, chunk_id, any_value(kind) as kind, round(sum(1.0::double / (rrf_k + rank)), 12) as score, min(list_no * 100000 + rank) as f, min(rank * 100000 + list_no) as g, max(top_n) as top_n, max(rerank_k) as rerank_k
+       from hits, cfg where case when list_no < 10000 then kind <> 'sparse' and rank <= dd else kind <> 'dense' and rank <= sd end group by all),
+rkd as (select *, row_number() over (partition by config_id, query_id order by case kind when 'round_robin' then 0 else -score end, case kind when 'round_robin' then g else f end, chunk_id) as r from fus),
+scd as (select *, case when query_id % 8 <> 3 and chunk_id % 3 <> 0 then ((chunk_id * 7919 + query_id * 31) % 1000) / 1000.0 end as rr from rkd where r <= top_n),
+cut as (select *, case when rerank_k is null then r else row_number() over (partition by config_id, query_id order by rr desc nulls last, r) end as p from scd),
+jud as (select config_id, query_id, p, query_id % 10 <> 9 and source = 'src' || (query_id % 20) as a, query_id % 10 <> 9 and query_id % 3 <> 0 and source = 'src3' as b,
+        query_id % 10 <> 9 and ((source = 'src' || (query_id % 20) and (query_id % 3 = 0 or chunk_id % 7 = query_id % 7)) or (query_id % 3 <> 0 and source = 'src3' and chunk_id % 7 = query_id % 7 and chunk_id % 3 = 1)) as hit
+      from cut join documents on doc_id = chunk_id where rerank_k is null or p <= rerank_k),
+met as (select config_id, query_id, count(*) as n_hits, min(p) filter (where hit) as se, min(p) filter (where a or b) as sp from jud group by all),
+gol as (select config_id, item_id as query_id, item_id % 10 <> 9 as asked from benchmark, cfg),
+per as (select config_id, query_id, coalesce(n_hits, 0) as n_hits, asked, asked and coalesce(se, 99) > 20 as failed, case when asked then coalesce(1.0::double / se, 0) end as mrr, case when asked then coalesce(1.0::double / sp, 0) end as mrr_spec,
+        case when asked then coalesce(se <= 5, false)::int::double end as section_recall_5 from gol left join met using (config_id, query_id))
+select config_id, null::bigint as failed_item, count(*) as n, count(*) filter (n_hits = 0) as n_empty, count(*) filter (failed) as n_failed, round(avg(mrr), 9) as mrr, round(avg(mrr_spec), 9) as mrr_spec, round(avg(section_recall_5), 9) as section_recall_5 from per group by config_id
+union all select config_id, query_id, n_hits, 0, 0, mrr, mrr_spec, section_recall_5 from per where failed"""
 
 
 @query(_sweep_sql())
 def evl05_sweep(spark, d):
+    """A row for each configuration, and one for each item that it failed."""
     from corpuslens.plans.relational_queries import _golden
     from corpuslens.plans.retrieval_queries import hits
 
     places = table(spark, d, "documents").selectExpr("doc_id as chunk_id", "source as spec_id", "array(cast(doc_id % 7 as string), cast(doc_id % 3 as string)) as section_path", "'' as clause", "lang as section_title")
-    configs = spark.createDataFrame(_CONFIGS, "config_id int, depth int, rrf_k int, top_n int")
-    return V.sweep(hits(spark, d), _golden(spark, d), places, configs)
+    configs = spark.createDataFrame(_CONFIGS, "config_id int, kind string, dense_depth int, sparse_depth int, rrf_k int, top_n int, rerank_k int")
+    found = hits(spark, d)
+    scores = found.select("query_id", "chunk_id").distinct().where("query_id % 8 <> 3 and chunk_id % 3 <> 0").selectExpr("query_id", "chunk_id", "((chunk_id * 7919 + query_id * 31) % 1000) / 1000.0D as score")
+    summary, questions = V.sweep(found, _golden(spark, d), places, configs, scores)
+    failed = questions.where("failed").selectExpr("config_id", "query_id as failed_item", "n_hits as n", "0L as n_empty", "0L as n_failed", "mrr", "mrr_spec", "section_recall_5")
+    return summary.select("config_id", F.lit(None).cast("long").alias("failed_item"), "n", "n_empty", "n_failed", "mrr", "mrr_spec", "section_recall_5").unionByName(failed)
 
 
 # sources and sinks

@@ -244,9 +244,11 @@ def test_a_sweep_of_many_configurations_keeps_them_all(spark):
 
     sf = "/root/testdata/sf0.001"
     places = table(spark, sf, "documents").selectExpr("doc_id as chunk_id", "source as spec_id", "array(cast(doc_id % 7 as string), cast(doc_id % 3 as string)) as section_path", "'' as clause", "lang as section_title")
-    found, golden = hits(spark, sf).where("rank <= 2").localCheckpoint(), _golden(spark, sf).localCheckpoint()
-    many = spark.range(1010).selectExpr("cast(id as int) as config_id", "2 as depth", "60 as rrf_k", "2 as top_n")
-    got = evaluation.sweep(found, golden, places, many).collect()
-    few = {r.config_id: r for r in evaluation.sweep(found, golden, places, many.where("config_id < 3")).collect()}
+    found, golden = hits(spark, sf).where("rank <= 2"), _golden(spark, sf)
+    many = spark.range(1010).selectExpr("cast(id as int) as config_id", "'rrf' as kind", "2 as dense_depth", "2 as sparse_depth", "60 as rrf_k", "2 as top_n", "cast(null as int) as rerank_k")
+    got = evaluation.sweep(found, golden, places, many)[0].collect()
+    few = {r.config_id: r for r in evaluation.sweep(found, golden, places, many.where("config_id < 3"))[0].collect()}
+    with pytest.raises(ValueError):
+        evaluation.sweep(found, golden, places, many.withColumn("kind", F.lit("other")))
     assert sorted(r.config_id for r in got) == list(range(1010))
     assert all(r[1:] == few[0][1:] for r in got) and len(few) == 3
