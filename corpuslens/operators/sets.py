@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpuslens.functions import text as T
 from corpuslens.functions import vectors as V
 from corpuslens.operators.aggregates import percentiles
+from corpuslens.operators.blocks import is_rule
 
 
 def id_drift(old: DataFrame, new: DataFrame, threshold: float = 0.05) -> DataFrame:
@@ -86,7 +87,7 @@ def integrity_audit(chunks: DataFrame, title_chars: int = 1200) -> DataFrame:
     """Counts of what is wrong with chunks by document: repeated ids, repeated content in a section, tables without a rule, overlong titles."""
     by_id = chunks.groupBy("spec_id", "chunk_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").groupBy("spec_id").agg(F.count(F.lit(1)).alias("n"))
     by_text = chunks.groupBy("spec_id", "parent_section_id", F.sha2("content", 256).alias("h")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").groupBy("spec_id").agg(F.count(F.lit(1)).alias("n"))
-    ruled = F.exists(F.split("content", "\n"), lambda x: x.rlike(r"^\s*\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?\s*$") & x.contains("-"))
+    ruled = F.exists(F.split("content", "\n"), is_rule)
     rows = chunks.groupBy("spec_id").agg(F.count_if((F.col("chunk_type") == "table") & ~ruled).alias("a"), F.count_if(F.char_length("section_title") > title_chars).alias("b"))
     flat = rows.select("spec_id", F.expr("stack(2, 'table_without_rule', a, 'long_title', b) as (code, n)")).where("n > 0")
     return flat.unionByName(by_id.select("spec_id", F.lit("repeated_id").alias("code"), "n")).unionByName(by_text.select("spec_id", F.lit("repeated_content").alias("code"), "n"))

@@ -1,15 +1,10 @@
 """Splitting of large tables and action lists.
 
-Tables are cut by expressions over their rows. An action list is cut by levels,
-one inside the other, which no expression can do; a small function on one text
-does it, in batches, for the few blocks that are too large.
+Both are cut by expressions over the lines of a block, without a Python worker.
 """
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,18 +12,8 @@ from corpuslens.functions import text as T
 from corpuslens.functions.arrays import cut_at, let, packed, where_true
 from corpuslens.operators.blocks import is_row, is_rule
 
-_TOKEN = re.compile(r"[A-Za-z0-9_]+|[^\sA-Za-z0-9_]", re.ASCII)
-_LEVEL = re.compile(r"[ \t]*-[ \t]+(\d+)>\s")
-
-
-def n_tokens(text: str) -> int:
-    return len(_TOKEN.findall(text))
-
-
-def token_pieces(text: str, cap: int) -> list[str]:
-    """Runs of ``cap`` tokens of a text."""
-    spans = [m.span() for m in _TOKEN.finditer(text)]
-    return [text[spans[a][0] : spans[min(a + cap, len(spans)) - 1][1]] for a in range(0, len(spans), cap)]
+#: The level of an action, ``- 2> …``.
+LEVEL = r"^[ \t]*-[ \t]+(\d+)>\s"
 
 
 def split_table(text: Column, cap: int, by_tokens: bool = False) -> Column:
@@ -72,37 +57,53 @@ def force_split_table(text: Column, cap: int) -> Column:
     return split_table(text, cap, True)
 
 
-def action_pieces(text: str, cap: int) -> list[str]:
+def split_actions(text: Column, cap: int) -> Column:
     """Pieces of an action list: cut at its shallowest level, and where still over the cap at the next one, under the first line.
 
     Lines before the first cut go with the first piece. What can't be cut at a
-    level is cut by tokens.
+    level is cut by tokens. A fold over the levels that the list has: in each round
+    every piece that is still too large is cut at its shallowest level that is
+    deeper than that of the round in which it was made.
     """
+    rest = lambda lines, n: F.slice(lines, n + 1, F.greatest(F.size(lines), F.lit(1)))
+    none = F.array().cast("array<string>")
 
-    def cut(lines: list[str], above: int, anchor: list[str]) -> list[str]:
-        whole = "\n".join([*anchor, *lines]).rstrip()
-        if n_tokens(whole) <= cap:
-            return [whole] if whole.strip() else []
-        levels = [int(m[1]) if (m := _LEVEL.match(x)) else None for x in lines]
-        deeper = [v for v in levels if v is not None and v > above]
-        if not deeper:
-            return token_pieces(whole, cap)
-        least = min(deeper)
-        starts = [i for i, v in enumerate(levels) if v == least]
-        if len(starts) == 1:
-            return cut(lines, least, anchor) if anchor else cut(lines[1:], least, lines[:1])
-        out: list[str] = []
-        for a, b in zip([0, *starts[1:]], [*starts[1:], len(lines)]):
-            part = lines[a:b]
-            out += cut(part, least, anchor) if anchor or n_tokens("\n".join(part)) <= cap else cut(part[1:], least, part[:1])
-        return out
-
-    return cut(text.split("\n"), -1, [])
+    def piece(anchor: Column, lines: Column, above: Column, done: bool) -> Column:
+        return F.struct(anchor.alias("anchor"), lines.alias("lines"), above.cast("int").alias("above"), F.lit(done).alias("done"))
 
+    def finished(texts: Column) -> Column:
+        return F.transform(texts, lambda x: piece(none, F.array(x), F.lit(0), True))
 
-def split_actions(text: Column, cap: int) -> Column:
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else action_pieces(t, cap))
+    def sized(p: Column) -> Column:
+        whole = F.regexp_replace(F.array_join(F.concat(p["anchor"], p["lines"]), "\n"), r"\s+$", "")
+        levels = F.transform(p["lines"], lambda x: F.regexp_extract(x, LEVEL, 1).try_cast("int"))
+        return F.struct(p["anchor"].alias("anchor"), p["lines"].alias("lines"), p["above"].alias("above"), whole.alias("whole"), levels.alias("levels"))
+
+    def placed(q: Column) -> Column:
+        least = F.array_min(F.filter(q["levels"], lambda v: v > q["above"]))
+        starts = let(least, lambda m: where_true(F.transform(q["levels"], lambda v: F.coalesce(v == m, F.lit(False)))))
+        return F.struct(q["anchor"].alias("anchor"), q["lines"].alias("lines"), q["whole"].alias("whole"), least.alias("least"), starts.alias("starts"))
+
+    def cut(q: Column) -> Column:
+        under = F.size(q["anchor"]) > 0
+        alone = F.array(piece(F.when(under, q["anchor"]).otherwise(F.slice(q["lines"], 1, 1)), F.when(under, q["lines"]).otherwise(rest(q["lines"], 1)), q["least"], False))
+
+        def part(lines: Column) -> Column:
+            kept = under | (T.n_tokens(F.array_join(lines, "\n")) <= cap)
+            return piece(F.when(kept, q["anchor"]).otherwise(F.slice(lines, 1, 1)), F.when(kept, lines).otherwise(rest(lines, 1)), q["least"], False)
+
+        begins = F.concat(F.array(F.lit(0)), rest(q["starts"], 1))
+        several = F.transform(cut_at(q["lines"], begins), part)
+        return F.when(q["least"].isNull(), finished(T.split_tokens(q["whole"], cap))).when(F.size(q["starts"]) == 1, alone).otherwise(several)
+
+    def step(p: Column) -> Column:
+        small = lambda q: F.when(q["whole"] == "", finished(none)).otherwise(finished(F.array(q["whole"])))
+        work = let(sized(p), lambda q: F.when(T.n_tokens(q["whole"]) <= cap, small(q)).otherwise(let(placed(q), cut)))
+        return F.when(p["done"], F.array(p)).otherwise(work)
+
+    def fold(lines: Column) -> Column:
+        depth = F.size(F.array_distinct(F.filter(F.transform(lines, lambda x: F.regexp_extract(x, LEVEL, 1).try_cast("int")), lambda v: v.isNotNull())))
+        start = F.array(piece(none, lines, F.lit(-1), False))
+        return F.aggregate(F.sequence(F.lit(0), depth), start, lambda acc, _: F.flatten(F.transform(acc, step)), lambda acc: F.flatten(F.transform(acc, lambda p: p["lines"])))
 
-    return run(text)
+    return F.when(text.isNotNull(), let(F.split(text, "\n"), fold))

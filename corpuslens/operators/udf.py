@@ -5,7 +5,7 @@ The functions run inside tasks, on batches of a bounded size.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -80,6 +80,28 @@ def token_counter(fn: Callable[[list[str]], list[int]]):
     return count
 
 
+def token_spans(fn: Callable[[str], Iterable[tuple[int, int]]]):
+    """A table function of a text: its tokens by the caller's tokeniser, with their place.
+
+    ``fn`` gives the spans of a text's tokens, in code points; the table has a row
+    (n, token, begin, end) for each, from 0. Used by a lateral join::
+
+        texts.lateralJoin(token_spans(fn)(F.col("text").outer()))
+
+    A null text has no tokens. A span outside its text, or one that ends before it
+    begins, is an error.
+    """
+
+    class Spans:
+        def eval(self, text: str):
+            for n, (begin, end) in enumerate(fn(text) if text is not None else ()):
+                if not 0 <= begin <= end <= len(text):
+                    raise ValueError(f"span {begin}:{end} isn't inside a text of {len(text)}")
+                yield n, text[begin:end], begin, end
+
+    return F.udtf(Spans, returnType="n int, token string, begin int, end int", useArrow=True)
+
+
 def enrich_by_hash(refs: DataFrame, cache: DataFrame, dead: DataFrame, fn: Callable[[str, str], dict | None], fields: str) -> DataFrame:
     """One call of ``fn(sha256, path)`` for each distinct content, joined back to every reference.
 

@@ -409,6 +409,23 @@ def udf04_token_counter(spark, d):
     return table(spark, d, "documents").select("doc_id", count(ascii_spaces).alias("n"))
 
 
+@query("""
+with t as (select doc_id, text, regexp_extract_all(text, '[A-Za-z0-9_]+|[ \\t\\n\\r\\f\\v]+|[^A-Za-z0-9_ \\t\\n\\r\\f\\v]') as ts from documents where text <> '')
+select doc_id, len(ts)::bigint as n, sum(length(ts[i]) * i)::bigint as weight, max(length(text))::bigint as last_end, any_value(sha256(text)) as joined_sha256, true as as_placed from t, unnest(range(1, len(ts) + 1)) x(i) group by doc_id, ts""")
+def udf04_token_spans(spark, d):
+    """Words, blanks and other characters, which together are the text: joined in the order of their places they give it back."""
+    import re
+
+    pattern = r"[A-Za-z0-9_]+|[ \t\n\r\f\v]+|[^A-Za-z0-9_ \t\n\r\f\v]"
+    spans = udf.token_spans(lambda text: (m.span() for m in re.finditer(pattern, text)))
+    docs = table(spark, d, "documents").select("doc_id", "text").repartition("doc_id")
+    found = docs.lateralJoin(spans(F.col("text").outer())).select("doc_id", "n", "token", "begin", "end")
+    order = F.array_sort(F.collect_list(F.struct("begin", "end", "token")))
+    told = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("token") * (F.col("n") + 1)).cast("long").alias("weight"), F.max("end").cast("long").alias("last_end"), order.alias("order"))
+    follows = F.forall(F.transform("order", lambda x, i: (x["begin"] == F.when(i == 0, 0).otherwise(F.get("order", i - 1)["end"])) & (F.char_length(x["token"]) == x["end"] - x["begin"])), lambda x: x)
+    return told.select("doc_id", "n", "weight", "last_end", F.sha2(F.array_join(F.transform("order", lambda x: x["token"]), ""), 256).alias("joined_sha256"), follows.alias("as_placed"))
+
+
 @query("select doc_id, count(*) as n from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+|[^\\sA-Za-z0-9_]')) from documents) group by doc_id")
 def udf05_explode_tokens(spark, d):
     t = table(spark, d, "documents").select("doc_id", F.explode(T.split_tokens(F.col("text"), 1)).alias("t"))

@@ -68,7 +68,7 @@ def set05_validate_golden(spark, d):
 
 @query("""
 with c as (select source as spec_id, n_chars % 60 as chunk_id, lang as p, text as t, case when doc_id % 2 = 0 then 'table' else 'text' end as kind, text from documents),
-r as (select spec_id, count(*) filter (where kind = 'table' and len(list_filter(string_split(text, chr(10)), lambda x: contains(x, '-') and regexp_matches(x, '^\\s*\\|?\\s*:?-+:?\\s*(\\|\\s*:?-+:?\\s*)*\\|?\\s*$'))) = 0) as n from c group by 1)
+r as (select spec_id, count(*) filter (where kind = 'table' and len(list_filter(string_split(text, chr(10)), lambda x: contains(x, '-') and translate(x, '-:| ' || chr(9) || chr(13), '') = '')) = 0) as n from c group by 1)
 select spec_id, 'table_without_rule' as code, n from r where n > 0
 union all select spec_id, 'repeated_id', count(*) from (select spec_id, chunk_id from c group by all having count(*) > 1) group by 1
 union all select spec_id, 'repeated_content', count(*) from (select spec_id, p, t from c group by all having count(*) > 1) group by 1""")

@@ -1,5 +1,8 @@
 """Sections, blocks, chunks, glossary and sinks on hand-made documents."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +99,61 @@ def test_chunks_are_stable_headed_and_once(spark, docs):
     assert "Figure caption: Figure 6-1: The line" in figure.content and figure.content.endswith("Context: text after")
 
 
+_TOKEN = re.compile(r"[A-Za-z0-9_]+|[^\sA-Za-z0-9_]", re.ASCII)
+_LEVEL = re.compile(r"[ \t]*-[ \t]+(\d+)>\s")
+
+
+def n_tokens(text: str) -> int:
+    return len(_TOKEN.findall(text))
+
+
+def token_pieces(text: str, cap: int) -> list[str]:
+    """Runs of ``cap`` tokens of a text."""
+    spans = [m.span() for m in _TOKEN.finditer(text)]
+    return [text[spans[a][0] : spans[min(a + cap, len(spans)) - 1][1]] for a in range(0, len(spans), cap)]
+
+
+def action_pieces(text: str, cap: int) -> list[str]:
+    """Pieces of an action list by recursion over its levels."""
+
+    def cut(lines: list[str], above: int, anchor: list[str]) -> list[str]:
+        whole = "\n".join([*anchor, *lines]).rstrip()
+        if n_tokens(whole) <= cap:
+            return [whole] if whole.strip() else []
+        levels = [int(m[1]) if (m := _LEVEL.match(x)) else None for x in lines]
+        deeper = [v for v in levels if v is not None and v > above]
+        if not deeper:
+            return token_pieces(whole, cap)
+        least = min(deeper)
+        starts = [i for i, v in enumerate(levels) if v == least]
+        if len(starts) == 1:
+            return cut(lines, least, anchor) if anchor else cut(lines[1:], least, lines[:1])
+        out: list[str] = []
+        for a, b in zip([0, *starts[1:]], [*starts[1:], len(lines)]):
+            part = lines[a:b]
+            out += cut(part, least, anchor) if anchor or n_tokens("\n".join(part)) <= cap else cut(part[1:], least, part[:1])
+        return out
+
+    return cut(text.split("\n"), -1, [])
+
+
+def split_by_expressions(spark, texts, cap):
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    return [r.p for r in df.select("i", splitting.split_actions(F.col("t"), cap).alias("p")).orderBy("i").collect()]
+
+
+def test_action_lists_are_cut_as_by_recursion(spark):
+    rng = random.Random(12)
+    texts = [None, "", "\n\n", "no action at all " * 20, "- 1> only one " + "word " * 40, "- 3> deep\n- 2> less\n- 3> again\n", "intro words here\n- 1> a\n- 1> b"]
+    for _ in range(150):
+        lines = [rng.choice(["- {}> {}", "  -  {}>\t{}", "- {}> {}  "]).format(rng.choice([1, 1, 2, 2, 3, 4, 9]), "w " * rng.randint(0, 25)) if rng.random() < 0.8 else rng.choice(["", "plain " * rng.randint(1, 12), " "]) for _ in range(rng.randint(1, 14))]
+        texts.append("\n".join(lines))
+    for cap in (7, 30):
+        assert split_by_expressions(spark, texts, cap) == [None if t is None else action_pieces(t, cap) for t in texts]
+    plan = spark.createDataFrame([("a",)], "t string").select(splitting.split_actions(F.col("t"), 30))._jdf.queryExecution().toString()
+    assert "Python" not in plan
+
+
 def test_oversized_blocks_are_split(spark):
     table = "Table 1: c\n| a | b |\n|---|---|\n" + "\n".join(f"| {i} | x |" for i in range(40))
     odd = [table, "| a |\n| b |", "| a |\n|:-:|\n| " + "y, " * 100 + " |", "| a |\n|---|\n", None]
@@ -103,20 +161,20 @@ def test_oversized_blocks_are_split(spark):
     parts, forced = got[0].p, got[0].f
     assert len(parts) > 1 and all(p.startswith("Table 1: c\n\n| a | b |\n|---|---|\n") for p in parts)
     assert [x for p in parts for x in p.split("\n")[4:]] == table.split("\n")[3:]
-    assert all(splitting.n_tokens(p) <= 60 for p in forced) and [x for p in forced for x in p.split("\n")[4:]] == table.split("\n")[3:]
+    assert all(n_tokens(p) <= 60 for p in forced) and [x for p in forced for x in p.split("\n")[4:]] == table.split("\n")[3:]
     assert got[1].p == got[1].f == [odd[1]] and got[3].p == [odd[3]] and got[4].p is None
-    assert got[2].p == [odd[2]] and len(got[2].f) > 3 and all(splitting.n_tokens(p) <= 60 for p in got[2].f) and "".join("".join(p.split("\n")[2:]) for p in got[2].f).count("y") == 100
+    assert got[2].p == [odd[2]] and len(got[2].f) > 3 and all(n_tokens(p) <= 60 for p in got[2].f) and "".join("".join(p.split("\n")[2:]) for p in got[2].f).count("y") == 100
     actions = "- 1> one\n" + "\n".join(f"- 2> two {i} and some words more" for i in range(10)) + "\n- 1> last"
-    parts = splitting.action_pieces(actions, 30)
-    assert all(splitting.n_tokens(p) <= 30 for p in parts) and parts[0].startswith("- 1> one\n- 2> two 0") and parts[1].startswith("- 1> one\n- 2> two 1") and parts[-1] == "- 1> last"
-    assert splitting.action_pieces("word " * 100, 30) == [("word " * 30).strip()] * 3 + [("word " * 10).strip()]
+    parts = split_by_expressions(spark, [actions], 30)[0]
+    assert all(n_tokens(p) <= 30 for p in parts) and parts[0].startswith("- 1> one\n- 2> two 0") and parts[1].startswith("- 1> one\n- 2> two 1") and parts[-1] == "- 1> last"
+    assert split_by_expressions(spark, ["word " * 100], 30)[0] == [("word " * 30).strip()] * 3 + [("word " * 10).strip()]
 
 
 def test_split_by_expressions(spark):
     text = "One two three. Four five.\n\nSix.\n\n" + "w " * 30
     got = spark.createDataFrame([(text,)], "t string").select(B.split_paragraph(F.col("t"), 8).alias("p")).first().p
     assert got[0] == "One two three. Four five." or got[0].startswith("One two three.")
-    assert all(splitting.n_tokens(p) <= 8 for p in got) and " ".join(got).split() == text.split()
+    assert all(n_tokens(p) <= 8 for p in got) and " ".join(got).split() == text.split()
     asn = "-- ASN1START\nA ::= B\n x\nC ::= D\n-- ASN1STOP"
     got = spark.createDataFrame([(asn,), ("one line",)], "t string").select(B.split_asn1(F.col("t")).alias("p")).collect()
     assert got[0].p == ["-- ASN1START\nA ::= B\n x\n-- ASN1STOP", "-- ASN1START\nC ::= D\n-- ASN1STOP"] and got[1].p == ["one line"]
