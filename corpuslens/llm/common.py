@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Text handled at a time inside a Python task; bounds its memory.
 BLOCK_BYTES = 4 << 20
+#: Largest batch of rows that passes between Spark and a Python task.
+BATCH_BYTES = 8 << 20
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -37,6 +39,19 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let batches between Spark and Python tasks hold ``BATCH_BYTES`` at most, in this session from now on.
+
+    Both sides keep a batch whole, and Spark's buffers double as they grow, so the
+    default of 64 MB takes several times that for each task.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(key, "64m")).lower()
+    plain = int(now.rstrip("bkmg")) << {"k": 10, "m": 20, "g": 30}.get(now.rstrip("b")[-1], 0)
+    if not 0 < plain <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 _WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
@@ -47,6 +62,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     came before, and gives later joins true sizes to plan with.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/corpuslens-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
@@ -88,6 +104,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: int, limit: int = BLOCK_BY
         cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), n]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()  # the worker lives on; what it had is for others
 
 
 class WordHashes(dict):

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuslens.llm.common import BLOCK_BYTES, blocks, stored
+from corpuslens.llm.common import BLOCK_BYTES, blocks, small_batches, stored
 from corpuslens.llm.url_filter import url_host
 
 SAMPLE_ROWS, LEAST_ROWS = 20_000, 200
@@ -154,6 +154,7 @@ def fit(rows: DataFrame, text_col: str = "text", label_col: str = "lang", sample
     What comes to the driver is a count for each of at most ``MODEL_CELLS``
     buckets. A language whose sampled texts have no trigram has an even model.
     """
+    small_batches(rows.sparkSession)
     picked, names = sample(rows, text_col, label_col, sample_rows, id_cols)
     if not names:
         return {}

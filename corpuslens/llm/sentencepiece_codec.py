@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import blocks, unused
+from corpuslens.llm.common import blocks, small_batches, unused
 
 MARK = "▁"
 #: A run of spaces and what follows up to the next one; spaces at the end stand alone.
@@ -138,6 +138,7 @@ def sentencepiece_codec(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     One of these that is called as the id column is gets an underscore before its name.
     """
+    small_batches(docs.sparkSession)
     with open(model or default_model(), "rb") as f:
         data = f.read()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
