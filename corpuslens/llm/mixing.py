@@ -10,6 +10,11 @@ of copies depends on the id, the seed and the rate alone, and any task can be
 run again. Copies are dealt out by a hash and sorted by it, which is a uniform
 shuffle of the whole mixture.
 
+A document of more than ``DRAWS_A_BLOCK`` parts is first divided into blocks of
+so many, which are dealt out before they are drawn: no task makes more than a
+block's copies of a row at a time. Copies are numbered from 1 within the first
+block, from ``BLOCK_STEP`` + 1 within the second, and so on.
+
 Sizes are characters; null and empty texts count as none, and a source of no
 characters, or of target weight nought, has rate nought. A null source is a
 source of its own. Rows with a null id draw as one document would; rows that
@@ -28,6 +33,8 @@ from corpuslens.llm.common import stored, unused
 BROADCAST_SOURCES = 20_000
 #: Largest rate of one table of probabilities.
 TABLE_RATE = 128
+#: Parts drawn together in one row, some 8,000 copies; and by how much the numbers of copies go up from block to block, which is more than a block can have.
+DRAWS_A_BLOCK, BLOCK_STEP = 64, 20_000
 
 
 def uniform(key: Column, seed: int, draw: Column | None = None) -> Column:
@@ -39,7 +46,7 @@ def uniform(key: Column, seed: int, draw: Column | None = None) -> Column:
 
 def draws_of(rate: Column) -> Column:
     """Into how many equal parts a rate is divided."""
-    return F.greatest(F.ceil(rate / TABLE_RATE), F.lit(1)).cast("int")
+    return F.greatest(F.ceil(rate / TABLE_RATE), F.lit(1)).cast("long")
 
 
 def poisson_table(rate: Column) -> Column:
@@ -85,21 +92,30 @@ def mix_sources(
     Where ``docs`` has a column of one of these names, that stays as it is and
     the new one has an underscore before its name.
     """
-    src, cum, draws, n = (unused(docs.columns, x) for x in ("_src", "_cum", "_draws", "_n"))
+    src, cum, draws, n, block = (unused(docs.columns, x) for x in ("_src", "_cum", "_draws", "_n", "_block"))
     copy, rate, shuffle_key = (unused(docs.columns, x) for x in ("copy", "rate", "shuffle_key"))
     of_source = F.col("rate")
     rates = source_rates(docs, weights, budget, source_col, text_col)
     rates = rates.select(F.col("_src").alias(src), of_source.alias(rate), draws_of(of_source).alias(draws), poisson_table(of_source / draws_of(of_source)).alias(cum))
-    if rates.count() <= BROADCAST_SOURCES:
+    size = rates.agg(F.count(F.lit(1)).alias("n"), F.max(draws).alias("most")).first()
+    if size["n"] <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    key = F.col(id_col)
-    numbers = F.transform(F.sequence(F.lit(0), F.col(draws) - 1), lambda j: uniform(key, seed, j))  # an array, so each is computed once
+    key, many = F.col(id_col), F.col(draws) > DRAWS_A_BLOCK
+    rated = docs.join(rates, F.col(source_col).eqNullSafe(F.col(src)))
+    if (size["most"] or 0) <= DRAWS_A_BLOCK:
+        drawn = rated.withColumn(block, F.lit(0).cast("long"))
+    else:
+        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number given stays: blocks are small, what comes of them isn't
+        divided = rated.where(many).withColumn(block, F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(draws) / DRAWS_A_BLOCK) - 1)))
+        drawn = rated.where(~many).withColumn(block, F.lit(0).cast("long")).unionByName(divided.repartition(parts, key, F.xxhash64(F.col(text_col)), block))
+    first = F.col(block) * DRAWS_A_BLOCK
+    numbers = F.transform(F.sequence(first, F.least(first + DRAWS_A_BLOCK, F.col(draws)) - 1), lambda j: uniform(key, seed, j))  # an array, so each is computed once
     copies = F.aggregate(numbers, F.lit(0), lambda total, u: total + F.size(F.filter(cum, lambda c: c < u)))
     placed = F.md5(F.concat_ws(":", F.lit(f"{seed}/place"), F.coalesce(key.cast("string"), F.lit("")), F.col(copy).cast("string")))
     mixed = (
-        docs.join(rates, F.col(source_col).eqNullSafe(F.col(src)))
-        .withColumn(n, copies).where(F.col(n) > 0)
+        drawn.withColumn(n, copies).where(F.col(n) > 0)
         .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n))))
+        .withColumn(copy, F.col(block) * BLOCK_STEP + F.col(copy))
         .select(*docs.columns, copy, rate, placed.alias(shuffle_key))
     )
     return mixed.repartition(F.col(shuffle_key), F.xxhash64(F.col(text_col))).sortWithinPartitions(shuffle_key)

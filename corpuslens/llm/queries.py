@@ -131,13 +131,18 @@ from documents window w as (partition by coalesce(text, ''))
 _OP5 = f"""
 with s as (select source, sum(length(coalesce(text, '')))::double as chars from documents group by source),
 t as (select sum(chars) as chars, sum(case when chars > 0 then 1.0 else 0.0 end)::double as targets from s),
-r as (select source, case when s.chars > 0 then (1.0::double * (1.0::double * t.chars)) / (t.targets * s.chars) else 0.0 end as rate from s, t),
-p as (select source, rate, k, exp(-rate + sum(case when k > 0 then ln(rate / k) else 0 end) over (partition by source order by k)) as p
-      from r, unnest(range(0, (rate + 12 * sqrt(rate) + 40)::int + 1)) as x(k) where rate > 0),
-c as (select source, rate, k, sum(p) over (partition by source order by k) as cum from p),
-d as (select *, (('0x' || substr(md5('{MIX_SEED}:' || coalesce(doc_id::varchar, '')), 1, 13))::bigint::double + 1) / 4503599627370496.0 as u from documents),
-n as (select d.*, c.rate, c.k from d join c on d.source is not distinct from c.source where c.cum < d.u)
-select doc_id, text, lang, source, n_chars, (k + 1)::int as copy, rate, md5('{MIX_SEED}/place:' || coalesce(doc_id::varchar, '') || ':' || (k + 1)) as shuffle_key from n
+w as (select source, case when s.chars > 0 then (1.0::double * (1.0::double * t.chars)) / (t.targets * s.chars) else 0.0 end as rate from s, t),
+r as (select source, rate, greatest(ceil(rate / {mixing.TABLE_RATE}), 1)::bigint as draws, rate / greatest(ceil(rate / {mixing.TABLE_RATE}), 1) as part from w),
+p as (select source, k, exp(-part + sum(case when k > 0 then ln(part / k) else 0 end) over (partition by source order by k)) as p
+      from r, unnest(range(0, (part + 12 * sqrt(part) + 40)::int + 1)) as x(k) where part > 0),
+c as (select source, k, sum(p) over (partition by source order by k) as cum from p),
+d as (select documents.*, r.rate, r.draws, row_number() over () as row_id from documents join r on documents.source is not distinct from r.source),
+u as (select row_id, source, j, (('0x' || substr(md5('{MIX_SEED}' || case when j = 0 then '' else '.' || j end || ':' || coalesce(doc_id::varchar, '')), 1, 13))::bigint::double + 1)
+      / 4503599627370496.0 as u from d, unnest(range(0, draws)) as x(j)),
+n as (select row_id, j // {mixing.DRAWS_A_BLOCK} as block, count(*) as n from u join c on u.source is not distinct from c.source and c.cum < u.u group by all),
+e as (select row_id, block * {mixing.BLOCK_STEP} + i as copy from n, unnest(range(1, n + 1)) as x(i))
+select doc_id, text, lang, source, n_chars, copy::bigint as copy, rate, md5('{MIX_SEED}/place:' || coalesce(doc_id::varchar, '') || ':' || copy) as shuffle_key
+from e join d using (row_id)
 """
 
 _HOST = r"nullif(lower(regexp_extract(url, '^\s*[A-Za-z][A-Za-z0-9+.-]*://([^/?#@]*@)?([^/?#:]+)', 2)), '')"

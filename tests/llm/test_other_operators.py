@@ -115,7 +115,8 @@ def test_mixing_of_a_tiny_source_at_a_large_rate(spark):
     got = mixing.mix_sources(docs, {"tiny": 1.0, "big": 0.0}, budget=10.0)
     assert got.columns == [*docs.columns, "_copy", "_rate", "_shuffle_key"]
     r = got.agg(F.count("*").alias("n"), F.max("_copy").alias("m"), F.max("_rate").alias("rate"), F.min("copy").alias("c"), F.min("_n").alias("k")).first()
-    assert r.rate == pytest.approx(1_000_010) and abs(r.n - 1_000_010) < 5 * 1000 and (r.m, r.c, r.k) == (r.n, "c", 5)
+    assert r.rate == pytest.approx(1_000_010) and abs(r.n - 1_000_010) < 5 * 1000 and (r.c, r.k) == ("c", 5)
+    assert got.select("_copy").distinct().count() == r.n and r.m // mixing.BLOCK_STEP == 7813 // mixing.DRAWS_A_BLOCK  # every number once, in all blocks
 
 
 def test_rates_of_several_draws_have_mean_and_variance_of_the_rate(spark):
@@ -359,10 +360,9 @@ def test_language_evidence_decides_short_texts(spark):
 def test_long_texts_are_counted_by_bucket():
     rng = random.Random(4)
     data = bytes(rng.randrange(256) for _ in range(50_001))
-    for shift in (0, 3):
-        want = np.bincount(language_id.trigrams(data) >> shift, minlength=language_id.BUCKETS >> shift)
-        assert (language_id.trigram_counts(data, shift, 777) == want).all() and want.sum() == len(data) - 2
-    assert language_id.trigram_counts(b"ab", 0).sum() == 0 and language_id.trigram_counts(b"", 0).sum() == 0
+    want = np.bincount(language_id.trigrams(data), minlength=language_id.BUCKETS)
+    assert (language_id.trigram_counts(data, 777) == want).all() and want.sum() == len(data) - 2
+    assert language_id.trigram_counts(b"ab").sum() == 0 and language_id.trigram_counts(b"").sum() == 0
 
 
 def test_posterior_is_brute_force(spark):
@@ -372,7 +372,7 @@ def test_posterior_is_brute_force(spark):
     rows = [(i, " ".join(rng.choice(word[x].split()) for _ in range(rng.choice([1, 3, 40, 9000]))), x if i % 3 else None, f"h{i % 4}") for i, x in enumerate(rng.choices(list(word), k=60))]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     models = language_id.fit(df)
-    names = list(models)
+    names, dense = list(models), {k: m.dense() for k, m in models.items()}
     got = {r.doc_id: r for r in language_id.identify(df, models, ["doc_id"], "text", F.col("lang"), F.col("source")).collect()}
     smooth = lambda counts, prior: [(c + language_id.KAPPA * p) / (sum(counts) + language_id.KAPPA) for c, p in zip(counts, prior)]
     whole = [sum(r[2] == x for r in rows) + 1.0 for x in names]
@@ -385,7 +385,7 @@ def test_posterior_is_brute_force(spark):
         grams = language_id.trigrams(text.encode())
         log = []
         for k, x in enumerate(names):
-            one = math.log(own[k]) + (sum(models[x][g] for g in grams) / len(grams) * min(len(grams), language_id.EFFECTIVE) if len(grams) else 0.0)
+            one = math.log(own[k]) + (sum(dense[x][g] for g in grams) / len(grams) * min(len(grams), language_id.EFFECTIVE) if len(grams) else 0.0)
             if lang in names:
                 one += math.log(language_id.DECLARED_RIGHT if x == lang else (1 - language_id.DECLARED_RIGHT) / (len(names) - 1))
             log.append(one)
@@ -434,13 +434,30 @@ def test_every_label_has_a_model(spark):
     assert set(language_id.fit(copies.where("doc_id >= 7990 or doc_id < 7000").withColumn("text", F.when(F.col("lang") == "de", "x").otherwise(F.col("text"))))) == {"de", "en"}
 
 
-def test_models_of_many_languages_are_bounded(spark, monkeypatch):
-    monkeypatch.setattr(language_id, "MODEL_CELLS", 1 << 14)
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("n_chars > 200")
+def test_odd_labels_dont_change_the_other_models(spark):
+    """300 labels of a row each: models and scores of the four languages stay as they are without them."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").where("length(text) > 200")
+    odd = spark.createDataFrame([(10**6 + i, f"q{i} zz", f"{chr(97 + i // 26)}{chr(97 + i % 26)}q") for i in range(300)], "doc_id long, text string, lang string")
+    alone, among = language_id.fit(docs, sample_rows=10**6), language_id.fit(docs.unionByName(odd), sample_rows=10**6)
+    assert len(alone) == 4 and len(among) == 304
+    for name, model in alone.items():
+        assert np.array_equal(model.dense(), among[name].dense())
+    assert sum(len(m.buckets) for k, m in among.items() if k not in alone) < 300 * 10
+    one, many = ({r.doc_id: (r.detected, r.accepted) for r in language_id.identify(docs, m, ["doc_id"], "text").collect()} for m in (alone, among))
+    assert one == many
+
+
+def test_priors_of_few_hosts_are_broadcast_and_the_rest_joined(spark, monkeypatch):
+    """However many priors may be broadcast, each row has the same result, once; null hosts and ties in size among them."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    host = F.when(F.col("doc_id") % 2 == 0, "hot").when(F.col("doc_id") % 7 == 0, F.lit(None)).otherwise(F.concat(F.lit("h"), (F.col("doc_id") % 40).cast("string")))
     models = language_id.fit(docs)
-    assert len(models) == 4 and sum(map(len, models.values())) == 1 << 14
-    got = language_id.identify(docs, models, ["doc_id", "lang"], "text").collect()
-    assert sum(r.lang == r.detected for r in got) > 0.97 * len(got)
+    results = []
+    for most in (640_000, 4 * 5, 4, 0):
+        monkeypatch.setattr(language_id, "BROADCAST_PRIORS", most)
+        got = language_id.identify(docs, models, ["doc_id"], "text", F.col("lang"), host)
+        results.append(sorted((r.doc_id, r.detected or "", round(r.confidence, 9), r.accepted) for r in got.collect()))
+    assert len(results[0]) == docs.count() and all(r == results[0] for r in results)
 
 
 def test_language_id_covers_the_pages(spark, tmp_path):
