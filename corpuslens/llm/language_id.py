@@ -14,8 +14,9 @@ For each language l the log probability is the sum of
 
 Trigram models are fitted for every label, on a bounded sample of its rows: an
 equal share of ``SAMPLE_ROWS``, but ``LEAST_ROWS`` at least, picked by a hash of
-id and text, each text whole. Beyond 256 labels the models have fewer buckets, so
-that they stay within ``MODEL_CELLS``. All else is computed over all rows.
+id and text, each text whole. A model keeps the buckets that its sample has, so
+models stay small for rare labels, and a model doesn't depend on how many
+labels there are. All else is computed over all rows.
 
 A row is rejected (accepted = false) if its text has no letter of any alphabet,
 if the trigrams are less likely under the best language than if all were alike
@@ -32,10 +33,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.entities import name2codepoint
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,10 +46,8 @@ from corpuslens.llm.url_filter import url_host
 
 SAMPLE_ROWS, LEAST_ROWS = 20_000, 200
 BUCKETS = 1 << 14
-#: Buckets of all models together.
-MODEL_CELLS = 1 << 22
-#: Languages scored at a time; bounds the memory of a block.
-SCORED = 32
+#: Languages scored at a time, and scores (rows times languages) held at a time; both bound the memory of a block.
+SCORED, SCORES = 32, 1 << 22
 EFFECTIVE = 100
 DECLARED_RIGHT, SUFFIX_RIGHT, MIN_CONFIDENCE = 0.9, 0.7, 0.5
 #: Weight of the wider level, in rows, at each step of the host's prior.
@@ -62,6 +62,20 @@ SUFFIX_LANGUAGE = {
     "pt": "pt", "ro": "ro", "ru": "ru", "se": "sv", "tr": "tr", "ua": "uk", "uk": "en", "us": "en",
 }
 
+
+class Model(NamedTuple):
+    """Log probability of each trigram bucket of a language's sample, and that of any other bucket."""
+
+    buckets: np.ndarray
+    logs: np.ndarray
+    rest: float
+
+    def dense(self) -> np.ndarray:
+        out = np.full(BUCKETS, self.rest)
+        out[self.buckets] = self.logs
+        return out
+
+
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -111,27 +125,32 @@ def trigrams(data: bytes) -> np.ndarray:
     return ((code * np.uint32(0x9E3779B1)) >> np.uint32(18)).astype(np.int64)
 
 
-def trigram_counts(data: bytes, shift: int, piece: int = 1 << 20) -> np.ndarray:
+def trigram_counts(data: bytes, piece: int = 1 << 20) -> np.ndarray:
     """How often each bucket occurs, piece by piece, so that memory doesn't grow with the text."""
-    counts = np.zeros(BUCKETS >> shift, np.int64)
+    counts = np.zeros(BUCKETS, np.int64)
     for i in range(0, max(1, len(data) - 2), piece):
-        counts += np.bincount(trigrams(data[i : i + piece + 2]) >> shift, minlength=len(counts))
+        counts += np.bincount(trigrams(data[i : i + piece + 2]), minlength=BUCKETS)
     return counts
 
 
-def _count(shift: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, np.ndarray] = {}
-        for part in blocks(batches, 1):
-            for label, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist()):
-                if label not in counts:
-                    counts[label] = np.zeros(BUCKETS >> shift, np.int64)
-                counts[label] += trigram_counts(text, shift)
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Buckets of each label with their counts; those of at most ``SCORED`` labels are held at a time."""
+    counts: dict[str, np.ndarray] = {}
+
+    def counted() -> Iterator[pa.RecordBatch]:
         for label, c in counts.items():
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([label] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(c[at])], ["label", "bucket", "n"])
+        counts.clear()
 
-    return run
+    for part in blocks(batches, 1):
+        for label, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist()):
+            if label not in counts:
+                if len(counts) == SCORED:
+                    yield from counted()
+                counts[label] = np.zeros(BUCKETS, np.int64)
+            counts[label] += trigram_counts(text)
+    yield from counted()
 
 
 def sample(rows: DataFrame, text_col: str, label_col: str, sample_rows: int, id_cols: list[str]) -> tuple[DataFrame | None, list[str]]:
@@ -148,31 +167,32 @@ def sample(rows: DataFrame, text_col: str, label_col: str, sample_rows: int, id_
     return labelled.join(F.broadcast(up_to), "label").where("_key <= _up_to").select("label", "text"), [r["label"] for r in found]
 
 
-def fit(rows: DataFrame, text_col: str = "text", label_col: str = "lang", sample_rows: int = SAMPLE_ROWS, id_cols: list[str] = ["doc_id"]) -> dict[str, np.ndarray]:
-    """Log probability of each trigram bucket for each language.
+def fit(rows: DataFrame, text_col: str = "text", label_col: str = "lang", sample_rows: int = SAMPLE_ROWS, id_cols: list[str] = ["doc_id"]) -> dict[str, Model]:
+    """The trigram model of each language.
 
-    What comes to the driver is a count for each of at most ``MODEL_CELLS``
-    buckets. A language whose sampled texts have no trigram has an even model.
+    What comes to the driver is a count for each bucket that a language's
+    sample has: no more than the sampled rows have trigrams. A language whose
+    sampled texts have no trigram has an even model.
     """
     small_batches(rows.sparkSession)
     picked, names = sample(rows, text_col, label_col, sample_rows, id_cols)
     if not names:
         return {}
-    shift = 0
-    while len(names) * (BUCKETS >> shift) > MODEL_CELLS:
-        shift += 1
-    size = BUCKETS >> shift
-    counted = picked.mapInArrow(_count(shift), "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counted = picked.mapInArrow(_count, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
     index = {n: i for i, n in enumerate(names)}
-    counts = np.zeros((len(names), size))
-    if counted.num_rows:
-        label = np.array([index[x] for x in counted.column("label").to_pylist()])
-        counts[label, counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()
-    return {n: np.log((c + 0.5) / (c.sum() + 0.5 * size)) for n, c in zip(names, counts)}
+    label = np.array([index[x] for x in counted.column("label").to_pylist()], np.int64)
+    order = np.argsort(label, kind="stable")
+    bucket, n = counted.column("bucket").to_numpy()[order], counted.column("n").to_numpy()[order]
+    ends = np.searchsorted(label[order], np.arange(len(names) + 1))
+    models = {}
+    for name, a, b in zip(names, ends, ends[1:]):
+        total = n[a:b].sum() + 0.5 * BUCKETS
+        models[name] = Model(bucket[a:b].copy(), np.log((n[a:b] + 0.5) / total), float(np.log(0.5 / total)))
+    return models
 
 
 def host_priors(rows: DataFrame, languages: list[str], levels: list[Column], declared: Column, kappa: float = KAPPA) -> DataFrame:
-    """Prior of each host: columns _l0 … of the levels, narrowest first, and _prior, an array by language.
+    """Prior of each host: columns _l0 … of the levels, narrowest first, _rows and _prior, an array by language.
 
     Every host of ``rows`` has one. A level is smoothed towards the next wider
     one, with ``kappa`` rows' weight; one without declared rows takes that as it is.
@@ -187,7 +207,7 @@ def host_priors(rows: DataFrame, languages: list[str], levels: list[Column], dec
         one = counted.groupBy(*keys, "_d").agg(F.sum("_n").alias("_n"))
         found = F.map_from_entries(F.collect_list(F.when(F.col("_d").isNotNull(), F.struct("_d", "_n"))))
         every = F.transform(F.array(*[F.lit(x) for x in languages]), lambda x: F.coalesce(F.try_element_at("_found", x), F.lit(0.0)))
-        return one.groupBy(*keys).agg(found.alias("_found")).select(*keys, every.alias("_k"))
+        return one.groupBy(*keys).agg(found.alias("_found"), F.sum("_n").cast("long").alias("_rows")).select(*keys, "_rows", every.alias("_k"))
 
     whole = {r["_d"]: r["_n"] for r in counted.groupBy("_d").agg(F.sum("_n").alias("_n")).collect()}
     ones = [whole.get(x, 0.0) + 1.0 for x in languages]
@@ -201,41 +221,73 @@ def host_priors(rows: DataFrame, languages: list[str], levels: list[Column], dec
             cond = on[0]
             for c in on[1:]:
                 cond = cond & c
-            level = level.join(out, cond, "left").select(*[level[k] for k in keys], "_k", "_prior")
+            level = level.join(out, cond, "left").select(*[level[k] for k in keys], level["_rows"], "_k", "_prior")
             prior = F.col("_prior")
         total = F.aggregate("_k", F.lit(0.0), lambda acc, x: acc + x)
-        out = level.select(*keys, F.zip_with("_k", prior, lambda k, p: (k + kappa * p) / (total + kappa)).alias("_prior"))
+        out = level.select(*keys, "_rows", F.zip_with("_k", prior, lambda k, p: (k + kappa * p) / (total + kappa)).alias("_prior"))
     return out
 
 
-def _score(models: dict[str, np.ndarray], at: dict[str, int], keep: int, schema_names: list[str], wanted: list[str] | None):
+def with_priors(marked: DataFrame, priors: DataFrame, most: int) -> DataFrame:
+    """Rows with columns _h0, _h1 and _h2, each with the _prior of its host.
+
+    The priors of ``most`` hosts, those of most rows, are broadcast, and their
+    rows stay where they are. Rows of the other hosts, of which none has a large
+    share of all rows, are joined by host.
+    """
+    def joined(rows: DataFrame, found: DataFrame, how: str) -> DataFrame:
+        on = [F.col(f"_h{i}").eqNullSafe(F.col(f"_l{i}")) for i in range(3)]
+        return rows.join(found, on[0] & on[1] & on[2], how).drop("_l0", "_l1", "_l2")
+
+    if priors.count() <= most:
+        return joined(marked, F.broadcast(priors.drop("_rows")), "left")
+    priors = stored(priors, "priors")
+    # one row for each number of rows that some host has, so the window is short
+    sizes = priors.groupBy("_rows").agg(F.count(F.lit(1)).alias("_n"))
+    reached = sizes.select("_rows", F.sum("_n").over(Window.orderBy(F.desc("_rows"))).alias("_upto"))
+    least = reached.where(F.col("_upto") <= most).agg(F.min("_rows")).first()[0]
+    large = F.broadcast(priors.where(F.lit(False) if least is None else F.col("_rows") >= least).drop("_rows").withColumn("_told", F.lit(True)))
+    told = joined(marked, large, "left")
+    near = told.where("_told").drop("_told")
+    far = told.where("_told is null").drop("_told", "_prior")
+    small = priors.where(F.lit(True) if least is None else F.col("_rows") < least).drop("_rows")
+    return near.unionByName(joined(far, small, "left"))
+
+
+def _score(models: dict[str, Model], at: dict[str, int], keep: int, schema_names: list[str], wanted: list[str] | None):
     names = list(models)
-    table = np.stack([models[n] for n in names], 1) if names else np.zeros((BUCKETS, 0))
-    size = len(table)
-    shift = (BUCKETS // size).bit_length() - 1
     index = {n: i for i, n in enumerate(names)}
     ok = np.array([wanted is None or n in wanted for n in names], bool)
     n_lang = max(1, len(names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables: dict[int, np.ndarray] = {}
+
+        def table(first: int) -> np.ndarray:
+            """Models of ``SCORED`` languages; the only one if there are no more, else made anew."""
+            if first not in tables:
+                tables.clear()
+                tables[first] = np.stack([models[x].dense() for x in names[first : first + SCORED]], 1)
+            return tables[first]
+
         whole = blocks(batches, at["text"], max(1 << 16, BLOCK_BYTES // (2 * min(n_lang, SCORED))))
-        most = max(1, MODEL_CELLS // n_lang)
+        most = max(1, SCORES // n_lang)
         for part in (block.slice(i, most) for block in whole for i in range(0, block.num_rows, most)):
             n = part.num_rows
             texts = part.column(at["text"]).to_pylist()
             coded = [(t or "").encode("utf-8", "replace") for t in texts]
             sizes = np.array([max(0, len(t) - 2) for t in coded])
             mean = np.zeros((n, len(names)))
-            long = sizes > size  # texts of more trigrams than there are buckets are counted by bucket
-            for i in np.flatnonzero(long):
-                mean[i] = trigram_counts(coded[i], shift) @ table / sizes[i]
+            long = sizes > BUCKETS  # texts of more trigrams than there are buckets are counted by bucket
+            counts = {i: trigram_counts(coded[i]) for i in np.flatnonzero(long)}
             has = np.flatnonzero((sizes > 0) & ~long)
-            grams = {i: trigrams(coded[i]) >> shift for i in has}
-            if len(has) and names:
-                starts = np.cumsum(sizes[has]) - sizes[has]
-                every = np.concatenate([grams[i] for i in has])
-                for a in range(0, len(names), SCORED):
-                    mean[has, a : a + SCORED] = np.add.reduceat(table[:, a : a + SCORED][every], starts, 0) / sizes[has, None]
+            starts = np.cumsum(sizes[has]) - sizes[has]
+            every = np.concatenate([trigrams(coded[i]) for i in has]) if len(has) else None
+            for a in range(0, len(names), SCORED):
+                for i, c in counts.items():
+                    mean[i, a : a + SCORED] = c @ table(a) / sizes[i]
+                if every is not None:
+                    mean[has, a : a + SCORED] = np.add.reduceat(table(a)[every], starts, 0) / sizes[has, None]
             log = mean * np.minimum(sizes, EFFECTIVE)[:, None]
             for key, right in (("declared", DECLARED_RIGHT), ("suffix", SUFFIX_RIGHT)):
                 for i, value in enumerate(part.column(at[key]).to_pylist()):
@@ -254,7 +306,7 @@ def _score(models: dict[str, np.ndarray], at: dict[str, int], keep: int, schema_
                     if not _LETTER.search(texts[i] or ""):
                         continue
                     best[i], sure[i] = names[top[i]], float(p[i, top[i]])
-                    known = not sizes[i] or mean[i].max() > -np.log(size) + 1e-9
+                    known = not sizes[i] or mean[i].max() > -np.log(BUCKETS) + 1e-9
                     fine[i] = bool(known and sure[i] >= MIN_CONFIDENCE and ok[top[i]])
             yield pa.RecordBatch.from_arrays([*part.columns[:keep], pa.array(best, pa.string()), pa.array(sure, pa.float64()), pa.array(fine, pa.bool_())], schema_names)
 
@@ -268,7 +320,8 @@ def identify(
     """The columns ``keep`` of every row, then detected (language), confidence, accepted.
 
     host, domain and suffix may be null columns or left out. Python sees each
-    text once; the rows aren't shuffled as long as the hosts are few.
+    text once. Rows aren't shuffled as long as the hosts are few; beyond that
+    only rows of hosts with few rows are (``with_priors``).
     """
     nothing = F.lit(None).cast("string")
     declared = language_tag(declared) if declared is not None else nothing
@@ -281,10 +334,7 @@ def identify(
         *[c.alias(f"_h{i}") for i, c in enumerate(levels)],
     )
     if models and host is not None:
-        priors = host_priors(rows, list(models), levels, declared)
-        if priors.count() * len(models) <= BROADCAST_PRIORS:
-            priors = F.broadcast(priors)
-        marked = marked.join(priors, F.col("_h0").eqNullSafe(F.col("_l0")) & F.col("_h1").eqNullSafe(F.col("_l1")) & F.col("_h2").eqNullSafe(F.col("_l2")), "left")
+        marked = with_priors(marked, host_priors(rows, list(models), levels, declared), max(1, BROADCAST_PRIORS // len(models)))
     else:
         marked = marked.withColumn("_prior", F.lit(None).cast("array<double>"))
     n = len(keep)
