@@ -11,13 +11,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text handled at a time inside a Python task; bounds its memory.
 BLOCK_BYTES = 4 << 20
 #: Largest batch of rows that passes between Spark and a Python task.
 BATCH_BYTES = 8 << 20
+#: Rows of a key from which on it is heavy; more, if heavy keys are too many to be broadcast.
+HEAVY_ROWS, BROADCAST_BYTES = 1000, 32 << 20
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -78,6 +80,28 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def join_counted(rows: DataFrame, told: DataFrame, keys: list[str], count: str, row_bytes: Column | int = 64, how: str = "inner") -> DataFrame:
+    """Join ``rows`` with what is ``told`` of their keys; its column ``count`` says how many of ``rows`` have the key.
+
+    No task gets all rows of a heavy key: ``told`` of those keys is broadcast, as
+    far as rows of ``row_bytes`` fit ``BROADCAST_BYTES``, and only the other keys
+    are shuffled. ``told`` is read several times, so it should be stored. how:
+    inner, or left to keep rows whose key isn't told.
+    """
+    least = HEAVY_ROWS
+
+    def size() -> int:
+        return told.where(F.col(count) > least).agg(F.sum(F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes)).first()[0] or 0
+
+    while (heavy_bytes := size()) > BROADCAST_BYTES:
+        least *= 10
+    if not heavy_bytes:
+        return rows.join(told, keys, how)
+    heavy = told.where(F.col(count) > least)
+    light = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(told.where(F.col(count) <= least), keys, how)
+    return rows.join(F.broadcast(heavy), keys).unionByName(light)
+
+
 def unused(columns: list[str], name: str) -> str:
     """``name``, with as many underscores before it as no column of that name takes."""
     taken = {c.lower() for c in columns}

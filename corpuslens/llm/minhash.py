@@ -52,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import WordHashes, blocks, discard, gram_hashes, mix, stored, text_bytes, unused
+from corpuslens.llm.common import WordHashes, blocks, discard, gram_hashes, join_counted, mix, stored, text_bytes, unused
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 40, 6
@@ -60,6 +60,8 @@ SKETCH, FINE_BANDS, FINE_ROWS = 2048, 96, 10
 REFINE = 1000
 #: Places that the text of one hub is sent to.
 HUB_PARTS = 256
+#: Links that any task can hold, at 16 bytes each.
+LINKS_OF_A_TASK = 1 << 20
 #: Components of the signatures that are drawn at a time.
 CELLS = 1 << 17
 
@@ -197,7 +199,13 @@ def components(links: DataFrame) -> DataFrame:
 
     Large-star and small-star rounds over the links until they change no more;
     a round keeps one row for each link and never gathers a node's neighbours.
+    From ``LINKS_OF_A_TASK`` links on, the least neighbour of a node of many links is broadcast to
+    them; below, all links of one node fit a task.
     """
+
+    def joined(rows: DataFrame, least: DataFrame, n: int) -> DataFrame:
+        return rows.join(least, "u") if n < LINKS_OF_A_TASK else join_counted(rows, stored(least, "least"), ["u"], "n")
+
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
 
     def mark(df: DataFrame):
@@ -206,10 +214,11 @@ def components(links: DataFrame) -> DataFrame:
     before = mark(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = stored(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(down.select("u", F.col("m").alias("v")))
+        n, links_of = before[0], F.count(F.lit(1)).alias("n")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), links_of).withColumn("m", F.least("u", "m"))
+        large = stored(joined(both.where("v > u"), least, n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        down = large.groupBy("u").agg(F.min("v").alias("m"), links_of)
+        small = joined(large, down, n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(down.select("u", F.col("m").alias("v")))
         last, edges = edges, stored(small.distinct(), "edges")
         discard(last, large)
         after = mark(edges)
@@ -229,7 +238,7 @@ class _Nodes:
         self.signed = stored(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
         usable = self.signed.where("id is not null and not empty")
         least = F.min(F.struct("id", "row"))
-        self.equal = stored(usable.groupBy("same").agg(least.alias("least")).select("same", F.col("least.row").alias("node"), F.col("least.id").alias("id")), "equal")
+        self.equal = stored(usable.groupBy("same").agg(least.alias("least"), F.count(F.lit(1)).alias("times")).select("same", F.col("least.row").alias("node"), F.col("least.id").alias("id"), "times"), "equal")
         rows_of = usable.join(self.equal.select("node"), F.col("row") == F.col("node"), "left_semi").select(F.col("row").alias("node"), F.explode("bands").alias("band"))
         crowded = stored(rows_of.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "crowded")
         self.buckets = stored(rows_of.join(crowded, "band"), "buckets")
@@ -312,15 +321,15 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, threshold: float, b
 
     degree = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n_links"))
     rooted = stored(nodes.equal.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-    class_ = rooted.groupBy("root").agg(F.min(F.struct("id", F.col("node").alias("row"))).alias("least"))
-    known = stored(rooted.join(class_, "root").join(degree, "node", "left").select("same", "least", "n_links"), "known")
-    discard(rooted)
-    mine = F.when(F.col("least").isNull(), F.col("id")).otherwise(F.col("least.id"))
-    return nodes.signed.where("id is not null").select("id", "same", "row").join(known, "same", "left").select(
-        "id", "same", mine.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("least").isNull() | (F.col("row") == F.col("least.row"))).alias("kept"),
-    ).unionByName(
-        nodes.signed.where("id is null").select("id", "same", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
-    )
+    own = F.struct("id", F.col("node").alias("row"))
+    classes = stored(rooted.groupBy("root").agg(F.min(own).alias("least"), F.count(F.lit(1)).alias("nodes")).where("nodes > 1"), "classes")
+    least = F.coalesce("least", own).alias("least")
+    known = stored(join_counted(rooted, classes, ["root"], "nodes", how="left").join(degree, "node", "left").select("same", least, "n_links", "times"), "known")
+    discard(rooted, classes)
+    usable, alone = nodes.signed.where("id is not null and not empty"), nodes.signed.where("id is null or empty")
+    return join_counted(usable.select("id", "same", "row"), known, ["same"], "times", 96).select(
+        "id", "same", F.col("least.id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("row") == F.col("least.row")).alias("kept"),
+    ).unionByName(alone.select("id", "same", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept")))
 
 
 def keep_one_of_each(

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import WordHashes, blocks, discard, gram_hashes, mix, stored, text_bytes
+from corpuslens.llm.common import WordHashes, blocks, discard, gram_hashes, join_counted, mix, stored, text_bytes
 
 GRAM = 12
 #: Windows in a bucket up to which one task sorts it.
@@ -262,11 +262,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         headers.groupBy("mini")
         .agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.sum("nwin").alias("n"))
         .where("lo < hi")
-        .select("mini", (F.col("n") > hot_windows).alias("hot")),
+        .select("mini", "n", (F.col("n") > hot_windows).alias("hot")),
         "shared",
     )
     piece = F.struct("mini", "hot", "start", "nwin")
-    wanted = headers.join(shared, "mini").groupBy("id", "h").agg(F.collect_set(piece).alias("pieces"))  # of repeated rows once
+    wanted = join_counted(headers, shared, ["mini"], "n").groupBy("id", "h").agg(F.collect_set(piece).alias("pieces"))  # of repeated rows once
     pieces = stored(usable.join(wanted, ["id", "h"]).select("id", "h", "text", "pieces").mapInArrow(_cut(window, gram), _PIECE), "pieces")
     discard(headers, shared)
     cold = _sorted_spans(pieces.where("not hot").select("mini", "sub", "id", "h", "start", "packed"), window)
@@ -284,16 +284,16 @@ def _hot_spans(pieces: DataFrame, window: int, most: int) -> DataFrame:
     """Spans of hot buckets: of each packed string, all holders but the one of smallest id repeat it; that one is sorted among the others' like."""
     held = ["mini", "sub", "packed"]
     strings = stored(
-        pieces.groupBy(*held).agg(F.min("id").alias("lo"), F.first("nwin").alias("nwin")).withColumn("u", F.monotonically_increasing_id()), "strings"
+        pieces.groupBy(*held).agg(F.min("id").alias("lo"), F.first("nwin").alias("nwin"), F.count(F.lit(1)).alias("times")).withColumn("u", F.monotonically_increasing_id()), "strings"
     )
     sizes = stored(strings.groupBy("mini", "sub").agg(F.sum("nwin").alias("n"), F.count(F.lit(1)).alias("k")).where("k > 1"), "contexts")
-    several = strings.join(sizes, ["mini", "sub"])
+    several = join_counted(strings, sizes, ["mini", "sub"], "k")
     few = several.where(F.col("n") <= most).select("mini", "sub", F.col("lo").alias("id"), F.col("u").alias("h"), F.lit(0).alias("start"), "packed")
     spread = several.where(F.col("n") > most).select("lo", "u", "packed").mapInArrow(_spread(window), "words binary, id long, h long, a int, b int")
     first = spread.groupBy("words").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").drop("hi")
     alone = spread.join(first, "words").where("id > lo").select("id", "h", "a", "b")
     inner = stored(_sorted_spans(few, window).unionByName(alone).groupBy(F.col("h").alias("u")).agg(F.collect_set(F.struct("a", "b")).alias("spans")), "inner")
-    holders = stored(pieces.join(strings.drop("nwin"), held).select("id", "h", "start", "nwin", "u", (F.col("id") > F.col("lo")).alias("later")), "holders")
+    holders = stored(join_counted(pieces, strings.drop("nwin"), held, "times", F.octet_length("packed") + 64).select("id", "h", "start", "nwin", "u", (F.col("id") > F.col("lo")).alias("later")), "holders")
     discard(strings, sizes)
     whole = holders.where("later").select("id", "h", F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("nwin") + (window - 1)).alias("b"))).alias("spans"))
     moved = F.transform("spans", lambda x: F.struct((x["a"] + F.col("start")).alias("a"), (x["b"] + F.col("start")).alias("b")))

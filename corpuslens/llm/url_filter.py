@@ -27,7 +27,8 @@ have the same one.
 
 Captures look up no more than the list can answer: paths down to its deepest
 prefix, and single labels (``com``) only if it has one. A list of up to
-``BROADCAST_ENTRIES`` is broadcast, so no key of the captures is shuffled.
+``BROADCAST_ENTRIES`` is broadcast, so no key of the captures is shuffled. Of a
+longer one the entries that many captures look up are, and the rest is joined.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import stored, unused
+from corpuslens.llm.common import join_counted, stored, unused
 
 #: Intervals up to which a list is broadcast: some 150 bytes each.
 BROADCAST_ENTRIES = 100_000
@@ -90,15 +91,18 @@ def url_filter(captures: DataFrame, entries: DataFrame, url_col: str = "url", ti
     about = listed.agg(
         F.count(F.lit(1)).alias("n"), F.max(F.when(prefix, F.size(F.split("pattern", "/")) - 1)).alias("depth"), F.min(F.when(domain, F.size(F.split("pattern", r"\.")))).alias("labels")
     ).first()
-    if about["n"] <= BROADCAST_ENTRIES:
-        listed = F.broadcast(listed)
     url, at = F.col(url_col).cast("string"), F.col(time_col)
     pairs = captures.select(url.alias("_url"), at.alias("_at")).where("_url is not null and _at is not null").distinct()
     keys = lookup_keys(url_host(F.col("_url")), url_path(F.col("_url")), about["depth"] or 0, about["labels"] or 1)
-    seen = pairs.select("_url", "_at", F.explode(keys).alias("_key"))
-    active = seen.join(
-        listed, (F.col("_key.kind") == listed["kind"]) & (F.col("_key.pattern") == listed["pattern"]) & (listed["valid_from"] <= F.col("_at")) & (listed["valid_to"].isNull() | (F.col("_at") < listed["valid_to"]))
-    )
+    looked_up = ["kind", "pattern"]
+    if about["n"] <= BROADCAST_ENTRIES:
+        seen = pairs.select("_url", "_at", F.inline(keys))
+        found = seen.join(F.broadcast(listed), looked_up)
+    else:
+        seen = stored(pairs, "pairs").select("_url", "_at", F.inline(keys))
+        times = seen.groupBy(*looked_up).agg(F.count(F.lit(1)).alias("times"))
+        found = join_counted(seen, stored(listed.join(times, looked_up), "weighed"), looked_up, "times", F.octet_length("pattern") + 64)
+    active = found.where((F.col("valid_from") <= F.col("_at")) & (F.col("valid_to").isNull() | (F.col("_at") < F.col("valid_to"))))
     rank = F.struct(F.length("pattern").alias("n"), F.col("kind").alias("kind"), F.col("pattern").alias("pattern"), F.col("action").alias("action"), F.col("valid_from").alias("listed_at"))
     decided = active.groupBy("_url", "_at").agg(F.max(rank).alias("_top"))
     names = captures.columns

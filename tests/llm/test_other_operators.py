@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpuslens.llm import chat, language_id, license_scan, mixing, sentencepiece_codec, topk, url_filter
+from corpuslens.llm import chat, common, language_id, license_scan, mixing, sentencepiece_codec, topk, url_filter
 from corpuslens.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -182,6 +182,7 @@ def test_url_filter_at_fetch_time(spark):
 
 def test_url_filter_looks_up_what_the_list_can_answer(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "BROADCAST_ENTRIES", 1)
+    monkeypatch.setattr(common, "HEAVY_ROWS", 0)
     day = datetime(2024, 1, 1)
     entries = spark.createDataFrame(
         [("domain", "zip", "block", "add", day), ("prefix", "a.com/x/y", "block", "add", day), ("domain", "b.co.uk", "block", "add", day)],

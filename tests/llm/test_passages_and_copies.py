@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpuslens.llm import exact_dedup, minhash, substring_dedup
+from corpuslens.llm import common, exact_dedup, minhash, substring_dedup
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -67,8 +67,9 @@ def test_substring_dedup_is_brute_force(spark, hot_windows):
 
 
 @pytest.mark.parametrize("hot_windows", [1, 60, 2048])
-def test_hot_passages_are_sorted_by_context(spark, hot_windows):
+def test_hot_passages_are_sorted_by_context(spark, monkeypatch, hot_windows):
     """Passages longer and shorter than a window and its contexts, in many documents with other words around."""
+    monkeypatch.setattr(common, "HEAVY_ROWS", 20)
     rng = random.Random(hot_windows)
     shared = [[f"p{k}q{i}" for i in range(n)] for k, n in enumerate((30, 45, 58, 75, 140))]
     texts = []
@@ -229,8 +230,10 @@ def similar(a, b):
     return sum(1 / np.maximum(x / p, y / q).sum() for p, q in zip(x[both], y[both]))
 
 
-@pytest.mark.parametrize("seed,refine", [(1, 1000), (2, 1000), (3, 2)])
-def test_near_classes_are_brute_force(spark, seed, refine):
+@pytest.mark.parametrize("seed,refine,heavy", [(1, 1000, 1000), (2, 1000, 1), (3, 2, 1)])
+def test_near_classes_are_brute_force(spark, monkeypatch, seed, refine, heavy):
+    monkeypatch.setattr(common, "HEAVY_ROWS", heavy)
+    monkeypatch.setattr(minhash, "LINKS_OF_A_TASK", heavy)
     rows = near_texts(seed)
     got = minhash.near_classes(frame(spark, rows, extra=True), refine=refine).collect()
     assert {r.doc_id: r.class_id for r in got} == classes_by_force(rows)
@@ -306,6 +309,27 @@ def test_signatures_estimate_the_probability_jaccard():
     assert (alone[0] == sig[1]).all()
 
 
+@pytest.mark.parametrize("most", [1, 500, 32 << 20])
+def test_heavy_keys_are_broadcast_as_far_as_they_fit(spark, monkeypatch, most):
+    """Half of the rows have one key; whatever is broadcast, the joined rows are those of a plain join."""
+    monkeypatch.setattr(common, "HEAVY_ROWS", 3)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", most)
+    rows = spark.createDataFrame([(0 if i % 2 else i % 40, i) for i in range(400)] + [(999, -1), (None, -2)], "k int, i int")
+    told = rows.where("k < 900").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    for how in ("inner", "left"):
+        got = common.join_counted(rows, told, ["k"], "n", how=how)
+        assert got.columns == ["k", "i", "n"] and sorted(map(str, got.collect())) == sorted(map(str, rows.join(told, "k", how).collect()))
+
+
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_links_of_a_hub(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "HEAVY_ROWS", 5)
+    monkeypatch.setattr(minhash, "LINKS_OF_A_TASK", most)
+    links = spark.createDataFrame([(99, i) for i in range(60)] + [(70, i) for i in range(71, 90)] + [(200, 201)], "a long, b long")
+    got = {r.node: r.root for r in minhash.components(links).collect()}
+    assert got == {**{i: 0 for i in range(1, 60)}, 99: 0, **{i: 70 for i in range(71, 90)}, 201: 200}
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in minhash.components(links).collect()}
