@@ -2,6 +2,8 @@
 
 import datetime as dt
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -252,3 +254,22 @@ def test_a_sweep_of_many_configurations_keeps_them_all(spark):
         evaluation.sweep(found, golden, places, many.withColumn("kind", F.lit("other")))
     assert sorted(r.config_id for r in got) == list(range(1010))
     assert all(r[1:] == few[0][1:] for r in got) and len(few) == 3
+
+
+def test_facts_of_long_texts_are_read_once(spark):
+    """Words of a fact are sought in the text's distinct words; a text isn't normalised again for each word."""
+    rng = random.Random(8)
+    make = lambda n, letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 8))) for _ in range(n))
+    rows = [(make(30, "ab"), make(rng.randrange(1, 60), "abC-"), i) for i in range(200)] + [("a b", "x A-b y", 200), ("a b", "xa b", 201), ("", "", 202), ("abcd", None, 203), (None, "abcd", 204)]
+    rows += [("abcd abcd zzzz", "xabcdx", 205), ("abcd zzzz zzzz", "xabcdx zz zz", 206), (make(30_000, "abcdef"), make(30_000, "abcdef"), 207)]
+
+    def want(fact, text):
+        if fact is None or text is None:
+            return None
+        norm = lambda x: re.sub("[^a-z0-9]+", " ", x.lower()).strip(" ")
+        hay, words = f" {norm(text)} ", [w for w in norm(fact).split(" ") if len(w) >= 4]
+        return sum(w in hay for w in words) / len(words) >= 0.6 if words else norm(fact) in hay
+
+    t, begun = spark.createDataFrame(rows, "fact string, text string, i int"), time.time()
+    got = {r.i: r.p for r in t.select("i", evaluation.fact_in_text(F.col("fact"), F.col("text")).alias("p")).collect()}
+    assert got == {i: want(f, x) for f, x, i in rows} and time.time() - begun < 30
