@@ -82,16 +82,21 @@ DELIVERIES, DELAY = 4, "16 days"
 _MARK = "(select max(ts) - interval 16 day from events)"
 
 
+#: Events of a file, at most about.
+FILE_ROWS = 1 << 20
+
+
 def _events(spark: SparkSession, d: str) -> DataFrame:
-    """The events as a stream of four files, one a batch; a fifth of the events comes a file late, and none in order."""
+    """The events as a stream of four deliveries, one a batch, each of as many files as its size asks for; a fifth of the events comes a delivery late, and none in order."""
     path = scratch_path(spark, "deliveries")
     rows = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    first, last = rows.agg(F.min(F.unix_timestamp("ts")), F.max(F.unix_timestamp("ts"))).first()
+    first, last, n_rows = rows.agg(F.min(F.unix_timestamp("ts")), F.max(F.unix_timestamp("ts")), F.count(F.lit(1))).first()
+    n_files = max(1, -(-n_rows // (DELIVERIES * FILE_ROWS)))
     share = F.floor((F.unix_timestamp("ts") - first) * DELIVERIES / (last - first + 1)).cast("int")
     dealt = rows.withColumn("_d", F.least(F.lit(DELIVERIES - 1), share + F.when(F.col("event_id") % 5 == 0, 1).otherwise(0)))
     for n in range(DELIVERIES):
-        dealt.where(F.col("_d") == n).drop("_d").repartition(1).sortWithinPartitions(F.xxhash64("event_id")).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        dealt.where(F.col("_d") == n).drop("_d").repartition(n_files).sortWithinPartitions(F.xxhash64("event_id")).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", n_files).parquet(path)
 
 
 def _to_end(df: DataFrame, mode: str, name: str) -> str:

@@ -193,3 +193,22 @@ def test_corpus_follows_its_listing(spark, tmp_path):
     write_again = follow.apply_listings(listing, corpus, str(tmp_path / "state" / "applied"), build)
     write_again(spark.createDataFrame([(0, 4)], "bucket int, version int"), 3)  # a replayed batch
     assert sorted(map(tuple, snapshots.read_table(spark, corpus).collect())) == [("a", "new")]
+
+
+def test_many_days_and_runs_share_few_groups(spark, tmp_path):
+    """State is kept by bucket: 240 days of users and 60 runs are few groups, and their rows are those of the batch forms."""
+    rng = random.Random(4)
+    schema = "event_id long, user_id long, ts timestamp, role string, run_id string, seq long, event string, data string"
+    events = [("token", None), ("node_end", '{"node": "a", "duration_ms": 3}'), ("chunks_hit", '{"chunks": [1]}'), ("final", '{"answer": "x"}'), ("error", "{}"), ("end", None), (None, None), ("odd", "{}")]
+    rows = [(i, rng.choice([*range(60), None]), START + dt.timedelta(minutes=rng.randrange(4 * 24 * 60)), "user", rng.choice([None, *map(str, range(60))]), i, *rng.choice(events)) for i in range(900)]
+    batch = spark.createDataFrame(rows, schema)
+    rows += [(9999, 77, START + dt.timedelta(days=40), "user", "last", 9999, "token", None)]  # lets all before it end
+    parts = [rng.randrange(3) for _ in rows[:-1]] + [3]
+    delivered = deliver(spark, tmp_path, rows, schema, parts)
+    quota = to_end(spark, processors.daily_quota(delivered, "Asia/Shanghai", 2, "10 days", buckets=3), tmp_path / "quota")
+    assert 0 < spark.read.format("statestore").option("stateVarName", "least").load(str(tmp_path / "quota/state")).count() <= 3
+    want = usage.daily_quota(batch, "Asia/Shanghai", 2).where("edge is not null").collect()
+    plain = lambda r: str((r.user_id, str(r.local_day), r.event_id, r.n, r.edge))
+    assert sorted(map(plain, quota.collect())) == sorted(map(plain, want))
+    runs = to_end(spark, processors.fold_run_events(delivered, "10 days", memory="60 days", buckets=3), tmp_path / "runs").drop("_batch")
+    assert sorted(map(str, runs.collect())) == sorted(map(str, usage.fold_run_events(batch).select(runs.columns).collect()))
