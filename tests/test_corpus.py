@@ -258,3 +258,11 @@ def test_user_functions_check_sizes(spark):
         udf.embed(df, lambda t: [], 2).collect()
     with pytest.raises(Exception, match="wide"):
         udf.embed(df, lambda t: [[1.0]] * len(t), 2).collect()
+
+
+def test_emphasis_of_over_200_characters_stays(spark):
+    """Marks go in pairs around 1 to 200 characters; longer spans keep theirs, and the second may open the next."""
+    rows = [(f"*{'a' * n}* b",) for n in (1, 200, 201)] + [(f"**{'x' * 201}* y* z",), ("*a **b** c",), ("***",), ("é" * 200,), (f"*{'é' * 200}*",)]
+    t = spark.createDataFrame(rows, "t string").select(T.sanitize(F.col("t"), 1000).alias("s"))
+    want = ["a b", "a" * 200 + " b", f"*{'a' * 201}* b", f"**{'x' * 201} y z", "a b** c", "***", "é" * 200, "é" * 200]
+    assert [r.s for r in t.collect()] == want
