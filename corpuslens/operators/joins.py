@@ -29,9 +29,14 @@ def owned(rows: DataFrame, owners: DataFrame, key: str, owner: Column) -> DataFr
 
 
 def enrich_targets(targets: DataFrame, messages: DataFrame, preview: Column) -> DataFrame:
-    """Targets (target_id: text) with a preview of their message; a target that is no id, or unknown, has none."""
+    """Targets (target_id: text) with a preview of their message; a target that is no id, or unknown, has none.
+
+    Targets that are no ids don't go through the join, where one task would get them all.
+    """
     known = messages.select(F.col("message_id").cast("long").alias("_id"), preview.alias("preview"))
-    return targets.join(known, F.col("target_id").try_cast("long") == F.col("_id"), "left").drop("_id")
+    number = F.col("target_id").try_cast("long")
+    found = targets.where(number.isNotNull()).join(known, number == F.col("_id"), "left").drop("_id")
+    return found.unionByName(targets.where(number.isNull()).withColumn("preview", F.lit(None).cast(known.schema["preview"].dataType)))
 
 
 def messages_with_citations(messages: DataFrame, citations: DataFrame) -> DataFrame:

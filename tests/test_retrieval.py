@@ -273,3 +273,13 @@ def test_facts_of_long_texts_are_read_once(spark):
     t, begun = spark.createDataFrame(rows, "fact string, text string, i int"), time.time()
     got = {r.i: r.p for r in t.select("i", evaluation.fact_in_text(F.col("fact"), F.col("text")).alias("p")).collect()}
     assert got == {i: want(f, x) for f, x, i in rows} and time.time() - begun < 30
+
+
+def test_targets_that_are_no_ids_dont_share_a_task(spark):
+    """Only numbers are joined; others keep their rows without a preview."""
+    rows = [(i, t) for i, t in enumerate(["1", "2", "x1", None, "x1", "", "9", " 1 "] * 3)]
+    t, m = spark.createDataFrame(rows, "i int, target_id string"), spark.createDataFrame([(1, "one"), (2, "two"), (None, "none")], "message_id long, text string")
+    got = joins.enrich_targets(t, m, F.col("text"))
+    assert {r.i: r.preview for r in got.collect()} == {i: {"1": "one", "2": "two", " 1 ": "one"}.get(x) for i, x in rows} and got.count() == len(rows)
+    joined = got._jdf.queryExecution().optimizedPlan().toString().split("Join ")[1]
+    assert "isnotnull(try_cast(target_id" in joined or "isnotnull(cast(target_id" in joined
