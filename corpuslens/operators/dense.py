@@ -8,7 +8,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslens.functions import vectors as V
 from corpuslens.sources.scratch import kept
 
 BLOCK_ROWS = 4096
@@ -16,9 +15,9 @@ BLOCK_ROWS = 4096
 DIGITS = 9
 
 
-def _unit(column: pd.Series, width: int | None = None) -> np.ndarray:
+def _unit(column: pd.Series | np.ndarray, width: int | None = None) -> np.ndarray:
     """Rows of length one, of vectors cut to ``width``; one wider than they are is an error."""
-    x = np.stack([np.asarray(v, np.float64) for v in column])
+    x = column if isinstance(column, np.ndarray) else np.stack([np.asarray(v, np.float64) for v in column])
     if width is not None and width > x.shape[1]:
         raise ValueError(f"{width} is wider than the vectors, which have {x.shape[1]} components")
     x = x[:, :width]
@@ -26,22 +25,41 @@ def _unit(column: pd.Series, width: int | None = None) -> np.ndarray:
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
+#: Queries of a block that are scored at once, so that a task's scores stay small whatever the block.
+SLICE_ROWS = 256
+
+
+def _k_best(query: np.ndarray, chunk: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best pairs of each query; ties by chunk, scores that aren't a number last."""
+    at = np.lexsort((chunk, -score, query))
+    first = np.flatnonzero(np.r_[True, np.diff(query[at]) != 0])
+    place = np.arange(len(at)) - np.repeat(first, np.diff(np.r_[first, len(at)]))
+    at = at[place < k]
+    return query[at], chunk[at], score[at]
+
+
+def _pairs(query: np.ndarray, asked: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int):
+    """The k best of ids for each query, a slice of queries at a time; asked and x are of length one."""
+    for low in range(0, len(query), SLICE_ROWS):
+        scores = np.round(asked[low : low + SLICE_ROWS] @ x.T, DIGITS)
+        if len(ids) > k:
+            keep = scores >= np.partition(scores, -k, axis=1)[:, -k, None]
+            keep |= np.isnan(scores)
+            q, c = np.nonzero(keep)
+        else:
+            q, c = np.divmod(np.arange(scores.size), scores.shape[1])
+        yield _k_best(query[low + q], ids[c], scores[q, c], k)
+
+
 def _best_of_blocks(k: int, widths: list[int | None]):
     def run(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "dim": [], "chunk_id": [], "score": []}
+        out = [pd.DataFrame({"query_id": [], "dim": [], "chunk_id": [], "score": []})]
         if len(vectors) and len(queries):
-            ids = vectors["chunk_id"].to_numpy()
+            ids, query = vectors["chunk_id"].to_numpy(), queries["query_id"].to_numpy()
             for width in widths:
-                scores = np.round(_unit(queries["vec"], width) @ _unit(vectors["vec"], width).T, DIGITS)
-                for q, row in zip(queries["query_id"], scores):
-                    cut = np.partition(row, -k)[-k] if len(row) > k else -np.inf
-                    at = np.flatnonzero(row >= cut)
-                    at = at[np.lexsort((ids[at], -row[at]))[:k]]
-                    out["query_id"] += [q] * len(at)
-                    out["dim"] += [width or 0] * len(at)
-                    out["chunk_id"] += ids[at].tolist()
-                    out["score"] += row[at].tolist()
-        return pd.DataFrame(out).astype({"query_id": "int64", "dim": "int32", "chunk_id": "int64", "score": "float64"})
+                for q, c, score in _pairs(query, _unit(queries["vec"], width), ids, _unit(vectors["vec"], width), k):
+                    out.append(pd.DataFrame({"query_id": q, "dim": width or 0, "chunk_id": c, "score": score}))
+        return pd.concat(out[1:] or out).astype({"query_id": "int64", "dim": "int32", "chunk_id": "int64", "score": "float64"})
 
     return run
 
@@ -76,36 +94,84 @@ def dense_multidim(queries: DataFrame, vectors: DataFrame, dims: list[int], k: i
     return _in_blocks(queries, vectors, k, list(dims), block_rows)
 
 
+def _packed(x: np.ndarray) -> list[bytes]:
+    """Each vector as bytes of floats where they hold it exactly, else of doubles."""
+    with np.errstate(over="ignore"):
+        short = x.astype("<f4")
+    fits = (short == x).all(1)
+    return [(s if f else d).tobytes() for s, d, f in zip(short, x.astype("<f8"), fits)]
+
+
+def _unpacked(column: pd.Series, width: int) -> np.ndarray:
+    return np.stack([np.frombuffer(b, "<f4" if len(b) == 4 * width else "<f8").astype(np.float64) for b in column])
+
+
 def _buckets(planes: np.ndarray, near: bool):
     """Keys of the buckets of each vector: one in each table, and if ``near`` those that differ from it in one plane. planes: (tables, bits, width)."""
-    tables, bits = planes.shape[:2]
+    tables, bits, width = planes.shape
     powers = 1 << np.arange(bits, dtype=np.int64)
     flips = np.concatenate([[0], powers]) if near else np.zeros(1, np.int64)
+    across = planes.reshape(-1, width).T
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
                 x = np.stack([np.asarray(v, np.float64) for v in batch.column(1).to_pylist()])
-                own = ((np.einsum("tbw,nw->ntb", planes, x) > 0) * powers).sum(2)
+                own = ((x @ across > 0).reshape(len(x), tables, bits) * powers).sum(2)
                 keys = (own[:, :, None] ^ flips) + (np.arange(tables, dtype=np.int64) << bits)[:, None]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(keys.reshape(len(x), -1).tolist(), pa.list_(pa.int64()))], ["id", "vec", "keys"]
+                    [batch.column(0), pa.array(_packed(x), pa.binary()), pa.array(keys.reshape(len(x), -1).tolist(), pa.list_(pa.int64()))], ["id", "vec", "keys"]
                 )
 
     return run
 
 
+def _best_of_buckets(k: int, width: int):
+    """The k best of each query within the buckets of a block; rows and queries meet only where their keys are equal."""
+
+    def run(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(rows) and len(asked):
+            rows = rows.sort_values("key", kind="stable")
+            keys, ids, x = rows["key"].to_numpy(), rows["id"].to_numpy(), _unit(_unpacked(rows["vec"], width))
+            query, own, q = asked["id"].to_numpy(), asked["keys"].to_numpy(), _unit(_unpacked(asked["vec"], width))
+            x[~x.any(1)] = np.nan  # a vector of no length has no cosine
+            key, who = np.concatenate(own), np.repeat(np.arange(len(own)), [len(o) for o in own])
+            order = np.argsort(key, kind="stable")
+            key, who = key[order], who[order]
+            starts = np.flatnonzero(np.r_[True, np.diff(key) != 0])
+            size = 0
+            for low, high in zip(starts, np.r_[starts[1:], len(key)]):
+                a, b = np.searchsorted(keys, key[low], "left"), np.searchsorted(keys, key[low], "right")
+                if a < b:
+                    for best in _pairs(query[who[low:high]], q[who[low:high]], ids[a:b], x[a:b], k):
+                        found.append(best)
+                        size += len(best[0])
+                if size > 1 << 20:
+                    found = [_k_best(*map(np.concatenate, zip(*found)), k)]
+                    size = 0
+        query, chunk, score = _k_best(*map(np.concatenate, zip(*found)), k)
+        return pd.DataFrame({"query_id": query, "chunk_id": chunk, "score": score})
+
+    return run
+
+
 #: Vectors of a bucket, on average, at which buckets are halved.
 BUCKET_ROWS = 64
 
 
-def ann_topk(queries: DataFrame, vectors: DataFrame, k: int, width: int, tables: int = 64, bits: int | None = None, seed: int = 7) -> DataFrame:
+def ann_topk(queries: DataFrame, vectors: DataFrame, k: int, width: int, tables: int = 64, bits: int | None = None, seed: int = 7, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """About the k nearest chunks by cosine: rows that share a hyperplane bucket with the query, scored exactly.
 
     Every row is indexed, in one bucket of each table; a query also looks into the
     buckets beyond each single plane. The number of planes (bits) grows with the
     logarithm of the rows, so that buckets don't grow. Recall against dense_topk
     depends on tables.
+
+    Buckets whose keys begin alike make a block of about ``block_rows`` rows; a block
+    of more rows or queries is divided. Scores are taken in the blocks, as products
+    of matrices, and only the k best of a query leave one, so no pair is shuffled.
     """
     if bits is None:
         bits = min(40, max(6, int(np.ceil(np.log2(max(1, vectors.count()) / BUCKET_ROWS)))))
@@ -113,14 +179,22 @@ def ann_topk(queries: DataFrame, vectors: DataFrame, k: int, width: int, tables:
 
     def keyed(df: DataFrame, id_col: str, near: bool) -> DataFrame:
         whole = df.select(F.col(id_col).cast("long").alias("id"), F.col("vec").cast("array<double>")).dropna()
-        return kept(whole.mapInArrow(_buckets(planes, near), "id long, vec array<double>, keys array<long>"), "buckets")
+        return kept(whole.mapInArrow(_buckets(planes, near), "id long, vec binary, keys array<long>"), "buckets")
 
     rows, asked = keyed(vectors, "chunk_id", False), keyed(queries, "query_id", True)
-    pairs = (
-        rows.select(F.col("id").alias("chunk_id"), F.explode("keys").alias("key"))
-        .join(asked.select(F.col("id").alias("query_id"), F.explode("keys").alias("key")), "key").select("query_id", "chunk_id").distinct()
-    )
-    scored = pairs.join(rows.select(F.col("id").alias("chunk_id"), F.col("vec").alias("v")), "chunk_id").join(asked.select(F.col("id").alias("query_id"), F.col("vec").alias("q")), "query_id")
-    scored = scored.select("query_id", "chunk_id", F.round(V.cosine(F.col("v"), F.col("q")), DIGITS).alias("score"))
+    low = bits - min(bits, max(0, int(np.ceil(np.log2(max(1, rows.count()) / block_rows)))))
+    placed = rows.select("id", "vec", F.explode("keys").alias("key")).withColumn("block", F.shiftright("key", low))
+    # a query's keys of one block stay together
+    blocks_of = F.array_distinct(F.transform("keys", lambda x: F.shiftright(x, low)))
+    looks = asked.select("id", "vec", "keys", F.explode(blocks_of).alias("block")).withColumn("keys", F.filter("keys", lambda x: F.shiftright(x, low) == F.col("block")))
+    parts = lambda df, name: df.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / (2 * block_rows)).alias(name))
+    sizes = kept(parts(placed, "n").join(parts(looks, "m"), "block"), "blocks")
+    dealt = lambda name: F.pmod(F.xxhash64("id"), F.col(name))
+    everywhere = lambda name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(name) - 1))
+    left = placed.join(sizes, "block").select("id", "vec", "key", "block", dealt("n").alias("shard"), everywhere("m").alias("part"))
+    right = looks.join(sizes, "block").select("id", "vec", "keys", "block", dealt("m").alias("part"), everywhere("n").alias("shard"))
+    by = ["block", "shard", "part"]
+    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(_best_of_buckets(k, width), "query_id long, chunk_id long, score double")
+    scored = found.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")

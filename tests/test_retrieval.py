@@ -71,6 +71,29 @@ def test_ann_recall(spark):
     assert found >= 0.9 * exact.count()
 
 
+def test_ann_shuffles_no_pairs_and_divides_large_buckets(spark):
+    import numpy as np
+
+    x = np.random.default_rng(3).normal(size=(300, 8))
+    x[100:200] = x[5]  # one bucket of many copies
+    x[7] = 0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "chunk_id long, vec array<double>")
+    q = df.where("chunk_id < 12 and chunk_id <> 7").select(F.col("chunk_id").alias("query_id"), "vec")
+    took = lambda rows: sorted(map(tuple, dense.ann_topk(q, df, 6, 8, tables=8, bits=3, block_rows=rows).collect()))
+    whole = took(4096)
+    assert whole == took(20) == took(5)
+    # by hand: the best of the rows that share a bucket with the query, or lie beyond one plane
+    planes = np.random.default_rng(7).normal(size=(8, 3, 8))
+    own = ((np.einsum("tbw,nw->ntb", planes, x) > 0) * (1 << np.arange(3))).sum(2)
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    for i in (0, 5, 11):
+        near = np.isin(own[i] ^ own, (0, 1, 2, 4)).any(1) & (np.arange(300) != 7)
+        score = np.where(near, np.round(unit @ unit[i], 9), -9)
+        assert [r[2] for r in whole if r[0] == i] == np.lexsort((np.arange(300), -score))[:6].tolist()
+    plan = dense.ann_topk(q, df, 6, 8)._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInPandas" in plan
+
+
 def test_renorm(spark):
     df = spark.createDataFrame([([3.0, 4.0, 9.0],), ([0.0, 0.0, 1.0],)], "v array<float>")
     got = [r.v for r in df.select(V.truncate_renorm(F.col("v"), 2).alias("v")).collect()]
