@@ -94,6 +94,14 @@ def test_ann_shuffles_no_pairs_and_divides_large_buckets(spark):
     assert "FlatMapCoGroupsInPandas" in plan
 
 
+def test_scores_of_a_block_are_taken_in_slices(spark):
+    import numpy as np
+
+    x = np.random.default_rng(1).normal(size=(700, 4))
+    got = list(dense._pairs(np.arange(700), x, np.arange(700), x, 3))
+    assert len(got) == 3 and max(len(q) for q, _, _ in got) <= dense.SLICE_ROWS * 3
+
+
 def test_renorm(spark):
     df = spark.createDataFrame([([3.0, 4.0, 9.0],), ([0.0, 0.0, 1.0],)], "v array<float>")
     got = [r.v for r in df.select(V.truncate_renorm(F.col("v"), 2).alias("v")).collect()]
