@@ -33,20 +33,41 @@ class Bm25Index:
     corpus: DataFrame
 
 
+#: No term; a chunk's row of its own, so that n and the mean length come from the same pass as the counts.
+MARK = ""
+
+#: Chunks whose counts or scores one task holds: the tasks grow in number with the chunks, not in size.
+CHUNKS_PER_TASK = 8192
+
+
+def _tasks(spark: SparkSession, n: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // CHUNKS_PER_TASK))
+
+
+def _marked(split: DataFrame) -> DataFrame:
+    return split.select("chunk_id", F.size("words").alias("dl"), F.explode(F.concat(F.array(F.lit(MARK)), "words")).alias("term"))
+
+
+def _counted(words: DataFrame) -> DataFrame:
+    return words.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+
+
 def build_bm25(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content", stop_words: list[str] = STOP_WORDS) -> Bm25Index:
-    """Index of all chunks. Chunks without words count for n and the mean length, and have no postings."""
-    split = chunks.select(F.col(id_col).alias("chunk_id"), terms(F.col(text_col), stop_words).alias("words"))
-    sized = split.withColumn("dl", F.size("words"))
-    corpus = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    words = sized.select("chunk_id", "dl", F.explode("words").alias("term"))
-    postings = words.groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    """Index of all chunks, split and counted once. Chunks without words count for n and the mean length, and have no postings."""
+    texts = chunks.select(F.col(id_col).alias("chunk_id"), F.col(text_col).alias("text"))
+    # whole texts are dealt out, so that a chunk's words are counted where they are split
+    split = texts.repartition(_tasks(chunks.sparkSession, texts.count()), "chunk_id").select("chunk_id", terms(F.col("text"), stop_words).alias("words"))
+    counted = kept(_counted(_marked(split)), "index")
+    postings = counted.where(F.col("term") != MARK)
     term_stats = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return Bm25Index(postings, term_stats, corpus)
+    corpus = counted.where(F.col("term") == MARK).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    return Bm25Index(postings.select("term", "chunk_id", "tf", "dl"), term_stats, corpus)
 
 
 def write_bm25(index: Bm25Index, path: str) -> None:
     """Keep an index. Postings are laid out by term, so that a search reads the row groups of its terms."""
-    index.postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
+    n = index.corpus.first()["n"]
+    index.postings.repartitionByRange(_tasks(index.postings.sparkSession, n), "term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
     index.term_stats.write.mode("overwrite").parquet(f"{path}/term_stats")
     index.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
 
@@ -71,7 +92,9 @@ def _ranked(asked: DataFrame, hint: Callable[[DataFrame], DataFrame], postings:
     idf = F.ln(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl or 1.0)))
     weighed = asked.join(stats, "term").select("query_id", "term", (F.col("qtf") * idf).alias("weight"))
-    scored = postings.join(hint(weighed), "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("weight") * tf), 9).alias("score"))
+    # a chunk's terms stay together, so that a task has all of its scores and only the k best of a query leave it
+    near = postings.join(hint(asked.select("term").distinct()), "term", "left_semi").repartition(_tasks(asked.sparkSession, n), "chunk_id")
+    scored = near.join(hint(weighed), "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("weight") * tf), 9).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
 
@@ -92,15 +115,12 @@ def bm25_topk(queries: DataFrame, index: Bm25Index, k: int, query_id: str = "que
 def bm25_search(queries: DataFrame, chunks: DataFrame, k: int, id_col: str = "chunk_id", content_col: str = "content", query_id: str = "query_id", text_col: str = "text", stop_words: list[str] = STOP_WORDS) -> DataFrame:
     """The same for chunks without an index: one pass over the texts, in which only the asked terms are counted."""
     asked, hint = _asked(queries, query_id, text_col, stop_words)
-    mark = ""  # no term; a chunk's row of its own, so that n and the mean length come from the same pass
     words = chunks.select(F.col(id_col).alias("chunk_id"), terms(F.col(content_col), stop_words).alias("words"))
-    each = words.select("chunk_id", F.size("words").alias("dl"), F.explode(F.concat(F.array(F.lit(mark)), "words")).alias("term"))
-    wanted = asked.select("term").distinct().unionByName(asked.sparkSession.createDataFrame([(mark,)], "term string"))
-    # a chunk's terms stay together, so that a task has all of a chunk's score before the shuffle
-    near = each.join(hint(wanted), "term", "left_semi").repartition("chunk_id")
-    found = kept(near.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")), "found")
-    n, avgdl = found.where(F.col("term") == mark).agg(F.count(F.lit(1)), F.avg("dl")).first()
-    postings = found.where(F.col("term") != mark)
+    wanted = asked.select("term").distinct().unionByName(asked.sparkSession.createDataFrame([(MARK,)], "term string"))
+    near = _marked(words).join(hint(wanted), "term", "left_semi").repartition(_tasks(asked.sparkSession, chunks.count()), "chunk_id")
+    found = kept(_counted(near), "found")
+    n, avgdl = found.where(F.col("term") == MARK).agg(F.count(F.lit(1)), F.avg("dl")).first()
+    postings = found.where(F.col("term") != MARK)
     return _ranked(asked, hint, postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), n, avgdl, k)
 
 

@@ -314,3 +314,16 @@ def test_targets_that_are_no_ids_dont_share_a_task(spark):
     assert {r.i: r.preview for r in got.collect()} == {i: {"1": "one", "2": "two", " 1 ": "one"}.get(x) for i, x in rows} and got.count() == len(rows)
     joined = got._jdf.queryExecution().optimizedPlan().toString().split("Join ")[1]
     assert "isnotnull(try_cast(target_id" in joined or "isnotnull(cast(target_id" in joined
+
+
+def test_lexical_tasks_grow_with_the_chunks_and_change_nothing(spark, tmp_path, monkeypatch):
+    chunks = spark.createDataFrame([(i, " ".join(f"w{i % j}" for j in range(1, 9))) for i in range(120)] + [(200, None)], "chunk_id long, content string")
+    asked = spark.createDataFrame([(i, f"w{i} w{i + 1} w{i}") for i in range(6)], "query_id long, text string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    index = bm25.build_bm25(chunks)
+    whole, kept_ = rows(bm25.bm25_search(asked, chunks, 7)), rows(bm25.bm25_topk(asked, index, 7))
+    assert bm25._tasks(spark, 10) == 4 and bm25._tasks(spark, 10 * bm25.CHUNKS_PER_TASK + 1) == 11
+    monkeypatch.setattr(bm25, "CHUNKS_PER_TASK", 8)
+    assert "RepartitionByExpression [chunk_id" in bm25.bm25_search(asked, chunks, 7)._jdf.queryExecution().toString()
+    assert rows(bm25.bm25_search(asked, chunks, 7)) == whole == kept_ == rows(bm25.bm25_topk(asked, bm25.build_bm25(chunks), 7))
+    assert index.corpus.first()["n"] == 121 and index.postings.where("term = ''").count() == 0
