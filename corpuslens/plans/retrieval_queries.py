@@ -177,16 +177,17 @@ def ret10_hybrid_by_facet(spark, d):
     return facets.select("query_id", "sub", "rank", "chunk_id", "fused_score").unionByName(flat.select("query_id", F.lit(-1).alias("sub"), "rank", "chunk_id", "fused_score"))
 
 
-def _scores(spark, d):
+def _scores(found):
     """An outside score for most hits of most queries, from their numbers."""
-    return fused(spark, d).where("query_id % 5 <> 0 and chunk_id % 4 <> 0").selectExpr("query_id", "chunk_id", "cast((chunk_id * 31 + query_id) % 97 as double) as score")
+    return found.where("query_id % 5 <> 0 and chunk_id % 4 <> 0").selectExpr("query_id", "chunk_id", "cast((chunk_id * 31 + query_id) % 97 as double) as score")
 
 
 @query(_ALL + """, s as (select query_id, chunk_id, rank, fused_score, case when query_id % 5 <> 0 and chunk_id % 4 <> 0 then ((chunk_id * 31 + query_id) % 97)::double end as score_rerank from fused where rank <= 10),
 k as (select *, max(score_rerank is not null) over (partition by query_id) as rated from s)
 select query_id, row_number() over (partition by query_id order by case when rated then score_rerank else fused_score end desc nulls last, rank)::int as place, chunk_id, fused_score, score_rerank from k qualify place <= 5""")
 def ret11_rerank(spark, d):
-    return fusion.rerank(fused(spark, d), _scores(spark, d), 5)
+    found = kept(fused(spark, d), "fused")
+    return fusion.rerank(found, _scores(found), 5)
 
 
 @query(_ALL + """, s as (select query_id, chunk_id % 3 as sub, chunk_id, rank, coalesce(case when query_id % 5 <> 0 and chunk_id % 4 <> 0 then ((chunk_id * 31 + query_id) % 97)::double end, fused_score) as key from fused where rank <= 10),
@@ -194,7 +195,8 @@ p as (select *, row_number() over (partition by query_id, sub order by key desc,
 m as (select query_id, chunk_id, min(r * 1000 + sub) as f from p where r <= 2 group by all)
 select query_id, row_number() over (partition by query_id order by f, chunk_id)::int as place, chunk_id from m qualify place <= 4""")
 def ret12_rerank_by_facet(spark, d):
-    joined = fused(spark, d).join(_scores(spark, d).withColumnRenamed("score", "score_rerank"), ["query_id", "chunk_id"], "left").withColumn("sub", F.col("chunk_id") % 3)
+    found = kept(fused(spark, d), "fused")
+    joined = found.join(_scores(found).withColumnRenamed("score", "score_rerank"), ["query_id", "chunk_id"], "left").withColumn("sub", F.col("chunk_id") % 3)
     return fusion.rerank_by_facet(joined, 2, 4)
 
 
