@@ -52,6 +52,19 @@ def align_systems(answers: DataFrame, systems: list[str], value: str = "answer")
     return answers.groupBy("item_id").agg(F.min("ord").alias("first"), *cells)
 
 
+#: Rows of a run that one task groups and joins.
+ROWS_PER_TASK = 1_000_000
+
+
+def dealt_runs(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """Rows dealt by their item into tasks that grow in number with ``n``, the rows of the runs, and not in size.
+
+    Runs grouped by item from rows dealt by the same ``n`` are merged where they are.
+    """
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // ROWS_PER_TASK))
+    return rows.repartition(tasks, key)
+
+
 def merge_runs(a: DataFrame, b: DataFrame, metrics: list[str], strategy: str) -> DataFrame:
     """Items of run ``a`` with each metric merged from both: ``max``, ``mean`` (of those that aren't null) or ``second_unless_none``."""
     other = b.select("item_id", *[F.col(m).alias(f"_{m}") for m in metrics])

@@ -65,7 +65,10 @@ select a.item_id, s as strategy, case s when 'max' then greatest(a.m, b.m) when
   case s when 'max' then greatest(a.k, b.k) when 'mean' then coalesce((a.k + b.k) / 2, a.k, b.k) else coalesce(b.k, a.k) end as k
 from a left join b on a.item_id = b.item_id, (values ('max'), ('mean'), ('second_unless_none')) v(s)""")
 def jon06_merge_runs(spark, d):
-    run = lambda cond: table(spark, d, "lineitem").where(cond).groupBy(F.col("l_orderkey").alias("item_id")).agg(F.max("l_quantity").alias("m"), F.max(F.when(F.col("l_returnflag") == "R", F.col("l_discount"))).alias("k"))
+    items = table(spark, d, "lineitem")
+    n = items.count()
+    rows = lambda cond: items.where(cond).selectExpr("l_orderkey as item_id", "l_quantity", "case when l_returnflag = 'R' then l_discount end as discount")
+    run = lambda cond: J.dealt_runs(rows(cond), "item_id", n).groupBy("item_id").agg(F.max("l_quantity").alias("m"), F.max("discount").alias("k"))
     a, b = run("l_linenumber <= 3"), run("l_linenumber > 2")
     out = None
     for s in ("max", "mean", "second_unless_none"):

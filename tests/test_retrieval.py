@@ -327,3 +327,15 @@ def test_lexical_tasks_grow_with_the_chunks_and_change_nothing(spark, tmp_path,
     assert "RepartitionByExpression [chunk_id" in bm25.bm25_search(asked, chunks, 7)._jdf.queryExecution().toString()
     assert rows(bm25.bm25_search(asked, chunks, 7)) == whole == kept_ == rows(bm25.bm25_topk(asked, bm25.build_bm25(chunks), 7))
     assert index.corpus.first()["n"] == 121 and index.postings.where("term = ''").count() == 0
+
+
+def test_runs_are_dealt_into_more_tasks_as_they_grow(spark, monkeypatch):
+    from corpuslens.operators import joins as J
+
+    monkeypatch.setattr(J, "ROWS_PER_TASK", 10)
+    rows = spark.createDataFrame([(i % 50, float(i)) for i in range(100)], "item_id long, m double")
+    a = J.dealt_runs(rows, "item_id", 100).groupBy("item_id").agg(F.max("m").alias("m"))
+    b = J.dealt_runs(rows.where("item_id < 20"), "item_id", 100).groupBy("item_id").agg(F.min("m").alias("m"))
+    assert J.dealt_runs(rows, "item_id", 100).rdd.getNumPartitions() == 10 and J.dealt_runs(rows, "item_id", 9).rdd.getNumPartitions() == 4
+    got = {r.item_id: r.m for r in J.merge_runs(a, b, ["m"], "second_unless_none").collect()}
+    assert got == {i: float(i if i < 20 else i + 50) for i in range(50)}
