@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,14 +14,29 @@ FILES = "path string, size bigint"
 MANIFEST_KEY = ["release", "spec_uid"]
 
 
+@contextmanager
+def _few_listing_tasks(spark: SparkSession):
+    """Folders are listed in tasks of many folders each: by default each is a task of its own, up to 10,000, which takes longer than its listing."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, str(8 * spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+
+
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """All files under a folder: path, size. Contents aren't read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.col("length").alias("size"))
+    with _few_listing_tasks(spark):
+        read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return read.select("path", F.col("length").alias("size"))
 
 
 def read_corpus(spark: SparkSession, root: str, name: str = "raw.md") -> DataFrame:
     """Whole texts of every file of that name: release and document number from its path, text."""
-    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).text(root, wholetext=True)
+    with _few_listing_tasks(spark):
+        read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).text(root, wholetext=True)
     path = F.col("_metadata.file_path")
     where = r"([^/]+)/[^/]+/([^/]+)/[^/]+$"
     return read.select(F.regexp_extract(path, where, 1).alias("release"), F.regexp_extract(path, where, 2).alias("spec_uid"), F.col("value").alias("text"))
@@ -70,7 +87,8 @@ def read_golden(spark: SparkSession, path: str) -> DataFrame:
 
 def hash_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """Files with their SHA-256: path, size, sha256."""
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    with _few_listing_tasks(spark):
+        read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     return read.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 

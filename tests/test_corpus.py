@@ -1,5 +1,6 @@
 """Sections, blocks, chunks, glossary and sinks on hand-made documents."""
 
+import hashlib
 import random
 import re
 
@@ -266,3 +267,27 @@ def test_emphasis_of_over_200_characters_stays(spark):
     t = spark.createDataFrame(rows, "t string").select(T.sanitize(F.col("t"), 1000).alias("s"))
     want = ["a b", "a" * 200 + " b", f"*{'a' * 201}* b", f"**{'x' * 201} y z", "a b** c", "***", "é" * 200, "é" * 200]
     assert [r.s for r in t.collect()] == want
+
+
+def test_files_are_written_whole_by_their_tasks_and_listed_in_few_tasks(spark, tmp_path):
+    rows = [(f"release={i % 2}/series=0/spec_uid={i}/part-0.txt", "é\n" * i if i else None) for i in range(100)]
+    root = f"file://{tmp_path}/a folder"
+    df = spark.createDataFrame(rows, "path string, content string").repartition(3)
+    assert write.write_files(df, root.replace(" ", "%20")) == 100
+    assert write.write_files(df, root.replace(" ", "%20")) == 100  # again: the same files
+    seen = []
+    tracker, job = spark.sparkContext.statusTracker(), "listing"
+    spark.sparkContext.setJobGroup(job, job)
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    was = spark.conf.get(key)
+    got = read.hash_files(spark, root, "part-*")
+    for j in tracker.getJobIdsForGroup(job):
+        seen += [tracker.getStageInfo(s).numTasks for s in tracker.getJobInfo(j).stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert seen and max(seen) <= 8 * spark.sparkContext.defaultParallelism and spark.conf.get(key) == was
+    assert {r.path.split("spec_uid=")[1].split("/")[0]: (r.size, r.sha256) for r in got.collect()} == {
+        str(i): (len((c or "").encode()), hashlib.sha256((c or "").encode()).hexdigest()) for i, (_, c) in enumerate(rows)
+    }
+    assert {(r.release, r.spec_uid): r.text for r in read.read_corpus(spark, root, "part-*").collect()} == {(f"release={i % 2}", f"spec_uid={i}"): c for i, (_, c) in enumerate(rows)}
+    with pytest.raises(ValueError, match="isn't a file"):
+        write.write_files(df, "hdfs://x/y")
