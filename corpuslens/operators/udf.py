@@ -7,7 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,6 +83,13 @@ def token_counter(fn: Callable[[list[str]], list[int]]):
     return count
 
 
+def _spans(fn: Callable[[str], Iterable[tuple[int, int]]], text: str | None) -> Iterator[tuple[int, int]]:
+    for begin, end in fn(text) if text is not None else ():
+        if not 0 <= begin <= end <= len(text):
+            raise ValueError(f"span {begin}:{end} isn't inside a text of {len(text)}")
+        yield begin, end
+
+
 def token_spans(fn: Callable[[str], Iterable[tuple[int, int]]]):
     """A table function of a text: its tokens by the caller's tokeniser, with their place.
 
@@ -89,19 +99,53 @@ def token_spans(fn: Callable[[str], Iterable[tuple[int, int]]]):
         texts.lateralJoin(token_spans(fn)(F.col("text").outer()))
 
     A null text has no tokens. A span outside its text, or one that ends before it
-    begins, is an error.
+    begins, is an error. What needs all tokens of a text together takes
+    ``with_spans``, as bringing these rows together shuffles many times the text.
     """
 
     class Spans:
         def eval(self, text: str):
-            for n, (begin, end) in enumerate(fn(text) if text is not None else ()):
-                if not 0 <= begin <= end <= len(text):
-                    raise ValueError(f"span {begin}:{end} isn't inside a text of {len(text)}")
+            for n, (begin, end) in enumerate(_spans(fn, text)):
                 yield n, text[begin:end], begin, end
 
     return F.udtf(Spans, returnType="n int, token string, begin int, end int", useArrow=True)
 
 
+#: Bytes of text whose tokens a Python worker holds at once; a longer text is alone.
+SPAN_BYTES = 1 << 20
+
+
+def with_spans(df: DataFrame, fn: Callable[[str], Iterable[tuple[int, int]]], text_col: str = "text", name: str = "spans") -> DataFrame:
+    """``df`` with the same tokens as an array of (token, begin, end) in their order, beside the text: nothing is shuffled.
+
+    A null text has an empty array. A text's array is one value, so it must fit a task.
+    """
+    at = df.columns.index(text_col)
+    schema = T.StructType([*df.schema, T.StructField(name, T.ArrayType(T.StructType.fromDDL("token string, begin int, end int")))])
+
+    def spanned(part: pa.RecordBatch) -> pa.RecordBatch:
+        offsets, tokens, begins, ends = [0], [], [], []
+        for text in part.column(at).to_pylist():
+            for begin, end in _spans(fn, text):
+                tokens.append(text[begin:end])
+                begins.append(begin)
+                ends.append(end)
+            offsets.append(len(tokens))
+        rows = pa.StructArray.from_arrays([pa.array(tokens, pa.string()), pa.array(begins, pa.int32()), pa.array(ends, pa.int32())], ["token", "begin", "end"])
+        return pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)], [*part.schema.names, name])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            low = 0
+            while low < batch.num_rows:
+                high = max(low + 1, int(np.searchsorted(size, (size[low - 1] if low else 0) + SPAN_BYTES, "right")))
+                yield spanned(batch.slice(low, high - low))
+                low = high
+
+    return df.mapInArrow(run, schema)
+
+
 def enrich_by_hash(refs: DataFrame, cache: DataFrame, dead: DataFrame, fn: Callable[[str, str], dict | None], fields: str) -> DataFrame:
     """One call of ``fn(sha256, path)`` for each distinct content, joined back to every reference.
 

@@ -417,13 +417,16 @@ def udf04_token_spans(spark, d):
     import re
 
     pattern = r"[A-Za-z0-9_]+|[ \t\n\r\f\v]+|[^A-Za-z0-9_ \t\n\r\f\v]"
-    spans = udf.token_spans(lambda text: (m.span() for m in re.finditer(pattern, text)))
     docs = table(spark, d, "documents").select("doc_id", "text").repartition("doc_id")
-    found = docs.lateralJoin(spans(F.col("text").outer())).select("doc_id", "n", "token", "begin", "end")
-    order = F.array_sort(F.collect_list(F.struct("begin", "end", "token")))
-    told = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("token") * (F.col("n") + 1)).cast("long").alias("weight"), F.max("end").cast("long").alias("last_end"), order.alias("order"))
-    follows = F.forall(F.transform("order", lambda x, i: (x["begin"] == F.when(i == 0, 0).otherwise(F.get("order", i - 1)["end"])) & (F.char_length(x["token"]) == x["end"] - x["begin"])), lambda x: x)
-    return told.select("doc_id", "n", "weight", "last_end", F.sha2(F.array_join(F.transform("order", lambda x: x["token"]), ""), 256).alias("joined_sha256"), follows.alias("as_placed"))
+    found = udf.with_spans(docs, lambda text: (m.span() for m in re.finditer(pattern, text))).where(F.size("spans") > 0).drop("text")
+    weights = F.transform("spans", lambda x, i: F.char_length(x["token"]) * (i + 1).cast("long"))
+    follows = F.forall(
+        F.transform("spans", lambda x, i: (x["begin"] == F.when(i == 0, 0).otherwise(F.get("spans", i - 1)["end"])) & (F.char_length(x["token"]) == x["end"] - x["begin"])), lambda x: x,
+    )
+    return found.select(
+        "doc_id", F.size("spans").cast("long").alias("n"), F.aggregate(weights, F.lit(0).cast("long"), lambda a, x: a + x).alias("weight"), F.array_max("spans.end").cast("long").alias("last_end"),
+        F.sha2(F.array_join("spans.token", ""), 256).alias("joined_sha256"), follows.alias("as_placed"),
+    )
 
 
 @query("select doc_id, count(*) as n from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+|[^\\sA-Za-z0-9_]')) from documents) group by doc_id")

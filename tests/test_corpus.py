@@ -291,3 +291,24 @@ def test_files_are_written_whole_by_their_tasks_and_listed_in_few_tasks(spark, t
     assert {(r.release, r.spec_uid): r.text for r in read.read_corpus(spark, root, "part-*").collect()} == {(f"release={i % 2}", f"spec_uid={i}"): c for i, (_, c) in enumerate(rows)}
     with pytest.raises(ValueError, match="isn't a file"):
         write.write_files(df, "hdfs://x/y")
+
+
+def test_spans_of_a_text_stay_in_its_row_without_a_shuffle(spark, monkeypatch):
+    fn = lambda text: [m.span() for m in re.finditer(r"\S+|\s+", text)]
+    texts = ["a é  b", None, "", "x" * 50, "one two"] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    monkeypatch.setattr(udf, "SPAN_BYTES", 8)
+    got = udf.with_spans(df, fn)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [[tuple(s) for s in r.spans] for r in got.orderBy("id").collect()] == [[(t[a:b], a, b) for a, b in fn(t)] if t else [] for t in texts]
+    rows = df.lateralJoin(udf.token_spans(fn)(F.col("text").outer())).select("id", "token", "begin", "end").collect()
+    assert sorted(map(tuple, rows)) == sorted((i, t[a:b], a, b) for i, t in enumerate(texts) for a, b in fn(t or ""))
+    with pytest.raises(Exception, match="isn't inside a text of 6"):
+        udf.with_spans(df, lambda text: [(0, 7)]).collect()
+
+
+def test_token_spans_query_shuffles_no_more_than_the_texts(spark):
+    from corpuslens.plans import QUERIES
+
+    plan = QUERIES["udf04_token_spans"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 1 and "collect_list" not in plan
