@@ -6,6 +6,8 @@ what is open from line to line and numbers the blocks.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,18 +105,22 @@ def block_codes(classes: Column) -> Column:
 def blockize(sections: DataFrame) -> DataFrame:
     """Sections as blocks: keys of the section, block_ord (from 1), kind, text. Blank blocks are left out."""
     keys = [c for c in sections.columns if c != "body"]
+    kind_of = lambda code: reduce(lambda other, x: F.when(code == x[1].upper(), x[0]).otherwise(other), KINDS.items(), F.lit("paragraph"))
     classed = sections.where(F.trim(F.coalesce("body", F.lit(""))) != "").withColumn("_lines", F.split("body", "\n"))
 
+    def tidy(run):
+        text = lambda x: F.when(F.left(x, F.lit(1)).isin(*T.SPACES), F.regexp_replace(x, r"^(\s*\n)+", "")).otherwise(x)
+        return let(F.rtrim(F.array_join(run, "\n"), F.lit(T.SPACES)), text)
+
     def runs(codes):
         begins = lambda c: c == F.upper(c)
-        return F.arrays_zip(F.filter(codes, begins).alias("code"), cut_at(F.col("_lines"), where_true(F.transform(codes, begins))).alias("run"))
-
-    each = classed.select(*keys, F.posexplode(let(chars(block_codes(line_classes(F.col("_lines")))), runs)).alias("_at", "_b"))
-    tidy = F.regexp_replace(F.regexp_replace(F.array_join("_b.run", "\n"), r"\s+$", ""), r"^(\s*\n)+", "")
-    kind = F.lit("paragraph")
-    for name, code in KINDS.items():
-        kind = F.when(F.col("_b.code") == code.upper(), name).otherwise(kind)
-    return each.select(*keys, (F.col("_at") + 1).alias("block_ord"), kind.alias("kind"), tidy.alias("text")).where("text <> ''")
+        zipped = F.arrays_zip(F.filter(codes, begins).alias("code"), cut_at(F.col("_lines"), where_true(F.transform(codes, begins))).alias("run"))
+        # blank ones go here: a filter on the rows would make each text twice
+        made = F.transform(zipped, lambda b, i: F.struct((i + 1).alias("block_ord"), kind_of(b["code"]).alias("kind"), tidy(b["run"]).alias("text")))
+        return F.filter(made, lambda b: b["text"] != "")
+
+    each = classed.select(*keys, F.explode(let(chars(block_codes(line_classes(F.col("_lines")))), runs)).alias("_b"))
+    return each.select(*keys, "_b.block_ord", "_b.kind", "_b.text")
 
 
 # splitting

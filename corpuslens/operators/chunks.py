@@ -33,7 +33,8 @@ def split_blocks(blocks: DataFrame, cap: int = CAP) -> DataFrame:
     of = lambda kind: F.when(~F.col("whole") & (F.col("kind") == kind), F.col("text"))  # noqa: E731  the other texts don't go to Python
     native = F.when(F.col("whole"), F.array("text")).when(F.col("kind") == "asn1", B.split_asn1(F.col("text"))).otherwise(B.split_paragraph(F.col("text"), cap))
     pieces = F.coalesce(P.split_table(of("table"), cap), P.split_actions(of("action_list"), cap), native)
-    return marked.withColumn("_pieces", pieces).select(*[c for c in marked.columns if c != "text"], F.posexplode("_pieces").alias("part", "text"))
+    # from a named column, Spark would infer a filter on its size, which makes all pieces twice
+    return marked.select(*[c for c in marked.columns if c != "text"], F.posexplode(pieces).alias("part", "text"))
 
 
 def piece_starts(items: Column, target: int, cap: int) -> Column:
@@ -87,7 +88,7 @@ def enforce_size(pieces: DataFrame, cap: int = CAP) -> DataFrame:
     marked = pieces.withColumn("forced", over)
     table = P.force_split_table(F.when(F.col("forced") & (F.col("chunk_type") == "table"), F.col("text")), cap)
     parts = F.coalesce(table, F.when(F.col("forced"), T.split_tokens(F.col("text"), cap)).otherwise(F.array("text")))
-    return marked.withColumn("_parts", parts).select(*[c for c in marked.columns if c != "text"], F.posexplode("_parts").alias("sub_ord", "text"))
+    return marked.select(*[c for c in marked.columns if c != "text"], F.posexplode(parts).alias("sub_ord", "text"))
 
 
 def with_context(blocks: DataFrame, chars: int = 600) -> DataFrame:

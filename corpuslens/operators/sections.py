@@ -16,7 +16,7 @@ HEADING = r"^(#{1,6})\s+(.*?)\s*$"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(T.SPACES))
 
 
 def sectionize(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -32,7 +32,7 @@ def sectionize(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.transform(lines, lambda x, i: F.struct(i.alias("at"), F.length(F.regexp_extract(x, HEADING, 1)).alias("level"), F.regexp_extract(x, HEADING, 2).alias("raw"))),
         lambda h: (h["level"] > 0) & ~T.is_pseudo_heading(h["raw"]),
     )
-    base = docs.withColumns({"_lines": lines, "_heads": heads}).where(F.col("_lines").isNotNull())
+    base = docs.withColumns({"_lines": lines, "_heads": heads})
     titled = (F.get("_heads", F.lit(0))["level"] == 1) & (F.size(F.filter("_heads", lambda h: h["level"] == 1)) == 1)
     base = base.withColumn("_titled", F.coalesce(titled, F.lit(False)))
     own = F.when(F.col("_titled"), F.slice("_heads", 2, F.greatest(F.size("_heads"), F.lit(1)))).otherwise(F.col("_heads"))
