@@ -312,3 +312,17 @@ def test_token_spans_query_shuffles_no_more_than_the_texts(spark):
 
     plan = QUERIES["udf04_token_spans"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 1 and "collect_list" not in plan
+
+
+def test_pieces_and_blocks_are_made_once(spark):
+    from corpuslens.plans import QUERIES
+
+    plan = QUERIES["chk12_build_chunks"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.split("\n") if line.strip(" +-:").startswith("Filter")]
+    assert filters and not any("Filter (size(" in f or "Filter ((size(" in f or "_b#" in f and "array_join" in f for f in filters)
+
+
+def test_tokens_are_counted_as_the_pattern_finds_them(spark):
+    texts = ["", "a b", " \t\n\x0b\f\rx", "a1_b-c é\u00a0\u2028 \U0001f600!", "w  w$1 \\", None]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.n_tokens(F.col("t")).alias("n"), F.regexp_count(F.coalesce("t", F.lit("")), F.lit(T.TOKEN)).alias("m")).collect()
+    assert [r.n for r in got] == [r.m for r in got] and sum(r.n for r in got) > 10
