@@ -117,7 +117,7 @@ def _fused_order(found: Column, f: Column) -> Column:
             total = F.round(F.aggregate(parts, F.lit(0.0), lambda s, p: s + 1.0 / (f["rrf_k"] + p["rank"])), 12)
             turn, head = F.array_min(F.transform(parts, lambda p: F.struct(p["rank"].alias("a"), p["list_no"].alias("b")))), F.struct(parts[0]["list_no"].alias("a"), parts[0]["rank"].alias("b"))
             by_turn = f["kind"] == "round_robin"
-            return F.when(F.size(parts) > 0, F.struct(F.when(by_turn, 0.0).otherwise(-total).alias("key"), F.when(by_turn, turn).otherwise(head).alias("first"), x["chunk_id"].alias("chunk_id"), x["spec_hit"].alias("spec_hit"), x["section_hit"].alias("section_hit"), x["score"].alias("score")))
+            return F.when(F.size(parts) > 0, F.struct(F.when(by_turn, 0.0).otherwise(-total).alias("key"), F.when(by_turn, turn).otherwise(head).alias("first"), x["chunk_id"].alias("chunk_id"), x["known"].alias("known"), x["spec_hit"].alias("spec_hit"), x["section_hit"].alias("section_hit"), x["score"].alias("score")))
 
         return let(F.filter(x["parts"], inside), keyed)
 
@@ -148,6 +148,7 @@ def sweep(hits: DataFrame, golden: DataFrame, chunks: DataFrame, configs: DataFr
     A question's candidates, as many as the greatest depths allow, are judged once
     and gathered in its row. Configurations that share a fusion share its order,
     of which each takes a prefix; no hit is joined with a configuration.
+    A candidate that isn't among the chunks keeps its place in the lists, and is no hit.
 
     Summary: config_id, n, n_empty (nothing was found), n_failed, and means of mrr,
     mrr_spec, spec_recall_k, section_recall_k. Questions: config_id, query_id,
@@ -156,15 +157,16 @@ def sweep(hits: DataFrame, golden: DataFrame, chunks: DataFrame, configs: DataFr
     """
     fusions, dense, sparse = _fusions(configs)
     near = hits.where(F.col("rank") <= F.when(F.col("list_no") < SPARSE_LISTS, dense).otherwise(sparse))
-    each = near.groupBy("query_id", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("list_no", "rank"))).alias("parts")).join(chunks, "chunk_id")
-    judged = judge_hits(each.select("query_id", "chunk_id", "parts", "spec_id", "section_path", "clause", "section_title"), golden)
+    each = near.groupBy("query_id", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("list_no", "rank"))).alias("parts"))
+    about = chunks.join(near.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", "spec_id", "section_path", "clause", "section_title", F.lit(True).alias("known"))
+    judged = judge_hits(each.join(about, "chunk_id", "left"), golden).withColumns({c: F.coalesce(c, F.lit(False)) for c in ("known", "spec_hit", "section_hit")})
     scored = judged.withColumn("score", F.lit(None).cast("double")) if scores is None else judged.join(scores.select("query_id", "chunk_id", F.col("score").cast("double").alias("score")), ["query_id", "chunk_id"], "left")
-    lists = scored.groupBy("query_id").agg(F.collect_list(F.struct("chunk_id", "parts", "spec_hit", "section_hit", "score")).alias("found"))
+    lists = scored.groupBy("query_id").agg(F.collect_list(F.struct("chunk_id", "parts", "known", "spec_hit", "section_hit", "score")).alias("found"))
     asked = golden.select("query_id", (F.size("expected") > 0).alias("asked")).join(lists, "query_id", "left")
     ordered = asked.withColumn("f", F.explode(fusions)).select("query_id", "asked", _fused_order(F.col("found"), F.col("f")).alias("ordered"), "f.nested")
     shown = ordered.select("query_id", "asked", "ordered", F.explode("nested").alias("c")).select("query_id", "asked", "c.config_id", _shown(F.col("ordered"), F.col("c")).alias("shown"))
     place = lambda flag: F.nullif(F.array_position(F.transform("shown", lambda x: x[flag]), F.lit(True)), F.lit(0))
-    placed = shown.select("config_id", "query_id", "asked", F.greatest(F.coalesce(F.size("shown"), F.lit(0)), F.lit(0)).cast("long").alias("n_hits"), place("section_hit").alias("_section"), place("spec_hit").alias("_spec"))
+    placed = shown.select("config_id", "query_id", "asked", F.coalesce(F.size(F.filter("shown", lambda x: x["known"])), F.lit(0)).cast("long").alias("n_hits"), place("section_hit").alias("_section"), place("spec_hit").alias("_spec"))
     when_asked = lambda c: F.when(F.col("asked"), F.coalesce(c, F.lit(0.0)))
     metrics = {"mrr": when_asked(1.0 / F.col("_section")), "mrr_spec": when_asked(1.0 / F.col("_spec"))}
     for k in ks:

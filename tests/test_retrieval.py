@@ -287,6 +287,16 @@ def test_a_sweep_of_many_configurations_keeps_them_all(spark):
     assert all(r[1:] == few[0][1:] for r in got) and len(few) == 3
 
 
+def test_a_sweep_keeps_the_place_of_a_candidate_without_a_chunk(spark):
+    """It fills a place of the list before it is cut, and isn't counted as a hit."""
+    found = spark.createDataFrame([(1, 0, r, c, 0.5, None) for r, c in ((1, 90), (2, 10), (3, 11))], "query_id long, list_no int, rank int, chunk_id long, score_dense double, score_sparse double")
+    places = spark.createDataFrame([(10, "a", ["1"], "", ""), (11, "b", ["1"], "", "")], "chunk_id long, spec_id string, section_path array<string>, clause string, section_title string")
+    golden = spark.createDataFrame([(1, [("b", [])])], "query_id long, expected array<struct<spec_id:string,sections:array<string>>>")
+    configs = spark.createDataFrame([(1, "dense", 3, 0, 60, 2, None), (2, "dense", 3, 0, 60, 3, None)], "config_id int, kind string, dense_depth int, sparse_depth int, rrf_k int, top_n int, rerank_k int")
+    got = {r.config_id: (r.n_hits, r.mrr) for r in evaluation.sweep(found, golden, places, configs)[1].collect()}
+    assert got == {1: (1, 0.0), 2: (2, 1 / 3)}
+
+
 def test_facts_of_long_texts_are_read_once(spark):
     """Words of a fact are sought in the text's distinct words; a text isn't normalised again for each word."""
     rng = random.Random(8)
