@@ -36,12 +36,24 @@ class Bm25Index:
 #: No term; a chunk's row of its own, so that n and the mean length come from the same pass as the counts.
 MARK = ""
 
-#: Chunks whose counts or scores one task holds: the tasks grow in number with the chunks, not in size.
+#: Chunks whose counts one task holds: the tasks grow in number with the chunks, not in size.
 CHUNKS_PER_TASK = 8192
 
+#: Scores that one task of a search holds, as a chunk may have one for each query.
+SCORES_PER_TASK = 1 << 18
 
-def _tasks(spark: SparkSession, n: int) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // CHUNKS_PER_TASK))
+#: Tasks of a search at most; beyond, their scores are spilled.
+MOST_TASKS = 20_000
+
+
+def _tasks(spark: SparkSession, n: int, queries: int = 0) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // CHUNKS_PER_TASK), min(MOST_TASKS, -(-n * queries // SCORES_PER_TASK)))
+
+
+def _split(chunks: DataFrame, id_col: str, text_col: str, stop_words: list[str], queries: int = 0) -> DataFrame:
+    """Words of each chunk. Whole texts are dealt out, so that words are counted where they are split and only texts are shuffled."""
+    texts = chunks.select(F.col(id_col).alias("chunk_id"), F.col(text_col).alias("text"))
+    return texts.repartition(_tasks(chunks.sparkSession, texts.count(), queries), "chunk_id").select("chunk_id", terms(F.col("text"), stop_words).alias("words"))
 
 
 def _marked(split: DataFrame) -> DataFrame:
@@ -54,9 +66,7 @@ def _counted(words: DataFrame) -> DataFrame:
 
 def build_bm25(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content", stop_words: list[str] = STOP_WORDS) -> Bm25Index:
     """Index of all chunks, split and counted once. Chunks without words count for n and the mean length, and have no postings."""
-    texts = chunks.select(F.col(id_col).alias("chunk_id"), F.col(text_col).alias("text"))
-    # whole texts are dealt out, so that a chunk's words are counted where they are split
-    split = texts.repartition(_tasks(chunks.sparkSession, texts.count()), "chunk_id").select("chunk_id", terms(F.col("text"), stop_words).alias("words"))
+    split = _split(chunks, id_col, text_col, stop_words)
     counted = kept(_counted(_marked(split)), "index")
     postings = counted.where(F.col("term") != MARK)
     term_stats = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -81,19 +91,20 @@ def read_bm25(spark: SparkSession, path: str) -> Bm25Index:
 BROADCAST_TERMS = 200_000
 
 
-def _asked(queries: DataFrame, query_id: str, text_col: str, stop_words: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
-    """Terms of each query (query_id, term, qtf), and a hint for what is no larger."""
+def _asked(queries: DataFrame, query_id: str, text_col: str, stop_words: list[str]) -> tuple[DataFrame, int, Callable[[DataFrame], DataFrame]]:
+    """Terms of each query (query_id, term, qtf), the number of queries with any, and a hint for what is no larger than the terms."""
     words = queries.select(F.col(query_id).alias("query_id"), F.explode(terms(F.col(text_col), stop_words)).alias("term"))
     asked = kept(words.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")), "asked")
-    return asked, F.broadcast if asked.count() <= BROADCAST_TERMS else lambda df: df
+    n_terms, n_queries = asked.agg(F.count(F.lit(1)), F.count_distinct("query_id")).first()
+    return asked, n_queries, F.broadcast if n_terms <= BROADCAST_TERMS else lambda df: df
 
 
-def _ranked(asked: DataFrame, hint: Callable[[DataFrame], DataFrame], postings: DataFrame, stats: DataFrame, n: int, avgdl: float | None, k: int) -> DataFrame:
+def _ranked(asked: DataFrame, n_queries: int, hint: Callable[[DataFrame], DataFrame], postings: DataFrame, stats: DataFrame, n: int, avgdl: float | None, k: int) -> DataFrame:
     idf = F.ln(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl or 1.0)))
     weighed = asked.join(stats, "term").select("query_id", "term", (F.col("qtf") * idf).alias("weight"))
     # a chunk's terms stay together, so that a task has all of its scores and only the k best of a query leave it
-    near = postings.join(hint(asked.select("term").distinct()), "term", "left_semi").repartition(_tasks(asked.sparkSession, n), "chunk_id")
+    near = postings.join(hint(asked.select("term").distinct()), "term", "left_semi").repartition(_tasks(asked.sparkSession, n, n_queries), "chunk_id")
     scored = near.join(hint(weighed), "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("weight") * tf), 9).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
@@ -106,22 +117,21 @@ def bm25_topk(queries: DataFrame, index: Bm25Index, k: int, query_id: str = "que
     than ``max_df`` chunks are left out if that is given. A batch of few terms is
     sent to the postings, so no frequent term gathers its postings in one task.
     """
-    asked, hint = _asked(queries, query_id, text_col, stop_words)
+    asked, n_queries, hint = _asked(queries, query_id, text_col, stop_words)
     stats = index.term_stats if max_df is None else index.term_stats.where(F.col("df") <= max_df)
     n, avgdl = index.corpus.first()
-    return _ranked(asked, hint, index.postings, stats, n, avgdl, k)
+    return _ranked(asked, n_queries, hint, index.postings, stats, n, avgdl, k)
 
 
 def bm25_search(queries: DataFrame, chunks: DataFrame, k: int, id_col: str = "chunk_id", content_col: str = "content", query_id: str = "query_id", text_col: str = "text", stop_words: list[str] = STOP_WORDS) -> DataFrame:
     """The same for chunks without an index: one pass over the texts, in which only the asked terms are counted."""
-    asked, hint = _asked(queries, query_id, text_col, stop_words)
-    words = chunks.select(F.col(id_col).alias("chunk_id"), terms(F.col(content_col), stop_words).alias("words"))
+    asked, n_queries, hint = _asked(queries, query_id, text_col, stop_words)
     wanted = asked.select("term").distinct().unionByName(asked.sparkSession.createDataFrame([(MARK,)], "term string"))
-    near = _marked(words).join(hint(wanted), "term", "left_semi").repartition(_tasks(asked.sparkSession, chunks.count()), "chunk_id")
+    near = _marked(_split(chunks, id_col, content_col, stop_words, n_queries)).join(hint(wanted), "term", "left_semi")
     found = kept(_counted(near), "found")
     n, avgdl = found.where(F.col("term") == MARK).agg(F.count(F.lit(1)), F.avg("dl")).first()
     postings = found.where(F.col("term") != MARK)
-    return _ranked(asked, hint, postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), n, avgdl, k)
+    return _ranked(asked, n_queries, hint, postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), n, avgdl, k)
 
 
 def field_lookup(queries: DataFrame, index: Bm25Index, chunks: DataFrame, over: int = 60, keep: int = 10, types: tuple[str, ...] = ("text", "table"), chars: int = 240) -> DataFrame:

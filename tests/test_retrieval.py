@@ -339,6 +339,19 @@ def test_lexical_tasks_grow_with_the_chunks_and_change_nothing(spark, tmp_path,
     assert index.corpus.first()["n"] == 121 and index.postings.where("term = ''").count() == 0
 
 
+def test_lexical_tasks_grow_with_the_queries_and_shuffle_no_words(spark, monkeypatch):
+    """A chunk has a score for each query, so a task holds fewer chunks where more is asked; texts are shuffled, not their words."""
+    plans, real = {}, bm25.kept
+    monkeypatch.setattr(bm25, "kept", lambda df, name: plans.update({name: df._jdf.queryExecution().optimizedPlan().toString()}) or real(df, name))
+    chunks = spark.createDataFrame([(i, " ".join(f"w{i % j}" for j in range(1, 9))) for i in range(120)], "chunk_id long, content string")
+    asked = spark.createDataFrame([(i, f"w{i} w{i + 1} w{i}") for i in range(6)], "query_id long, text string")
+    rows = lambda: sorted(map(tuple, bm25.bm25_search(asked, chunks, 7).collect()))
+    whole = rows()
+    monkeypatch.setattr(bm25, "SCORES_PER_TASK", 32)
+    assert bm25._tasks(spark, 120, 6) == 23 and rows() == whole
+    assert plans["found"].index("Generate explode") < plans["found"].index("RepartitionByExpression [chunk_id") and ", 23" in plans["found"]
+
+
 def test_runs_are_dealt_into_more_tasks_as_they_grow(spark, monkeypatch):
     from corpuslens.operators import joins as J
 
