@@ -65,48 +65,68 @@ def line_classes(lines: Column) -> Column:
 
 #: A letter for each kind of block; a capital one where a block begins.
 KINDS = {"asn1": "a", "figure": "i", "table": "t", "action_list": "l", "formula_block": "f", "paragraph": "p"}
+#: Letters of what else is open from line to line: nothing, the caption line before a table, and a heading.
+NONE, CAPTION, HEADING = "-", "c", "h"
+
+
+def line_steps(classes: Column) -> Column:
+    """What a line does to what is open, as far as it hangs on the line alone, so that the fold over the lines has little to do.
+
+    fresh: the letter that it begins; first: that of its block; after: what is then
+    open; goes: what it continues; shuts: what it continues and ends.
+    """
+
+    def begun(x):
+        fresh = (
+            F.when(x["asn1"], "a").when(x["image"], "i").when(x["table"], "t").when(x["action"], "l").when(x["math"], "f").when(x["titles"], CAPTION)
+            .when(x["heading"], HEADING).otherwise("p")
+        )
+        return F.struct(fresh.alias("fresh"), x.alias("x"))
+
+    def one(both):
+        fresh, x = both["fresh"], both["x"]
+        also = lambda test, code: F.when(test, code).otherwise("")
+        closed = ((fresh == "a") & x["stop"]) | ((fresh == "f") & x["whole_math"]) | (fresh == HEADING)
+        return F.struct(
+            fresh.alias("fresh"), F.when(fresh == CAPTION, "T").when(fresh == HEADING, "P").otherwise(F.upper(fresh)).alias("first"), F.when(closed, NONE).otherwise(fresh).alias("after"),
+            F.concat(
+                F.lit(f"af{CAPTION}"), also(x["row"] | x["blank"], "t"), also(x["action"] | x["indented"] | (x["blank"] & ~x["then_text"]), "l"), also(~(x["image"] | x["heading"] | x["asn1"] | x["ruled"]), "i"),
+            ).alias("goes"),
+            F.concat(also(x["stop"], "a"), also(x["math"], "f")).alias("shuts"), x["blank"].alias("blank"), x["caption"].alias("caption"),
+        )
+
+    return F.transform(F.transform(classes, begun), one)
 
 
 def block_codes(classes: Column) -> Column:
     """A letter for each line: the kind of its block, a capital one where the block begins.
 
     Precedence where nothing is open: ASN.1, image, table (with the caption line
-    before it), action list, formula, heading, paragraph.
+    before it), action list, formula, heading, paragraph. A figure ends at its
+    second blank line, or at the first after its caption.
     """
-    start = F.struct(F.lit("none").alias("open"), F.lit(0).alias("blanks"), F.lit(False).alias("captioned"), F.lit("").alias("codes"))
+    start = F.struct(F.lit(NONE).alias("open"), F.lit(0).alias("blanks"), F.lit(False).alias("captioned"), F.lit("").alias("codes"))
 
     def step(acc, x):
         was = acc["open"]
-        figure_ends = x["image"] | x["heading"] | x["asn1"] | x["ruled"] | (x["blank"] & ((acc["blanks"] >= 1) | acc["captioned"]))
-        goes_on = (
-            (was == "asn1") | (was == "formula_block") | ((was == "table") & (x["row"] | x["blank"])) | (was == "titles")
-            | ((was == "action_list") & (x["action"] | x["indented"] | (x["blank"] & ~x["then_text"]))) | ((was == "figure") & ~figure_ends)
-        )
-        fresh = (
-            F.when(x["asn1"], "asn1").when(x["image"], "figure").when(x["table"], "table").when(x["action"], "action_list").when(x["math"], "formula_block").when(x["titles"], "titles")
-            .when(x["heading"], "heading").otherwise("paragraph")
-        )
-        kind = F.when((was == "titles") & goes_on, "table").when(goes_on, was).otherwise(fresh)
-        new = (acc["codes"] == "") | (~goes_on & ((fresh != "paragraph") | (was != "paragraph")))
-        shown = F.when(kind == "titles", "table").when(kind == "heading", "paragraph").otherwise(kind)
-        letter = F.lit("p")
-        for name, code in KINDS.items():
-            letter = F.when(shown == name, code).otherwise(letter)
-        closed = ((kind == "asn1") & x["stop"]) | ((kind == "formula_block") & F.when(goes_on, x["math"]).otherwise(x["whole_math"])) | (kind == "heading")
-        return F.struct(
-            F.when(closed, "none").otherwise(kind).alias("open"), F.when(x["blank"] & goes_on, acc["blanks"] + 1).otherwise(0).alias("blanks"),
-            ((kind == "figure") & (F.when(goes_on, acc["captioned"]).otherwise(F.lit(False)) | (goes_on & x["caption"]))).alias("captioned"),
-            F.concat(acc["codes"], F.when(new, F.upper(letter)).otherwise(letter)).alias("codes"),
+        goes_on = F.contains(x["goes"], was) & ~((was == "i") & x["blank"] & ((acc["blanks"] >= 1) | acc["captioned"]))
+        kept = F.when(was == CAPTION, "t").otherwise(was)
+        on = F.struct(
+            F.when(F.contains(x["shuts"], was), NONE).otherwise(kept).alias("open"), F.when(x["blank"], acc["blanks"] + 1).otherwise(0).alias("blanks"),
+            ((was == "i") & (acc["captioned"] | x["caption"])).alias("captioned"), F.concat(acc["codes"], kept).alias("codes"),
         )
+        letter = F.when((x["fresh"] == "p") & (was == "p"), "p").otherwise(x["first"])
+        return F.when(goes_on, on).otherwise(F.struct(x["after"].alias("open"), F.lit(0).alias("blanks"), F.lit(False).alias("captioned"), F.concat(acc["codes"], letter).alias("codes")))
 
-    return F.aggregate(classes, start, step, lambda acc: acc["codes"])
+    return F.aggregate(line_steps(classes), start, step, lambda acc: acc["codes"])
 
 
 def blockize(sections: DataFrame) -> DataFrame:
     """Sections as blocks: keys of the section, block_ord (from 1), kind, text. Blank blocks are left out."""
     keys = [c for c in sections.columns if c != "body"]
     kind_of = lambda code: reduce(lambda other, x: F.when(code == x[1].upper(), x[0]).otherwise(other), KINDS.items(), F.lit("paragraph"))
-    classed = sections.where(F.trim(F.coalesce("body", F.lit(""))) != "").withColumn("_lines", F.split("body", "\n"))
+    # a blank body has blank blocks only; a filter on bodies would make each twice
+    classed = sections.withColumn("_lines", F.split("body", "\n"))
 
     def tidy(run):
         text = lambda x: F.when(F.left(x, F.lit(1)).isin(*T.SPACES), F.regexp_replace(x, r"^(\s*\n)+", "")).otherwise(x)

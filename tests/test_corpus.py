@@ -326,3 +326,49 @@ def test_tokens_are_counted_as_the_pattern_finds_them(spark):
     texts = ["", "a b", " \t\n\x0b\f\rx", "a1_b-c é\u00a0\u2028 \U0001f600!", "w  w$1 \\", None]
     got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.n_tokens(F.col("t")).alias("n"), F.regexp_count(F.coalesce("t", F.lit("")), F.lit(T.TOKEN)).alias("m")).collect()
     assert [r.n for r in got] == [r.m for r in got] and sum(r.n for r in got) > 10
+
+
+def _codes_by_hand(lines):
+    """Letters of the lines of a section, by a plain loop."""
+    row, rule = lambda x: re.match(B.ROW, x), lambda x: re.match(B.RULE, x)
+    blank, action = lambda x: x.strip(" ") == "", lambda x: re.match(B.ACTION, x)
+    marked = lambda x, m: m in x and "--" in x.split(m)[0]
+    caption = lambda x, w: re.match(rf"(?i)^[ \t*]*{w}[ \t]+[A-Z]?[0-9]", x)
+    open_, blanks, captioned, out = None, 0, False, ""
+    for i, x in enumerate(lines):
+        at = lambda k, f: i + k < len(lines) and bool(f(lines[i + k]))
+        heading, image, ruled = re.match("^#{1,6}[ \t]", x), re.match(B.IMAGE, x), rule(x) or row(x) and at(1, rule)
+        then_text = i + 1 < len(lines) and not blank(lines[i + 1]) and not action(lines[i + 1])
+        ends = image or heading or marked(x, "ASN1START") or ruled or blank(x) and (blanks >= 1 or captioned)
+        goes_on = (
+            open_ in ("asn1", "formula_block", "titles") or open_ == "table" and (row(x) or blank(x)) or open_ == "figure" and not ends
+            or open_ == "action_list" and (action(x) or x.startswith(("    ", "\t")) or blank(x) and not then_text)
+        )
+        titles = caption(x, "table") and at(1, row) and (at(1, rule) or at(2, rule) or at(3, rule))
+        fresh = next((n for n, t in (
+            ("asn1", marked(x, "ASN1START")), ("figure", image), ("table", row(x) and (rule(x) or at(1, rule) or at(2, rule))), ("action_list", action(x)), ("formula_block", "$$" in x), ("titles", titles), ("heading", heading),
+        ) if t), "paragraph")
+        kind = ("table" if open_ == "titles" else open_) if goes_on else fresh
+        letter = B.KINDS[{"titles": "table", "heading": "paragraph"}.get(kind, kind)]
+        out += letter.upper() if i == 0 or not goes_on and (fresh != "paragraph" or open_ != "paragraph") else letter
+        blanks, captioned = blanks + 1 if goes_on and blank(x) else 0, kind == "figure" and bool(goes_on and (captioned or caption(x, "figure")))
+        shut = kind == "asn1" and marked(x, "ASN1STOP") or kind == "formula_block" and ("$$" in x if goes_on else x.count("$$") > 1) or kind == "heading"
+        open_ = None if shut else kind
+    return out
+
+
+def test_lines_are_folded_as_by_a_plain_loop(spark):
+    rng = random.Random(6)
+    some = ["", "  ", "text", "| a | b |", "|---|---|", "![x](y.png)", "Figure 5.1-2: cap", "Table 5.1-2: cap", "- 1> do", "    more", "$$", "$$ a $$", "$$ a", "# head", "-- ASN1START", "-- ASN1STOP", "---", "\tmore"]
+    rows = [(i, [rng.choice(some) for _ in range(rng.randrange(1, 25))]) for i in range(3000)]
+    got = spark.createDataFrame(rows, "i int, x array<string>").select("i", B.block_codes(B.line_classes(F.col("x"))).alias("c"))
+    assert {r.i: r.c for r in got.collect()} == {i: _codes_by_hand(x) for i, x in rows}
+
+
+def test_a_body_is_made_once_and_the_fold_over_its_lines_is_small(spark):
+    """No filter makes a body twice, and no part of the fold is written out again wherever it is used."""
+    docs = spark.createDataFrame([(1, "a\n\nb"), (2, None), (3, ""), (4, " \n ")], "spec_id int, t string").select("spec_id", F.concat("t", F.lit("\n# c")).alias("body"), "t")
+    assert "Filter" not in B.blockize(docs.drop("t"))._jdf.queryExecution().optimizedPlan().toString()
+    got = B.blockize(docs.select("spec_id", F.col("t").alias("body"))).collect()
+    assert [(r.spec_id, r.block_ord, r.kind, r.text) for r in got] == [(1, 1, "paragraph", "a\n\nb")]
+    assert B.block_codes(F.col("c"))._jc.toString().count("CASE") < 40
