@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from corpuslens.sources.scratch import kept
 
 BLOCK_ROWS = 4096
+#: Pairs of blocks that one task scores and sorts: the tasks grow in number with the pairs, not in size.
+PAIRS_PER_TASK = 16
 #: Scores are compared at this many digits, so that ties don't hang on the order of a sum.
 DIGITS = 9
 
@@ -71,6 +73,9 @@ def _in_blocks(queries: DataFrame, vectors: DataFrame, k: int, widths: list[int
     n, m = max(1, -(-rows.count() // block_rows)), max(1, -(-asked.count() // block_rows))
     left = rows.select("chunk_id", "vec", F.pmod(F.xxhash64("chunk_id"), F.lit(n)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("part"))
     right = asked.select("query_id", "vec", F.pmod(F.xxhash64("query_id"), F.lit(m)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("shard"))
+    tasks = -(-n * m // PAIRS_PER_TASK)
+    if tasks > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        left, right = left.repartition(tasks, "shard", "part"), right.repartition(tasks, "shard", "part")
     found = left.groupBy("shard", "part").cogroup(right.groupBy("shard", "part")).applyInPandas(_best_of_blocks(k, widths), "query_id long, dim int, chunk_id long, score double")
     best = Window.partitionBy("query_id", "dim").orderBy(F.desc("score"), "chunk_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "dim", "rank", "chunk_id", "score")

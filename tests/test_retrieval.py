@@ -102,6 +102,17 @@ def test_scores_of_a_block_are_taken_in_slices(spark):
     assert len(got) == 3 and max(len(q) for q, _, _ in got) <= dense.SLICE_ROWS * 3
 
 
+def test_pairs_of_blocks_are_dealt_into_more_tasks_as_they_grow(spark):
+    rng = random.Random(12)
+    df = spark.createDataFrame([(i, [rng.random() for _ in range(4)]) for i in range(300)], "chunk_id long, vec array<double>")
+    q = df.where("chunk_id % 3 = 0").select(F.col("chunk_id").alias("query_id"), "vec")
+    many, few = dense.dense_multidim(q, df, [2, 4], 5, block_rows=10), dense.dense_multidim(q, df, [2, 4], 5)
+    # 30 blocks of rows and 10 of queries
+    tasks = lambda df: df._jdf.queryExecution().toString().split("== Physical Plan ==")[1].count("hashpartitioning(shard")
+    assert ", 19)" in many._jdf.queryExecution().toString() and tasks(many) == tasks(few) == 2
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect()))
+
+
 def test_renorm(spark):
     df = spark.createDataFrame([([3.0, 4.0, 9.0],), ([0.0, 0.0, 1.0],)], "v array<float>")
     got = [r.v for r in df.select(V.truncate_renorm(F.col("v"), 2).alias("v")).collect()]
