@@ -9,7 +9,7 @@ from corpuslens.plans.registry import query, table
 from corpuslens.plans.set_queries import _DAILY, _P, KIND
 from corpuslens.operators import usage as U
 from corpuslens.sources import read, snapshots, write
-from corpuslens.sources.scratch import scratch_path
+from corpuslens.sources.scratch import scratch_path, with_scheme
 from corpuslens.streaming import corpus as follow
 from corpuslens.streaming import processors
 from corpuslens.streaming import usage as stream
@@ -221,10 +221,17 @@ def str06_stream_corpus(spark, d):
 # readers
 
 
+#: Pages whose files one task writes.
+TASK_PAGES = 8192
+
+
 def _files(spark: SparkSession, d: str, name: str) -> str:
     """A file for each page, under RELEASE/SERIES/DOCUMENT/."""
-    path = scratch_path(spark, name)
+    path = with_scheme(spark, scratch_path(spark, name))
     placed = table(spark, d, "pages").selectExpr("html", "page_id % 3 as release", "page_id % 2 as series", "page_id as spec_uid")
+    n, most = placed.groupBy(F.spark_partition_id()).count().agg(F.sum("count"), F.max("count")).first()
+    if n and most > TASK_PAGES:  # a table of large row groups is read by few tasks
+        placed = placed.repartition(-(-n // TASK_PAGES))
     if path.startswith("file:"):
         place = "concat('release=', release, '/series=', series, '/spec_uid=', spec_uid, '/part-0.txt') as path"
         write.write_files(placed.selectExpr(place, "concat(coalesce(html, ''), '\\n') as content"), path)

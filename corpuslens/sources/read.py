@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+import os
+import re
 from contextlib import contextmanager
+from fnmatch import fnmatchcase
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuslens.functions import text as X
+from corpuslens.sources.scratch import kept
 
 FILES = "path string, size bigint"
 MANIFEST_KEY = ["release", "spec_uid"]
+#: Levels of folders that are dealt into tasks one by one: releases, series, documents. What is below is walked by the task of its document.
+LEVELS = 3
+#: Files and bytes of a reading task, about, and bytes of a batch that leaves it, unless one file has more.
+TASK_FILES, TASK_BYTES, BATCH_BYTES = 1024, 64 << 20, 8 << 20
+#: Extensions of texts that Spark's reader decompresses.
+_COMPRESSED = r"\.(gz|bz2|deflate|lz4|snappy|zst|lzo|xz|br)$"
 
 
 @contextmanager
@@ -26,20 +37,117 @@ def _few_listing_tasks(spark: SparkSession):
         spark.conf.unset(key) if was is None else spark.conf.set(key, was)
 
 
+def _in_few_tasks(spark: SparkSession, read: DataFrame) -> DataFrame:
+    """Files of a store that Spark lists and reads, in tasks of many files each: by default a task has a few, as each counts as 4 MB."""
+    return read.coalesce(max(8 * spark.sparkContext.defaultParallelism, read.rdd.getNumPartitions() // 64))
+
+
+def _shared(root: str, pattern: str = "*") -> str | None:
+    """The folder of a ``file:`` root; none for other stores, and for roots and patterns with more than ``*`` and ``?`` of a name."""
+    at = re.fullmatch(r"file:(?://)?(/(?!/)[^*?\[\]{}\\]*)", root)
+    return at[1] if at and not re.search(r"[\[\]{}\\]", pattern) and os.path.isdir(at[1]) else None
+
+
+def _walk(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """Files under a folder that the driver and all tasks share: path, size. Tasks list them; no names come to the driver.
+
+    As with Spark's readers, hidden files, all in hidden folders, and empty files are left out.
+    """
+
+    def hidden(e: os.DirEntry) -> bool:
+        if e.name.startswith(("_metadata", "_common_metadata")) and e.is_dir():
+            return False
+        return e.name.startswith(".") or e.name.startswith("_") and "=" not in e.name or e.name.endswith("._COPYING_")
+
+    def found(path: str, deep: bool):
+        folders = [path]
+        while folders:
+            with os.scandir(folders.pop()) as entries:
+                for e in entries:
+                    if hidden(e):
+                        continue
+                    if e.is_dir():
+                        if deep:
+                            folders.append(e.path)
+                        else:
+                            yield e.path, None
+                    elif e.is_file() and fnmatchcase(e.name, pattern) and (size := e.stat().st_size):
+                        yield e.path, size
+
+    def listed(deep: bool):
+        def batch_of(rows):
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["path", "size"])
+
+        def run(batches):
+            for batch in batches:
+                rows = []
+                for path, size in zip(batch.column("path").to_pylist(), batch.column("size").to_pylist()):
+                    for row in found(path, deep) if size is None else [(path, size)]:  # folders have no size
+                        rows.append(row)
+                        if len(rows) == 10_000:
+                            yield batch_of(rows)
+                            rows = []
+                yield batch_of(rows)
+
+        return run
+
+    rows = spark.createDataFrame([(folder.rstrip("/") or "/", None)], FILES)
+    for _ in range(LEVELS):
+        rows = rows.mapInArrow(listed(False), FILES).repartition(4 * spark.sparkContext.defaultParallelism)
+    return kept(rows.mapInArrow(listed(True), FILES), "files")
+
+
+def _dealt(files: DataFrame) -> DataFrame:
+    """Files dealt into tasks that grow in number with the files and with their bytes."""
+    n, size = files.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    return files.repartition(max(files.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_FILES), -(-size // TASK_BYTES)))
+
+
+def _contents(files: DataFrame) -> DataFrame:
+    """Files of a listing with all their bytes: path, content."""
+
+    def run(batches):
+        def batch_of(rows):
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["path", "content"])
+
+        for batch in batches:
+            rows, held = [], 0
+            for path in batch.column("path").to_pylist():
+                with open(path, "rb") as file:
+                    content = file.read()
+                if rows and held + len(content) > BATCH_BYTES:
+                    yield batch_of(rows)
+                    rows, held = [], 0
+                rows.append((path, content))
+                held += len(content)
+            yield batch_of(rows)
+
+    return _dealt(files).mapInArrow(run, "path string, content binary")
+
+
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """All files under a folder: path, size. Contents aren't read."""
+    if folder := _shared(root):
+        return _walk(spark, folder).select(F.concat(F.lit("file:"), "path").alias("path"), "size")
     with _few_listing_tasks(spark):
         read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return read.select("path", F.col("length").alias("size"))
+    return _in_few_tasks(spark, read.select("path", F.col("length").alias("size")))
 
 
 def read_corpus(spark: SparkSession, root: str, name: str = "raw.md") -> DataFrame:
     """Whole texts of every file of that name: release and document number from its path, text."""
+    files = _walk(spark, folder, name) if (folder := _shared(root, name)) else None
+    if files is not None and files.where(F.col("path").rlike(_COMPRESSED)).isEmpty():
+        return _documents(_contents(files), F.col("path"), F.col("content").cast("string"))
     with _few_listing_tasks(spark):
         read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).text(root, wholetext=True)
-    path = F.col("_metadata.file_path")
-    where = r"([^/]+)/[^/]+/([^/]+)/[^/]+$"
-    return read.select(F.regexp_extract(path, where, 1).alias("release"), F.regexp_extract(path, where, 2).alias("spec_uid"), F.col("value").alias("text"))
+    path = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))  # it is encoded, but for plus
+    return _in_few_tasks(spark, _documents(read, path, F.col("value")))
+
+
+def _documents(files: DataFrame, path: Column, text: Column) -> DataFrame:
+    part = lambda i: F.regexp_extract(path, r"([^/]+)/[^/]+/([^/]+)/[^/]+$", i)
+    return files.select(part(1).alias("release"), part(2).alias("spec_uid"), text.alias("text"))
 
 
 def build_manifest(files: DataFrame, name: str = "raw.md") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +21,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/corpuslens-{name}-{uuid.uuid4().hex}"
 
 
+def with_scheme(spark: SparkSession, path: str) -> str:
+    """A scratch path under the full name of its store: where ``spark.checkpoint.dir`` has no scheme, the session's own folder in it tells the default one."""
+    base, own = spark.sparkContext.getConf().get("spark.checkpoint.dir"), spark.sparkContext.getCheckpointDir() or ""
+    if not base or urlparse(base).scheme or not urlparse(own).scheme or f"{base.rstrip('/')}/" not in own:
+        return path
+    return own[: own.index(f"{base.rstrip('/')}/")] + path
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to a scratch path and read again: computed once, and safe from lost executors."""
     path = scratch_path(df.sparkSession, name)

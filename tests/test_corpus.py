@@ -1,5 +1,6 @@
 """Sections, blocks, chunks, glossary and sinks on hand-made documents."""
 
+import gzip
 import hashlib
 import random
 import re
@@ -14,6 +15,7 @@ from corpuslens.operators import chunks as C
 from corpuslens.operators import glossary as G
 from corpuslens.operators import sections as S
 from corpuslens.operators import selection, splitting, udf
+from corpuslens.plans import io_queries
 from corpuslens.sources import read, snapshots, write
 
 LONG = "This sentence is here to be long enough for a section that is kept by the rules. " * 3
@@ -293,6 +295,63 @@ def test_files_are_written_whole_by_their_tasks_and_listed_in_few_tasks(spark, t
         write.write_files(df, "hdfs://x/y")
 
 
+def test_small_files_are_read_in_tasks_of_many(spark, tmp_path, monkeypatch):
+    """A task of its own for each two files, as Spark's readers had here, takes longer than the files."""
+    rows = [(f"release={i % 3}/series=0/spec_uid={i}/raw.md", "é\n" * (i + 1)) for i in range(200)]
+    root = f"file://{tmp_path}/corpus"
+    write.write_files(spark.createDataFrame(rows, "path string, content string"), root)
+    key = "spark.sql.files.maxPartitionBytes"
+    was = spark.conf.get(key)
+    spark.conf.set(key, str(8 << 20))
+    try:
+        got = read.read_corpus(spark, root)
+        other = read.read_corpus(spark, root.removeprefix("file://"))  # by Spark's reader, as in any other store
+        assert got.rdd.getNumPartitions() == 4 and other.rdd.getNumPartitions() == 32
+        want = sorted((f"release={i % 3}", f"spec_uid={i}", c) for i, (_, c) in enumerate(rows))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, other.collect())) == want
+    finally:
+        spark.conf.set(key, was)
+    monkeypatch.setattr(read, "BATCH_BYTES", 300)
+    monkeypatch.setattr(read, "TASK_FILES", 20)
+    many = read.read_corpus(spark, root)  # tasks grow in number with the files and with their bytes
+    assert many.rdd.getNumPartitions() == 10 and sorted(map(tuple, many.collect())) == want
+    monkeypatch.setattr(read, "TASK_BYTES", 1500)
+    assert read.read_corpus(spark, root).rdd.getNumPartitions() == -(-sum(len(c.encode()) for _, c in rows) // 1500)
+
+
+def test_files_that_tasks_list_are_those_of_sparks_readers(spark, tmp_path):
+    top = tmp_path / "a b%20c"
+    files = {
+        "raw.md": b"top", "R 1+x/s=1/d #2/raw.md": b"\xef\xbb\xbfa\r\n\xff\x00", "R/s/_d/raw.md": b"hidden", "R/s/.d/raw.md": b"hidden", "R/s/_d=1/raw.md": b"kept", "R/s/_metadata/raw.md": b"kept",
+        "R/s/e/raw.md": b"", "R/s/e/raw.md._COPYING_": b"x", "R/s/f/_raw.md": b"hidden", "R/s/f/raw.mdx": b"x", "R/s/deep/er/est/é/raw.md": b"deep", "R/s/g/raw.md.gz": gzip.compress(b"zipped"),
+    }
+    for name, content in files.items():
+        (top / name).parent.mkdir(parents=True, exist_ok=True)
+        (top / name).write_bytes(content)
+    (top / "R/s/link").symlink_to(top / "R/s/_d=1")
+    (top / "R/s/broken").symlink_to(top / "nowhere")
+    texts = lambda root, name: sorted((r.release, r.spec_uid, bytes(r.b)) for r in read.read_corpus(spark, root, name).select("*", F.col("text").cast("binary").alias("b")).collect())
+    got = texts(f"file://{top}", "raw.md")
+    assert got == texts(str(top), "raw.md") == texts(f"file:{top}/", "raw.md")
+    assert ("R 1+x", "d #2", b"\xef\xbb\xbfa\r\n\xff\x00") in got and ("er", "é", b"deep") in got and ("R", "link", b"kept") in got and len(got) == 6
+    assert ("R", "g", b"zipped") in texts(f"file://{top}", "raw*") == texts(str(top), "raw*")
+    assert sorted(read.list_files(spark, f"file://{top}").collect()) == sorted(read.list_files(spark, str(top)).collect())
+    assert texts(f"file://{top}", "raw.{md,mdx}") == texts(str(top), "raw.{md,mdx}") and read.list_files(spark, f"file://{top}/R/*/e").count() == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        read.list_files(spark, f"file://{top}/nowhere")
+
+
+def test_pages_of_large_row_groups_are_dealt_before_their_files_are_written(spark, tmp_path, monkeypatch):
+    rows = [(i, f"<p>{i}</p>") for i in range(100)]
+    spark.createDataFrame(rows, "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    monkeypatch.setattr(io_queries, "TASK_PAGES", 30)
+    seen, write_files = [], write.write_files
+    monkeypatch.setattr(write, "write_files", lambda df, root: seen.append(df.rdd.getNumPartitions()) or write_files(df, root))
+    got = io_queries.src01_read_corpus(spark, str(tmp_path)).collect()
+    assert seen == [4]
+    assert {(r.release, r.spec_uid, r.sha256) for r in got} == {(f"release={i % 3}", f"spec_uid={i}", hashlib.sha256(f"{h}\n".encode()).hexdigest()) for i, h in rows} and len(got) == 100
+
+
 def test_spans_of_a_text_stay_in_its_row_without_a_shuffle(spark, monkeypatch):
     fn = lambda text: [m.span() for m in re.finditer(r"\S+|\s+", text)]
     texts = ["a é  b", None, "", "x" * 50, "one two"] * 3
