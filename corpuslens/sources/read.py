@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 from contextlib import contextmanager
@@ -195,9 +196,22 @@ def read_golden(spark: SparkSession, path: str) -> DataFrame:
 
 def hash_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """Files with their SHA-256: path, size, sha256."""
+    if folder := _shared(root, pattern):
+
+        def run(batches):
+            for batch in batches:
+                paths, sizes, hashes = batch.column("path").to_pylist(), [], []
+                for path in paths:
+                    with open(path, "rb") as file:
+                        hashes.append(hashlib.file_digest(file, "sha256").hexdigest())
+                        sizes.append(file.tell())
+                columns = [pa.array([f"file:{p}" for p in paths], pa.string()), pa.array(sizes, pa.int64()), pa.array(hashes, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["path", "size", "sha256"])
+
+        return _dealt(_walk(spark, folder, pattern)).mapInArrow(run, f"{FILES}, sha256 string")
     with _few_listing_tasks(spark):
         read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    return read.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    return _in_few_tasks(spark, read.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256")))
 
 
 def read_manifest(spark: SparkSession, path: str, release: str | None = None) -> DataFrame:

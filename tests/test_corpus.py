@@ -352,6 +352,26 @@ def test_pages_of_large_row_groups_are_dealt_before_their_files_are_written(spar
     assert {(r.release, r.spec_uid, r.sha256) for r in got} == {(f"release={i % 3}", f"spec_uid={i}", hashlib.sha256(f"{h}\n".encode()).hexdigest()) for i, h in rows} and len(got) == 100
 
 
+def test_small_files_are_hashed_in_tasks_of_many(spark, tmp_path, monkeypatch):
+    rows = [(f"release={i % 3}/series=0/spec uid={i}/b.png", "é\n" * (i + 1)) for i in range(200)]
+    root = f"file://{tmp_path}/corpus"
+    write.write_files(spark.createDataFrame(rows, "path string, content string"), root)
+    write.write_files(spark.createDataFrame([("a/empty.png", ""), ("a/_b.png", "hidden"), ("a/b.txt", "another")], "path string, content string"), root)
+    key = "spark.sql.files.maxPartitionBytes"
+    was = spark.conf.get(key)
+    spark.conf.set(key, str(8 << 20))
+    try:
+        got = read.hash_files(spark, root, "*.png")
+        other = read.hash_files(spark, root.removeprefix("file://"), "*.png")  # by Spark's reader, as in any other store
+        assert got.rdd.getNumPartitions() == 4 and other.rdd.getNumPartitions() == 32
+        want = sorted((f"file:{tmp_path}/corpus/{p}", len(c.encode()), hashlib.sha256(c.encode()).hexdigest()) for p, c in rows)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, other.collect())) == want and got.dtypes == other.dtypes
+    finally:
+        spark.conf.set(key, was)
+    monkeypatch.setattr(read, "TASK_FILES", 20)
+    assert read.hash_files(spark, root, "*.png").rdd.getNumPartitions() == 10
+
+
 def test_spans_of_a_text_stay_in_its_row_without_a_shuffle(spark, monkeypatch):
     fn = lambda text: [m.span() for m in re.finditer(r"\S+|\s+", text)]
     texts = ["a é  b", None, "", "x" * 50, "one two"] * 3
